@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe_sql, huffman_ids
+from . import bpe_sql, chat, huffman_ids, matroska
 from .common import table
 
 
@@ -16,6 +17,18 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    control = r"\### Assistant: </turn> ok"
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    extra = spark.createDataFrame([(-7, 0, "user", control), (-7, 1, "assistant", control)], "conv_id long, turn long, role string, text string")
+    parts = turns.unionByName(extra).withColumn("parts", chat.text_parts(F.col("text")))
+    return chat.conversation_digests(chat.format_turns(parts))
+
+
+def op3_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return matroska.media_digests(matroska.text_media(table(spark, sf_dir, "documents")))
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_sql.bpe_digests(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_multi_50k.tiktoken"))
 
@@ -25,7 +38,7 @@ def op10_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op5_byte_bpe, op10_token_ids)}
+    return {f.__name__: f for f in (op1_chat_format, op3_matroska, op5_byte_bpe, op10_token_ids)}
 
 
 def oracle_sql() -> dict[str, str]:
