@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_sql, chat, huffman_ids, matroska
+from . import bpe_sql, chat, huffman_ids, matroska, multi_index, simhash
 from .common import table
 
 
@@ -33,12 +33,20 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_sql.bpe_digests(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_multi_50k.tiktoken"))
 
 
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.simhash_components(table(spark, sf_dir, "documents"))
+
+
+def op7_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multi_index.search(table(spark, sf_dir, "embeddings"), F.expr("vec_id % 20 = 0"))
+
+
 def op10_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return huffman_ids.token_id_digests(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_chat_format, op3_matroska, op5_byte_bpe, op10_token_ids)}
+    return {f.__name__: f for f in (op1_chat_format, op3_matroska, op5_byte_bpe, op6_simhash, op7_multi_index, op10_token_ids)}
 
 
 def oracle_sql() -> dict[str, str]:
