@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_sql, chat, huffman_ids, matroska, multi_index, simhash
+from . import bpe_sql, chat, dom_model, huffman_ids, matroska, multi_index, simhash, toxicity
 from .common import table
 
 
@@ -25,10 +25,21 @@ def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.conversation_digests(chat.format_turns(parts))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    part = F.expr("crc32(cast(cast(doc_id as string) as binary)) % 4")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), part != 2)
+    return toxicity.scores(docs, model).select("doc_id", (part == 2).alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+
+
 def op3_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matroska.media_digests(matroska.text_media(table(spark, sf_dir, "documents")))
 
 
+def op4_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dom_model.main_text(table(spark, sf_dir, "pages"))
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_sql.bpe_digests(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_multi_50k.tiktoken"))
 
@@ -46,7 +57,7 @@ def op10_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_chat_format, op3_matroska, op5_byte_bpe, op6_simhash, op7_multi_index, op10_token_ids)}
+    return {f.__name__: f for f in (op1_chat_format, op2_toxicity, op3_matroska, op4_main_text, op5_byte_bpe, op6_simhash, op7_multi_index, op10_token_ids)}
 
 
 def oracle_sql() -> dict[str, str]:
