@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_sql, chat, dom_model, huffman_ids, matroska, multi_index, simhash, toxicity
+from . import bpe_sql, chat, dom_model, huffman_ids, matroska, multi_index, simhash, suffix_dedup, toxicity
 from .common import table
 
 
@@ -52,12 +52,16 @@ def op7_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return multi_index.search(table(spark, sf_dir, "embeddings"), F.expr("vec_id % 20 = 0"))
 
 
+def op9_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.passage_digests(table(spark, sf_dir, "documents"))
+
+
 def op10_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return huffman_ids.token_id_digests(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_chat_format, op2_toxicity, op3_matroska, op4_main_text, op5_byte_bpe, op6_simhash, op7_multi_index, op10_token_ids)}
+    return {f.__name__: f for f in (op1_chat_format, op2_toxicity, op3_matroska, op4_main_text, op5_byte_bpe, op6_simhash, op7_multi_index, op9_passages, op10_token_ids)}
 
 
 def oracle_sql() -> dict[str, str]:
