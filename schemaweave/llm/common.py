@@ -6,13 +6,17 @@ share, so a lost executor only costs the tasks it ran. Nothing here is kept on o
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_STAGED: dict[str, list[str]] = {}
+#: Paths of scratch tables by application and scope.
+_STAGED: dict[tuple[str, str], list[str]] = {}
+_SCOPE = [""]
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -26,7 +30,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 def new_path(spark: SparkSession, name: str) -> str:
     path = f"{shared_dir(spark)}/schemaweave/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-    _STAGED.setdefault(spark.sparkContext.applicationId, []).append(path)
+    _STAGED.setdefault((spark.sparkContext.applicationId, _SCOPE[-1]), []).append(path)
     return path
 
 
@@ -38,11 +42,21 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Delete the scratch tables of this application; call it once the results that read them have been written."""
+@contextlib.contextmanager
+def scope(name: str) -> Iterator[None]:
+    """Scratch tables written inside belong to ``name`` and go when it is released."""
+    _SCOPE.append(name)
+    try:
+        yield
+    finally:
+        _SCOPE.pop()
+
+
+def release(spark: SparkSession, name: str = "") -> None:
+    """Delete a scope's scratch tables; call it once the results that read them have been written."""
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
-    for path in _STAGED.pop(spark.sparkContext.applicationId, []):
+    for path in _STAGED.pop((spark.sparkContext.applicationId, name), []):
         p = jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(conf).delete(p, True)
 

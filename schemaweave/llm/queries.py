@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_sql, chat, dom_model, huffman_ids, matroska, multi_index, simhash, suffix_dedup, toxicity
+from . import bpe_sql, chat, dom_model, huffman_ids, matroska, mixing, multi_index, simhash, suffix_dedup, toxicity
 from .common import table
 
 
@@ -52,6 +52,20 @@ def op7_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return multi_index.search(table(spark, sf_dir, "embeddings"), F.expr("vec_id % 20 = 0"))
 
 
+#: Shares of tokens by language.
+TARGETS = {"en": 0.45, "de": 0.2, "fr": 0.2, "es": 0.15}
+
+
+def domain_labels(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The labelled documents with their language as domain."""
+    return labels.select("doc_id").join(docs.select("doc_id", F.col("lang").alias("domain")), "doc_id")
+
+
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return mixing.mixed(docs, domain_labels(docs, table(spark, sf_dir, "labels")), TARGETS)
+
+
 def op9_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.passage_digests(table(spark, sf_dir, "documents"))
 
@@ -61,7 +75,7 @@ def op10_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_chat_format, op2_toxicity, op3_matroska, op4_main_text, op5_byte_bpe, op6_simhash, op7_multi_index, op9_passages, op10_token_ids)}
+    return {f.__name__: f for f in (op1_chat_format, op2_toxicity, op3_matroska, op4_main_text, op5_byte_bpe, op6_simhash, op7_multi_index, op8_mixing, op9_passages, op10_token_ids)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -347,9 +347,12 @@ def _squeezed(docs: DataFrame) -> DataFrame:
         squeeze = zstandard.ZstdCompressor(level=1).compress
         for batch in batches:
             texts = [t.encode() for t in batch["text"].to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array([_hi(t) for t in texts], pa.int64()), pa.array([squeeze(t) for t in texts], pa.binary())], ["doc_id", "hi", "bytes"])
+            rest = [batch[c] for c in names]
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array([_hi(t) for t in texts], pa.int64()), pa.array([squeeze(t) for t in texts], pa.binary()), *rest], ["doc_id", "hi", "bytes", *names])
 
-    return docs.mapInArrow(run, f"doc_id {docs.dtypes[0][1]}, hi long, bytes binary")
+    names = docs.columns[2:]
+    rest = "".join(f", {c} {k}" for c, k in docs.dtypes[2:])
+    return docs.mapInArrow(run, f"doc_id {docs.dtypes[0][1]}, hi long, bytes binary{rest}")
 
 
 def _bytes(column: pa.Array) -> Iterator[bytes]:
@@ -441,11 +444,11 @@ def spans(starts: np.ndarray, counts: np.ndarray, length: int = LENGTH) -> tuple
 
 
 def _marked(docs: DataFrame) -> DataFrame:
-    """doc_id, bytes, windows of every row of ``docs``."""
-    found = intervals(docs)
+    """doc_id, bytes, windows of every row of ``docs`` (doc_id, text and perhaps a column rest)."""
+    found = intervals(docs.select("doc_id", "text"))
     windows = found.groupBy(F.col("doc_id").alias("d"), F.shiftright("place", 40).alias("x")).agg(F.collect_list(F.col("place").bitwiseAND((1 << 40) - 1)).alias("starts"), F.collect_list("count").alias("counts"))
     texts = _squeezed(docs)
-    return texts.join(windows.hint("shuffle_hash"), texts["doc_id"].eqNullSafe(windows["d"]) & (texts["hi"] == windows["x"]), "left").select("doc_id", "bytes", "starts", "counts")
+    return texts.join(windows.hint("shuffle_hash"), texts["doc_id"].eqNullSafe(windows["d"]) & (texts["hi"] == windows["x"]), "left").select("doc_id", "bytes", *docs.columns[2:], "starts", "counts")
 
 
 def _each(batch: pa.RecordBatch) -> Iterator[tuple[bytes, list[tuple[int, int]]]]:
@@ -487,12 +490,17 @@ def kept_text(text: bytes, gone: list[tuple[int, int]]) -> str:
     return b"".join([*out, text[at:]]).decode()
 
 
-def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, text): every document with its repeated passages taken out."""
+def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = "n_chars") -> DataFrame:
+    """The rows of ``docs``, all columns, with their repeated passages taken out of the text; ``length_col`` gets the new number of characters."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array([kept_text(t, gone) for t, gone in _each(batch)], pa.string())], ["doc_id", "text"])
-
-    docs = id_text(docs, id_col, text_col)
-    return _marked(docs).mapInArrow(run, f"doc_id {docs.dtypes[0][1]}, text string")
+            yield pa.RecordBatch.from_arrays([batch["rest"], pa.array([kept_text(t, gone) for t, gone in _each(batch)], pa.string())], ["rest", "text"])
+
+    others = [c for c in docs.columns if c != text_col]
+    own = docs.select(docs[id_col].alias("doc_id"), F.coalesce(docs[text_col], F.lit("")).alias("text"), F.struct(*(docs[c] for c in others)).alias("rest"))
+    kept = _marked(own).mapInArrow(run, f"rest {own.dtypes[2][1]}, text string")
+    value = {c: F.col("rest")[c] for c in others} | {text_col: F.col("text")}
+    if length_col in docs.columns:
+        value[length_col] = F.length("text").cast(dict(docs.dtypes)[length_col])
+    return kept.select(*(value[c].alias(c) for c in docs.columns))
