@@ -63,7 +63,7 @@ def fit(docs: DataFrame, labelled: DataFrame, most: int = LABELLED) -> DomainMod
         part = own.where(F.col("domain") == name).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
         some = part if some is None else some.unionByName(part)
     rows = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").select("doc_id", "text", "domain").toArrow().sort_by("doc_id")  # at most ``most`` rows for each of the domains
-    texts, y = [t or "" for t in rows["text"].to_pylist()], np.array([names.index(d) for d in rows["domain"].to_pylist()])
+    texts, y = [t or "" for t in rows["text"].to_pylist()], np.array([names.index(d) for d in rows["domain"].to_pylist()], np.int64)
     held = np.arange(len(y)) % 5 == 4
     counts = np.zeros((PAD, len(names)))
     for t, d in zip([t for t, h in zip(texts, held, strict=True) if not h], y[~held], strict=True):

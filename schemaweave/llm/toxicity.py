@@ -71,10 +71,11 @@ def buckets(text: str) -> np.ndarray:
 
 
 def words_of(text: str) -> np.ndarray:
-    """Buckets of all words of a text of any length."""
+    """Buckets of all words of a text of any length; one of padding if there are none."""
     text = text.lower()
     if len(text) < _CHARS:
-        return buckets(text)
+        out = buckets(text)
+        return out if len(out) else np.full((1, 3), PAD)
     parts, at = [], 0
     while at < len(text):
         end = min(at + _CHARS - 1, len(text))
@@ -82,7 +83,8 @@ def words_of(text: str) -> np.ndarray:
             end -= 1
         parts.append(buckets(text[at:end]))
         at = end
-    return np.concatenate(parts)
+    out = np.concatenate(parts)
+    return out if len(out) else np.full((1, 3), PAD)
 
 
 @dataclasses.dataclass
