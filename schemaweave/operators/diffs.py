@@ -54,3 +54,12 @@ def stale_artefacts(artefacts: DataFrame, sources: DataFrame) -> DataFrame:
     """Artefacts (source_id, source_hash) whose source has another hash by now, or is gone."""
     s = sources.select("source_id", F.col("content_hash").alias("now_hash"))
     return artefacts.join(s, "source_id", "left").withColumn("stale", ~F.coalesce(F.col("now_hash") == F.col("source_hash"), F.lit(False)))
+
+
+def graph_view(objects: DataFrame, risks: DataFrame, dependencies: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) of the graph view: objects and risks, with edges from the input, between objects and to risks."""
+    risk_id = F.concat_ws("|", F.col("object_id"), F.col("code"))
+    nodes = objects.select("project_id", F.col("object_id").alias("node_id"), F.concat("type", F.lit(": "), "object_name").alias("label")).unionByName(risks.select("project_id", risk_id.alias("node_id"), F.concat("level", F.lit(": "), "code").alias("label")))
+    one = lambda df, a, b, label: df.select("project_id", a.alias("source"), b.alias("target"), label.alias("label"))
+    edges = one(objects, F.lit("input"), F.col("object_id"), F.lit("")).unionByName(one(dependencies, F.col("source_object_id"), F.col("target_object_id"), F.col("type"))).unionByName(one(risks, F.col("object_id"), risk_id, F.lit("")))
+    return nodes, edges

@@ -35,7 +35,7 @@ def precheck(objects: DataFrame, issues: DataFrame, risks: DataFrame, conversion
     r = counts.join(open_work, "project_id", "left").withColumn("open_conversions", F.coalesce("open_conversions", F.lit(0)))
     r = r.withColumn("status", F.when((F.col("blocker_count") > 0) | (F.col("parse_issue_count") > 0) | (F.col("open_conversions") > 0), "BLOCKED").otherwise("CURRENT"))
     named = [F.col(c).alias(n) for c, n in zip(COUNTS, ("objectCount", "parseIssueCount", "riskCount", "blockerCount", "highRiskCount", "conversionCount", "sqlVersionCount"), strict=True)]
-    r = r.withColumn("json_content", F.to_json(F.struct(F.lit("PRECHECK").alias("type"), "status", *named)))
+    r = r.withColumn("json_content", F.to_json(F.struct(F.col("project_id").alias("projectId"), F.lit("PRECHECK").alias("type"), "status", *named)))
     lines = F.concat(*[F.concat(F.lit(f"<li>{c.replace('_', ' ')}: "), F.col(c).cast("string"), F.lit("</li>")) for c in COUNTS])
     return r.withColumn("html_content", F.concat(F.lit("<html><body><h1>Precheck report</h1><p>Status: "), F.col("status"), F.lit("</p><ul>"), lines, F.lit("</ul></body></html>")))
 

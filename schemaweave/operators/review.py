@@ -11,6 +11,16 @@ from pyspark.sql import functions as F
 APPROVED = ["APPROVED", "CONDITIONALLY_APPROVED"]
 PACKAGE_FILE = "001_schema_baseline.sql"
 
+# What a closed gate says.
+GATE_MESSAGES = {
+    "NO_CURRENT_REPORT": "Current precheck report is required before SQL package export",
+    "NO_APPROVED_REVIEW": "Approved review is required before SQL package export",
+    "NO_BASELINE": "Frozen SQL baseline is required before SQL package export",
+    "MANUAL_BASELINE": "Manual-required SQL must be edited before SQL package export",
+    "DRAFT_BASELINE": "Draft SQL must be edited before SQL package export",
+    "BLOCKERS": "BLOCKER risks must be resolved or waived before SQL package export",
+}
+
 
 def submit(requests: DataFrame, reports: DataFrame) -> DataFrame:
     """review_record rows with a ``rejection`` that says why a request doesn't count (null: it does)."""
@@ -20,9 +30,9 @@ def submit(requests: DataFrame, reports: DataFrame) -> DataFrame:
     why = (
         F.when(F.col("report_id").isNull(), "report id is required")
         .when(F.col("decision").isNull(), "decision is required")
-        .when(F.col("known_report").isNull() | (F.col("report_project") != F.col("project_id")), "report not found")
-        .when(yes & (F.col("report_status") == "STALE"), "stale report cannot be approved")
-        .when(yes & (F.col("report_status") == "BLOCKED"), "blocked report cannot be approved")
+        .when(F.col("known_report").isNull() | (F.col("report_project") != F.col("project_id")), "Report not found")
+        .when(yes & (F.col("report_status") == "STALE"), "Stale report cannot be approved")
+        .when(yes & (F.col("report_status") == "BLOCKED"), "Blocked report cannot be approved")
     )
     name = F.when(F.coalesce(F.trim("reviewer"), F.lit("")) == "", "developer").otherwise(F.trim("reviewer"))
     return r.select("project_id", "report_id", "decision", name.alias("reviewer"), F.coalesce("comment", F.lit("")).alias("comment"), "created_at", why.alias("rejection"))
@@ -37,7 +47,7 @@ def gate(projects: DataFrame, reports: DataFrame, reviews: DataFrame, versions:
     """(project_id, status, baseline_count, blocker_count): READY or the first thing in the way."""
     newest = current_report(reports)
     last = reviews.groupBy("report_id").agg(F.max_by("decision", "created_at").alias("decision"))
-    base = versions.where("status = 'BASELINE'").groupBy("project_id").agg(F.count("*").alias("baseline_count"), F.count_if(F.col("target_sql").startswith("-- MANUAL_REQUIRED")).alias("manual"), F.count_if(F.col("target_sql").startswith("-- DRAFT")).alias("drafts"))
+    base = versions.where("status = 'BASELINE'").groupBy("project_id").agg(F.count("*").alias("baseline_count"), F.count_if(F.col("target_sql").rlike(r"^\s*-- MANUAL_REQUIRED")).alias("manual"), F.count_if(F.col("target_sql").rlike(r"^\s*-- DRAFT")).alias("drafts"))
     blockers = risks.groupBy("project_id").agg(F.count_if(F.col("level") == "BLOCKER").alias("blocker_count"))
     g = projects.select("project_id").join(newest, "project_id", "left").join(last, "report_id", "left").join(base, "project_id", "left").join(blockers, "project_id", "left").fillna(0, ["baseline_count", "manual", "drafts", "blocker_count"])
     status = (
@@ -49,7 +59,8 @@ def gate(projects: DataFrame, reports: DataFrame, reviews: DataFrame, versions:
         .when(F.col("blocker_count") > 0, "BLOCKERS")
         .otherwise("READY")
     )
-    return g.select("project_id", status.alias("status"), "baseline_count", "blocker_count")
+    message = F.element_at(F.create_map(*[F.lit(x) for kv in GATE_MESSAGES.items() for x in kv]), F.col("status"))
+    return g.select("project_id", status.alias("status"), "baseline_count", "blocker_count").withColumn("message", message)
 
 
 def pruned_edges(edges: DataFrame, baselines: DataFrame) -> DataFrame:
@@ -108,9 +119,9 @@ def waves(baselines: DataFrame, edges: DataFrame, most: int = 64) -> DataFrame:
 def package_text(versions: DataFrame, order: DataFrame) -> DataFrame:
     """(project_id, sql): a header, then each baseline under a line that names it."""
     rows = versions.where("status = 'BASELINE'").join(order, ["project_id", "object_id"])
-    block = F.concat(F.lit("\n-- object: "), F.col("object_id"), F.lit(", version: "), F.col("version_number").cast("string"), F.lit("\n"), F.regexp_replace("target_sql", r"(?s)^\s+|\s+\z", ""), F.lit("\n"))
+    block = F.concat(F.lit("-- object: "), F.col("object_id"), F.lit(", version: "), F.col("version_number").cast("string"), F.lit("\n"), F.regexp_replace("target_sql", r"(?s)^\s+|\s+\z", ""), F.lit("\n\n"))
     gathered = rows.select("project_id", "seq", block.alias("block")).groupBy("project_id").agg(F.array_sort(F.collect_list(F.struct("seq", "block"))).alias("b"))
-    return gathered.select("project_id", F.concat(F.lit(f"-- {PACKAGE_FILE}\n"), F.array_join("b.block", "")).alias("sql"))
+    return gathered.select("project_id", F.concat(F.lit("-- SQL package\n-- project: "), F.col("project_id"), F.lit("\n\n"), F.array_join("b.block", "")).alias("sql"))
 
 
 def preview(gated: DataFrame, order: DataFrame) -> DataFrame:

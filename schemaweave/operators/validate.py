@@ -56,3 +56,17 @@ def sequence_positions(tables: dict[str, tuple[DataFrame, str]]) -> DataFrame:
         one = df.agg((F.coalesce(F.max(key), F.lit(0)) + 1).cast("long").alias("next_value")).select(F.lit(name).alias("table_name"), "next_value")
         out = one if out is None else out.unionByName(one)
     return out
+
+
+# The stages of a migration plan in order, and the object types each one executes.
+STAGES = ["PREPARE_TARGET", "CAPTURE_SOURCE_SNAPSHOT", "PRECHECK_TARGET", "DRY_RUN_DDL", "DRY_RUN_UNDO", "CREATE_SCHEMA", "CREATE_TABLE", "LOAD_DATA", "CREATE_INDEX", "CREATE_CONSTRAINT", "CREATE_VIEW", "CREATE_ROUTINE", "CREATE_TRIGGER", "RESET_SEQUENCE", "REPLAY_GRANT", "ANALYZE_TARGET", "VALIDATE", "FINALIZE_ARCHIVE"]
+STAGE_OF = {"TABLE": "CREATE_TABLE", "INDEX": "CREATE_INDEX", "VIEW": "CREATE_VIEW", "FUNCTION": "CREATE_ROUTINE", "PROCEDURE": "CREATE_ROUTINE", "PACKAGE": "CREATE_ROUTINE", "PACKAGE_BODY": "CREATE_ROUTINE", "TRIGGER": "CREATE_TRIGGER", "SEQUENCE": "RESET_SEQUENCE"}
+
+
+def plan_stages(objects: DataFrame) -> DataFrame:
+    """(project_id, position, stage, objects): all stages of every project with how many objects each one executes."""
+    spark = objects.sparkSession
+    stages = F.broadcast(spark.createDataFrame(list(enumerate(STAGES, 1)), "position int, stage string"))  # eighteen rows
+    of = F.element_at(F.create_map(*[F.lit(x) for kv in STAGE_OF.items() for x in kv]), F.col("type"))
+    counts = objects.select("project_id", of.alias("stage")).groupBy("project_id", "stage").agg(F.count("*").alias("objects"))
+    return objects.select("project_id").distinct().crossJoin(stages).join(counts, ["project_id", "stage"], "left").withColumn("objects", F.coalesce("objects", F.lit(0)))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import dataclasses
 import functools
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 
 from ..operators import convert, depgraph, model, report, risk, splitter, versions
@@ -18,7 +19,11 @@ class Project:
 
     @functools.cached_property
     def classified(self) -> DataFrame:
-        return model.classify(splitter.split_statements(self.sources))
+        """Split and classified once for all tables below; what is lost with an executor is computed again from the sources."""
+        return model.classify(splitter.split_statements(self.sources)).persist(StorageLevel.MEMORY_AND_DISK)
+
+    def release(self) -> None:
+        self.classified.unpersist()
 
     @functools.cached_property
     def objects(self) -> DataFrame:

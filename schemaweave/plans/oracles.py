@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from ..functions import typemap
+from ..operators.validate import STAGES
 from .corpus import CORPUS
 
 TOKEN = r"""(?s)[qQ]'(?:\[.*?(?:\]'|\z)|\(.*?(?:\)'|\z)|\{.*?(?:\}'|\z)|<.*?(?:>'|\z)|!.*?(?:!'|\z))|'[^']*(?:''[^']*)*(?:'|\z)|--[^\n]*(?:\n|\z)|/\*.*?(?:\*/|\z)|[^qQ'/\-]+|."""
@@ -48,7 +49,8 @@ RISK_ROWS = [
     (14, "NUMBER_INTEGER_NARROWING_REVIEW", "HIGH", "number(10,0)"),
     (14, "ORACLE_DATE_TIME_SEMANTICS", "MEDIUM", "DATE"),
 ]
-RISKS = f"{OBJECTS}, rules(template, code, level, evidence) AS (VALUES {', '.join(f'({t}, {_q(c)}, {_q(v)}, {_q(e)})' for t, c, v, e in RISK_ROWS)}), r AS (SELECT o.*, rules.code, rules.level, rules.evidence FROM o JOIN rules USING (template))"
+RULES = f"rules(template, code, level, evidence) AS (VALUES {', '.join(f'({t}, {_q(c)}, {_q(v)}, {_q(e)})' for t, c, v, e in RISK_ROWS)})"
+RISKS = f"{OBJECTS}, {RULES}, r AS (SELECT o.*, rules.code, rules.level, rules.evidence FROM o JOIN rules USING (template))"
 COLUMN_ROWS = [
     (0, "id", "number(10,0)", True), (0, "name", "varchar2(100 char)", False), (0, "note", "clob", True),
     (1, "id", "number(19,0)", True), (1, "made", "date", True), (1, "flag", "varchar2(1)", True),
@@ -95,9 +97,18 @@ def oracle_sql() -> dict[str, str]:
         "o70_precheck": f"""{RISKS}, n AS ({counted}), i AS (SELECT project_id, count(*) AS issues FROM c WHERE template = 15 GROUP BY project_id),
             x AS (SELECT project_id, count(*) FILTER (WHERE k % 5 = 0) AS edits, count(*) FILTER (WHERE k % 5 <> 0 AND type <> 'TABLE') AS still_open FROM o GROUP BY project_id),
             y AS (SELECT n.project_id, object_count, coalesce(issues, 0) AS parse_issue_count, risk_count::BIGINT AS risk_count, blocker_count::BIGINT AS blocker_count, high_risk_count::BIGINT AS high_risk_count, object_count AS conversion_count, (object_count + edits)::BIGINT AS sql_version_count, CASE WHEN blocker_count > 0 OR coalesce(issues, 0) > 0 OR still_open > 0 THEN 'BLOCKED' ELSE 'CURRENT' END AS status FROM n LEFT JOIN i USING (project_id) JOIN x USING (project_id))
-            SELECT *, '{{"type":"PRECHECK","status":"' || status || '","objectCount":' || object_count || ',"parseIssueCount":' || parse_issue_count || ',"riskCount":' || risk_count || ',"blockerCount":' || blocker_count || ',"highRiskCount":' || high_risk_count || ',"conversionCount":' || conversion_count || ',"sqlVersionCount":' || sql_version_count || '}}' AS json_content FROM y""",
-        "o80_gate": f"{OBJECTS} SELECT project_id, CASE project_id WHEN 'p0' THEN 'NO_CURRENT_REPORT' WHEN 'p16' THEN 'NO_APPROVED_REVIEW' ELSE 'MANUAL_BASELINE' END AS status, count(*) AS baseline_count, sum((template = 12)::INT)::BIGINT AS blocker_count FROM o GROUP BY project_id",
-        "o96_advice": f"""{RISKS} SELECT project_id, 'Risk explanation' AS title, (SELECT count(*) FROM o WHERE o.project_id = r.project_id) || ' objects, ' || count(*) || ' risks' AS summary, array_to_string(list_sort(list_distinct(list(code))), ',') AS rule_codes, count(DISTINCT k)::INT AS n_affected FROM r GROUP BY project_id""",
+            SELECT *, '{{"projectId":"' || project_id || '","type":"PRECHECK","status":"' || status || '","objectCount":' || object_count || ',"parseIssueCount":' || parse_issue_count || ',"riskCount":' || risk_count || ',"blockerCount":' || blocker_count || ',"highRiskCount":' || high_risk_count || ',"conversionCount":' || conversion_count || ',"sqlVersionCount":' || sql_version_count || '}}' AS json_content FROM y""",
+        "o80_gate": f"{OBJECTS} SELECT project_id, CASE project_id WHEN 'p0' THEN 'NO_CURRENT_REPORT' WHEN 'p16' THEN 'NO_APPROVED_REVIEW' ELSE 'MANUAL_BASELINE' END AS status, count(*) AS baseline_count, sum((template = 12)::INT)::BIGINT AS blocker_count, CASE project_id WHEN 'p0' THEN 'Current precheck report is required before SQL package export' WHEN 'p16' THEN 'Approved review is required before SQL package export' ELSE 'Manual-required SQL must be edited before SQL package export' END AS message FROM o GROUP BY project_id",
+        "o76_stale_reports": "SELECT CASE WHEN o_orderdate < changed THEN 'STALE' ELSE 'CURRENT' END AS status, count(*) AS n FROM orders LEFT JOIN (SELECT o_custkey, max(o_orderdate) AS changed FROM orders WHERE o_orderstatus = 'F' GROUP BY o_custkey) USING (o_custkey) GROUP BY 1",
+        "o89_reviews": """SELECT 'developer' AS reviewer, '' AS comment, CASE WHEN decision IS NULL THEN 'decision is required' WHEN b.o_orderkey IS NULL OR b.o_custkey <> a.o_custkey THEN 'Report not found' WHEN decision = 'APPROVED' AND b.o_orderstatus = 'F' THEN 'Stale report cannot be approved' WHEN decision = 'APPROVED' AND b.o_orderstatus = 'P' THEN 'Blocked report cannot be approved' ELSE '' END AS rejection, count(*) AS n
+            FROM (SELECT *, o_orderkey + (o_orderkey % 10 = 0)::INT AS wanted, CASE WHEN o_orderkey % 3 = 0 THEN 'REJECTED' WHEN o_orderkey % 7 <> 0 THEN 'APPROVED' END AS decision FROM orders) a LEFT JOIN orders b ON b.o_orderkey = a.wanted GROUP BY ALL""",
+        "o100_columns_per_object": f"{C}, cols(template, n_columns) AS (VALUES (0, 3), (1, 3), (2, 3), (3, 2), (4, 2), (14, 2)) SELECT CASE WHEN template = 4 THEN 'Mixed t'||k ELSE 't'||k END AS object_name, n_columns::BIGINT AS n_columns FROM c JOIN cols USING (template)",
+        "o103_graph": f"{EDGES}, {RULES}, r AS (SELECT o.*, rules.code, rules.level FROM o JOIN rules USING (template)) SELECT 'node' AS kind, type AS label, count(*) AS n FROM o GROUP BY type UNION ALL SELECT 'node', level, count(*) FROM r GROUP BY level UNION ALL SELECT 'edge', '', (SELECT count(*) FROM o) + (SELECT count(*) FROM r) UNION ALL SELECT 'edge', type, count(*) FROM edges GROUP BY type",
+        "d2_report_diff": f"""{RISKS}, x AS (SELECT project_id, 'object_count' AS count_name, count(*) FILTER (WHERE k % 2 = 0) AS before, count(*) AS after FROM o GROUP BY project_id UNION ALL SELECT project_id, 'risk_count', count(*) FILTER (WHERE k % 2 = 0), count(*) FROM r GROUP BY project_id) SELECT *, after - before AS difference FROM x""",
+        "d6_work_items": f"""{RISKS} SELECT project_id, 'PARSE' AS source_stage, count(*) AS n FROM c WHERE template = 15 GROUP BY project_id UNION ALL SELECT project_id, 'RISK', count(*) FROM r GROUP BY project_id UNION ALL SELECT DISTINCT project_id, 'REVIEW', 1 FROM o UNION ALL SELECT DISTINCT project_id, 'ADVICE', 1 FROM o""",
+        "d12_plan_stages": f"""{OBJECTS}, s(position, stage) AS (VALUES {', '.join(f"({i}, '{x}')" for i, x in enumerate(STAGES, 1))}), t AS (SELECT *, CASE type WHEN 'TABLE' THEN 7 WHEN 'INDEX' THEN 9 WHEN 'VIEW' THEN 11 WHEN 'TRIGGER' THEN 13 WHEN 'SEQUENCE' THEN 14 ELSE 12 END AS position FROM o) SELECT p.project_id, s.position, s.stage, (SELECT count(*) FROM t WHERE t.project_id = p.project_id AND t.position = s.position) AS objects FROM (SELECT DISTINCT project_id FROM o) p, s""",
+        "d14_stale_artefacts": f"{C} SELECT input_source_id AS source_id, k % 7 = 0 OR k % 5 = 0 AS stale FROM c",
+        "o96_advice": f"""{EDGES}, {RULES}, r AS (SELECT o.*, rules.code, rules.level FROM o JOIN rules USING (template)) SELECT project_id, 'Risk explanation draft' AS title, 'Detected ' || (SELECT count(*) FROM o WHERE o.project_id = r.project_id) || ' objects, ' || (SELECT count(*) FROM edges WHERE edges.project_id = r.project_id) || ' dependencies, ' || count(*) || ' risks and ' || (SELECT count(*) FROM o WHERE o.project_id = r.project_id) || ' conversion results.' AS summary, array_to_string(list_sort(list_distinct(list(code))), ',') AS rule_codes, count(DISTINCT k)::INT AS n_affected FROM r GROUP BY project_id""",
         "o110_convert": f"""{OBJECTS} SELECT input_source_id, {LEVEL} AS level, CASE template
             WHEN 0 THEN 'create table "app"."t'||k||'" (' || chr(10) || '    "id" numeric(10,0) primary key,' || chr(10) || '    "name" varchar(100) not null,' || chr(10) || '    "note" text' || chr(10) || ');'
             WHEN 1 THEN 'create table "t'||k||'" (' || chr(10) || '    "id" numeric(19,0),' || chr(10) || '    "made" timestamp default clock_timestamp(),' || chr(10) || '    "flag" varchar(1) default '''',' || chr(10) || '    constraint t'||k||'_pk primary key (id)' || chr(10) || ');'

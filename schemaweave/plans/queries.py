@@ -148,6 +148,35 @@ def o88_package(spark: SparkSession, sf_dir: str) -> DataFrame:
     return review.package_text(frozen, review.ordered(frozen, p.edges)).select("project_id", F.length("sql").alias("n_chars"), F.size(F.expr("regexp_extract_all(sql, '(?m)^-- object: ', 0)")).alias("n_objects"))
 
 
+def o76_stale_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reports older than the last change of their customer; reports and changes from orders."""
+    o = _table(spark, sf_dir, "orders")
+    reports = o.select(F.col("o_orderkey").alias("report_id"), F.col("o_custkey").alias("project_id"), F.lit("CURRENT").alias("status"), F.col("o_orderdate").alias("created_at"))
+    changes = o.where("o_orderstatus = 'F'").select(F.col("o_custkey").alias("project_id"), F.col("o_orderdate").alias("changed_at"))
+    return report.with_staleness(reports, changes).groupBy("status").agg(F.count("*").alias("n"))
+
+
+def o89_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests against reports, orders standing in for both."""
+    o = _table(spark, sf_dir, "orders")
+    reports = o.select(F.col("o_orderkey").alias("report_id"), F.col("o_custkey").alias("project_id"), F.expr("CASE o_orderstatus WHEN 'F' THEN 'STALE' WHEN 'P' THEN 'BLOCKED' ELSE 'CURRENT' END").alias("status"))
+    asked = o.select((F.col("o_orderkey") + F.when(F.col("o_orderkey") % 10 == 0, 1).otherwise(0)).alias("report_id"), F.col("o_custkey").alias("project_id"), F.expr("CASE WHEN o_orderkey % 3 = 0 THEN 'REJECTED' WHEN o_orderkey % 7 <> 0 THEN 'APPROVED' END").alias("decision"), F.lit(" ").alias("reviewer"), F.lit(None).cast("string").alias("comment"), F.col("o_orderdate").alias("created_at"))
+    return review.submit(asked, reports).groupBy("reviewer", "comment", F.coalesce("rejection", F.lit("")).alias("rejection")).agg(F.count("*").alias("n"))
+
+
+def o100_columns_per_object(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """O100 to O102: names of objects with their numbers of columns."""
+    p = _project(spark, sf_dir)
+    return p.columns.groupBy("object_id").agg(F.count("*").alias("n_columns")).join(p.objects.select("object_id", "object_name"), "object_id").select("object_name", "n_columns")
+
+
+def o103_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """O103: nodes and edges of the graph view, counted by label."""
+    p = _project(spark, sf_dir)
+    nodes, edges = diffs.graph_view(p.objects, p.risks, p.edges)
+    return nodes.select(F.lit("node").alias("kind"), F.regexp_extract("label", "^(.*):", 1).alias("label")).unionByName(edges.select(F.lit("edge").alias("kind"), "label")).groupBy("kind", "label").agg(F.count("*").alias("n"))
+
+
 def o96_advice(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Deterministic advice per project."""
     p = _project(spark, sf_dir)
@@ -173,6 +202,15 @@ def d1_batch_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return diffs.batch_diff(c.where("k % 11 <> 0"), after)
 
 
+def d2_report_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reports of the corpus before and after its first half came in."""
+    p = _project(spark, sf_dir)
+    early = lambda df: df.where(F.col("input_source_id").cast("long") % 2 == 0)
+    before = report.precheck(early(p.objects), early(p.issues), early(p.risks), early(p.conversions), early(p.versions))
+    after = report.precheck(p.objects, p.issues, p.risks, p.conversions, p.versions)
+    return diffs.report_diff(before, after, ["object_count", "risk_count"])
+
+
 def d3_value_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     """D3: which columns' values would fit an integer type."""
     a = validate.value_profile(_table(spark, sf_dir, "lineitem"), ["l_orderkey", "l_quantity", "l_extendedprice", "l_linenumber"], "lineitem")
@@ -189,6 +227,14 @@ def d5_range_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return validate.range_shards(_table(spark, sf_dir, "orders"), "o_orderkey", 8)
 
 
+def d6_work_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Open points of all stages, counted."""
+    p = _project(spark, sf_dir)
+    advised = advice.RuleProvider().suggest("VALIDATION_PLAN", p.objects, p.edges, p.risks, p.conversions)
+    reviews = p.objects.select("project_id").distinct().select("project_id", F.lit("REJECTED").alias("decision"), F.lit("see risks").alias("comment"))
+    return diffs.work_items(p.issues, p.risks, reviews, advised).groupBy("project_id", "source_stage").agg(F.count("*").alias("n"))
+
+
 def d7_folded_risks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Risks folded by code."""
     return diffs.folded_risks(_project(spark, sf_dir).risks).select("project_id", "code", "level", "n", "severity")
@@ -219,6 +265,18 @@ def d11_residue(spark: SparkSession, sf_dir: str) -> DataFrame:
     return diffs.residue(_project(spark, sf_dir).versions, patterns).groupBy("code").agg(F.count("*").alias("n"))
 
 
+def d12_plan_stages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stages of every project's plan."""
+    return validate.plan_stages(_project(spark, sf_dir).objects).select("project_id", "position", "stage", "objects")
+
+
+def d14_stale_artefacts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Artefacts of the corpus after some sources changed and some went."""
+    c = corpus(spark, sf_dir).select("k", F.col("input_source_id").alias("source_id"), F.sha2("original_text", 256).alias("content_hash"))
+    now = c.where("k % 7 <> 0").withColumn("content_hash", F.when(F.col("k") % 5 == 0, "new").otherwise(F.col("content_hash")))
+    return diffs.stale_artefacts(c.select("source_id", F.col("content_hash").alias("source_hash")), now).select("source_id", "stale")
+
+
 def d13_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Next values."""
     return validate.sequence_positions({n: (_table(spark, sf_dir, n), k) for n, k in (("orders", "o_orderkey"), ("customer", "c_custkey"), ("part", "p_partkey"), ("events", "event_id"))})
@@ -230,7 +288,7 @@ def minimum_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return risk.assess(model.objects(model.classify(c))).groupBy("level", "code").agg(F.count("*").alias("n"))
 
 
-ALL = [minimum_slice, o04_path_rules, o09_content_hash, o18_blank, o19_blank_comments, o24_identifiers, o29_split, o34_classify, o40_columns, o44_replace, o45_type_map, o47_risks, o50_dependencies, o63_freeze, o65_order, o70_precheck, o80_gate, o88_package, o96_advice, o110_convert, q3_risks, d1_batch_diff, d3_value_profile, d4_shard_checksums, d5_range_shards, d7_folded_risks, d8_waves, d9_roll_up, d10_duplicates, d11_residue, d13_sequences]
+ALL = [minimum_slice, o04_path_rules, o09_content_hash, o18_blank, o19_blank_comments, o24_identifiers, o29_split, o34_classify, o40_columns, o44_replace, o45_type_map, o47_risks, o50_dependencies, o63_freeze, o65_order, o70_precheck, o80_gate, o76_stale_reports, o88_package, o89_reviews, o96_advice, o100_columns_per_object, o103_graph, o110_convert, q3_risks, d1_batch_diff, d2_report_diff, d3_value_profile, d4_shard_checksums, d5_range_shards, d6_work_items, d7_folded_risks, d8_waves, d9_roll_up, d10_duplicates, d11_residue, d12_plan_stages, d13_sequences, d14_stale_artefacts]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
