@@ -10,8 +10,8 @@ minimum-rank pair at once, where that equals doing them one after the other from
 outranks it. Else one pair at a time, as for the rest. So a piece of n equal letters takes about log n rounds and not n.
 
 Contract: null text is empty text (no ids, the digests of nothing); rows are kept one for one, repeated ids and texts
-included; the result only has the columns named here, whatever else the input has. Memory: a partition's cache of pieces
-is dropped when it reaches CACHE pieces; an Arrow batch is split into blocks of texts before it is cut into pieces.
+included; the result only has the columns named here, whatever else the input has. Memory: the
+cache of pieces holds about CACHE pieces at most; an Arrow batch is split into blocks of texts before it is cut into pieces.
 """
 
 from __future__ import annotations
@@ -26,9 +26,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import pretok
-from .common import id_text
+from .common import CLEAR, claim, id_text, slices
 
-LONG, CACHE, MISSING = 64, 600_000, 30_000
+LONG, CACHE, MISSING = 64, 400_000, 20_000
 
 ENCODE = """
 WITH RECURSIVE bpe(wid, toks, round) AS (
@@ -108,7 +108,7 @@ class PieceCoder:
     def __init__(self, path: str):
         import duckdb
 
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB"})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "300MB"})
         self.db.execute("SET enable_progress_bar = false")
         of = ranks(path)
         self.db.register("merge_rows", merge_table(path))
@@ -118,6 +118,7 @@ class PieceCoder:
         self.byte = np.array([of[bytes([i])] for i in range(256)], np.int32)
         self.whole = of
         self.cache: dict[bytes, tuple[int, str, bytes]] = {}
+        self.old: dict[bytes, tuple[int, str, bytes]] = {}
 
     def encode(self, words: list[bytes]) -> list[list[int]]:
         """Token ids of each piece."""
@@ -147,15 +148,19 @@ class PieceCoder:
         return out
 
     def learn(self, words: list[bytes]) -> None:
-        """Put the pieces that the cache lacks into it, MISSING pieces to a query."""
-        if len(self.cache) > CACHE:
-            self.cache.clear()
-        new = [w for w in dict.fromkeys(words) if w not in self.cache]
+        """Put those of the distinct pieces that the cache lacks into it, MISSING pieces to a query. A full cache is put aside and only what is met again comes back, so that common pieces stay."""
+        if len(self.cache) > CACHE // 2:
+            self.old, self.cache = self.cache, {}
+        old, young = self.old, self.cache
+        for w in words:
+            if w not in young and w in old:
+                young[w] = old[w]
+        new = [w for w in words if w not in young]
         for k in range(0, len(new), MISSING):
             some = new[k : k + MISSING]
             ids = self.encode(some)
             for w, i, back in zip(some, ids, self.decode(ids), strict=True):
-                self.cache[w] = (len(i), ",".join(map(str, i)), back)
+                self.cache[w] = (len(i), ",".join(map(str, i)), w if back == w else back)
 
 
 @functools.cache
@@ -163,23 +168,28 @@ def coder(path: str) -> PieceCoder:
     return PieceCoder(path)
 
 
+CLEAR["bpe"] = coder.cache_clear
+
+
 def bpe_digests(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: doc_id, n_tokens, ids_sha256 (of the decimal ids joined by commas), decoded_sha256 (of the decoded bytes)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("bpe")
         c = coder(ranks_path)
-        for batch in batches:
+        for batch in slices(batches):
             n, ids_sha, decoded_sha = [], [], []
-            for _, _, words, ends in pretok.pieces(batch["text"].to_pylist()):
+            for _, _, words, places, ends in pretok.pieces(batch["text"].to_pylist()):
                 c.learn(words)
                 found = [c.cache[w] for w in words]
-                start = 0
+                sizes, ids, decoded = np.array([x[0] for x in found], np.int64), [x[1] for x in found], [x[2] for x in found]
+                totals, start = np.concatenate([[0], np.cumsum(sizes[places])]), 0
                 for end in ends.tolist():
-                    own = found[start:end]
+                    own = places[start:end].tolist()
+                    n.append(int(totals[end] - totals[start]))
+                    ids_sha.append(hashlib.sha256(",".join([ids[i] for i in own]).encode()).hexdigest())
+                    decoded_sha.append(hashlib.sha256(b"".join([decoded[i] for i in own])).hexdigest())
                     start = end
-                    n.append(sum(x[0] for x in own))
-                    ids_sha.append(hashlib.sha256(",".join([x[1] for x in own]).encode()).hexdigest())
-                    decoded_sha.append(hashlib.sha256(b"".join([x[2] for x in own])).hexdigest())
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(n, pa.int64()), pa.array(ids_sha), pa.array(decoded_sha)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     docs = id_text(docs, id_col, text_col)

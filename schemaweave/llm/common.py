@@ -7,10 +7,15 @@ share, so a lost executor only costs the tasks it ran. Nothing here is kept on o
 from __future__ import annotations
 
 import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -72,3 +77,30 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def id_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Only the id and the text, under fixed names, null texts as empty; extra columns of any name don't get in the way."""
     return df.select(df[id_col].alias("doc_id"), F.coalesce(df[text_col], F.lit("")).alias("text"))
+
+
+def slices(batches: Iterator[pa.RecordBatch], most: int = 4 << 20, column: str = "text") -> Iterator[pa.RecordBatch]:
+    """Batches in slices with about ``most`` bytes in ``column``, or one row: what is made of texts is a multiple of that in memory."""
+    for batch in batches:
+        start, total = 0, np.cumsum(np.asarray(pc.fill_null(pc.binary_length(batch[column]), 0)).astype(np.int64))
+        while start < len(batch):
+            stop = max(start + 1, int(np.searchsorted(total, (total[start - 1] if start else 0) + most, "right")))
+            yield batch.slice(start, stop - start)
+            start = stop
+
+
+#: Python workers serve one operator after another; what an operator keeps between partitions goes when the next one comes.
+_OWNER: list[str] = [""]
+CLEAR: dict[str, Callable[[], object]] = {}
+
+
+def claim(owner: str) -> None:
+    """Called in a worker before an operator's work: drops what other operators have kept there and gives the memory back."""
+    if _OWNER[0] != owner:
+        for name, clear in CLEAR.items():
+            if name != owner:
+                clear()
+        gc.collect()
+        with contextlib.suppress(OSError, AttributeError):  # another C library
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        _OWNER[0] = owner

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import pretok
-from .common import id_text, new_path, parallelism, staged
+from .common import CLEAR, claim, id_text, new_path, parallelism, slices, staged
 
 LIMIT, EVERY, BLOCK = 16, 128, 1 << 16
 CACHE = 600_000
@@ -44,42 +44,66 @@ class PieceIds:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.old: tuple = {}, None, None
         self.clear()
 
     def clear(self) -> None:
         self.index: dict[bytes, int] = {}
-        self.flat, self.sizes = [], []
-        self.table = np.zeros(0, np.uint32), np.zeros(1, np.int64)
-
-    def learn(self, words: list[bytes]) -> None:
-        if len(self.index) > CACHE:
-            self.clear()
-        new = [w for w in dict.fromkeys(words) if w not in self.index]
-        if not new:
-            return
+        self.flat, self.ends = np.zeros(1 << 16, np.uint32), np.zeros(1 << 16, np.int64)  # a piece's ids end where the next one's begin
+
+    def remember(self, words: list[bytes]) -> list[bytes]:
+        """Take over what the older half of the cache knows; the rest comes back."""
+        index, flat, ends = self.old
+        known = [w for w in words if w in index]
+        if known:
+            own = np.array([index[w] for w in known], np.int64)
+            begin = np.where(own > 0, ends[own - 1], 0)
+            size = ends[own] - begin
+            self.append(known, size, flat[np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))])
+        return [w for w in words if w not in index]
+
+    def append(self, words: list[bytes], sizes: np.ndarray, added: np.ndarray) -> None:
+        n = len(self.index)
+        begin = int(self.ends[n - 1]) if n else 0
+        while begin + len(added) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        while n + len(words) > len(self.ends):
+            self.ends = np.concatenate([self.ends, np.zeros_like(self.ends)])
+        self.flat[begin : begin + len(added)] = added
+        self.ends[n : n + len(words)] = begin + np.cumsum(sizes)
+        self.index.update(zip(words, range(n, n + len(words)), strict=True))
+
+    def learn(self, new: list[bytes]) -> None:
+        """Take in pieces that the index lacks."""
         texts = [w.decode() for w in new]
         space = pretok.classes()
         led = [t[0] == " " and len(t) > 1 and space[ord(t[1])] != pretok.SPACE for t in texts]  # side by side they split as they were
-        new = [w for w, x in zip(new, led, strict=True) if x] + [w for w, x in zip(new, led, strict=True) if not x]
+        sizes, ids = [], []
         for chosen, whole in (([t for t, x in zip(texts, led, strict=True) if x], True), ([t for t, x in zip(texts, led, strict=True) if not x], False)):
             groups = [chosen[k : k + 256] for k in range(0, len(chosen), 256)]
             found = self.tokenizer.encode_batch(["".join(g) for g in groups] if whole else groups, is_pretokenized=not whole, add_special_tokens=False)
             for group, f in zip(groups, found, strict=True):
-                self.flat.append(np.array(f.ids, np.uint32))
-                self.sizes.append(np.bincount(np.array(f.word_ids, np.int64), minlength=len(group)))
-        self.index.update(zip(new, range(len(self.index), len(self.index) + len(new)), strict=True))
-        flat = np.concatenate([self.table[0], *self.flat])
-        self.table = flat, np.concatenate([self.table[1], self.table[1][-1] + np.cumsum(np.concatenate(self.sizes))])
-        self.flat, self.sizes = [], []
-
-    def ids(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids of the pieces in turn, and how many each piece has."""
-        self.learn(words)
-        which = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
-        flat, at = self.table
-        sizes = at[which + 1] - at[which]
-        begin = np.cumsum(sizes) - sizes
-        return flat[np.repeat(at[which] - begin, sizes) + np.arange(int(sizes.sum()))], sizes
+                ids.append(np.array(f.ids, np.uint32))
+                sizes.append(np.bincount(np.array(f.word_ids, np.int64), minlength=len(group)))
+        order = [w for w, x in zip(new, led, strict=True) if x] + [w for w, x in zip(new, led, strict=True) if not x]
+        self.append(order, np.concatenate(sizes), np.concatenate(ids))
+
+    def ids(self, words: list[bytes], places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the distinct ``words`` at ``places`` in turn, and how many each place has."""
+        if not len(places):
+            return np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        new = [w for w in words if w not in self.index]
+        if len(self.index) + len(new) > CACHE // 2 and self.index:
+            self.old = self.index, self.flat, self.ends
+            self.clear()
+            new = words
+        if new and (new := self.remember(new)):
+            self.learn(new)
+        own = np.array([self.index[w] for w in words], np.int64)
+        end = self.ends[own]
+        begin = np.where(own > 0, self.ends[own - 1], 0)
+        size = (end - begin)[places]
+        return self.flat[np.repeat(begin[places] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))], size
 
 
 @functools.cache
@@ -87,15 +111,19 @@ def piece_ids(path: str) -> PieceIds:
     return PieceIds(path)
 
 
+CLEAR["token-ids"] = piece_ids.cache_clear
+
+
 def encoded(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataFrame:
     """doc_id, ids (little-endian unsigned 32-bit integers, the end id last), narrow over ``docs`` (doc_id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("token-ids")
         p = piece_ids(tokenizer_path)
         end = np.array([end_id], np.uint32)
-        for batch in batches:
-            for first, last, words, ends in pretok.pieces(batch["text"].to_pylist()):
-                ids, sizes = p.ids(words)
+        for batch in slices(batches):
+            for first, last, words, places, ends in pretok.pieces(batch["text"].to_pylist()):
+                ids, sizes = p.ids(words, places)
                 cuts = np.concatenate([[0], np.cumsum(sizes)])[np.concatenate([[0], ends])]
                 out = [np.concatenate([ids[i:j], end]).tobytes() for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([batch["doc_id"].slice(first, last - first), pa.array(out, pa.binary())], ["doc_id", "ids"])
@@ -107,8 +135,9 @@ def id_counts(encoded_docs: DataFrame) -> dict[int, int]:
     """How often each id occurs in all documents: summed per task, then by id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("token-counts")
         total = np.zeros(1, np.int64)
-        for batch in batches:
+        for batch in slices(batches, column="ids"):
             got = np.bincount(np.frombuffer(b"".join(batch["ids"].to_pylist()), np.uint32))
             if len(got) < len(total):
                 got = np.pad(got, (0, len(total) - len(got)))
@@ -234,7 +263,7 @@ def write_ids(docs: DataFrame, tokenizer_path: str, end_id: int = 0, id_col: str
             state.update(block=state["block"] + 1, docs=[], ids=[], sizes=[], n=0)
             return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds, strict=True)], ["part", "segment", "block", "first_doc", "n_tokens", "doc_ids", "doc_tokens", "payload", "checkpoints"])
 
-        for batch in batches:
+        for batch in slices(batches, column="ids"):
             for doc, raw, part in zip(batch["doc_id"].to_pylist(), batch["ids"].to_pylist(), batch["part"].to_pylist(), strict=True):
                 if state["docs"] and (part != state["part"] or state["n"] >= BLOCK):
                     yield flush()
@@ -266,25 +295,28 @@ def read_ids(spark: SparkSession, path: str, lengths: np.ndarray) -> DataFrame:
         before += r["n"]
     order = Window.partitionBy("part").orderBy(F.col("first_doc").asc_nulls_first(), F.length("segment"), "segment", "block").rowsBetween(Window.unboundedPreceding, -1)
     places = blocks.select("part", "segment", "block", "first_doc", "n_tokens").withColumn("before", F.coalesce(F.sum("n_tokens").over(order), F.lit(0))).select("part", "segment", "block", "before")
-    placed = blocks.join(places, ["part", "segment", "block"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_type
 
-        for batch in batches:
-            docs, starts, sizes, crcs = [], [], [], []
+        for batch in slices(batches, column="payload"):
+            docs, starts, sizes, crcs, home = [], [], [], [], []
             for r in batch.to_pylist():
                 marks = np.frombuffer(r["checkpoints"], "<u4" if len(r["checkpoints"]) == 4 * (-(-r["n_tokens"] // EVERY)) else "<u8")
                 ids, at = unpack(r["payload"], marks, r["n_tokens"], table), 0
                 for doc, n in zip(r["doc_ids"], r["doc_tokens"], strict=True):
                     docs.append(doc)
-                    starts.append(parts[r["part"]] + r["before"] + at)
+                    starts.append(parts[r["part"]] + at)
                     sizes.append(n)
                     crcs.append(zlib.crc32(ids[at : at + n].astype("<u4").tobytes()))
                     at += n
-            yield pa.RecordBatch.from_arrays([pa.array(docs, to_arrow_type(kind)), pa.array(starts, pa.int64()), pa.array(sizes, pa.int64()), pa.array(crcs, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
+                    home.append((r["part"], r["segment"], r["block"]))
+            part, segment, block = zip(*home, strict=True) if home else ((), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(segment, pa.string()), pa.array(block, pa.int32()), pa.array(docs, to_arrow_type(kind)), pa.array(starts, pa.int64()), pa.array(sizes, pa.int64()), pa.array(crcs, pa.int64())], ["part", "segment", "block", "doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return placed.mapInArrow(run, f"doc_id {kind.simpleString()}, start long, n_tokens long, ids_crc32 long")
+    own = blocks.select("part", "segment", "block", "n_tokens", "doc_ids", "doc_tokens", "payload", "checkpoints")
+    decoded = own.mapInArrow(run, f"part int, segment string, block int, doc_id {kind.simpleString()}, start long, n_tokens long, ids_crc32 long")
+    return decoded.join(places, ["part", "segment", "block"]).select("doc_id", (F.col("start") + F.col("before")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def token_id_digests(docs: DataFrame, tokenizer_path: str, end_id: int = 0) -> DataFrame:

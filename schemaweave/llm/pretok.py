@@ -62,8 +62,8 @@ def boundaries(chars: np.ndarray) -> np.ndarray:
     return np.flatnonzero(start)
 
 
-def pieces(texts: list[str]) -> Iterator[tuple[int, int, list[bytes], np.ndarray]]:
-    """For blocks of texts, about CHARS code points each: first text, text after the last, the UTF-8 pieces of all, and where each text's pieces end."""
+def pieces(texts: list[str]) -> Iterator[tuple[int, int, list[bytes], np.ndarray, np.ndarray]]:
+    """For blocks of texts, about CHARS code points each: first text, text after the last, the distinct UTF-8 pieces, which of them comes at each place, and where each text's places end."""
     first, total = 0, 0
     for i, t in enumerate(texts):
         total += len(t) + 1
@@ -72,7 +72,7 @@ def pieces(texts: list[str]) -> Iterator[tuple[int, int, list[bytes], np.ndarray
             first, total = i + 1, 0
 
 
-def _split(texts: list[str]) -> tuple[list[bytes], np.ndarray]:
+def _split(texts: list[str]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
     joined = SEPARATOR.join(texts) + SEPARATOR
     chars = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
     utf8 = joined.encode("utf-8", "surrogatepass")
@@ -82,5 +82,28 @@ def _split(texts: list[str]) -> tuple[list[bytes], np.ndarray]:
     ends = np.append(at[1:], len(utf8))
     real = np.ones(len(starts), bool)
     real[marks] = False
-    out = [utf8[i:j] for i, j in zip(at[real].tolist(), ends[real].tolist(), strict=True)]
-    return out, marks - np.arange(len(marks))
+    return *_distinct(utf8, at[real], ends[real]), marks - np.arange(len(marks))
+
+
+_MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+_A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
+
+
+def _distinct(data: bytes, start: np.ndarray, end: np.ndarray) -> tuple[list[bytes], np.ndarray]:
+    """The distinct slices and which of them each one is. Up to 16 bytes are told apart by their first and last 8 and their size; longer ones, which are few, by a dictionary."""
+    size = end - start
+    words = np.ndarray((len(data) + 8,), "<u8", data + b"\0" * 16, 0, (1,))
+    head = words[start] & _MASK[np.minimum(size, 8)]
+    tail = np.where(size > 8, words[np.maximum(end - 8, 0)], 0).astype(np.uint64)
+    long = np.flatnonzero(size > 16)
+    if len(long):
+        number: dict[bytes, int] = {}
+        tail[long] = [number.setdefault(data[i:j], len(number)) for i, j in zip(start[long].tolist(), end[long].tolist(), strict=True)]
+    kind = np.where(size > 16, 17, size).astype(np.uint64)
+    h = head * _A ^ tail * _B ^ kind * _C
+    h = (h ^ (h >> np.uint64(32))) * _A
+    _, first, which = np.unique(h ^ (h >> np.uint64(29)), return_index=True, return_inverse=True)
+    leader = first[which]
+    if not ((head[leader] == head) & (tail[leader] == tail) & (kind[leader] == kind)).all():  # two hashes met
+        _, first, which = np.unique(np.stack([head, tail, kind], 1), axis=0, return_index=True, return_inverse=True)
+    return [data[i:j] for i, j in zip(start[first].tolist(), end[first].tolist(), strict=True)], which.reshape(-1)
