@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import claim, slices, staged
 from .toxicity import PAD, words_of
 
 LABELLED, PULL, STEPS, NEAR = 1000, 1e-3, 40, 1e-5
@@ -88,7 +88,8 @@ def memberships(docs: DataFrame, model: DomainModel, id_col: str = "doc_id", tex
     """(doc_id, n_tokens, posterior) of every row; tokens are runs of anything but white space."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        claim("words")
+        for batch in slices(batches):
             texts = [t or "" for t in batch["text"].to_pylist()]
             p = model.posteriors(texts)
             posterior = pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1) * p.shape[1], pa.int32()), pa.array(p.ravel()))
@@ -167,9 +168,8 @@ def repeated(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], ke
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not len(batch):
-                continue
+        claim("words")
+        for batch in slices(batches):
             rate = replay(model.posteriors([t or "" for t in batch["text"].to_pylist()]), residuals)
             copies = _copies(np.maximum(rate, 1.0) if keep_all else rate, np.asarray(batch["__h"]))
             rows = pa.RecordBatch.from_arrays([batch[c] for c in names], names)

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_text, parallelism, staged
+from .common import claim, id_text, parallelism, slices, staged
 from .components import components
 
 CAP = 1024
@@ -59,7 +59,8 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """(doc_id, fp): the fingerprint as a signed long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        claim("simhash")
+        for batch in slices(batches):
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array([_signed(fingerprint(t, words)) for t in batch["text"].to_pylist()], pa.int64())], ["doc_id", "fp"])
 
     docs = id_text(docs, id_col, text_col)

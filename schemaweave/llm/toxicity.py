@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import pretok
+from .common import CLEAR, claim, slices
 
 BITS, DIM, FILTERS, WIDTHS = 17, 8, 8, (1, 2, 3)
 POSITIVES, NEGATIVES, EPOCHS, BATCH = 3000, 5000, 4, 32
@@ -46,6 +47,7 @@ def _powers(base: int) -> np.ndarray:
 
 
 _TABLES: list[np.ndarray] = []
+CLEAR["words"] = _TABLES.clear
 
 
 def buckets(text: str) -> np.ndarray:
@@ -244,8 +246,9 @@ def scores(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_co
     """(doc_id, score) of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("words")
         scorer = Scorer(model) if model else None
-        for batch in batches:
+        for batch in slices(batches):
             found = model.score(scorer.logits([t or "" for t in batch["text"].to_pylist()])) if model else np.zeros(len(batch))
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(found, pa.float64())], ["doc_id", "score"])
 
@@ -258,8 +261,9 @@ def keep_clean(docs: DataFrame, model: Model | None) -> DataFrame:
     schema = docs.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("words")
         scorer = Scorer(model) if model else None
-        for batch in batches:
+        for batch in slices(batches):
             if model and len(batch):
                 found = model.score(scorer.logits([t or "" for t in batch["text"].to_pylist()]))
                 least = np.array([model.by_language.get(x, THRESHOLD) for x in batch["lang"].to_pylist()])
