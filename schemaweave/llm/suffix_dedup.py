@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_text, parallelism, staged
+from .common import CLEAR, claim, id_text, parallelism, slices, staged
 
 LENGTH, K = 100, 32
 BLOCK = 1 << 19
@@ -52,6 +52,9 @@ def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return out[0], out[1], np.random.default_rng(5).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
+CLEAR["passages"] = _tables.cache_clear
+
+
 def _mix(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(29))) * _MIX
     return h ^ (h >> np.uint64(32))
@@ -251,7 +254,8 @@ _ANCHORS = ["h", "c", "doc_id", "place", "back", "count", "repeat"]
 
 def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """place: 20 bits of the text's hash over 40 bits of the first window's offset; repeat: an equal row was met earlier in this batch."""
-    for batch in batches:
+    claim("passages")
+    for batch in slices(batches, 16 * BLOCK):
         texts = [t.encode() for t in batch["text"].to_pylist()]
         hi = [_hi(t) for t in texts]
         found = []  # document, offset of the first window, back, count, h, c
@@ -275,7 +279,8 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
         twice = ~new & (rank == rank[first]) & (offset == offset[first])  # the same document once more
         again = ~new & ~twice
-        kinds = [pa.array(h.view(np.int64)), pa.array(c.view(np.int64)), batch["doc_id"].take(pa.array(doc)), pa.array(place), pa.array(back.astype(np.int16)), pa.array(count.astype(np.int16)), pa.array(again)]
+        dealt = np.where(again, _mix(h + place.view(np.uint64) * _MIX), h)  # repeats have met their like: they can go anywhere
+        kinds = [pa.array(dealt.view(np.int64)), pa.array(c.view(np.int64)), batch["doc_id"].take(pa.array(doc)), pa.array(place), pa.array(back.astype(np.int16)), pa.array(count.astype(np.int16)), pa.array(again)]
         rows = pa.RecordBatch.from_arrays(kinds, _ANCHORS)
         yield rows.filter(pa.array(~twice)) if twice.any() else rows
 
@@ -296,12 +301,18 @@ def _blocks(texts: list[bytes], first: int, last: int) -> Iterator[tuple]:
 
 
 def _class_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted by h, c and place. Rows that are not their class's first are repeats (wanted false); firsts are wanted if their h has several classes."""
+    """Sorted by h, c and place, but for rows that are known as repeats. Rows that are not their class's first are repeats (wanted false); firsts are wanted if their h has several classes."""
     last_h = last_c = held = earliest = None
+    names = ["h", "doc_id", "place", "back", "count"]
     for batch in batches:
+        repeat = np.asarray(batch["repeat"])
+        if repeat.any():
+            known = batch.filter(pa.array(repeat))
+            yield pa.RecordBatch.from_arrays([*(known[x] for x in names), pa.array(np.zeros(len(known), bool))], [*names, "wanted"])
+            batch = batch.filter(pa.array(~repeat))
         if not len(batch):
             continue
-        h, c, repeat = np.asarray(batch["h"]), np.asarray(batch["c"]), np.asarray(batch["repeat"])
+        h, c = np.asarray(batch["h"]), np.asarray(batch["c"])
         new_h = np.concatenate([[h[0] != last_h], h[1:] != h[:-1]])
         new_c = new_h | np.concatenate([[c[0] != last_c], c[1:] != c[:-1]])
         first = np.maximum.accumulate(np.where(new_c, np.arange(len(h)), 0))
@@ -325,9 +336,8 @@ def _class_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         several = classes > 1
         several[0] = goes_on  # a new class of an h that already had one
         wanted = new_c & several[run]
-        out = again | repeat | wanted
+        out = again | wanted
         if out.any():
-            names = ["h", "doc_id", "place", "back", "count"]
             rows = pa.RecordBatch.from_arrays([*(batch[x] for x in names), pa.array(wanted)], [*names, "wanted"])
             yield rows.filter(pa.array(out))
         if run[-1] and classes[-1] == 1:
