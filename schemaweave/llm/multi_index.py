@@ -6,7 +6,7 @@ in the cell of its pair of centroids. A query goes through the pairs in order of
 sorted lists, until the cells seen hold ``fraction`` of all vectors and at least ``at_least``; those are compared in double
 precision.
 
-Layout: cells lie side by side in slices of about SLICE vectors; a cell that holds more, because a third of all vectors are
+Layout: cells lie side by side in slices of LEAST_SLICE to SLICE vectors, so that every task slot has one; a cell that holds more, because a third of all vectors are
 alike, say, is spread over several slices. A slice's task holds its vectors and streams the queries that want one of its
 cells, each query once per slice. Every slice returns 20 at most to a query, so the last step is small.
 
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .common import parallelism
 
-SAMPLE, SLICE = 16_384, 8_192
+SAMPLE, SLICE, LEAST_SLICE = 16_384, 8_192, 512
 
 
 def matrix(column: pa.Array) -> np.ndarray:
@@ -119,15 +119,16 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec
     sizes = np.zeros(books.k**2, np.int64)
     for r in index.groupBy("cell").count().collect():
         sizes[r["cell"]] = r["count"]
-    # Slices: cells side by side until SLICE vectors are full; a larger cell has slices of its own.
+    # Slices: cells side by side until ``full`` vectors are in; a larger cell has slices of its own.
+    full = min(SLICE, max(LEAST_SLICE, int(sizes.sum()) // parallelism(spark)))
     first, parts, n, room = np.zeros(len(sizes), np.int64), np.ones(len(sizes), np.int64), -1, 0
     for cell, size in enumerate(sizes.tolist()):
-        if size > SLICE:
-            first[cell], parts[cell] = n + 1, -(-size // SLICE)
+        if size > full:
+            first[cell], parts[cell] = n + 1, -(-size // full)
             n, room = n + int(parts[cell]), 0
         else:
             if size > room:
-                n, room = n + 1, SLICE
+                n, room = n + 1, full
             first[cell], room = n, room - size
     want = max(at_least, int(np.ceil(fraction * sizes.sum())))
 
