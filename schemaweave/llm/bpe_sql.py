@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from . import pretok
 from .common import CLEAR, claim, id_text, slices
 
-LONG, CACHE, MISSING = 64, 400_000, 20_000
+LONG, CACHE, MISSING = 64, 560_000, 20_000
 
 ENCODE = """
 WITH RECURSIVE bpe(wid, toks, round) AS (
