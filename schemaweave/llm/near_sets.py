@@ -1,0 +1,196 @@
+"""Documents whose sets of 5-word shingles have a Jaccard similarity of 0.8 or more, exactly, and one of each component.
+
+Words are what ASCII white space divides, ASCII letters lowered; a text of fewer than five words is one shingle. Shingles
+are 64-bit hashes, so a pair's overlap is wrong with a chance below |a| |b| / 2^64; sets are equal where a 128-bit digest is.
+
+Candidates come from prefix filtering: with every set in one order, sets that are similar enough share a shingle among the
+first n - ceil(0.8 n) + 1 of each, so no pair is lost, whatever the order. The order is by hash, shingles that more than CAP
+components share in these prefixes last (found in at most ROUNDS rounds; it only saves work). Pairs are verified by the
+whole sets. First, each posting is compared with its neighbour under the key, then growing shares of the candidate pairs
+whose sets are not in one component yet, at last all of these; large groups of near copies join by few pairs. Sizes and
+bitmaps rule out pairs before the sets are read. Comparing the bitmaps under a key that many unlike components still share
+after the last round is quadratic in their number.
+
+Null text is empty text; texts without words equal each other. Rows that repeat one id are one document; rows without an id
+are kept and link others. A copy in the same partition shares the node of the first, so a hot text has a node a partition.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from .common import claim, id_text, parallelism, slices, staged
+from .components import components
+
+WORDS = 5
+CAP = 1024
+#: Longs of a set's bitmap: the parities of its hashes' remainders.
+BITS = 8
+#: Bits of the wider bitmap, which longer sets need.
+WIDE = 4096
+ROUNDS = 2
+#: Of the candidate pairs, one in so many is verified; then components are joined before the next share; the last is all that are left.
+PARTS = (64, 8, 1)
+
+
+def shingles(text: str, words: int = WORDS) -> np.ndarray:
+    """The distinct shingles' hashes, ascending."""
+    import xxhash
+
+    tokens = text.encode().lower().split()  # bytes.lower() is A-Z, bytes.split() the six ASCII white spaces
+    if not tokens:
+        return np.zeros(0, np.uint64)
+    joined = b" ".join(tokens)
+    ends = np.cumsum([len(t) + 1 for t in tokens])
+    n = max(1, len(tokens) - words + 1)
+    starts = np.concatenate([[0], ends[: n - 1]]).tolist()
+    stops = (ends[-n:] - 1).tolist()
+    h = xxhash.xxh64_intdigest
+    return np.unique(np.fromiter((h(joined[i:j], 42) for i, j in zip(starts, stops, strict=True)), np.uint64, n))
+
+
+def sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, node, digest, n, bits, wide, shingles): bitmaps and shingles only in the first row of a node."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        claim("near_sets")
+        seen: dict[bytes, int] = {}
+        first = TaskContext.get().partitionId() << 36
+        for batch in slices(batches):
+            nodes, digests, sizes, bits, wide, found = [], [], [], [], [], []
+            for text in batch["text"].to_pylist():
+                own = shingles(text)
+                digest = xxhash.xxh3_128_digest(own.tobytes())
+                odd, more = (np.packbits((np.bincount((own % np.uint64(m)).astype(np.int64), minlength=m) & 1).astype(np.uint8)) for m in (64 * BITS, WIDE))
+                wide.append(None if digest in seen else more.tobytes())
+                bits.append(None if digest in seen else odd.view(np.int64))
+                found.append(None if digest in seen else own.tobytes())
+                nodes.append(seen.setdefault(digest, first + len(seen)))
+                digests.append(digest)
+                sizes.append(len(own))
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(nodes, pa.int64()), pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), pa.array(bits, pa.list_(pa.int64())), pa.array(wide, pa.binary()), pa.array(found, pa.binary())], ["doc_id", "node", "digest", "n", "bits", "wide", "shingles"])
+
+    docs = id_text(docs, id_col, text_col)
+    return docs.mapInArrow(run, f"doc_id {docs.dtypes[0][1]}, node long, digest binary, n long, bits array<long>, wide binary, shingles binary")
+
+
+def _postings(found: DataFrame, common: np.ndarray) -> DataFrame:
+    """(key, node): the prefix of every node's set."""
+    shared = found.sparkSession.sparkContext.broadcast(common)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = shared.value
+        for batch in slices(batches, column="shingles"):
+            keys = []
+            for raw, n in zip(batch["shingles"].to_pylist(), batch["n"].to_pylist(), strict=True):
+                own = np.frombuffer(raw, np.uint64)
+                if len(last):
+                    late = np.isin(own, last, assume_unique=True)
+                    own = np.concatenate([own[~late], own[late]])
+                keys.append(own[: n - (4 * n + 4) // 5 + 1])
+            counts = [len(k) for k in keys]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.repeat(batch["node"].to_numpy(), counts))], ["key", "node"])
+
+    return found.where("n > 0").select("node", "n", "shingles").mapInArrow(run, "key long, node long")
+
+
+def _similar(pairs: DataFrame, found: DataFrame) -> DataFrame:
+    """The (a, b) whose whole sets are similar enough; only the sets of these nodes are moved, whose ids (8 bytes each) are broadcast."""
+    pairs = staged(pairs, "candidates")
+    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    found = found.select("node", "n", "wide", "shingles").join(F.broadcast(nodes), "node", "left_semi")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hit = np.zeros(len(batch), bool)
+            for i, (a, b) in enumerate(zip(batch["sa"], batch["sb"], strict=True)):
+                a, b = (np.frombuffer(x.as_buffer(), np.uint64) for x in (a, b))
+                at = np.searchsorted(a, b)
+                both = int((a[np.minimum(at, len(a) - 1)] == b).sum())
+                hit[i] = 9 * both >= 4 * (len(a) + len(b))  # both / (|a| + |b| - both) >= 4 / 5
+            yield batch.select(["a", "b"]).filter(pa.array(hit))
+
+    def sieve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if len(batch):
+                a, b = (np.frombuffer(b"".join(batch[c].to_pylist()), np.uint64).reshape(len(batch), -1) for c in ("sa", "sb"))
+                yield batch.select(["a", "b"]).filter(pa.array(9 * np.bitwise_count(a ^ b).sum(1, dtype=np.int64) <= batch["n"].to_numpy()))
+
+    def one(node: str, name: str, column: str = "shingles") -> DataFrame:
+        return found.select(F.col("node").alias(node), F.col(column).alias(name), F.col("n").alias(f"n{node}"))
+
+    likely = pairs.join(one("a", "sa", "wide"), "a").join(one("b", "sb", "wide"), "b").select("a", "b", "sa", "sb", F.expr("na + nb").alias("n"))
+    pairs = staged(likely.mapInArrow(sieve, "a long, b long"), "likely")
+    return pairs.join(one("a", "sa"), "a").join(one("b", "sb"), "b").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
+
+
+def _possible(pairs: DataFrame, found: DataFrame) -> DataFrame:
+    """The (a, b) that sizes and bitmaps don't rule out."""
+    one = lambda node: found.select(F.col("node").alias(node), F.struct("n", "bits").alias(f"of_{node}"))
+    return pairs.join(one("a"), "a").join(one("b"), "b").where(_near("of_a", "of_b")).select("a", "b")
+
+
+def _near(a: str, b: str) -> str:
+    """Every odd bit of two bitmaps together is an element of one set only, and similar sets have (|a| + |b|) / 9 of these at most."""
+    apart = " + ".join(f"bit_count({a}.bits[{i}] ^ {b}.bits[{i}])" for i in range(BITS))
+    return f"least({a}.n, {b}.n) * 5 >= greatest({a}.n, {b}.n) * 4 and 9 * ({apart}) <= {a}.n + {b}.n"
+
+
+def _open(rows: DataFrame, edges: DataFrame) -> DataFrame:
+    """The (key, node) of keys with several components so far, with these as root."""
+    roots = components(edges, "near-components")
+    rows = rows.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+    many = rows.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
+    return staged(rows.join(many, "key", "left_semi"), "open")
+
+
+def links(prints: DataFrame) -> DataFrame:
+    """(a, b) pairs of nodes that connect all nodes of the same component."""
+    found = prints.where("shingles is not null")
+    least = found.withColumn("m", F.min("node").over(Window.partitionBy("digest")))
+    equal = staged(least.where("node <> m").select(F.col("node").alias("a"), F.col("m").alias("b")), "equal")
+    once = F.coalesce("m", "node")
+    edges, common = equal, np.zeros(0, np.uint64)
+    for k in range(ROUNDS):
+        order = Window.partitionBy("key").orderBy("node")
+        posted = _postings(found, common).repartition(parallelism(prints.sparkSession), "key")
+        shared = staged(posted.withColumn("next", F.lead("node").over(order)).withColumn("before", F.lag("node").over(order)).where("next is not null or before is not null"), "shared")
+        near = _possible(shared.where("next is not null").select(F.col("node").alias("a"), F.col("next").alias("b")).distinct(), found)
+        edges = edges.union(staged(_similar(near, found), "near-links"))
+        names = equal.select(F.col("a").alias("node"), F.col("b").alias("m"))
+        rows = shared.select("key", "node").join(names, "node", "left").select("key", once.alias("node")).distinct()
+        rows = _open(rows, edges)
+        if k + 1 == ROUNDS:
+            break
+        over = rows.groupBy("key").agg(F.count_distinct("root").alias("c")).where(F.col("c") > CAP).select("key").toPandas()["key"].to_numpy(np.int64).view(np.uint64)
+        grown = np.union1d(common, over)
+        if len(grown) == len(common):
+            break
+        common = grown
+    for part in PARTS:
+        marked = rows.join(found.select("node", "n", "bits"), "node")
+        a, b = marked.alias("a"), marked.alias("b")
+        chosen = f"pmod(xxhash64(least(a.node, b.node), greatest(a.node, b.node)), {part}) = 0"
+        pairs = a.join(b, F.expr(f"a.key = b.key and a.root < b.root and {chosen} and {_near('a', 'b')}")).select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct()
+        edges = edges.union(staged(_similar(pairs, found), "far-links"))
+        if part > 1:
+            rows = _open(rows.drop("root"), edges)
+    return edges
+
+
+def keep_one_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose id is the smallest of its component, all columns."""
+    prints = staged(sets(docs, id_col, text_col), "sets")
+    roots = components(links(prints), "set-components")
+    of = staged(prints.select("doc_id", "node").join(roots, "node", "left").select("doc_id", F.coalesce("root", "node").alias("root")), "set-roots")
+    least = of.groupBy("root").agg(F.min("doc_id").alias("least"))
+    drop = of.join(least, "root").where("doc_id <> least").select(F.col("doc_id").alias("__dropped")).distinct()
+    return docs.join(drop, docs[id_col] == drop["__dropped"], "left_anti")

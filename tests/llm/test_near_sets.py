@@ -1,0 +1,60 @@
+import random
+
+import corpus_pipeline
+from schemaweave.llm import near_sets
+
+
+def brute_kept(rows):
+    """Ids kept, by all pairs of shingle sets made of words themselves."""
+    bags = []
+    for _, text in rows:
+        words = text.encode().lower().split()
+        bags.append({tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set())
+    root = list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, a in enumerate(bags):
+        for j, b in enumerate(bags[:i]):
+            if 5 * len(a & b) >= 4 * len(a | b):
+                x, y = find(i), find(j)
+                root[max(x, y)] = min(x, y)
+    return {rows[find(i)][0] for i in range(len(rows))}
+
+
+def edited_rows():
+    rng = random.Random(1)
+    rows = [(0, ""), (1, " \n"), (2, "one two"), (3, "ONE  two"), (4, "one two three")]
+    for _ in range(20):
+        words = [f"w{rng.randrange(10_000)}" for _ in range(rng.choice([12, 60, 300]))]
+        rows.append((len(rows), " ".join(words)))
+        for _ in range(6):
+            copy = list(words)
+            for _ in range(rng.randrange(1, 2 + len(words) // 30)):
+                copy[rng.randrange(len(copy))] = f"e{rng.randrange(10_000)}"
+            rows.append((len(rows), " ".join(copy)))
+    return rows
+
+
+def test_stage_keeps_one_of_each_by_shingles(spark, smallest):
+    """Copies with several edits are more than 3 bits of 64 apart."""
+    rows = edited_rows()
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    stage = dict(corpus_pipeline.STAGES)["near_duplicates"]
+    assert {r.doc_id for r in stage(spark, docs, smallest).collect()} == brute_kept(rows)
+
+
+def test_order_only_saves_work(spark, monkeypatch):
+    """A cap of one puts nearly all shared shingles last."""
+    monkeypatch.setattr(near_sets, "CAP", 1)
+    rows = edited_rows()
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id for r in near_sets.keep_one_each(docs).collect()} == brute_kept(rows)
+
+
+def test_rows_without_an_id_are_kept(spark):
+    docs = spark.createDataFrame([(2, "a b c d e f"), (1, "a b c d e f"), (None, "a b c d e f"), (1, "a b c d e f"), (3, None)], "doc_id long, text string")
+    assert sorted(r.doc_id or 0 for r in near_sets.keep_one_each(docs).collect()) == [0, 1, 1, 3]
