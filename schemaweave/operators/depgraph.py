@@ -99,6 +99,19 @@ def mentions(objs: DataFrame) -> DataFrame:
     return hits.withColumn("any_same", any_same).where("same or not any_same").select("project_id", "source_project_id", F.col("object_id").alias("source_object_id"), "target_object_id", F.when(~F.col("same"), "CROSS_SOURCE_DEPENDENCY").otherwise(kind).alias("type"), F.col("target_name").alias("evidence"))
 
 
+def missing(objs: DataFrame, versions: DataFrame) -> DataFrame:
+    """(project_id, object_id, key): what tables, indexes and triggers refer to, and the package of a body, of which no object has a version. Names in views and routines may be aliases or columns, so they are not counted."""
+    of = lambda t: objs.where(F.col("type") == t)
+    known = names(objs.join(versions.select("object_id").distinct(), "object_id", "left_semi")).select("project_id", "key", "target_type")
+    bodies = of("PACKAGE_BODY").select("project_id", "object_id", F.lower(F.when(F.col("schema_name").isNotNull(), F.concat_ws(".", "schema_name", "object_name")).otherwise(F.col("object_name"))).alias("key"))
+    parts = [(_all(of("TABLE"), FOREIGN_KEY), "target_type = 'TABLE'"), (_all(of("TABLE"), NEXTVAL), "target_type = 'SEQUENCE'"), (_first(of("INDEX"), INDEX_ON), "target_type = 'TABLE'"), (_first(of("TRIGGER"), TRIGGER_ON), "true")]
+    found = bodies.join(known.where("target_type = 'PACKAGE'"), ["project_id", "key"], "left_anti")
+    for refs, wanted in parts:
+        keys = refs.select("project_id", "object_id", T.normalise(F.col("ref")).alias("key"))
+        found = found.unionByName(keys.join(known.where(wanted), ["project_id", "key"], "left_anti").select("project_id", "object_id", "key"))
+    return found.distinct()
+
+
 def dependencies(objs: DataFrame) -> DataFrame:
     """object_dependency rows of all objects of all projects."""
     known = names(objs)

@@ -41,13 +41,14 @@ def folded_risks(risks: DataFrame, keep: int = 5) -> DataFrame:
     return counts.join(shown, ["project_id", "code", "level"]).withColumn("severity", rank)
 
 
-def residue(versions: DataFrame, patterns: dict[str, str]) -> DataFrame:
-    """(object_id, code) of source-dialect words that are left in the target SQL."""
+def residue(versions: DataFrame) -> DataFrame:
+    """(project_id, object_id, code): every risk rule on the target SQL and its blanked form."""
+    from . import risk
     from ..functions import textops as T
 
-    masked = T.blank(F.col("target_sql"))
-    hits = F.array_compact(F.array(*(F.when(masked.rlike(p), F.lit(c)) for c, p in patterns.items())))
-    return versions.select("project_id", "object_id", F.explode(hits).alias("code"))
+    target = F.coalesce("target_sql", F.lit(""))
+    hits = risk.detect(F.col("target"), F.col("masked"))["code"]
+    return versions.select("project_id", "object_id", target.alias("target"), T.blank(target).alias("masked")).select("project_id", "object_id", F.explode(hits).alias("code"))
 
 
 def stale_artefacts(artefacts: DataFrame, sources: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import textops as T
 from ..functions import typemap
-from ..operators import advice, diffs, model, report, review, risk, splitter, validate, versions
+from ..operators import advice, depgraph, diffs, model, report, review, risk, splitter, validate, versions
 from . import reads
 from .corpus import corpus
 from .lifecycle import Project
@@ -260,9 +260,10 @@ def d10_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def d11_residue(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words of the source dialect that are left in target SQL."""
-    patterns = {code: p for code, _, p, _, _ in risk.RULES if p and code != "NUMBER_WITHOUT_PRECISION"}
-    return diffs.residue(_project(spark, sf_dir).versions, patterns).groupBy("code").agg(F.count("*").alias("n"))
+    """What the risk rules find in target SQL, and dependencies that no version provides."""
+    p = _project(spark, sf_dir)
+    gone = depgraph.missing(p.objects, p.versions).select("project_id", "object_id", F.lit("MISSING_DEPENDENCY").alias("code")).distinct()
+    return diffs.residue(p.versions).unionByName(gone).groupBy("code").agg(F.count("*").alias("n"))
 
 
 def d12_plan_stages(spark: SparkSession, sf_dir: str) -> DataFrame:
