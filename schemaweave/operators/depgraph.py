@@ -2,7 +2,8 @@
 
 Edges point from the dependent object to what it needs. A name resolves to one object: of the same source project if there
 is one, else the first by type, name, path and offset. Mentions in views and routines are rewritten as joins too: each
-identifier of a text and each qualified pair becomes a key.
+identifier of a text and each qualified pair becomes a key. A name that isn't one run of letters, digits, _, $ and # meets the
+texts that hold one of its runs, and these are searched for it.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import ArrayType, StringType
+from pyspark.sql.types import ArrayType, BooleanType, StringType
 
 from ..functions import textops as T
 
@@ -25,6 +26,7 @@ INDEX_ON = rf"(?i)\bcreate\s+(?:(?:unique|bitmap)\s+)?index\s+{CHAIN}\s+on\s+({C
 TRIGGER_ON = rf"(?i)\bon\s+({CHAIN})"
 DECLARED = re.compile(r'(?is)(\bcreate\s+(?:or\s+replace\s+)?(?:(?:no\s+)?force\s+)?(?:(?:non)?editionable\s+)?(?:view|function|procedure)\s+)((?:"(?:""|[^"])+"|[\w$#]+)(?:\s*\.\s*(?:"(?:""|[^"])+"|[\w$#]+))*)', re.A)
 PART = re.compile(r'"(?:""|[^"])+"|[\w$#]+', re.A)
+RUN = re.compile(r"[\w$#]+", re.A)
 GAP = re.compile(r"\s*\.\s*")
 MENTIONERS = ("VIEW", "FUNCTION", "PROCEDURE")
 
@@ -40,10 +42,12 @@ def mention_keys(text: str | None) -> list[str]:
     bare = lambda s: s[1:-1].replace('""', '"') if s.startswith('"') else s
     found = list(PART.finditer(text))
     out = set()
-    for i, m in enumerate(found):
+    for m in (*found, *RUN.finditer(text)):
         p, n = before(m.start()), after(m.end())
         if p not in '."' and not word.match(p) and n != '"' and not word.match(n):
             out.add(f"u:{bare(m[0])}")
+    for i, m in enumerate(found):
+        p = before(m.start())
         if i + 1 < len(found):
             nxt = found[i + 1]
             if GAP.fullmatch(text, m.end(), nxt.start()) and not word.match(p) and not word.match(after(nxt.end())):
@@ -56,6 +60,47 @@ def _mention_keys(text: pd.Series) -> pd.Series:
     return text.map(mention_keys)
 
 
+def searchable(text: str | None) -> str:
+    """A blanked text in lower case with the declared name blank."""
+    return DECLARED.sub(lambda m: m[1] + " " * len(m[2]), text or "", count=1).lower()
+
+
+@pandas_udf(StringType())
+def _searchable(text: pd.Series) -> pd.Series:
+    return text.map(searchable)
+
+
+@pandas_udf(ArrayType(StringType()))
+def _chunks(text: pd.Series) -> pd.Series:
+    """The runs of letters, digits, _, $ and # of a text, and its other characters but white space."""
+    return text.map(lambda t: sorted(set(re.findall(r"[\w$#]+|[^\w$#\s]", t, re.A))))
+
+
+def _odd_pattern(schema: str | None, name: str) -> str:
+    """Finds a name, bare or behind its schema, as it stands in a text or in double quotes."""
+    part = lambda s: f"(?:{re.escape(s)}|\"{re.escape(s.replace(chr(34), chr(34) * 2))}\")"
+    bare = rf'(?<![\w$#.\"]){part(name)}(?![\w$#\"])'
+    return bare if not schema else rf"{bare}|(?<![\w$#]){part(schema)}\s*\.\s*{part(name)}(?![\w$#])"
+
+
+@pandas_udf(BooleanType())
+def _holds(text: pd.Series, schema: pd.Series, name: pd.Series) -> pd.Series:
+    patterns: dict = {}
+    hit = lambda t, s, n: bool((patterns.get((s, n)) or patterns.setdefault((s, n), re.compile(_odd_pattern(s, n), re.A))).search(t))
+    return pd.Series([hit(*x) for x in zip(text, schema, name, strict=True)], dtype=bool)
+
+
+def odd_mentions(objs: DataFrame) -> DataFrame:
+    """(mentioner's project_id, source_project_id, object_id, type; target columns): targets whose name isn't one run of letters, digits, _, $ and #."""
+    odd = objs.select("project_id", F.col("object_id").alias("target_object_id"), F.col("source_project_id").alias("target_source"), F.col("object_name").alias("target_name"), F.lower("schema_name").alias("s"), F.lower("object_name").alias("n")).where(~F.col("n").rlike(r"^[\w$#]+$"))
+    longest = F.element_at(F.array_sort(F.array_union(F.regexp_extract_all("n", F.lit(r"([\w$#]+)"), F.lit(1)), F.regexp_extract_all("n", F.lit(r"([^\w$#\s])"), F.lit(1))), lambda a, b: F.length(b) - F.length(a)), 1)
+    texts = objs.where(F.col("type").isin(*MENTIONERS)).select("project_id", "source_project_id", "object_id", "type", _searchable("blank_sql").alias("t"))
+    chunks = texts.select("project_id", "object_id", F.explode(_chunks("t")).alias("chunk"))
+    likely = chunks.join(odd.withColumn("chunk", longest), ["project_id", "chunk"]).drop("chunk")
+    found = texts.join(likely, ["project_id", "object_id"]).where(_holds("t", "s", "n"))
+    return found.select("project_id", "source_project_id", "object_id", "type", "target_object_id", "target_source", "target_name")
+
+
 def names(objs: DataFrame) -> DataFrame:
     """(project_id, key, what an edge needs of the target): bare and qualified names in lower case."""
     bare = F.lower("object_name")
@@ -67,13 +112,13 @@ def _effective(edge: str) -> Column:
     return F.when(F.col("source_project_id") != F.col("target_source"), "CROSS_SOURCE_DEPENDENCY").otherwise(edge)
 
 
-def _resolved(refs: DataFrame, known: DataFrame, edge: str, wanted: str | None = None, after: str | None = None) -> DataFrame:
-    """refs: project_id, source_project_id, object_id, pos, ref, evidence. ``wanted`` limits the candidates, ``after`` the one chosen."""
+def _resolved(refs: DataFrame, known: DataFrame, edge: str, wanted: str | None = None, after: str | None = None, own: bool = False) -> DataFrame:
+    """refs: project_id, source_project_id, object_id, pos, ref, evidence. ``wanted`` limits the candidates, ``after`` the one chosen; ``own``: an object may need itself."""
     hits = refs.withColumn("key", T.normalise(F.col("ref"))).join(known.where(F.col("target_type") == wanted) if wanted else known, ["project_id", "key"])
     first = Window.partitionBy("object_id", "pos").orderBy(F.desc(F.col("source_project_id") == F.col("target_source")), "target_type", "target_name", "target_path", "target_offset")
     hits = hits.withColumn("rn", F.row_number().over(first)).where("rn = 1")
     hits = hits.where(F.col("target_type") == after) if after else hits
-    hits = hits.where("object_id <> target_object_id")
+    hits = hits if own else hits.where("object_id <> target_object_id")
     best = hits.groupBy("project_id", "source_project_id", "object_id", "target_object_id", "target_source").agg(F.min_by("evidence", "pos").alias("evidence"))
     return best.select("project_id", "source_project_id", F.col("object_id").alias("source_object_id"), "target_object_id", _effective(edge).alias("type"), "evidence")
 
@@ -92,7 +137,8 @@ def mentions(objs: DataFrame) -> DataFrame:
     """Views and routines to every object their text names; of objects with one bare name those of the same source project, if any."""
     keys = objs.where(F.col("type").isin(*MENTIONERS)).select("project_id", "source_project_id", "object_id", "type", F.explode(_mention_keys("blank_sql")).alias("key"))
     known = names(objs).withColumn("key", F.concat(F.when(F.col("key") == F.lower("target_name"), "u:").otherwise("q:"), F.col("key")))
-    hits = keys.join(known, ["project_id", "key"]).where("object_id <> target_object_id")
+    hits = keys.join(known, ["project_id", "key"]).select("project_id", "source_project_id", "object_id", "type", "target_object_id", "target_source", "target_name")
+    hits = hits.unionByName(odd_mentions(objs)).where("object_id <> target_object_id")
     hits = hits.dropDuplicates(["object_id", "target_object_id"]).withColumn("same", F.col("source_project_id") == F.col("target_source"))
     any_same = F.max("same").over(Window.partitionBy("object_id", F.lower("target_name")))
     kind = F.when(F.col("type") == "VIEW", "VIEW_REFERENCES_TABLE").otherwise("ROUTINE_REFERENCES_OBJECT")
@@ -119,13 +165,12 @@ def dependencies(objs: DataFrame) -> DataFrame:
     own = of("PACKAGE_BODY")
     spelled = F.when(F.col("schema_name").isNotNull(), F.concat_ws(".", *(F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"')) for c in ("schema_name", "object_name")))).otherwise(F.concat(F.lit('"'), F.replace("object_name", F.lit('"'), F.lit('""')), F.lit('"')))
     bodies = own.select("project_id", "source_project_id", "object_id", F.lit(0).alias("pos"), spelled.alias("ref"), F.col("object_name").alias("evidence"))
-    others = known.where("target_type <> 'PACKAGE_BODY'")
     parts = [
         _resolved(_all(of("TABLE"), FOREIGN_KEY), known, "TABLE_REFERENCES_TABLE", "TABLE"),
         _resolved(_all(of("TABLE"), NEXTVAL), known, "TABLE_USES_SEQUENCE", "SEQUENCE"),
         _resolved(_first(of("INDEX"), INDEX_ON), known, "INDEX_ON_TABLE", "TABLE"),
-        _resolved(_first(of("TRIGGER"), TRIGGER_ON), known, "TRIGGER_ON_TABLE"),
-        _resolved(bodies, others, "PACKAGE_BODY_FOR_SPEC", after="PACKAGE"),
+        _resolved(_first(of("TRIGGER"), TRIGGER_ON), known, "TRIGGER_ON_TABLE", own=True),
+        _resolved(bodies, known, "PACKAGE_BODY_FOR_SPEC", after="PACKAGE"),  # of all candidates, the first must be the package
         mentions(objs),
     ]
     out = parts[0]

@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .versions import latest_usable
+from .versions import latest_usable, marked
 
 COUNTS = ["object_count", "parse_issue_count", "risk_count", "blocker_count", "high_risk_count", "conversion_count", "sql_version_count"]
 
+# Labels of the counts in the rendered report, in order.
+LABELS = ["Objects", "Parse Issues", "Risks", "Blockers", "High Risks", "Conversions", "SQL Versions"]
+HTML = ('<!doctype html><html><head><meta charset="utf-8"><title>Precheck Report</title></head><body><h1>Precheck Report</h1><dl>', "</dl></body></html>")
+
 
 def _counts(objects: DataFrame, issues: DataFrame, risks: DataFrame, conversions: DataFrame, versions: DataFrame, keys: list[str]) -> DataFrame:
     """One union of slim rows and one aggregate: no fact is joined with another."""
@@ -25,7 +29,7 @@ def unedited(conversions: DataFrame, versions: DataFrame) -> DataFrame:
     """Drafts and manual conversions whose newest usable version is missing or still says so."""
     usable = latest_usable(versions).select("project_id", "object_id", F.col("target_sql").alias("usable_sql"))
     left = conversions.where("level in ('DRAFT', 'MANUAL_REQUIRED')").join(usable, ["project_id", "object_id"], "left")
-    return left.where(F.col("usable_sql").isNull() | F.col("usable_sql").startswith("-- MANUAL_REQUIRED") | F.col("usable_sql").startswith("-- DRAFT"))
+    return left.where(F.col("usable_sql").isNull() | marked("usable_sql", "MANUAL_REQUIRED") | marked("usable_sql", "DRAFT"))
 
 
 def precheck(objects: DataFrame, issues: DataFrame, risks: DataFrame, conversions: DataFrame, versions: DataFrame) -> DataFrame:
@@ -36,8 +40,9 @@ def precheck(objects: DataFrame, issues: DataFrame, risks: DataFrame, conversion
     r = r.withColumn("status", F.when((F.col("blocker_count") > 0) | (F.col("parse_issue_count") > 0) | (F.col("open_conversions") > 0), "BLOCKED").otherwise("CURRENT"))
     named = [F.col(c).alias(n) for c, n in zip(COUNTS, ("objectCount", "parseIssueCount", "riskCount", "blockerCount", "highRiskCount", "conversionCount", "sqlVersionCount"), strict=True)]
     r = r.withColumn("json_content", F.to_json(F.struct(F.col("project_id").alias("projectId"), F.lit("PRECHECK").alias("type"), "status", *named)))
-    lines = F.concat(*[F.concat(F.lit(f"<li>{c.replace('_', ' ')}: "), F.col(c).cast("string"), F.lit("</li>")) for c in COUNTS])
-    return r.withColumn("html_content", F.concat(F.lit("<html><body><h1>Precheck report</h1><p>Status: "), F.col("status"), F.lit("</p><ul>"), lines, F.lit("</ul></body></html>")))
+    entries = [("Project", "project_id"), ("Status", "status"), *zip(LABELS, COUNTS, strict=True)]
+    lines = F.concat(*[F.concat(F.lit(f"<dt>{label}</dt><dd>"), F.col(c).cast("string"), F.lit("</dd>")) for label, c in entries])
+    return r.withColumn("html_content", F.concat(F.lit(HTML[0]), lines, F.lit(HTML[1])))
 
 
 def rolled_up(objects: DataFrame, issues: DataFrame, risks: DataFrame, conversions: DataFrame, versions: DataFrame) -> DataFrame:
@@ -49,6 +54,12 @@ def rolled_up(objects: DataFrame, issues: DataFrame, risks: DataFrame, conversio
 
 
 def with_staleness(reports: DataFrame, changes: DataFrame) -> DataFrame:
-    """Reports older than the last change of their project are STALE; changes: project_id, changed_at."""
+    """Reports older than the last change of their project are STALE, in their rendered contents too; changes: project_id, changed_at."""
     last = changes.groupBy("project_id").agg(F.max("changed_at").alias("changed_at"))
-    return reports.join(last, "project_id", "left").withColumn("status", F.when(F.col("created_at") < F.col("changed_at"), "STALE").otherwise(F.col("status"))).drop("changed_at")
+    old = F.coalesce(F.col("created_at") < F.col("changed_at"), F.lit(False))
+    r = reports.join(last, "project_id", "left")
+    for column, start, end in (("json_content", '"status":"', '"'), ("html_content", "<dt>Status</dt><dd>", "</dd>")):
+        if column in reports.columns:
+            was = F.concat(F.lit(start), F.col("status"), F.lit(end))
+            r = r.withColumn(column, F.when(old, F.replace(column, was, F.lit(f"{start}STALE{end}"))).otherwise(F.col(column)))
+    return r.withColumn("status", F.when(old, "STALE").otherwise(F.col("status"))).drop("changed_at")

@@ -8,6 +8,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .scratch import checkpointed
+from .versions import marked
+
 APPROVED = ["APPROVED", "CONDITIONALLY_APPROVED"]
 PACKAGE_FILE = "001_schema_baseline.sql"
 
@@ -47,7 +50,7 @@ def gate(projects: DataFrame, reports: DataFrame, reviews: DataFrame, versions:
     """(project_id, status, baseline_count, blocker_count): READY or the first thing in the way."""
     newest = current_report(reports)
     last = reviews.groupBy("report_id").agg(F.max_by("decision", "created_at").alias("decision"))
-    base = versions.where("status = 'BASELINE'").groupBy("project_id").agg(F.count("*").alias("baseline_count"), F.count_if(F.col("target_sql").rlike(r"^\s*-- MANUAL_REQUIRED")).alias("manual"), F.count_if(F.col("target_sql").rlike(r"^\s*-- DRAFT")).alias("drafts"))
+    base = versions.where("status = 'BASELINE'").groupBy("project_id").agg(F.count("*").alias("baseline_count"), F.count_if(marked("target_sql", "MANUAL_REQUIRED")).alias("manual"), F.count_if(marked("target_sql", "DRAFT")).alias("drafts"))
     blockers = risks.groupBy("project_id").agg(F.count_if(F.col("level") == "BLOCKER").alias("blocker_count"))
     g = projects.select("project_id").join(newest, "project_id", "left").join(last, "report_id", "left").join(base, "project_id", "left").join(blockers, "project_id", "left").fillna(0, ["baseline_count", "manual", "drafts", "blocker_count"])
     status = (
@@ -102,18 +105,28 @@ def ordered(baselines: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.groupBy("project_id").cogroup(e.groupBy("edge_project")).applyInPandas(_kahn, "project_id string, object_id string, seq int")
 
 
-def waves(baselines: DataFrame, edges: DataFrame, most: int = 64) -> DataFrame:
-    """(project_id, object_id, wave): longest way to a prerequisite-free object; objects in or behind cycles stop at ``most``."""
-    e = pruned_edges(edges, baselines).persist()  # every round of the recursion reads it
-    nodes = baselines.select("project_id", "object_id").distinct().persist()
-    e.createOrReplaceTempView("__wave_edges")
-    nodes.createOrReplaceTempView("__wave_nodes")
-    return baselines.sparkSession.sql(f"""
-        WITH RECURSIVE w(project_id, object_id, depth) AS (
-            SELECT n.project_id, n.object_id, 0 FROM __wave_nodes n
-            UNION ALL
-            SELECT e.project_id, e.source_object_id, w.depth + 1 FROM w JOIN __wave_edges e ON e.project_id = w.project_id AND e.target_object_id = w.object_id WHERE w.depth < {most})
-        SELECT project_id, object_id, max(depth) AS wave FROM w GROUP BY project_id, object_id""")
+def waves(baselines: DataFrame, edges: DataFrame) -> DataFrame:
+    """(project_id, object_id, wave): the length of the longest way to an object without prerequisites.
+
+    Objects whose prerequisites all have a wave get the next one, until none is left or all that are left stand in or behind a
+    cycle; these have no wave (null). Each round is two joins and is checkpointed, so neither depth nor the number of ways
+    matters; what a round reads is the edges that are still open."""
+    keep = lambda df: checkpointed(df.repartition("project_id", "object_id"))
+    waiting = keep(pruned_edges(edges, baselines).select("project_id", F.col("source_object_id").alias("object_id"), F.col("target_object_id").alias("needs")))
+    nodes = keep(baselines.select("project_id", "object_id").distinct())
+    done, number = [], 0
+    while True:
+        ready = keep(nodes.join(waiting, ["project_id", "object_id"], "left_anti"))
+        if ready.isEmpty():
+            break
+        done.append(ready.withColumn("wave", F.lit(number)))
+        nodes = keep(nodes.join(ready, ["project_id", "object_id"], "left_anti"))
+        waiting = keep(waiting.join(ready.select("project_id", F.col("object_id").alias("needs")), ["project_id", "needs"], "left_anti").select("project_id", "object_id", "needs"))
+        number += 1
+    out = nodes.withColumn("wave", F.lit(None).cast("int"))
+    for d in done:
+        out = out.unionByName(d)
+    return out
 
 
 def package_text(versions: DataFrame, order: DataFrame) -> DataFrame:

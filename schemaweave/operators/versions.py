@@ -13,6 +13,11 @@ def _id() -> F.Column:
     return F.sha2(F.concat_ws("|", F.lit("version"), "object_id", F.col("version_number").cast("string")), 256)
 
 
+def marked(column: str, level: str) -> F.Column:
+    """Whether SQL still begins, white space aside, with the marker of a draft or of manual work."""
+    return F.col(column).rlike(rf"^\s*-- {level}")
+
+
 def generated(conversions: DataFrame) -> DataFrame:
     """Version 1 of every conversion."""
     v = conversions.withColumn("version_number", F.lit(1)).withColumn("parent_version_id", F.lit(None).cast("string"))
@@ -37,6 +42,20 @@ def freeze(versions: DataFrame) -> DataFrame:
     return versions.withColumn("status", F.when(newest, "BASELINE").when(F.col("status") == "BASELINE", "STALE").otherwise(F.col("status")))
 
 
+def replace_generated(stored: DataFrame, fresh: DataFrame) -> DataFrame:
+    """Generated versions of the sources in ``fresh`` give way to the fresh ones; edits stay."""
+    again = fresh.select("input_source_id").distinct().withColumn("again", F.lit(True))
+    kept = stored.join(again, "input_source_id", "left").where("again is null or source <> 'AUTO_CONVERSION'").drop("again")
+    return kept.unionByName(fresh)
+
+
+def freeze_approved(versions: DataFrame, reviews: DataFrame) -> DataFrame:
+    """Projects with an approving review (project_id, decision, rejection) are frozen, the others stay as they are."""
+    approved = reviews.where("rejection is null and decision in ('APPROVED', 'CONDITIONALLY_APPROVED')").select("project_id").distinct().withColumn("approved", F.lit(True))
+    frozen = freeze(versions.withColumn("before", F.col("status")).join(approved, "project_id", "left"))
+    return frozen.withColumn("status", F.when(F.col("approved"), F.col("status")).otherwise(F.col("before"))).select(versions.columns)
+
+
 def latest_usable(versions: DataFrame) -> DataFrame:
     """(project_id, object_id, version_number, target_sql) of each object's newest version that isn't STALE."""
     return versions.where("status <> 'STALE'").groupBy("project_id", "object_id").agg(F.max("version_number").alias("version_number"), F.max_by("target_sql", "version_number").alias("target_sql"))

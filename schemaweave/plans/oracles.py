@@ -59,8 +59,8 @@ COLUMN_ROWS = [
     (4, "Id", "number(10,0)", True), (4, "Big Text", "nclob", True),
     (14, "id", "number(10,0)", True), (14, "d", "date", True),
 ]
-#: (template, how far the key of what it needs lies, type within one source project)
-EDGE_ROWS = [(2, -2, "TABLE_REFERENCES_TABLE"), (3, 4, "TABLE_USES_SEQUENCE"), (5, -5, "VIEW_REFERENCES_TABLE"), (6, -6, "INDEX_ON_TABLE"), (8, -8, "TRIGGER_ON_TABLE"), (9, -9, "ROUTINE_REFERENCES_OBJECT"), (11, -1, "PACKAGE_BODY_FOR_SPEC"), (12, -7, "ROUTINE_REFERENCES_OBJECT"), (13, -13, "VIEW_REFERENCES_TABLE")]
+#: (template, how far the key of what it needs lies, type within one source project). A body's package lies in another source project, so the body itself is its name's first candidate and there is no edge.
+EDGE_ROWS = [(2, -2, "TABLE_REFERENCES_TABLE"), (3, 4, "TABLE_USES_SEQUENCE"), (5, -5, "VIEW_REFERENCES_TABLE"), (6, -6, "INDEX_ON_TABLE"), (8, -8, "TRIGGER_ON_TABLE"), (9, -9, "ROUTINE_REFERENCES_OBJECT"), (12, -7, "ROUTINE_REFERENCES_OBJECT"), (13, -13, "VIEW_REFERENCES_TABLE")]
 EDGES = f"{OBJECTS}, e(template, step, type) AS (VALUES {', '.join(f'({t}, {s}, {_q(x)})' for t, s, x in EDGE_ROWS)}), edges AS (SELECT a.project_id, a.k AS source_key, b.k AS target_key, CASE WHEN a.source_project_id <> b.source_project_id THEN 'CROSS_SOURCE_DEPENDENCY' ELSE e.type END AS type FROM o a JOIN e USING (template) JOIN o b ON b.k = a.k + e.step AND b.project_id = a.project_id)"
 LEVEL = "CASE WHEN type IN ('VIEW', 'INDEX', 'SEQUENCE') THEN 'DRAFT' WHEN type <> 'TABLE' THEN 'MANUAL_REQUIRED' WHEN template = 4 THEN 'AUTO' ELSE 'REVIEW_REQUIRED' END"
 COUNTS = """SELECT {key}, count(*) AS object_count, sum((SELECT count(*) FROM rules WHERE rules.template = o.template)) AS risk_count,

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..plans.catalog import Catalog
 from ..plans.lifecycle import Project
-from ..sources.imports import input_sources
+from ..sources.imports import input_sources, relative_to
 
 
 def follow(spark: SparkSession, path: str, root: str, checkpoint: str, project_id: str, source_project_id: str) -> StreamingQuery:
@@ -16,12 +17,13 @@ def follow(spark: SparkSession, path: str, root: str, checkpoint: str, project_i
     files = spark.readStream.format("binaryFile").schema(schema).option("recursiveFileLookup", True).load(path)
 
     def each(batch: DataFrame, number: int) -> None:
-        from pyspark.sql import functions as F
-
-        named = batch.select(F.lit(str(number)).alias("batch_id"), F.element_at(F.split("path", "/"), -1).alias("relative_path"), "content")
+        named = batch.select(F.lit(str(number)).alias("batch_id"), relative_to(path, F.col("path")).alias("relative_path"), "content")
         p = Project(input_sources(named, project_id, source_project_id))
         catalog = Catalog(spark, root)
-        for name, table in (("db_object", p.objects), ("parse_issue", p.issues), ("risk_issue", p.risks)):
-            catalog.replace(name, table, ("project_id", "input_source_id"))
+        try:
+            for name, table in (("db_object", p.objects), ("parse_issue", p.issues), ("risk_issue", p.risks)):
+                catalog.replace(name, table, ("project_id", "input_source_id"))
+        finally:
+            p.release()
 
     return files.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -46,6 +46,66 @@ def test_edges_prefer_schema_and_source(spark):
     assert [e for e in got if e[0] == "w"] == [("w", "local", "VIEW_REFERENCES_TABLE")]
 
 
+def test_package_bodies(spark):
+    both = [("a", "create package k as\n procedure x;\nend;\n/"), ("a", "create package body k as\n procedure x is begin null; end;\nend;\n/")]
+    assert edges(project(spark, *both)) == [("k", "k", "PACKAGE_BODY_FOR_SPEC")]
+    apart = [("b", both[0][1]), both[1]]
+    assert edges(project(spark, *apart)) == []  # the body is the first candidate of its own source
+    assert edges(project(spark, both[0], ("a", "create table k (id int);"), ("b", both[1][1]))) == []
+    assert edges(project(spark, ("a", "create table k (id int);"), both[0], both[1])) == [("k", "k", "PACKAGE_BODY_FOR_SPEC")]
+
+
+def test_names_that_are_not_one_word(spark):
+    tables = [("a", 'create table "Big Text" (id int);'), ("a", 'create table app."%" (id int);'), ("b", 'create table "x-y" (id int);')]
+    uses = [("a", 'create view v as select 1 from big text;'), ("a", "create view w as select 1 from app . % where bigtext = 1;"), ("a", 'create view u as select 1 from "X-Y", xx-yy;'), ("a", "create procedure p is begin select 'big text' from dual; end;\n/")]
+    assert edges(project(spark, *tables, *uses)) == [("u", "x-y", "CROSS_SOURCE_DEPENDENCY"), ("v", "Big Text", "VIEW_REFERENCES_TABLE"), ("w", "app.%", "VIEW_REFERENCES_TABLE")]
+
+
+def test_trigger_on_itself(spark):
+    assert edges(project(spark, ("a", "create trigger g before insert on g begin null; end;\n/"))) == [("g", "g", "TRIGGER_ON_TABLE")]
+
+
+def test_waves(spark):
+    chain = [(f"c{i:03d}", f"c{i - 1:03d}") for i in range(1, 71)]
+    ladder = [(f"{x}{i}", f"{y}{i - 1}") for i in range(1, 12) for x in "lr" for y in "lr"]
+    circle = [("x", "y"), ("y", "x"), ("z", "x"), ("x", "c000"), ("s", "s")]
+    pairs = chain + ladder + circle
+    e = spark.createDataFrame([("p", a, b) for a, b in pairs], "project_id string, source_object_id string, target_object_id string")
+    nodes = spark.createDataFrame([("p", n) for n in sorted({n for pair in pairs for n in pair})] + [("q", "x")], "project_id string, object_id string")
+    want = {("p", f"c{i:03d}"): i for i in range(71)} | {("p", f"{x}{i}"): i for i in range(12) for x in "lr"} | {("p", n): None for n in "xyz"} | {("p", "s"): 0, ("q", "x"): 0}
+    assert {(r.project_id, r.object_id): r.wave for r in review.waves(nodes, e).collect()} == want
+
+
+def test_marker_behind_white_space(spark):
+    c = spark.sql("select 'p' project_id, 'o' object_id, 'DRAFT' level")
+    v = spark.sql("select 'p' project_id, 'o' object_id, 1 version_number, 'GENERATED' status, '\n -- DRAFT: x' target_sql")
+    assert report.unedited(c, v).count() == 1
+
+
+def test_reports_get_stale_in_their_contents(spark):
+    p = project(spark, ("s", "create table b (id number(8,0));"))
+    r = p.precheck.selectExpr("*", "timestamp'2024-01-01' as created_at")
+    change = spark.sql("select 'p' project_id, timestamp'2024-01-02' changed_at")
+    got = report.with_staleness(r, change).first()
+    assert got.status == "STALE" and '"status":"STALE"' in got.json_content and "<dt>Status</dt><dd>STALE</dd>" in got.html_content
+    same = report.with_staleness(r, change.where("false")).first()
+    assert same.status == "CURRENT" and '"status":"CURRENT"' in same.json_content
+
+
+def test_replace_generated_and_freeze_approved(spark):
+    p = project(spark, ("s", "create table b (id number(8,0));"), ("s", "create sequence q;"))
+    v = versions.generated(p.conversions)
+    edited = versions.with_edits(v, v.selectExpr("project_id", "version_id as parent_version_id", "'x' as target_sql", "1 as edit_order"))
+    fresh = v.where("input_source_id = '0'").selectExpr(*[f"'new' as {c}" if c == "version_id" else c for c in v.columns])
+    got = versions.replace_generated(edited, fresh)
+    assert got.count() == 4 and got.where("version_id = 'new'").count() == 1
+    reviews = spark.sql("select 'p' project_id, 'APPROVED' decision, cast(null as string) rejection")
+    assert {r.status for r in versions.freeze_approved(edited, reviews).where("version_number = 2").collect()} == {"BASELINE"}
+    assert {r.status for r in versions.freeze_approved(edited, reviews.where("false")).where("version_number = 2").collect()} == {"EDITED"}
+    again = versions.with_edits(versions.freeze(edited), versions.freeze(edited).where("status = 'BASELINE'").selectExpr("project_id", "version_id as parent_version_id", "'y' as target_sql", "1 as edit_order"))
+    assert sorted(r.status for r in versions.freeze(again).where("input_source_id = '0'").collect()) == ["BASELINE", "GENERATED", "STALE"]
+
+
 def test_mention_keys():
     assert depgraph.mention_keys('create view app.v as select x_users from "HR"."User Account" u') >= ["q:hr.user account"]
     assert "u:v" not in depgraph.mention_keys("create view app.v as select 1 from dual")

@@ -8,7 +8,7 @@ from .parity import assert_same, duck
 ORACLES = oracles.oracle_sql()
 
 
-@pytest.mark.parametrize("name", sorted(set(registry.queries()) - {"d8_waves"}))
+@pytest.mark.parametrize("name", sorted(registry.queries()))
 def test_query_matches_sql(spark, smallest, name):
     got = registry.queries()[name](spark, smallest).toPandas()
     if name in ORACLES:

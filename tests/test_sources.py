@@ -12,7 +12,7 @@ def test_inline(spark):
     with pytest.raises(ValueError):
         imports.inline_source(spark, "b", "  ")
     s = imports.input_sources(imports.inline_source(spark, "b", "select 'é';"), "p", "s").first()
-    assert (s.source_path, s.size_bytes, len(s.content_hash), s.type) == ("manual.sql", 12, 64, "SQL_FILE")
+    assert (s.source_path, s.size_bytes, len(s.content_hash), s.type) == ("manual.sql", 12, 64, "MANUAL_SQL")
 
 
 def test_files_and_violations(spark, tmp_path):
@@ -37,9 +37,66 @@ def test_zip(spark):
         z.writestr("a.sql", "a" * 3_000_000)
     rows = [("b", bytearray(buf.getvalue())), ("n", bytearray(b"no zip")), ("m", bytearray(bomb.getvalue()))]
     got = imports.zip_source(spark.createDataFrame(rows, "batch_id string, content binary")).collect()
-    assert sorted((r.batch_id, r.relative_path or r.problem) for r in got) == [("b", "../evil.sql"), ("b", "x/a.sql"), ("m", "Zip expands too much"), ("n", "Zip contains no SQL files")]
-    files = imports.zip_source(spark.createDataFrame(rows[:1], "batch_id string, content binary"))
-    assert {r.relative_path: r.violation for r in imports.violations(files).collect()} == {"x/a.sql": None, "../evil.sql": "PATH"}
+    assert sorted((r.batch_id, r.relative_path or r.problem) for r in got) == [("b", "Illegal file path: ../evil.sql"), ("m", "Zip expansion ratio is too high"), ("n", "Zip contains no SQL files")]
+    files = imports.zip_source(spark.createDataFrame(rows, "batch_id string, content binary"))
+    assert {r.batch_id: r.violation for r in imports.violations(files).collect()} == {"b": "ZIP", "m": "ZIP", "n": "ZIP"}
+
+
+def _archive(*entries, method=zipfile.ZIP_STORED):
+    buf = io.BytesIO()
+    with zipfile.ZipFile(buf, "w", method) as z:
+        for name, data in entries:
+            z.writestr(name, data)
+    return buf.getvalue()
+
+
+def test_archives_good_and_damaged(spark):
+    good = _archive(("x/", b""), ("x/a.sql", "select 1;"), ("y\\b.pks", "select 2;"))
+    assert imports.unzipped(good) == ([("x/a.sql", b"select 1;"), ("y/b.pks", b"select 2;")], None)
+    assert imports.unzipped(good[:40])[1] == "Invalid zip file"
+    crc = bytearray(good)
+    crc[good.index(b"select 1;")] ^= 1
+    assert imports.unzipped(bytes(crc))[1] == "Invalid zip file"
+    odd = bytearray(good)
+    for sign, at in ((b"PK\x01\x02", 10), (b"PK\x03\x04", 8)):  # a method nobody knows
+        i = -1
+        while (i := odd.find(sign, i + 1)) >= 0:
+            odd[i + at] = 77
+    assert imports.unzipped(bytes(odd))[1] == "Invalid zip file"
+    locked = bytearray(good)
+    for sign, at in ((b"PK\x01\x02", 8), (b"PK\x03\x04", 6)):
+        i = -1
+        while (i := locked.find(sign, i + 1)) >= 0:
+            locked[i + at] |= 1
+    assert imports.unzipped(bytes(locked))[1] == "Invalid zip file"
+    assert imports.unzipped(_archive(*((f"{i}.sql", b"x") for i in range(2001))))[1] == "Zip contains too many files"
+    assert imports.unzipped(b"")[1] == imports.unzipped(_archive())[1] == "Zip contains no SQL files"
+    rows = spark.createDataFrame([("b", bytearray(good))], "batch_id string, content binary")
+    assert sorted((r.name, r.type, r.source_path) for r in imports.input_sources(imports.zip_source(rows), "p", "s").collect()) == [("a.sql", "SQL_FILE", "x/a.sql"), ("b.pks", "SQL_FILE", "y/b.pks")]
+
+
+def test_root_is_taken_literally(spark, tmp_path):
+    for folder in ("a+b (1)", "ab"):
+        (tmp_path / folder / "s").mkdir(parents=True)
+        (tmp_path / folder / "s" / "x y.sql").write_text("select 1;")
+    files = imports.file_source(spark, f"file://{tmp_path}/a+b (1)/", "b")
+    assert [r.relative_path for r in files.collect()] == ["s/x y.sql"]
+    assert [r.type for r in imports.input_sources(imports.file_source(spark, f"{tmp_path}", "b"), "p", "s").collect()] == ["FOLDER", "FOLDER"]
+
+
+def test_batch_size_counts_in_order_of_path(spark, monkeypatch):
+    monkeypatch.setattr(imports, "MAX_BATCH_BYTES", 10)
+    rows = [("b", "a.sql", bytearray(b"12345")), ("b", "b.sql", bytearray(b"12345")), ("b", "c.sql", bytearray(b"1")), ("c", "z.sql", bytearray(b"123456")), ("c", None, bytearray(b"1"))]
+    got = imports.violations(spark.createDataFrame(rows, "batch_id string, relative_path string, content binary")).collect()
+    assert sorted((r.batch_id, str(r.relative_path), r.violation) for r in got if r.relative_path != "c.sql") == [("b", "a.sql", None), ("b", "b.sql", None), ("c", "None", "EXTENSION"), ("c", "z.sql", None)]
+    assert [r.violation for r in got if r.relative_path == "c.sql"] == ["BATCH_SIZE"]
+
+
+def test_units_and_batches(spark):
+    units = imports.register_units(spark.sql("select * from values ('p', ' A ', null), ('p', 'B', 'FOLDER_SET'), ('p', '  ', null) t(project_id, name, type)"))
+    assert sorted((r.name, r.type) for r in units.collect()) == [("A", "DATABASE_EXPORT"), ("B", "FOLDER_SET")]
+    s = imports.input_sources(imports.inline_source(spark, "b", "x;"), "p", "s")
+    assert [(r.batch_id, r.status) for r in imports.input_batches(s).collect()] == [("b", "IMPORTED")]
 
 
 def test_scope_and_projects(spark):
@@ -61,7 +118,10 @@ def test_catalog_replaces_partitions(spark, tmp_path):
 def test_stream(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "a.sql").write_text("create table t (d date default sysdate);\nselect 1;")
+    for folder in ("x", "y"):
+        (tmp_path / "in" / folder).mkdir()
+        (tmp_path / "in" / folder / "same.sql").write_text("create view v as select 1 from dual;")
     q = follow(spark, f"file://{tmp_path}/in", f"file://{tmp_path}/out", f"file://{tmp_path}/cp", "p", "s")
     q.awaitTermination()
     c = Catalog(spark, f"file://{tmp_path}/out")
-    assert (c.read("db_object").count(), c.read("parse_issue").count(), c.read("risk_issue").count()) == (1, 1, 2)
+    assert (c.read("db_object").count(), c.read("parse_issue").count(), c.read("risk_issue").count()) == (3, 1, 2)
