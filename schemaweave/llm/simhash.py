@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import simhash_wide
 from .common import claim, id_text, parallelism, slices, staged
 from .components import components
 
@@ -180,8 +181,10 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return prints.join(of, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3) -> DataFrame:
-    """The rows of ``docs`` whose id is the smallest of its component, all columns. Rows that repeat one id are one document; rows without an id are kept."""
-    found = simhash_components(docs, id_col, text_col, words)
-    drop = found.where("doc_id <> component_id").select(F.col("doc_id").alias("__dropped")).distinct()
-    return docs.join(drop, docs[id_col] == drop["__dropped"], "left_anti")
+def keep_one_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, similarity: float | None = None) -> DataFrame:
+    """The rows of ``docs`` whose id is the smallest of its component, all columns. Rows that repeat one id are one document; rows without an id are kept.
+
+    Without a similarity, components are those of 64-bit fingerprints; with one, of wide fingerprints verified by the shingle sets."""
+    found = simhash_components(docs, id_col, text_col, words) if similarity is None else simhash_wide.near_components(docs, id_col, text_col, words, similarity)
+    drop = found.where("doc_id <> component_id").select(F.col("doc_id").alias("__dropped_id")).distinct()
+    return docs.join(drop, docs[id_col] == drop["__dropped_id"], "left_anti")

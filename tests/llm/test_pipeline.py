@@ -4,7 +4,8 @@ import corpus_pipeline
 from schemaweave.llm import queries as Q
 from schemaweave.llm import toxicity
 
-from .test_dedup import brute_components, brute_passages, brute_print
+from .test_dedup import brute_passages
+from .test_simhash_wide import brute_kept
 
 
 def test_stages_against_brute_force(spark, smallest, tmp_path):
@@ -23,9 +24,7 @@ def test_stages_against_brute_force(spark, smallest, tmp_path):
     lang = {r.doc_id: r.lang for r in before.collect()}
     assert {r.doc_id for r in after.collect()} == {i for i, s in scores.items() if s < model.by_language.get(lang[i], toxicity.THRESHOLD)}
     before, after = out["near_duplicates"]
-    rows = sorted((r.doc_id, r.text) for r in before.collect())
-    kept = {rows[i][0] for i in set(brute_components([brute_print(t) for _, t in rows]))}
-    assert {r.doc_id for r in after.collect()} == kept
+    assert {r.doc_id for r in after.collect()} == brute_kept(sorted((r.doc_id, r.text or "") for r in before.collect()))
     before, after = out["passages"]
     want = brute_passages([(r.doc_id, r.text) for r in before.collect()])
     for r in after.collect():
