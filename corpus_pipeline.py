@@ -5,7 +5,7 @@ Every stage is written as Parquet and read again, works on all that the stage be
 
 * toxicity: documents whose score reaches the threshold of their language (the classifier is fitted on labelled rows);
 * near_duplicates: all but the document with the smallest id of each component of texts whose 5-word shingles have a
-  Jaccard similarity of 0.8 or more, exactly (near_sets);
+  Jaccard similarity of 0.8 or more (simhash, simhash_wide: found by wide fingerprints, verified exactly);
 * passages: bytes that a 100-byte string covers which also starts earlier; whole characters only;
 * mixing: documents are repeated so that expected token shares of the languages meet the targets; none is dropped;
 * encode: nothing goes.
@@ -20,7 +20,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from schemaweave.llm import bpe_sql, common, mixing, near_sets, queries as llm_queries, suffix_dedup, toxicity
+from schemaweave.llm import bpe_sql, common, mixing, queries as llm_queries, simhash, suffix_dedup, toxicity
 
 ORACLE_SQL = None
 SCOPE = "pipeline"
@@ -46,7 +46,7 @@ def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 @_stage
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return near_sets.keep_one_each(docs)
+    return simhash.keep_one_each(docs, words=5, similarity=0.8)
 
 
 @_stage
