@@ -13,11 +13,13 @@ words have coarser bits). The README gives measured recall.
 
 Words are what ASCII white space divides, ASCII letters lowered; a text of fewer than five words is one shingle. Shingles are
 64-bit hashes; sets are equal where a 128-bit digest is. Equal sets are one node before any comparison (within a partition at
-once, so a hot text has a node a partition). A key that more than CAP nodes share is compared only along its sorted order
-first; then components are joined, and only nodes of different components meet under it: those outside its largest component
-with all. Of the retained pairs each node's nearest and least partner are verified first, then those that still lie in
-different components. So a large group of near copies takes few pairs; the pairs of a group whose members are almost similar
-enough, but aren't, are all verified.
+once, so a hot text has a node a partition). Of the near fingerprints under a key each meets its least partner at once; where
+more than two belong together, their postings wait until these pairs are verified and components are joined. Then only nodes of
+different components meet under a key: those outside its largest component with all, and only if sizes and the parities of
+their shingles (every odd bit of two parity maps together is a shingle of one set only) leave the similarity possible. Of the
+retained pairs each node's nearest and least partner are verified first, then those that still lie in different components. So
+a large group of near copies takes few pairs. The members of a large group that share most of their words, but less than the
+similarity, are compared with each other under their keys.
 
 Null text is empty text; texts without words equal each other. Rows that repeat one id are one document; rows without an id
 are kept and link others. An empty table gives an empty table; extra columns of any name stay as they are.
@@ -40,17 +42,22 @@ from .components import components
 
 WORDS = 5
 #: (bytes a key, bytes a group, groups) by number of nodes.
-SHAPES = [(1 << 22, (2, 6, 10)), (1 << 30, (3, 8, 15)), (1 << 62, (4, 12, 14))]
+SHAPES = [(1 << 21, (2, 6, 10)), (1 << 30, (3, 8, 15)), (1 << 62, (4, 12, 14))]
 SKETCH = 4
 #: Bits in which the rest of a group and the sketch, and a whole fingerprint, may differ: the mean at similarity 0.8 and over four deviations more.
 NEAR, APART = lambda bits: int(0.1514 * bits + 4.3 * (0.1285 * bits) ** 0.5), 0.24
 MINIMUM = 5
-CAP, ALONG = 32, 4
+#: Neighbours in a key's order that a fingerprint is compared with; in larger keys all postings wait.
+CAP = 256
+PARTNERS = 8
 #: Bytes of one bucket's postings, on average at most, and those that a task holds before it lets go of keys beyond CAP.
 BUCKET, HELD = 8 << 20, 48 << 20
 #: Nodes up to which the ids of candidates are broadcast (8 bytes each); beyond, the join is shuffled.
 BROADCAST = 1 << 20
+#: Bits of a parity map.
+PARITY = 512
 _POSTING = np.dtype([("set", "<u2"), ("size", "<u2"), ("sketch", "<u4"), ("group", "V12"), ("node", "<i8")])
+_WAITING = np.dtype([("key", "<u8"), ("node", "<i8"), ("root", "<i8"), ("n", "<u4"), ("parity", "<u8", PARITY // 64)])
 
 
 def shingles(text: str, words: int = WORDS) -> np.ndarray:
@@ -115,16 +122,17 @@ def sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words:
 
 
 def _prints(found: DataFrame, shape: tuple[int, int, int]) -> DataFrame:
-    """(node, n, fp) of the nodes with words."""
+    """(node, n, fp, parity) of the nodes with words."""
     size = shape[1] * shape[2] + SKETCH
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim("simhash")
         for batch in slices(batches, column="shingles"):
-            fps = [wide_fingerprint(np.frombuffer(s.as_buffer(), np.uint64), size) for s in batch["shingles"]]
-            yield pa.RecordBatch.from_arrays([batch["node"], batch["n"], pa.array(fps, pa.binary())], ["node", "n", "fp"])
+            own = [np.frombuffer(s.as_buffer(), np.uint64) for s in batch["shingles"]]
+            odd = [np.packbits((np.bincount((x % np.uint64(PARITY)).astype(np.int64), minlength=PARITY) & 1).astype(np.uint8)).view(np.int64) for x in own]
+            yield pa.RecordBatch.from_arrays([batch["node"], batch["n"], pa.array([wide_fingerprint(x, size) for x in own], pa.binary()), pa.array(odd, pa.list_(pa.int64()))], ["node", "n", "fp", "parity"])
 
-    return found.where("n > 0").select("node", "n", "shingles").mapInArrow(run, "node long, n long, fp binary")
+    return found.where("n > 0").select("node", "n", "shingles").mapInArrow(run, "node long, n long, fp binary, parity array<long>")
 
 
 def _postings(prints: DataFrame, shape: tuple[int, int, int], buckets: int) -> DataFrame:
@@ -185,49 +193,57 @@ def _scaled(n: np.ndarray) -> np.ndarray:
 
 
 def _compare(postings: DataFrame, shape: tuple[int, int, int]) -> DataFrame:
-    """Rows (a, b) of candidate pairs, and, of keys beyond CAP, their nodes: (a, key, size, sketch, rest), b null."""
+    """Rows (a, b, company): pairs that meet alone under a key; where more than two belong together, each with its least partner, company true; and (a, b null) of nodes that wait for the rest."""
     width, size, groups = shape
     chosen = list(itertools.combinations(range(size), width))
     most = NEAR(8 * (size - width + SKETCH))
-    names, schema = ["a", "b", "key", "size", "sketch", "rest"], "a long, b long, key binary, size int, sketch long, rest binary"
+    names, schema = ["a", "b", "company"], "a long, b long, company boolean"
 
     def keyed(rows: np.ndarray) -> tuple[np.ndarray, ...]:
-        """The postings sorted by key, with their keys and the places of these."""
+        """The postings sorted by key, with their groups' bytes and keys."""
         own = np.ascontiguousarray(rows["group"]).view(np.uint8).reshape(len(rows), 12)
         places = np.array(chosen)[rows["set"] % len(chosen)]
         key = rows["set"].astype(np.uint64)
         for i in range(width):
             key = key << np.uint64(8) | np.take_along_axis(own, places[:, i : i + 1], 1)[:, 0]
         order = np.lexsort((rows["node"], rows["sketch"], key))
-        return rows[order], own[order], key[order], places[order]
+        return rows[order], own[order], key[order]
 
-    def links(rows: np.ndarray, own: np.ndarray, key: np.ndarray, places: np.ndarray, most_along: int) -> pa.RecordBatch:
-        new = np.concatenate([[True], key[1:] != key[:-1]])
-        run = np.cumsum(new) - 1
-        here, lefts, rights = np.arange(len(rows)), [], []
-        for k in range(1, most_along + 1):
+    def links(rows: np.ndarray, own: np.ndarray, key: np.ndarray, open_all: np.ndarray) -> Iterator[pa.RecordBatch]:
+        node = np.ascontiguousarray(rows["node"])
+        run = np.cumsum(np.concatenate([[True], key[1:] != key[:-1]])) - 1
+        here, lefts, rights = np.arange(len(rows)), [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for k in range(1, CAP):
             here = here[here + k < len(rows)]
             here = here[run[here] == run[here + k]]
             if not len(here):
                 break
-            x = own[here] ^ own[here + k]
-            bits = np.bitwise_count(x).sum(1, dtype=np.int64) + np.bitwise_count(rows["sketch"][here] ^ rows["sketch"][here + k])
-            hit = (bits <= most) & (np.abs(rows["size"][here].astype(np.int32) - rows["size"][here + k]) <= 225)
-            at = here[hit]
-            if most_along > ALONG:  # a pair counts under one key of a group, that of the first bytes it shares
-                first = np.argsort(x[hit][:, :size] != 0, axis=1, kind="stable")[:, :width]
-                at = at[(first == places[at]).all(1)]
+            bits = np.bitwise_count(own[here] ^ own[here + k]).sum(1, dtype=np.int64) + np.bitwise_count(rows["sketch"][here] ^ rows["sketch"][here + k])
+            at = here[(bits <= most) & (np.abs(rows["size"][here].astype(np.int32) - rows["size"][here + k]) <= 225)]
             lefts.append(at)
             rights.append(at + k)
-        lefts, rights = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (lefts, rights))
-        a, b = rows["node"][lefts], rows["node"][rights]
-        pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
-        n = len(pairs)
-        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.nulls(n, pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary())], names)
-
-    def opened(rows: np.ndarray, key: np.ndarray) -> pa.RecordBatch:
-        text = lambda x: pa.array([v.tobytes() for v in x], pa.binary())
-        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(rows["node"])), pa.nulls(len(rows), pa.int64()), text(key.astype(">u8")), pa.array(rows["size"].astype(np.int32)), pa.array(rows["sketch"].astype(np.int64)), text(rows["group"])], names)
+        left, right = np.concatenate(lefts), np.concatenate(rights)
+        met = np.bincount(np.concatenate([left, right]), minlength=len(rows))
+        least = np.full(len(rows), np.iinfo(np.int64).max)
+        np.minimum.at(least, left, node[right])
+        np.minimum.at(least, right, node[left])
+        some = np.flatnonzero(met)
+        label = np.arange(len(rows))
+        while True:  # what belongs together
+            before = label.copy()
+            low = np.minimum(label[left], label[right])
+            np.minimum.at(label, left, low)
+            np.minimum.at(label, right, low)
+            label = label[label]
+            if (label == before).all():
+                break
+        several = (np.bincount(label, minlength=len(rows)) > 2)[label]
+        two, more = some[~several[some]], some[several[some]]
+        pairs = np.unique(np.stack([np.minimum(node[two], least[two]), np.maximum(node[two], least[two])], 1), axis=0)
+        a, b = np.concatenate([pairs[:, 0], node[more]]), np.concatenate([pairs[:, 1], least[more]])
+        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(np.arange(len(a)) >= len(pairs))], names)
+        wait = np.unique(node[several | open_all])
+        yield pa.RecordBatch.from_arrays([pa.array(wait), pa.nulls(len(wait), pa.int64()), pa.nulls(len(wait), pa.bool_())], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim("simhash")
@@ -237,18 +253,16 @@ def _compare(postings: DataFrame, shape: tuple[int, int, int]) -> DataFrame:
             """Compare what is held; unless ``last``, only the keys beyond CAP, whose postings go, so that a hot key doesn't fill the memory."""
             if not state["held"]:
                 return
-            rows, own, key, places = keyed(np.concatenate(state["held"]))
+            rows, own, key = keyed(np.concatenate(state["held"]))
             _, run, count = np.unique(key, return_inverse=True, return_counts=True)
             many = (count[run] > CAP) | np.isin(key, state["beyond"])
-            if many.any():
-                yield links(rows[many], own[many], key[many], places[many], ALONG)
-                yield opened(rows[many], key[many])
-            few = ~many
             if last:
-                yield links(rows[few], own[few], key[few], places[few], CAP - 1)
+                yield from links(rows, own, key, many)
                 state.update(held=[], bytes=0, limit=HELD, beyond=np.zeros(0, np.uint64))
             else:
-                rest = rows[few]
+                if many.any():
+                    yield from links(rows[many], own[many], key[many], np.ones(int(many.sum()), bool))
+                rest = rows[~many]
                 state.update(held=[rest], bytes=rest.nbytes, limit=max(HELD, 2 * rest.nbytes), beyond=np.union1d(state["beyond"], key[many]))
 
         for batch in batches:
@@ -265,6 +279,14 @@ def _compare(postings: DataFrame, shape: tuple[int, int, int]) -> DataFrame:
     return postings.repartition(parallelism(postings.sparkSession), "bucket").sortWithinPartitions("bucket").mapInArrow(run, schema)
 
 
+def _met(compared: DataFrame) -> DataFrame:
+    """(a, b): the pairs that meet alone under a key, and of the partners that a node has in larger company the least and the PARTNERS met under most keys."""
+    tally = compared.where("company").groupBy("a", "b").agg(F.count("*").alias("c"))
+    best = tally.groupBy("a").agg(F.min("b").alias("least"), F.slice(F.sort_array(F.collect_list(F.struct("c", "b")), False), 1, PARTNERS)["b"].alias("most"))  # a node has a partner a key at most
+    company = best.select("a", F.explode(F.array_union("most", F.array("least"))).alias("b"))
+    return compared.where("not company").select("a", "b").union(company.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct()
+
+
 def _retained(pairs: DataFrame, prints: DataFrame) -> DataFrame:
     """(a, b, apart) of the pairs whose fingerprints share MINIMUM positional bytes and differ in few enough bits."""
 
@@ -324,17 +346,93 @@ def _length(prints: DataFrame) -> int:
     return first[0] if first else 0
 
 
-def _across(hot: DataFrame, edges: DataFrame, shape: tuple[int, int, int]) -> DataFrame:
-    """Candidate pairs of different components under the keys that many nodes share: those outside a key's largest component with all."""
-    most = NEAR(8 * (shape[1] - shape[0] + SKETCH))
-    rows = hot.join(components(edges, "hot-components"), hot["a"] == F.col("node"), "left").select("key", F.col("a").alias("node"), F.coalesce("root", "a").alias("root"), "size", "sketch", *(F.conv(F.hex(F.substring("rest", i, 6)), 16, 10).cast("long").alias(f"w{i}") for i in (1, 7)))
-    counts = rows.groupBy("key", "root").agg(F.count("*").alias("c"))
-    main = counts.groupBy("key").agg(F.max_by("root", F.struct("c", "root")).alias("main"), F.count("*").alias("roots")).where("roots > 1").select("key", "main")
-    rows = staged(rows.join(main, "key"), "hot-keys")
-    x, y = rows.where("root <> main").alias("x"), rows.alias("y")
-    near = " + ".join(f"bit_count(x.{c} ^ y.{c})" for c in ("sketch", "w1", "w7"))
-    both = x.join(y, F.expr(f"x.key = y.key and x.root <> y.root and abs(x.size - y.size) <= 225 and {near} <= {most}"))
-    return both.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+def _across(nodes: DataFrame, edges: DataFrame, prints: DataFrame, shape: tuple[int, int, int], similarity: float) -> DataFrame:
+    """Candidate pairs of different components among ``nodes``: all that a key, sizes and parities leave possible.
+
+    Under a key the nodes outside the largest component of all are held, and that one's pass by."""
+    spark = nodes.sparkSession
+    width, size, groups = shape
+    chosen = list(itertools.combinations(range(size), width))
+    rooted = staged(nodes.join(components(edges, "waiting-components"), "node", "left").select("node", F.coalesce("root", "node").alias("root")), "waiting")
+    largest = rooted.groupBy("root").count().orderBy(F.desc("count"), "root").first()
+    if largest is None:
+        return edges.where("false")
+    rows = rooted.join(prints, "node").select("node", "root", (F.col("root") == largest["root"]).alias("main"), "n", "fp", "parity")
+    buckets = max(4 * parallelism(spark), rooted.count() * groups * len(chosen) * _WAITING.itemsize // BUCKET)
+
+    def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, len(batch), 256):
+                part = batch.slice(start, 256)
+                n = len(part)
+                fps = np.frombuffer(b"".join(part["fp"].to_pylist()), np.uint8).reshape(n, -1)
+                own = np.zeros((groups * len(chosen), n), _WAITING)
+                own["node"], own["root"], own["n"] = (np.asarray(part[c]) for c in ("node", "root", "n"))
+                own["parity"] = np.asarray(part["parity"].flatten()).reshape(n, -1)
+                for g in range(groups):
+                    for c, places in enumerate(chosen):
+                        key = np.full(n, g * len(chosen) + c, np.uint64)
+                        for p in places:
+                            key = key << np.uint64(8) | fps[:, g * size + p]
+                        own["key"][g * len(chosen) + c] = key
+                rows, main = own.ravel(), np.tile(np.asarray(part["main"]), groups * len(chosen))
+                with np.errstate(over="ignore"):
+                    to = ((rows["key"] * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)) % np.uint64(buckets)
+                to = to.astype(np.int64) * 2 + main
+                order = np.argsort(to, kind="stable")
+                to, rows = to[order], rows[order]
+                at = np.flatnonzero(np.concatenate([[True], to[1:] != to[:-1]])) if n else np.zeros(0, np.int64)
+                blobs = [rows[i:j].tobytes() for i, j in itertools.pairwise([*at.tolist(), len(rows)])] if n else []
+                yield pa.RecordBatch.from_arrays([pa.array((to[at] // 2).astype(np.int32)), pa.array((to[at] % 2).astype(bool)), pa.array(blobs, pa.binary())], ["bucket", "main", "postings"])
+
+    def possible(a: np.ndarray, held: np.ndarray) -> Iterator[np.ndarray]:
+        """(node, node) of the ``a`` and the ``held``, which are sorted by key, that could be similar."""
+        low, high = np.searchsorted(held["key"], a["key"]), np.searchsorted(held["key"], a["key"], "right")
+        total = np.concatenate([[0], np.cumsum(high - low)])
+        start = 0
+        while start < len(a):
+            stop = max(start + 1, int(np.searchsorted(total, total[start] + (1 << 18), "right")) - 1)
+            count = (high - low)[start:stop]
+            i = np.repeat(np.arange(start, stop), count)
+            j = np.arange(len(i)) - np.repeat(total[start:stop] - total[start], count) + np.repeat(low[start:stop], count)
+            n, m = a["n"][i].astype(np.int64), held["n"][j].astype(np.int64)
+            ok = (a["root"][i] != held["root"][j]) & (np.minimum(n, m) >= similarity * np.maximum(n, m) - 1e-9)
+            i, j, n = i[ok], j[ok], (n + m)[ok]
+            odd = np.bitwise_count(a["parity"][i] ^ held["parity"][j]).sum(1, dtype=np.int64)
+            ok = odd * (1 + similarity) <= (1 - similarity) * n + 1e-9
+            yield np.stack([a["node"][i[ok]], held["node"][j[ok]]], 1)
+            start = stop
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("simhash")
+        bucket, held, waiting = None, np.zeros(0, _WAITING), []
+
+        def settle() -> Iterator[np.ndarray]:
+            nonlocal held, waiting
+            if waiting:
+                held, waiting = np.concatenate(waiting), []
+                held = held[np.argsort(held["key"], kind="stable")]
+                yield from possible(held, held)
+
+        for batch in batches:
+            out = []
+            for to, main, blob in zip(batch["bucket"].to_pylist(), batch["main"].to_pylist(), batch["postings"], strict=True):
+                if to != bucket:
+                    out += settle()
+                    bucket, held = to, np.zeros(0, _WAITING)
+                rows = np.frombuffer(blob.as_buffer(), _WAITING)
+                if main:
+                    out += settle()
+                    out += possible(rows, held)
+                else:
+                    waiting.append(rows.copy())
+            pairs = np.unique(np.sort(np.concatenate([np.zeros((0, 2), np.int64), *out]), axis=1), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+        pairs = np.unique(np.sort(np.concatenate([np.zeros((0, 2), np.int64), *settle()]), axis=1), axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+
+    dealt = rows.mapInArrow(post, "bucket int, main boolean, postings binary").repartition(parallelism(spark), "bucket").sortWithinPartitions("bucket", "main")
+    return dealt.mapInArrow(meet, "a long, b long").distinct()
 
 
 def links(rows: DataFrame, similarity: float = 0.8) -> DataFrame:
@@ -349,11 +447,9 @@ def links(rows: DataFrame, similarity: float = 0.8) -> DataFrame:
     postings = nodes * shape[2] * math.comb(shape[1], shape[0]) * _POSTING.itemsize
     buckets = max(4 * parallelism(rows.sparkSession), postings // BUCKET)
     compared = staged(_compare(_postings(prints, shape, buckets), shape), "compared")
-    edges = _verified(staged(compared.where("b is not null").select("a", "b").distinct(), "candidates"), equal, prints, found, similarity)
-    hot = compared.where("b is null")
-    if not hot.isEmpty():
-        edges = _verified(staged(_across(hot, edges, shape), "hot-candidates"), edges, prints, found, similarity)
-    return edges
+    edges = _verified(staged(_met(compared.where("b is not null")), "candidates"), equal, prints, found, similarity)
+    waiting = staged(compared.where("b is null").select(F.col("a").alias("node")).distinct(), "waiting-nodes")
+    return _verified(staged(_across(waiting, edges, prints, shape, similarity), "open-candidates"), edges, prints, found, similarity)
 
 
 def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, similarity: float = 0.8) -> DataFrame:

@@ -54,7 +54,6 @@ def kept(docs):
 def test_keys_beyond_the_cap(spark, monkeypatch):
     """All shared keys are compared along their order first, then across components; postings leave a task's memory early."""
     monkeypatch.setattr(simhash_wide, "CAP", 2)
-    monkeypatch.setattr(simhash_wide, "ALONG", 1)
     monkeypatch.setattr(simhash_wide, "HELD", 4096)
     rows = edited_rows()
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
