@@ -19,6 +19,9 @@ from __future__ import annotations
 import base64
 import functools
 import hashlib
+import os
+import re
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import pretok
-from .common import CLEAR, claim, id_text, slices
+from .common import CLEAR, claim, id_text, shared_dir, slices
 
 LONG, CACHE, MISSING = 64, 560_000, 20_000
 
@@ -105,10 +108,10 @@ def merge_table(path: str) -> pa.Table:
 class PieceCoder:
     """Encodes and decodes distinct pieces; one per Python worker and vocabulary, kept between partitions."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, spill: str = ""):
         import duckdb
 
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "300MB"})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "300MB", "temp_directory": spill})
         self.db.execute("SET enable_progress_bar = false")
         of = ranks(path)
         self.db.register("merge_rows", merge_table(path))
@@ -164,8 +167,11 @@ class PieceCoder:
 
 
 @functools.cache
-def coder(path: str) -> PieceCoder:
-    return PieceCoder(path)
+def coder(path: str, spill: str = "") -> PieceCoder:
+    """``spill``: a folder for what a query over very long pieces can't hold in memory; none if empty."""
+    if spill:
+        os.makedirs(spill, exist_ok=True)
+    return PieceCoder(path, f"{spill}/{uuid.uuid4().hex}" if spill else "")
 
 
 CLEAR["bpe"] = coder.cache_clear
@@ -176,7 +182,7 @@ def bpe_digests(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", text_c
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim("bpe")
-        c = coder(ranks_path)
+        c = coder(ranks_path, spill)
         for batch in slices(batches):
             n, ids_sha, decoded_sha = [], [], []
             for _, _, words, places, ends in pretok.pieces(batch["text"].to_pylist()):
@@ -192,6 +198,8 @@ def bpe_digests(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", text_c
                     start = end
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(n, pa.int64()), pa.array(ids_sha), pa.array(decoded_sha)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
+    spill = shared_dir(docs.sparkSession)  # DuckDB writes to file systems only
+    spill = re.sub("^file:/*", "/", spill) + "/duckdb" if re.match("/|file:", spill) else ""
     docs = id_text(docs, id_col, text_col)
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")

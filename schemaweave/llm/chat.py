@@ -49,12 +49,17 @@ class PartVisitor:
         self.attachments: list[dict] = []
 
     def visit(self, part: dict) -> None:
-        """Kinds without a method of their own are text: nothing is dropped."""
-        getattr(self, f"visit_{part.get('kind')}", self.visit_text)(part)
+        """Kinds without a method of their own are kept as their text and, where they refer to something, as an attachment of no known size."""
+        getattr(self, f"visit_{part.get('kind')}", self.visit_other)(part)
 
     def visit_text(self, part: dict) -> None:
         self.out.append(escape(part.get("text") or ""))
 
+    def visit_other(self, part: dict) -> None:
+        self.visit_text(part)
+        if part.get("ref") is not None:
+            self._attach(part | {"kind": re.sub(r"\W", "_", part.get("kind") or "") or "file"}, 0)
+
     def visit_image(self, part: dict) -> None:
         self._attach(part, math.ceil((part.get("width") or 0) / self.patch) * math.ceil((part.get("height") or 0) / self.patch))
 
@@ -150,5 +155,8 @@ def conversation_digests(turns: DataFrame) -> DataFrame:
         if rows:
             yield flush()
 
-    dealt = turns.repartition(parallelism(turns.sparkSession), "conv_id").sortWithinPartitions("conv_id", "turn", "formatted").select("conv_id", "formatted", "loss_start", "loss_end")
+    plain = lambda c: F.regexp_replace(c, r"(?s)\\(.)", "$1")
+    role = plain(F.substring(F.col("formatted"), len(HEAD) + 1, F.col("loss_start") - len(HEAD) - len(MID)))
+    text = plain(F.substring(F.col("formatted"), F.col("loss_start") + 1, F.length("formatted") - F.col("loss_start") - len(TAIL)))
+    dealt = turns.repartition(parallelism(turns.sparkSession), "conv_id").sortWithinPartitions("conv_id", "turn", role, text).select("conv_id", "formatted", "loss_start", "loss_end")
     return dealt.mapInArrow(run, f"conv_id {dict(turns.dtypes)['conv_id']}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")

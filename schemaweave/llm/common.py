@@ -9,7 +9,6 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -19,18 +18,16 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.scratch import shared_folder
+
 #: Paths of scratch tables by application and scope.
 _STAGED: dict[tuple[str, str], list[str]] = {}
 _SCOPE = [""]
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder the session names; a folder of our own only where the setting is absent (tests, local runs)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = f"file://{tempfile.mkdtemp(prefix='schemaweave-')}"
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+    """The shared folder the session names; one of our own only in a local run without that setting."""
+    return shared_folder(spark)
 
 
 def new_path(spark: SparkSession, name: str) -> str:

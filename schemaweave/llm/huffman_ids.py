@@ -1,7 +1,7 @@
 """Token-ID files under a canonical, length-limited Huffman code.
 
-Format: a folder with ``segments`` (Parquet rows, one per independent block) and a code that needs only one code length per
-id (canonical codes follow from the lengths). A block holds whole documents in ascending doc_id order:
+Format: a folder with ``segments`` (Parquet rows, one per independent block) and ``code`` (Parquet rows: id, length; canonical
+codes follow from the lengths). Nothing else is needed to read it. A block holds whole documents in ascending doc_id order:
 
 * ``doc_ids``, ``doc_tokens``: the documents of the block and how many ids each has, the end id included;
 * ``payload``: big-endian bit stream of the ids' codes; ``checkpoints``: the bit offset of every EVERY-th id, so that a
@@ -13,7 +13,7 @@ by id (one row per id reaches the driver: bounded by the vocabulary); package-me
 bits; every range is then coded where it lies, without a further shuffle.
 
 Contract: null text is empty text (just the end id); repeated doc_ids stay separate rows, ordered by id, then by their
-ids; null doc_ids come first; an empty table gives empty files and no rows; extra columns are ignored.
+text, and a hot id is dealt to several ranges by how its texts begin; null doc_ids come first; an empty table gives empty files and no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -238,12 +238,12 @@ def unpack(payload: bytes, checkpoints: np.ndarray, n: int, table: tuple[np.ndar
 BLOCKS = "part int, segment string, block int, first_doc {kind}, n_tokens long, doc_ids array<{kind}>, doc_tokens array<long>, payload binary, checkpoints binary"
 
 
-def write_ids(docs: DataFrame, tokenizer_path: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", limit: int = LIMIT) -> tuple[str, np.ndarray]:
-    """Write the files; returns the folder and the code lengths."""
+def write_ids(docs: DataFrame, tokenizer_path: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", limit: int = LIMIT, path: str | None = None) -> str:
+    """Write the files to ``path``, or else to a scratch folder; returns the folder."""
     spark = docs.sparkSession
     docs = id_text(docs, id_col, text_col)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    ranged = docs.repartitionByRange(parallelism(spark), "doc_id").sortWithinPartitions("doc_id", "text")
+    ranged = docs.repartitionByRange(parallelism(spark), "doc_id", F.substring("text", 1, 64)).sortWithinPartitions("doc_id", "text")
     tokens = staged(encoded(ranged, tokenizer_path, end_id).withColumn("part", F.spark_partition_id()), "ids")
     lengths = code_lengths(id_counts(tokens), limit)
     codes = canonical_codes(lengths)
@@ -277,16 +277,27 @@ def write_ids(docs: DataFrame, tokenizer_path: str, end_id: int = 0, id_col: str
         if state["docs"]:
             yield flush()
 
-    path = new_path(spark, "token-ids")
+    path = path or new_path(spark, "token-ids")
+    used = np.flatnonzero(lengths)
+    spark.createDataFrame(list(zip(used.tolist(), lengths[used].tolist(), strict=True)), "id int, length int").coalesce(1).write.parquet(f"{path}/code")
     tokens.mapInArrow(run, BLOCKS.format(kind=kind)).write.option("compression", "none").parquet(f"{path}/segments")
-    return path, lengths
+    return path
+
+
+def stored_lengths(spark: SparkSession, path: str) -> np.ndarray:
+    """Code lengths by id, as the folder has them: a row per id of the vocabulary at most."""
+    rows = spark.read.parquet(f"{path}/code").collect()
+    out = np.zeros(max((r["id"] for r in rows), default=0) + 1, np.uint8)
+    for r in rows:
+        out[r["id"]] = r["length"]
+    return out
 
 
-def read_ids(spark: SparkSession, path: str, lengths: np.ndarray) -> DataFrame:
-    """Per document, decoded from the files: doc_id, start (ids of all documents before it), n_tokens, ids_crc32."""
+def read_ids(spark: SparkSession, path: str) -> DataFrame:
+    """Per document, decoded from nothing but the files: doc_id, start (ids of all documents before it), n_tokens, ids_crc32."""
     blocks = spark.read.parquet(f"{path}/segments")
     kind = blocks.schema["first_doc"].dataType
-    table = decode_table(lengths)
+    table = decode_table(stored_lengths(spark, path))
     # A range's blocks are ordered by segment and block; ranges by part. One row per range reaches the driver.
     sums = blocks.groupBy("part", "segment").agg(F.min("first_doc").alias("first_doc"), F.sum("n_tokens").alias("n"))
     before, parts = 0, {}
@@ -320,5 +331,4 @@ def read_ids(spark: SparkSession, path: str, lengths: np.ndarray) -> DataFrame:
 
 
 def token_id_digests(docs: DataFrame, tokenizer_path: str, end_id: int = 0) -> DataFrame:
-    path, lengths = write_ids(docs, tokenizer_path, end_id)
-    return read_ids(docs.sparkSession, path, lengths)
+    return read_ids(docs.sparkSession, write_ids(docs, tokenizer_path, end_id))

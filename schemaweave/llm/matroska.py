@@ -7,9 +7,13 @@ number, track, timestamp, byte range in the file, cluster, lacing and whether a
 The writer stores bytes as 8-bit PCM: 192-byte frames (24 ms at 8 kHz), up to eight to a block, the lacing of a block by
 its number, ten blocks to a cluster, one cue per cluster.
 
+The frames of a lace follow each other by their track's default duration; where a track has none, they share the time stamp
+of their block.
+
 Contract: null texts are empty (one frame of spaces); null or truncated files give the packets that are whole and an
-``error``; rows are kept one for one; extra columns are ignored; an empty table gives no rows. Memory is that of an Arrow
-batch and one file.
+``error`` (digests: of these packets, with the error in the feature string; all null for a null file); rows are kept one for
+one; extra columns are ignored; an empty table gives no rows. Batches go through in slices of a few MB, so memory is that of
+a slice or one file.
 """
 
 from __future__ import annotations
@@ -23,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import id_text
+from .common import id_text, slices
 
 # Element ids of the public Matroska specification: fixed values.
 EBML, SEGMENT, INFO, TRACKS, CLUSTER, CUES = 0x1A45DFA3, 0x18538067, 0x1549A966, 0x1654AE6B, 0x1F43B675, 0x1C53BB6B
@@ -174,6 +178,7 @@ def parse(data: bytes | None) -> dict:
         return out | {"error": "no file"}
     number = lambda body, stop: int.from_bytes(data[body:stop], "big")
     scale = 1_000_000
+    durations: dict[int, int] = {}  # nanoseconds a frame
 
     def block(body: int, stop: int, time: int, cluster: int) -> None:
         track, at = read_vint(data, body, stop)
@@ -181,8 +186,8 @@ def parse(data: bytes | None) -> dict:
         lacing = flags >> 1 & 3
         sizes, at = lace_sizes(data, at + 3, stop, lacing)
         stamp = (time + relative) * scale // 1_000_000
-        for n in sizes:
-            out["packets"].append((track, stamp, at, n, cluster, lacing))
+        for k, n in enumerate(sizes):
+            out["packets"].append((track, stamp + k * durations.get(track, 0) // 1_000_000, at, n, cluster, lacing))
             at += n
 
     try:
@@ -194,6 +199,7 @@ def parse(data: bytes | None) -> dict:
                     scale = next((number(b, e) for k, _, b, e in children(data, inner, end) if k == TIMESTAMP_SCALE), scale)
                 elif n == TRACKS:
                     out["tracks"] += [{k: data[b:e] for k, _, b, e in children(data, x, y)} for k, _, x, y in children(data, inner, end)]
+                    durations = {int.from_bytes(t[TRACK_NUMBER], "big"): int.from_bytes(t[DEFAULT_DURATION], "big") for t in out["tracks"] if TRACK_NUMBER in t and DEFAULT_DURATION in t}
                 elif n == CUES:
                     for _, _, x, y in children(data, inner, end):
                         point = {k: (b, e) for k, _, b, e in children(data, x, y)}
@@ -221,7 +227,7 @@ def packet_table(files: DataFrame, id_col: str, content_col: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["file_id", "packet", "track", "timestamp_ms", "byte_start", "byte_length", "cluster_start", "lacing", "cued", "error"]
-        for batch in batches:
+        for batch in slices(batches, column="content"):
             for doc, data in zip(batch["file_id"].to_pylist(), batch["content"].to_pylist(), strict=True):
                 got = parse(data)
                 cued = {x for _, x in got["cues"]}
@@ -237,7 +243,7 @@ def text_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """Texts as Matroska files: doc_id, n_bytes (of the text), media."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             sizes, media = [], []
             for text in batch["text"].to_pylist():
                 raw = text.encode()
@@ -253,17 +259,19 @@ def media_digests(media: DataFrame) -> DataFrame:
     """Per file (doc_id, n_bytes, media), from its packets: the digests of the payload and of the file, and a feature string."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, column="media"):
             rows = []
             for doc, n, data in zip(batch["doc_id"].to_pylist(), batch["n_bytes"].to_pylist(), batch["media"].to_pylist(), strict=True):
                 got = parse(data)
-                if got["error"]:
-                    raise ValueError(f"document {doc}: {got['error']}")
+                if data is None:
+                    rows.append((doc, n, *[None] * 6))
+                    continue
                 payload = b"".join([data[p[2] : p[2] + p[3]] for p in got["packets"]])
                 samples = np.frombuffer(payload, np.uint8)
                 histogram = np.bincount(samples, minlength=256)
                 values = np.arange(256)
-                feature = f"packets={len(got['packets'])};clusters={len(got['clusters'])};cues={len(got['cues'])};last_ms={got['packets'][-1][1]};sum={int(histogram @ values)};energy={int(histogram @ values**2)}"
+                feature = f"packets={len(got['packets'])};clusters={len(got['clusters'])};cues={len(got['cues'])};last_ms={got['packets'][-1][1] if got['packets'] else ''};sum={int(histogram @ values)};energy={int(histogram @ values**2)}"
+                feature += f";error={got['error']}" if got["error"] else ""
                 rows.append((doc, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(data), hashlib.sha256(data).hexdigest(), feature))
             kinds = [batch["doc_id"].type, pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
             names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]

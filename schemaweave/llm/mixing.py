@@ -13,14 +13,17 @@ The classifier: naive Bayes on hashed words and their first four letters, the me
 temperature that a fifth of the labelled rows sets. It is fitted on at most LABELLED labelled rows per domain in order of a
 hash of the id.
 
+``keep_all`` bounds the rates below by 1 inside the projection, so that the totals are those of the rates that are used.
+
 Contract: null or empty texts have no tokens and the domains' prior as posterior; null ids keep their row; rows are kept one
-for one; extra columns are ignored; domains without labelled rows take no part and the other targets are scaled to one;
+for one; extra columns are ignored; domains without labelled rows take no part and the other targets are scaled; domains without a target keep their share;
 without any labelled row every rate is 1. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import dataclasses
+import warnings
 from collections.abc import Iterator
 
 import numpy as np
@@ -99,11 +102,11 @@ def memberships(docs: DataFrame, model: DomainModel, id_col: str = "doc_id", tex
     return own.mapInArrow(run, f"doc_id {own.dtypes[0][1]}, n_tokens long, posterior array<double>")
 
 
-def replay(p: np.ndarray, residuals: list[np.ndarray]) -> np.ndarray:
-    """Rates after the steps whose scaled residuals are given."""
+def replay(p: np.ndarray, residuals: list[np.ndarray], least: float = 0.0) -> np.ndarray:
+    """Rates after the steps whose scaled residuals are given; none is below ``least``."""
     r = np.ones(len(p))
     for g in residuals:
-        r = np.maximum(0, r - (p @ g + PULL * (r - 1)) / (1 + PULL))
+        r = np.maximum(least, r - (p @ g + PULL * (r - 1)) / (1 + PULL))
     return r
 
 
@@ -112,7 +115,7 @@ def _columns(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     return tokens, np.asarray(batch["posterior"].flatten()).reshape(len(tokens), -1)
 
 
-def domain_totals(members: DataFrame, residuals: list[np.ndarray], k: int) -> np.ndarray:
+def domain_totals(members: DataFrame, residuals: list[np.ndarray], k: int, least: float = 0.0) -> np.ndarray:
     """Expected token totals of the domains under the rates so far: one row per task reaches the driver."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -120,7 +123,7 @@ def domain_totals(members: DataFrame, residuals: list[np.ndarray], k: int) -> np
         for batch in batches:
             if len(batch):
                 tokens, p = _columns(batch)
-                total += (tokens * replay(p, residuals)) @ p
+                total += (tokens * replay(p, residuals, least)) @ p
         yield pa.RecordBatch.from_arrays([pa.array(range(k), pa.int32()), pa.array(total)], ["domain", "total"])
 
     out = np.zeros(k)
@@ -130,16 +133,19 @@ def domain_totals(members: DataFrame, residuals: list[np.ndarray], k: int) -> np
 
 
 def fit_rates(members: DataFrame, domains: list[str], targets: dict[str, float], keep_all: bool = False) -> list[np.ndarray]:
-    """Residuals of the steps. The total stays that of the corpus or, with ``keep_all``, is the least at which no domain shrinks."""
+    """Residuals of the steps. The total stays that of the corpus or, with ``keep_all``, is the least at which no domain shrinks.
+
+    Domains without a target keep their share, and the targets share the rest. Steps end when the residuals no longer change; if they still do after STEPS steps, a warning says by how much."""
     k = len(domains)
     now = domain_totals(members, [], k)
     if not now.sum():
         return []
     share = now / now.sum()
+    aimed = np.array([d in targets for d in domains])
     want = np.array([max(0.0, targets.get(d, 0.0)) for d in domains])
     if not want.sum():
         return []
-    want = want / want.sum()
+    want = np.where(aimed, want / want.sum() * share[aimed].sum(), share)
     if keep_all:
         want = want * max(s / w for s, w in zip(share.tolist(), want.tolist(), strict=True) if w > 0 and s > 0)
     scale = 1 / np.maximum(share, 1e-9)
@@ -150,7 +156,9 @@ def fit_rates(members: DataFrame, domains: list[str], targets: dict[str, float],
         if len(residuals) > 1 and np.abs(g - residuals[-1]).max() < NEAR:
             break
         residuals.append(g)
-        got = domain_totals(members, residuals, k) / now.sum()
+        got = domain_totals(members, residuals, k, float(keep_all)) / now.sum()
+    else:
+        warnings.warn(f"rates still change after {STEPS} steps; shares are {np.abs(got / got.sum() - want / want.sum()).max():.4f} off their targets at most", stacklevel=2)
     return residuals
 
 
@@ -166,25 +174,26 @@ def repeated(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], ke
         return docs
     residuals = fit_rates(staged(memberships(docs, model), "memberships"), model.domains, targets, keep_all)
     names = docs.columns
+    mark = "h" + "_" * max(map(len, names))  # longer than any column's name
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim("words")
         for batch in slices(batches):
-            rate = replay(model.posteriors([t or "" for t in batch["text"].to_pylist()]), residuals)
-            copies = _copies(np.maximum(rate, 1.0) if keep_all else rate, np.asarray(batch["__h"]))
+            rate = replay(model.posteriors([t or "" for t in batch["text"].to_pylist()]), residuals, float(keep_all))
+            copies = _copies(rate, np.asarray(batch[mark]))
             rows = pa.RecordBatch.from_arrays([batch[c] for c in names], names)
             while copies.any():  # a round per copy: a batch is never larger than it was
                 yield rows.filter(pa.array(copies > 0))
                 copies = np.maximum(0, copies - 1)
 
-    return docs.withColumn("__h", F.xxhash64("doc_id", F.lit("mix"))).mapInArrow(run, docs.schema)
+    return docs.withColumn(mark, F.xxhash64("doc_id", F.lit("mix"))).mapInArrow(run, docs.schema)
 
 
 def mixed(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], keep_all: bool = False) -> DataFrame:
     """Per document: doc_id, n_tokens, domain (the likeliest), rate, copies."""
     model = fit(docs, labelled)
     if model is None:
-        return docs.select("doc_id", F.size(F.split(F.trim(F.coalesce("text", F.lit(""))), r"\s+")).cast("long").alias("n_tokens"), F.lit(None).cast("string").alias("domain"), F.lit(1.0).alias("rate"), F.lit(1).alias("copies"))
+        return docs.select("doc_id", F.size(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"(\S+)"), F.lit(1))).cast("long").alias("n_tokens"), F.lit(None).cast("string").alias("domain"), F.lit(1.0).alias("rate"), F.lit(1).alias("copies"))
     members = staged(memberships(docs, model), "memberships")
     residuals = fit_rates(members, model.domains, targets, keep_all)
     names = np.array(model.domains, object)
@@ -193,9 +202,7 @@ def mixed(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], keep_
         for batch in batches:
             if len(batch):
                 _, p = _columns(batch)
-                rate = replay(p, residuals)
-                if keep_all:
-                    rate = np.maximum(rate, 1.0)
+                rate = replay(p, residuals, float(keep_all))
                 copies = _copies(rate, np.asarray(batch["h"]))
                 yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["n_tokens"], pa.array(names[p.argmax(1)], pa.string()), pa.array(rate), pa.array(copies, pa.int32())], ["doc_id", "n_tokens", "domain", "rate", "copies"])
 

@@ -3,20 +3,23 @@
 Vectors get one further component that makes all norms equal, so that a smaller distance means a larger inner product. Each
 is split into two halves, each half is quantised by its own codebook (k-means on a bounded sample), and every vector lies
 in the cell of its pair of centroids. A query goes through the pairs in order of summed distance, with a heap over the two
-sorted lists, until the cells seen hold ``fraction`` of all vectors and at least ``at_least``; those are compared in double
-precision.
+sorted lists, until the cells seen hold a share of all vectors and at least ``at_least`` of them; those are compared in double
+precision. That share is ``fraction`` or, by default, what the sample needs for a recall of ``target``: queries of the sample
+are answered by brute force within it, and the share at which each neighbour's cell comes up is counted. So clustered vectors
+take few cells, and vectors without structure many. Centroids grow with the square root of the number of vectors.
 
 Layout: cells lie side by side in slices of LEAST_SLICE to SLICE vectors, so that every task slot has one; a cell that holds more, because a third of all vectors are
 alike, say, is spread over several slices. A slice's task holds its vectors and streams the queries that want one of its
 cells, each query once per slice. Every slice returns 20 at most to a query, so the last step is small.
 
 What reaches the driver: a sample of SAMPLE vectors for the codebooks (all vectors are indexed), one norm, and the counts of
-k*k cells. Recall against brute force is measured in the tests; on data without any structure, such as independent random
-vectors, it is about the share of near vectors in the cells seen, hence the large default fraction.
+k*k cells (at most MOST_CENTROIDS ** 2). Recall against brute force is measured in the tests; on data without any structure,
+such as independent random vectors, it is about the share of the vectors seen, and so is the work.
 
 Contract: vectors that are null, zero, of another length than most, or hold null or non-finite components take no part,
-neither as queries nor as candidates, nor do rows with null ids. Repeated ids are rows of their own; a query never returns
-a row with its own id. Ties go to the smaller id. An empty table gives no rows. Extra columns are ignored.
+neither as queries nor as candidates, nor do rows with null ids. Candidates with repeated ids are rows of their own; equal
+rows are one query, and rows of one id with different vectors are queries of their own, each with its ranks from 1; a query
+never returns a row with its own id. Ties go to the smaller id. An empty table gives no rows. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,6 +35,7 @@ from pyspark.sql import functions as F
 from .common import parallelism
 
 SAMPLE, SLICE, LEAST_SLICE = 16_384, 8_192, 512
+LEAST_CENTROIDS, MOST_CENTROIDS, PROBES = 16, 512, 256
 
 
 def matrix(column: pa.Array) -> np.ndarray:
@@ -78,6 +82,23 @@ class Codebooks:
         x = self.extended(x)
         return nearest(x[:, : self.half], self.books[0]) * self.k + nearest(x[:, self.half :], self.books[1])
 
+    def needed(self, sample: np.ndarray, k: int, target: float) -> float:
+        """The share of vectors that must be seen for a recall of ``target`` among the sample."""
+        cells = self.cells(sample)
+        sizes = np.bincount(cells, minlength=self.k**2)
+        shares = []
+        for i in np.linspace(0, len(sample) - 1, min(PROBES, len(sample))).astype(int):
+            scores = sample @ sample[i]
+            scores[i] = -np.inf
+            near = np.argpartition(-scores, min(k, len(scores) - 1))[:k]
+            q = self.extended(sample[i : i + 1], True)[0]
+            away = ((q[: self.half] - self.books[0]) ** 2).sum(1)[:, None] + ((q[self.half :] - self.books[1]) ** 2).sum(1)
+            order = np.argsort(away.ravel(), kind="stable")
+            at = np.empty(len(order))
+            at[order] = np.cumsum(sizes[order]) / len(sample)
+            shares.append(at[cells[near]])
+        return float(np.quantile(np.concatenate(shares), target))
+
     def traverse(self, query: np.ndarray, sizes: np.ndarray, want: int) -> list[int]:
         """Cells in order of summed distance until they hold ``want`` vectors; empty cells are passed over."""
         q = self.extended(query[None], True)[0]
@@ -98,17 +119,20 @@ class Codebooks:
         return out
 
 
-def search(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", fraction: float = 0.6, at_least: int = 1000, centroids: int = 32) -> DataFrame:
+def search(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", fraction: float | None = None, at_least: int = 1000, centroids: int | None = None, target: float = 0.97) -> DataFrame:
     """query_id, rank (from 1), id under ``id_col``'s name, score: each query's ``k`` nearest of the candidates seen."""
     spark = vectors.sparkSession
     rows = usable(vectors, id_col, vec_col)
     kind = rows.dtypes[0][1]
     sample = rows.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).toArrow()
-    out_schema = f"query_id {kind}, id {kind}, score double"
+    out_schema = f"query_id {kind}, asked long, id {kind}, score double"
     if not sample.num_rows:
         return spark.createDataFrame([], f"query_id {kind}, rank int, {id_col} {kind}, score double")
-    most = rows.agg(F.max(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x * x))).first()[0]
-    books = Codebooks(matrix(sample["vec"].combine_chunks()), most, centroids)
+    n_rows, most = rows.agg(F.count("*"), F.max(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x * x))).first()
+    x = matrix(sample["vec"].combine_chunks())
+    books = Codebooks(x, most, centroids or int(np.clip(np.sqrt(n_rows) / 8, LEAST_CENTROIDS, MOST_CENTROIDS)))
+    if fraction is None:
+        fraction = books.needed(x, k, target)
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -136,7 +160,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec
         for batch in batches:
             cells = np.asarray(batch["cell"])
             slices = first[cells] + np.asarray(batch["h"]) % parts[cells] if len(batch) else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([pa.array(slices, pa.int32()), pa.array(np.zeros(len(batch)), pa.int8()), batch["id"], batch["vec"], pa.array([[c] for c in cells.tolist()], pa.list_(pa.int32()))], ["slice", "kind", "id", "vec", "cells"])
+            yield pa.RecordBatch.from_arrays([pa.array(slices, pa.int32()), pa.array(np.zeros(len(batch)), pa.int8()), batch["id"], batch["vec"], pa.array([[c] for c in cells.tolist()], pa.list_(pa.int32())), batch["h"]], ["slice", "kind", "id", "vec", "cells", "h"])
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -151,7 +175,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec
                     at += [i] * len(own)
                     slices += own
                     cells += own.values()
-                yield pa.RecordBatch.from_arrays([pa.array(slices, pa.int32()), pa.array(np.ones(len(at)), pa.int8()), batch["id"].take(pa.array(at, pa.int32())), batch["vec"].take(pa.array(at, pa.int32())), pa.array(cells, pa.list_(pa.int32()))], ["slice", "kind", "id", "vec", "cells"])
+                yield pa.RecordBatch.from_arrays([pa.array(slices, pa.int32()), pa.array(np.ones(len(at)), pa.int8()), batch["id"].take(pa.array(at, pa.int32())), batch["vec"].take(pa.array(at, pa.int32())), pa.array(cells, pa.list_(pa.int32())), batch["h"].take(pa.array(at, pa.int32()))], ["slice", "kind", "id", "vec", "cells", "h"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, ids, vecs, cells, members = None, [], [], [], None
@@ -180,7 +204,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec
     def answers(part: pa.RecordBatch, names: np.ndarray, x: np.ndarray, members: list[tuple[int, int, int]]) -> Iterator[pa.RecordBatch]:
         for start in range(0, len(part), 512):
             some = part.slice(start, 512)
-            q, own = matrix(some["vec"]), np.asarray(some["id"])
+            q, own, asked = matrix(some["vec"]), np.asarray(some["id"]), np.asarray(some["h"])
             wanted = some["cells"].to_pylist()
             of: dict[int, list[int]] = {}
             for i, cells in enumerate(wanted):
@@ -191,7 +215,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec
                 if cell in of:
                     scores[np.array(of[cell])[:, None], np.arange(a, b)] = q[of[cell]] @ x[a:b].T
             scores[own[:, None] == names] = -np.inf
-            out = [], [], []
+            out = [], [], [], []
             for i in range(len(some)):
                 s = scores[i]
                 least = np.partition(s, -k)[-k] if len(s) > k else -np.inf
@@ -199,14 +223,15 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec
                 exact = (x[near] * q[i]).sum(1)  # in an order that doesn't depend on the block
                 best = np.lexsort((names[near], -exact))[:k]
                 out[0].append(np.full(len(best), own[i]))
-                out[1].append(names[near[best]])
-                out[2].append(exact[best])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), t) for c, t in zip(out, (some["id"].type, some["id"].type, pa.float64()), strict=True)], ["query_id", "id", "score"])
+                out[1].append(np.full(len(best), asked[i]))
+                out[2].append(names[near[best]])
+                out[3].append(exact[best])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), t) for c, t in zip(out, (some["id"].type, pa.int64(), some["id"].type, pa.float64()), strict=True)], ["query_id", "asked", "id", "score"])
 
-    placed = f"slice int, kind byte, id {kind}, vec array<double>, cells array<int>"
+    placed = f"slice int, kind byte, id {kind}, vec array<double>, cells array<int>, h long"
     stored = index.withColumn("h", F.abs(F.xxhash64("id") % 1_000_003)).mapInArrow(place, placed)
-    asked = usable(vectors.where(is_query), id_col, vec_col).where(F.size("vec") == len(sample["vec"][0])).mapInArrow(ask, placed)
+    asked = usable(vectors.where(is_query), id_col, vec_col).where(F.size("vec") == len(sample["vec"][0])).dropDuplicates(["id", "vec"]).withColumn("h", F.xxhash64("vec")).mapInArrow(ask, placed)
     both = stored.unionByName(asked).repartition(max(parallelism(spark), n + 1), "slice").sortWithinPartitions("slice", "kind")
     found = both.mapInArrow(compare, out_schema)
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
+    rank = F.row_number().over(Window.partitionBy("query_id", "asked").orderBy(F.desc("score"), "id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), F.col("id").alias(id_col), "score")

@@ -23,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import pretok
@@ -31,6 +31,8 @@ from .common import CLEAR, claim, slices
 
 BITS, DIM, FILTERS, WIDTHS = 17, 8, 8, (1, 2, 3)
 POSITIVES, NEGATIVES, EPOCHS, BATCH = 3000, 5000, 4, 32
+#: Bytes of text of each class in the sample.
+SAMPLE_BYTES = 12 << 20
 THRESHOLD, ENOUGH = 0.3, 20
 PAD = 1 << BITS  # its embedding is zero
 _BASE, _CHARS = 0x9E3779B97F4A7C15, 1 << 18
@@ -218,12 +220,14 @@ def best_threshold(values: np.ndarray, labels: np.ndarray) -> float:
 
 
 def fit(docs: DataFrame, labels: DataFrame, allowed: Column | None = None, positives: int = POSITIVES, negatives: int = NEGATIVES) -> Model | None:
-    """Fit on the labels for which ``allowed`` holds; docs has doc_id, text and lang, labels doc_id and toxic."""
+    """Fit on the labels for which ``allowed`` holds, a bounded sample of each class (rows, and SAMPLE_BYTES of text); docs has doc_id, text and lang, labels doc_id and toxic."""
     own = labels.where(allowed) if allowed is not None else labels
     own = own.select("doc_id", F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     some = [own.where(F.col("toxic") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n) for c, n in ((1, positives), (0, negatives))]
     chosen = some[0].unionByName(some[1])  # at most positives + negatives rows: small enough to broadcast at any size of the tables
-    rows = docs.select("doc_id", "text", "lang").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "lang", "toxic").toArrow().sort_by("doc_id")
+    found = docs.select("doc_id", "text", "lang").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "lang", "toxic")
+    size = F.sum(F.coalesce(F.octet_length("text"), F.lit(0))).over(Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id", "text"))
+    rows = found.withColumn("size", size).where(F.col("size") <= SAMPLE_BYTES).drop("size").toArrow().sort_by("doc_id")
     texts, y = [t or "" for t in rows["text"].to_pylist()], np.array(rows["toxic"].to_pylist(), np.int64)
     if len(set(y.tolist())) < 2:
         return None

@@ -39,6 +39,16 @@ def test_parts(spark):
         chat.read_back("### user:\nx</turn>\njunk")
 
 
+def test_parts_of_unknown_kind_and_tied_turns(spark):
+    part = {"kind": "video", "text": None, "ref": "v.mp4", "width": None, "height": None, "seconds": None, "pages": None}
+    a = chat.format_turns(spark.createDataFrame([(1, 0, "user", [part, part | {"kind": None, "ref": "x"}])], f"conv_id long, turn int, role string, parts {chat.PARTS}")).first()
+    assert a.formatted == "### user:\n<video:0><file:1></turn>\n" and [(x.kind, x.ref, x.n_tokens) for x in a.attachments] == [("video", "v.mp4", 0), ("file", "x", 0)]
+    rows = [(1, 0, "user2", "a"), (1, 0, "user", "$x"), (1, 0, "user", "#x"), (1, None, "zz", "first"), (1, 0, "us:er", "c")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("parts", chat.text_parts(F.col("text")))
+    want = "".join(f"{r}\n{t}\n" for _, _, r, t in sorted(rows, key=lambda r: (r[1] is not None, r[1] or 0, r[2], r[3])))
+    assert chat.conversation_digests(chat.format_turns(df)).first().turns_sha256 == hashlib.sha256(want.encode()).hexdigest()
+
+
 def test_random_texts_come_back():
     rng = random.Random(3)
     for _ in range(500):
@@ -74,6 +84,20 @@ def test_all_lacings_and_unknown_sizes():
         assert [(p[0], p[1], data[p[2] : p[2] + p[3]]) for p in got["packets"]] == [*((2, 95, f) for f in frames), (2, 107, b"zz"), (1, 900, b"hi")]
 
 
+def test_frames_of_a_lace_follow_each_other():
+    packets = matroska.parse(matroska.mux(b"q" * 192 * 100))["packets"]
+    assert [p[1] for p in packets] == [24 * k for k in range(100)]
+
+
+def test_digests_of_damaged_files(spark):
+    whole = matroska.mux(b"q" * 192 * 3)
+    df = spark.createDataFrame([(1, 5, None), (2, 5, bytearray(whole[:-150])), (3, 5, bytearray(b"")), (None, None, bytearray(whole))], "doc_id long, n_bytes long, media binary")
+    got = {r.doc_id: r for r in matroska.media_digests(df).collect()}
+    assert got[1].payload_bytes is None and got[1].feature is None and got[1].n_bytes == 5
+    assert "error=" in got[2].feature and got[2].media_bytes == len(whole) - 150
+    assert got[3].payload_bytes == 0 and got[None].payload_bytes == 576 and "error" not in got[None].feature
+
+
 def test_cut_files_give_whole_packets_and_an_error():
     data = matroska.mux(b"q" * 192 * 200)
     whole = matroska.parse(data)

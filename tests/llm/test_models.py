@@ -189,3 +189,28 @@ def test_search_spreads_large_cells(spark, monkeypatch):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     got = multi_index.search(df, df["vec_id"] == 2, k=5, fraction=1.0).orderBy("rank").collect()
     assert [r.vec_id for r in got] == [5, 8, 11, 14, 17]
+
+
+def test_rows_of_one_id_are_queries_of_their_own(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, rng.normal(size=6).tolist()) for i in range(200)]
+    rows += [rows[20], (20, rng.normal(size=6).tolist())]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = multi_index.search(df, df["vec_id"] == 20, k=5, fraction=1.0).collect()
+    assert sorted(r.rank for r in got) == [1, 1, 2, 2, 3, 3, 4, 4, 5, 5] and all(r.vec_id != 20 for r in got)
+
+
+def test_texts_without_words_have_no_tokens(spark):
+    docs = spark.createDataFrame([(1, ""), (2, None), (3, " \n"), (4, " a  b ")], "doc_id long, text string")
+    none = spark.createDataFrame([], "doc_id long, domain string")
+    assert {r.doc_id: r.n_tokens for r in mixing.mixed(docs, none, {"en": 1.0}).collect()} == {1: 0, 2: 0, 3: 0, 4: 2}
+
+
+def test_clusters_take_few_cells():
+    """The share that must be seen follows the data: little for clusters, much for vectors without structure."""
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(60, 16)) * 4
+    clustered = centres[rng.integers(0, 60, 4000)] + rng.normal(size=(4000, 16)) * 0.1
+    plain = rng.normal(size=(4000, 16))
+    share = [multi_index.Codebooks(x, float((x * x).sum(1).max()), 16).needed(x, 20, 0.97) for x in (clustered, plain)]
+    assert share[0] < 0.35 < share[1]

@@ -70,6 +70,26 @@ def test_token_files(spark):
     assert huffman_ids.token_id_digests(frame(spark, []), BYTES).count() == 0
 
 
+def test_files_are_read_by_nothing_but_their_path(spark, tmp_path):
+    import subprocess
+    import sys
+
+    path = f"file://{tmp_path}/ids"
+    assert huffman_ids.write_ids(frame(spark), BYTES, path=path) == path
+    code = {r.id: r.length for r in spark.read.parquet(f"{path}/code").collect()}
+    assert 0 in code and sum(2.0**-n for n in code.values()) <= 1
+    script = f"""
+from pyspark.sql import SparkSession
+from schemaweave.llm import huffman_ids
+spark = SparkSession.builder.master("local[1]").config("spark.ui.enabled", "false").getOrCreate()
+for r in huffman_ids.read_ids(spark, {path!r}).orderBy("start").collect():
+    print("row", r.doc_id, r.start, r.n_tokens, r.ids_crc32)
+"""
+    out = subprocess.run([sys.executable, "-c", script], capture_output=True, text=True, timeout=300, check=True).stdout
+    here = [f"row {r.doc_id} {r.start} {r.n_tokens} {r.ids_crc32}" for r in huffman_ids.read_ids(spark, path).orderBy("start").collect()]
+    assert [x for x in out.splitlines() if x.startswith("row ")] == here
+
+
 def test_huffman_code():
     rng = np.random.default_rng(3)
     for counts in ({5: 1}, {0: 1, 9: 1}, {i: 2**i for i in range(40)}, {int(i): int(n) for i, n in enumerate(rng.zipf(1.5, 3000))}):
