@@ -270,6 +270,8 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not found:
             continue
         doc, offset, back, count, h, c = (np.concatenate(x) for x in zip(*found, strict=True))
+        if not len(doc):  # no text is as long as a window
+            continue
         place = np.array(hi, np.int64)[doc] << 40 | offset
         rank = _ranks(batch["doc_id"].to_pylist(), hi)[doc]
         order = np.lexsort((offset, rank, c, h))
