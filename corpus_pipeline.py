@@ -10,11 +10,17 @@ Every stage is written as Parquet and read again, works on all that the stage be
 * mixing: documents are repeated so that expected token shares of the languages meet the targets; none is dropped;
 * encode: nothing goes.
 
+Contract of every stage: null text is empty text, and an empty text is a document like others (several of them are copies of
+one another). Rows that repeat an id are one document to the decisions and stay rows of their own; rows without an id are kept,
+except where they are toxic. Ties go to the smaller id. Columns beyond those of ``documents`` and of any name stay as they are.
+An empty table gives an empty table; without labels no document is toxic and none is repeated.
+
 No stage has an equal in SQL, so ORACLE_SQL is None; the tests hold the stages against brute force.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -68,11 +74,16 @@ STAGES = [("toxicity", clean), ("near_duplicates", one_of_each), ("passages", wi
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = common.table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        path = common.new_path(spark, f"stage-{name}")
+    docs, before = common.table(spark, sf_dir, "documents"), None
+    for k, (name, stage) in enumerate(STAGES):
+        own = f"stage {k} of {uuid.uuid4().hex}"
+        with common.scope(own):
+            path = common.new_path(spark, f"stage-{name}")
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before:
+            common.release(spark, before)  # the stage that read it has been written
+        before = own
     common.release(spark, SCOPE)
     return docs
 
