@@ -52,6 +52,8 @@ CAP = 256
 PARTNERS = 8
 #: Bytes of one bucket's postings, on average at most, and those that a task holds before it lets go of keys beyond CAP.
 BUCKET, HELD = 8 << 20, 48 << 20
+#: Nodes whose pairs are tallied together, and the kinds of what has been found.
+RANGE, ALONE, COMPANY, WAITS = 20_000, 0, 1, 2
 #: Nodes up to which the ids of candidates are broadcast (8 bytes each); beyond, the join is shuffled.
 BROADCAST = 1 << 20
 #: Bits of a parity map.
@@ -192,12 +194,13 @@ def _scaled(n: np.ndarray) -> np.ndarray:
     return np.rint(np.log(n) * 1000).astype(np.uint16)
 
 
-def _compare(postings: DataFrame, shape: tuple[int, int, int]) -> DataFrame:
-    """Rows (a, b, company): pairs that meet alone under a key; where more than two belong together, each with its least partner, company true; and (a, b null) of nodes that wait for the rest."""
+def _compare(postings: DataFrame, shape: tuple[int, int, int], ranges: int) -> DataFrame:
+    """Packed rows (range, kind, rows): pairs that meet alone under a key; where more than two belong together, each with its least partner; and those nodes, which wait for the rest.
+
+    A task packs what it finds by ranges of the first node, so that few rows are shuffled however large a group is."""
     width, size, groups = shape
     chosen = list(itertools.combinations(range(size), width))
     most = NEAR(8 * (size - width + SKETCH))
-    names, schema = ["a", "b", "company"], "a long, b long, company boolean"
 
     def keyed(rows: np.ndarray) -> tuple[np.ndarray, ...]:
         """The postings sorted by key, with their groups' bytes and keys."""
@@ -209,7 +212,7 @@ def _compare(postings: DataFrame, shape: tuple[int, int, int]) -> DataFrame:
         order = np.lexsort((rows["node"], rows["sketch"], key))
         return rows[order], own[order], key[order]
 
-    def links(rows: np.ndarray, own: np.ndarray, key: np.ndarray, open_all: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def links(rows: np.ndarray, own: np.ndarray, key: np.ndarray, open_all: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
         node = np.ascontiguousarray(rows["node"])
         run = np.cumsum(np.concatenate([[True], key[1:] != key[:-1]])) - 1
         here, lefts, rights = np.arange(len(rows)), [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
@@ -239,17 +242,27 @@ def _compare(postings: DataFrame, shape: tuple[int, int, int]) -> DataFrame:
                 break
         several = (np.bincount(label, minlength=len(rows)) > 2)[label]
         two, more = some[~several[some]], some[several[some]]
-        pairs = np.unique(np.stack([np.minimum(node[two], least[two]), np.maximum(node[two], least[two])], 1), axis=0)
-        a, b = np.concatenate([pairs[:, 0], node[more]]), np.concatenate([pairs[:, 1], least[more]])
-        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(np.arange(len(a)) >= len(pairs))], names)
+        yield ALONE, np.unique(np.stack([np.minimum(node[two], least[two]), np.maximum(node[two], least[two])], 1), axis=0)
+        yield COMPANY, np.stack([node[more], least[more]], 1)
         wait = np.unique(node[several | open_all])
-        yield pa.RecordBatch.from_arrays([pa.array(wait), pa.nulls(len(wait), pa.int64()), pa.nulls(len(wait), pa.bool_())], names)
+        yield WAITS, np.stack([wait, wait], 1)
+
+    def packed(found: dict[int, list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        for kind, parts in found.items():
+            rows = np.concatenate(parts)
+            with np.errstate(over="ignore"):
+                to = ((rows[:, 0].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)) % np.uint64(ranges)
+            order = np.argsort(to, kind="stable")
+            to, rows = to[order].astype(np.int32), rows[order]
+            at = np.flatnonzero(np.concatenate([[True], to[1:] != to[:-1]]))
+            blobs = [rows[i:j].tobytes() for i, j in itertools.pairwise([*at.tolist(), len(rows)])]
+            yield pa.RecordBatch.from_arrays([pa.array(to[at]), pa.array(np.full(len(at), kind), pa.int32()), pa.array(blobs, pa.binary())], ["range", "kind", "rows"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim("simhash")
         state = {"bucket": None, "held": [], "bytes": 0, "limit": HELD, "beyond": np.zeros(0, np.uint64)}
 
-        def work(last: bool) -> Iterator[pa.RecordBatch]:
+        def work(last: bool) -> Iterator[tuple[int, np.ndarray]]:
             """Compare what is held; unless ``last``, only the keys beyond CAP, whose postings go, so that a hot key doesn't fill the memory."""
             if not state["held"]:
                 return
@@ -265,26 +278,69 @@ def _compare(postings: DataFrame, shape: tuple[int, int, int]) -> DataFrame:
                 rest = rows[~many]
                 state.update(held=[rest], bytes=rest.nbytes, limit=max(HELD, 2 * rest.nbytes), beyond=np.union1d(state["beyond"], key[many]))
 
+        found: dict[int, list[np.ndarray]] = {}
+        held = 0
+
+        def note(things: Iterator[tuple[int, np.ndarray]]) -> None:
+            nonlocal held
+            for kind, rows in things:
+                if len(rows):
+                    found.setdefault(kind, []).append(rows)
+                    held += rows.nbytes
+
         for batch in batches:
             for to, blob in zip(batch["bucket"].to_pylist(), batch["postings"], strict=True):
                 if to != state["bucket"]:
-                    yield from work(True)
+                    note(work(True))
                     state["bucket"] = to
                 state["held"].append(np.frombuffer(blob.as_buffer(), _POSTING).copy())
                 state["bytes"] += state["held"][-1].nbytes
                 if state["bytes"] > state["limit"]:
-                    yield from work(False)
-        yield from work(True)
+                    note(work(False))
+            if held > HELD:
+                yield from packed(found)
+                found, held = {}, 0
+        note(work(True))
+        yield from packed(found)
 
-    return postings.repartition(parallelism(postings.sparkSession), "bucket").sortWithinPartitions("bucket").mapInArrow(run, schema)
+    return postings.repartition(parallelism(postings.sparkSession), "bucket").sortWithinPartitions("bucket").mapInArrow(run, "range int, kind int, rows binary")
 
 
 def _met(compared: DataFrame) -> DataFrame:
-    """(a, b): the pairs that meet alone under a key, and of the partners that a node has in larger company the least and the PARTNERS met under most keys."""
-    tally = compared.where("company").groupBy("a", "b").agg(F.count("*").alias("c"))
-    best = tally.groupBy("a").agg(F.min("b").alias("least"), F.slice(F.sort_array(F.collect_list(F.struct("c", "b")), False), 1, PARTNERS)["b"].alias("most"))  # a node has a partner a key at most
-    company = best.select("a", F.explode(F.array_union("most", F.array("least"))).alias("b"))
-    return compared.where("not company").select("a", "b").union(company.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct()
+    """(a, b): the pairs that meet alone under a key, and of the partners that a node has in larger company the least and the PARTNERS met under most keys; b is null for the nodes that wait."""
+
+    def chosen(rows: np.ndarray) -> np.ndarray:
+        pairs, tally = np.unique(rows, axis=0, return_counts=True)
+        order = np.lexsort((pairs[:, 1], -tally, pairs[:, 0]))
+        node = pairs[order, 0]
+        new = np.concatenate([[True], node[1:] != node[:-1]])
+        place = np.arange(len(node)) - np.maximum.accumulate(np.where(new, np.arange(len(node)), 0))
+        first = np.concatenate([[True], pairs[1:, 0] != pairs[:-1, 0]])
+        return np.concatenate([pairs[order][place < PARTNERS], pairs[first]])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+
+        def settle() -> Iterator[pa.RecordBatch]:
+            if held:
+                rows = np.concatenate(held)
+                if now[1] == WAITS:
+                    node = np.unique(rows[:, 0])
+                    yield pa.RecordBatch.from_arrays([pa.array(node), pa.nulls(len(node), pa.int64())], ["a", "b"])
+                else:
+                    pairs = np.unique(np.sort(chosen(rows) if now[1] == COMPANY else rows, axis=1), axis=0)
+                    yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+                held.clear()
+
+        for batch in batches:
+            for to, kind, blob in zip(batch["range"].to_pylist(), batch["kind"].to_pylist(), batch["rows"], strict=True):
+                if (to, kind) != now:
+                    yield from settle()
+                    now = to, kind
+                held.append(np.frombuffer(blob.as_buffer(), np.int64).reshape(-1, 2).copy())
+        yield from settle()
+
+    return compared.repartition(parallelism(compared.sparkSession), "range").sortWithinPartitions("range", "kind").mapInArrow(run, "a long, b long")
 
 
 def _retained(pairs: DataFrame, prints: DataFrame) -> DataFrame:
@@ -446,9 +502,10 @@ def links(rows: DataFrame, similarity: float = 0.8) -> DataFrame:
     prints = staged(_prints(found, shape), "prints")
     postings = nodes * shape[2] * math.comb(shape[1], shape[0]) * _POSTING.itemsize
     buckets = max(4 * parallelism(rows.sparkSession), postings // BUCKET)
-    compared = staged(_compare(_postings(prints, shape, buckets), shape), "compared")
-    edges = _verified(staged(_met(compared.where("b is not null")), "candidates"), equal, prints, found, similarity)
-    waiting = staged(compared.where("b is null").select(F.col("a").alias("node")).distinct(), "waiting-nodes")
+    found_pairs = staged(_met(staged(_compare(_postings(prints, shape, buckets), shape, max(16, nodes // RANGE)), "compared")), "met")
+    candidates = found_pairs.where("b is not null").distinct()
+    edges = _verified(staged(candidates, "candidates"), equal, prints, found, similarity)
+    waiting = found_pairs.where("b is null").select(F.col("a").alias("node"))
     return _verified(staged(_across(waiting, edges, prints, shape, similarity), "open-candidates"), edges, prints, found, similarity)
 
 
