@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import re
+
 from ..functions import typemap
+from ..operators import advice, report
 from ..operators.validate import STAGES
 from .corpus import CORPUS
 
@@ -69,7 +72,16 @@ _N = {k: _q(v) for k, v in (("narrow", typemap.NOTE_NARROW), ("raw", typemap.NOT
 _PATHS = "SELECT page_id, url AS path FROM pages UNION ALL SELECT page_id, 'a\\b' || page_id || '.SQL' FROM pages"
 
 
+NAME = "CASE template WHEN 11 THEN 'k'||(k - 1) WHEN 4 THEN 'Mixed t'||k ELSE ['t','t','t','t','','v','i','s','g','f','k','','r','v','t'][template + 1]||k END"
+ID = "sha256(project_id || '|' || source_project_id || '|' || input_source_id || '|0')"
+
+
 def oracle_sql() -> dict[str, str]:
+    first = _first()
+    return first | _lifecycle(first["o110_convert"])
+
+
+def _first() -> dict[str, str]:
     text = "('select q''[a''b]'', ''' || coalesce(text, '') || ''' from t -- it''s' || chr(10) || '/* '''' */ where x = '''' or y = ''z')"
     leading = r"(?s)^(?:\s+|--[^\n]*(?:\n|\z)|/\*.*?(?:\*/|\z))+"
     profile = lambda t, c: f"SELECT '{t}' AS table_name, (SELECT count(*) FROM {t}) AS rows, '{c}' AS column_name, count({c}) AS n, min({c})::DOUBLE AS min_value, max({c})::DOUBLE AS max_value, count(*) FILTER (WHERE {c}::DOUBLE <> floor({c}::DOUBLE)) AS fractions, (SELECT count(*) FROM {t}) - count({c}) AS nulls, CASE WHEN count({c}) = 0 OR count(*) FILTER (WHERE {c}::DOUBLE <> floor({c}::DOUBLE)) > 0 THEN 'numeric' WHEN min({c}) >= -2147483648 AND max({c}) < 2147483648 THEN 'integer' ELSE 'bigint' END AS narrowest FROM {t}"
@@ -136,3 +148,36 @@ def oracle_sql() -> dict[str, str]:
         "d10_duplicates": "SELECT doc_id AS relative_path, sha256(coalesce(text, '')) AS content_hash, count(*) OVER w AS copies, min(doc_id) OVER w AS first_path FROM documents WINDOW w AS (PARTITION BY coalesce(text, '')) QUALIFY count(*) OVER w > 1",
         "d13_sequences": nexts,
     }
+
+
+def _lifecycle(convert_sql: str) -> dict[str, str]:
+    """SQL of the queries over the life of a project; ``convert_sql`` holds the target SQL of every template."""
+    counted = COUNTS.format(key="project_id", group="project_id")
+    target = next(iter(re.findall(r"(?s)CASE template\n(.*?) AS target_sql", convert_sql)))
+    return {
+        "o05_import": """SELECT p_partkey, violation, CASE WHEN violation = '' THEN 'FOLDER' ELSE '' END AS type, CASE WHEN violation = '' THEN name ELSE '' END AS name, CASE WHEN violation = '' THEN sha256('select ' || p_partkey || ' é;') ELSE '' END AS content_hash, CASE WHEN violation = '' THEN length('select ' || p_partkey) + 4 ELSE 0 END::BIGINT AS size_bytes
+            FROM (SELECT p_partkey, CASE WHEN p_partkey % 9 = 1 THEN 'EXTENSION' WHEN p_partkey % 10 = 0 THEN 'EMPTY' WHEN p_partkey % 9 = 2 THEN 'PATH' WHEN p_partkey % 10 = 1 THEN 'ENCODING' ELSE '' END AS violation, 'f' || p_partkey || CASE p_partkey % 9 WHEN 0 THEN '.sql' WHEN 3 THEN '.PKB' ELSE '.ddl' END AS name FROM part)""",
+        "o51_preferences": f"""{OBJECTS}, e(template, step, type) AS (VALUES {', '.join(f'({t}, {s}, {_q(x)})' for t, s, x in [*EDGE_ROWS, (11, -1, 'PACKAGE_BODY_FOR_SPEC')])}),
+            d AS (SELECT k, template, project_id, source_project_id AS sp, k AS id, 0 AS copy FROM o UNION ALL SELECT k, template, project_id, 'c' || ((k // 2) % 3), k + 10000000, 1 FROM o),
+            found AS (SELECT a.id AS source_key, b.id AS target_key, e.type, a.template, a.sp = b.sp AS same, max((a.sp = b.sp)::INT) OVER (PARTITION BY a.id, e.step) AS any_same, row_number() OVER (PARTITION BY a.id, e.step ORDER BY (a.sp = b.sp)::INT DESC, b.copy) AS place FROM d a JOIN e USING (template) JOIN d b ON b.k = a.k + e.step AND b.project_id = a.project_id)
+            SELECT source_key::BIGINT AS source_key, target_key::BIGINT AS target_key, CASE WHEN same THEN type ELSE 'CROSS_SOURCE_DEPENDENCY' END AS type FROM found
+            WHERE CASE WHEN template IN (5, 9, 12, 13) THEN same OR any_same = 0 WHEN template = 11 THEN same ELSE place = 1 END""",
+        "o64_frozen_again": f"""{OBJECTS} SELECT input_source_id, 1 AS version_number, 'AUTO_CONVERSION' AS source, CASE WHEN project_id = 'p0' THEN 'GENERATED' WHEN k % 3 = 0 THEN 'STALE' ELSE 'BASELINE' END AS status FROM o UNION ALL SELECT input_source_id, 2, 'USER_EDIT', CASE WHEN project_id = 'p0' THEN 'EDITED' ELSE 'BASELINE' END FROM o WHERE k % 3 = 0""",
+        "o69_replaced": f"""{OBJECTS} SELECT input_source_id, 1 AS version_number, 'AUTO_CONVERSION' AS source, k % 4 = 0 AS fresh FROM o UNION ALL SELECT input_source_id, 2, 'USER_EDIT', false FROM o WHERE k % 5 = 0""",
+        "o74_html": f"""{RISKS}, n AS ({counted}), i AS (SELECT project_id, count(*) AS issues FROM c WHERE template = 15 GROUP BY project_id),
+            y AS (SELECT n.*, coalesce(issues, 0) AS issues, CASE WHEN project_id <> 'p0' THEN 'STALE' ELSE 'BLOCKED' END AS status FROM n LEFT JOIN i USING (project_id))
+            SELECT project_id, status, status AS json_status, {_q(report.HTML[0])} || '<dt>Project</dt><dd>' || project_id || '</dd><dt>Status</dt><dd>' || status || '</dd><dt>Objects</dt><dd>' || object_count || '</dd><dt>Parse Issues</dt><dd>' || issues || '</dd><dt>Risks</dt><dd>' || risk_count::BIGINT || '</dd><dt>Blockers</dt><dd>' || blocker_count::BIGINT || '</dd><dt>High Risks</dt><dd>' || high_risk_count::BIGINT || '</dd><dt>Conversions</dt><dd>' || object_count || '</dd><dt>SQL Versions</dt><dd>' || object_count || '</dd>' || {_q(report.HTML[1])} AS html_content FROM y""",
+        "q1_objects": f"{OBJECTS}, x AS (SELECT *, {NAME} AS object_name FROM o) SELECT project_id, source_project_id, input_source_id, type, object_name, 'PARSED' AS status, source_path, 0 AS start_offset, 1 AS start_line, rank() OVER (PARTITION BY project_id ORDER BY type, object_name)::INT AS position FROM x",
+        "q2_parse_issues": f"""{C}, x AS (SELECT *, ((k - template) // 16)::BIGINT::VARCHAR AS file FROM c), y AS (SELECT *, coalesce(sum(length(original_text) + 1) OVER (PARTITION BY project_id, file ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::INT AS start_offset FROM x)
+            SELECT project_id, file AS input_source_id, 'UNSUPPORTED_STATEMENT' AS code, 'Statement is not supported by the object model.' AS message, original_text AS text, start_offset, rank() OVER (PARTITION BY project_id ORDER BY start_offset)::INT AS position FROM y WHERE template = 15""",
+        "q4_conversions": f"{OBJECTS}, x AS (SELECT *, {LEVEL} AS level, {ID} AS object_id FROM o) SELECT project_id, input_source_id, level, rank() OVER (PARTITION BY project_id ORDER BY list_position(['AUTO', 'REVIEW_REQUIRED', 'DRAFT', 'MANUAL_REQUIRED'], level), object_id)::INT AS position FROM x",
+        "q5_dependencies": f"{EDGES}, r AS (SELECT project_id, type, rank() OVER (PARTITION BY project_id ORDER BY type)::INT AS position FROM edges) SELECT project_id, type, position, count(*) AS n FROM r GROUP BY ALL",
+        "q6_versions": f"{OBJECTS}, v AS (SELECT *, 1 AS version_number, 'AUTO_CONVERSION' AS source, {ID} AS object_id FROM o UNION ALL SELECT *, 2, 'USER_EDIT', {ID} FROM o WHERE k % 5 = 0) SELECT project_id, input_source_id, version_number, source, rank() OVER (PARTITION BY project_id ORDER BY object_id, version_number)::INT AS position FROM v",
+        "q7_reports": "SELECT o_custkey AS project_id, o_orderkey AS report_id, rank() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC)::INT AS position, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey) = 1 AS latest FROM orders",
+        "q11_preview": f"{OBJECTS}, x AS (SELECT *, {ID} AS object_id FROM o WHERE template <> 12 AND project_id <> 'p0') SELECT project_id, 'READY' AS status, count(*) AS baseline_count, 1::BIGINT AS approved_review_count, 0::BIGINT AS blocker_count, '001_schema_baseline.sql' AS files, md5(string_agg(object_id, ',' ORDER BY object_id)) AS objects_md5 FROM x GROUP BY project_id",
+        "q12_package_blocks": f"{OBJECTS}, x AS (SELECT project_id, {ID} AS object_id, CASE template\n{target} AS target_sql FROM o) SELECT project_id, md5('-- object: ' || object_id || ', version: 1' || chr(10) || regexp_replace(target_sql, '\\s+$', '') || chr(10) || chr(10)) AS block_md5 FROM x",
+        "o88_package": f"{OBJECTS}, x AS (SELECT project_id, {ID} AS object_id, CASE template\n{target} AS target_sql FROM o) SELECT project_id, (length('-- SQL package' || chr(10) || '-- project: ' || project_id) + 2 + sum(length('-- object: ' || object_id || ', version: 1' || regexp_replace(target_sql, '\\s+$', '')) + 3))::INT AS n_chars, count(*)::INT AS n_objects FROM x GROUP BY project_id",
+        "q13_advice": f"""{OBJECTS}, {RULES}, t(n, type, title) AS (VALUES {', '.join(f'({n}, {_q(k)}, {_q(v)})' for n, (k, v) in enumerate(advice.TITLES.items()))}), r AS (SELECT project_id, count(*) AS n_risks FROM o JOIN rules USING (template) GROUP BY project_id)
+            SELECT project_id, t.type, title, 'DRAFT' AS status, {_q(advice.HUMAN)} AS uncertainty, 'rules' AS provider, count(*) AS object_count, any_value(n_risks) AS risk_count, (4 - n)::INT AS position FROM o JOIN r USING (project_id), t GROUP BY project_id, t.type, title, n""",
+        "q14_batches": "SELECT c_nationkey::VARCHAR AS project_id, trim(c_name) AS name, CASE WHEN c_custkey % 2 = 0 THEN 'FOLDER_SET' ELSE 'DATABASE_EXPORT' END AS type, c_custkey::BIGINT AS created, rank() OVER (PARTITION BY c_nationkey ORDER BY c_custkey)::INT AS position FROM customer WHERE c_custkey % 5 <> 0",
+    }

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import textops as T
 from ..functions import typemap
 from ..operators import advice, depgraph, diffs, model, report, review, risk, splitter, validate, versions
+from ..sources import imports
 from . import reads
 from .corpus import corpus
 from .lifecycle import Project
@@ -283,13 +284,142 @@ def d13_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return validate.sequence_positions({n: (_table(spark, sf_dir, n), k) for n, k in (("orders", "o_orderkey"), ("customer", "c_custkey"), ("part", "p_partkey"), ("events", "event_id"))})
 
 
+def _doubled(spark: SparkSession, sf_dir: str) -> Project:
+    """The corpus and a copy of it in other source projects, so that every name has candidates in several."""
+    c = corpus(spark, sf_dir)
+    again = c.withColumn("source_project_id", F.expr("'c'||CAST(CAST(floor(k / 2) AS BIGINT) % 3 AS STRING)")).withColumn("input_source_id", F.expr("CAST(k + 10000000 AS STRING)")).withColumn("source_path", F.expr("'g'||CAST(k AS STRING)||'.sql'"))
+    return Project(c.unionByName(again).drop("k", "template"))
+
+
+def o05_import(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files made from parts, what rule each breaks, and the sources of those that break none."""
+    path = "CASE p_partkey % 9 WHEN 0 THEN 'a/f'||p_partkey||'.sql' WHEN 1 THEN 'f'||p_partkey||'.txt' WHEN 2 THEN '../f'||p_partkey||'.sql' WHEN 3 THEN concat('x', chr(92), 'f', p_partkey, '.PKB') ELSE 'd/f'||p_partkey||'.ddl' END"
+    content = "CASE p_partkey % 10 WHEN 0 THEN X'' WHEN 1 THEN X'73FFFE' ELSE CAST('select '||p_partkey||' é;' AS BINARY) END"
+    files = _table(spark, sf_dir, "part").select("p_partkey", F.expr("'b'||p_partkey % 7").alias("batch_id"), F.expr(path).alias("relative_path"), F.expr(content).alias("content"))
+    found = imports.violations(files).select("p_partkey", "batch_id", F.col("relative_path").alias("path"), "violation")
+    sources = imports.input_sources(files.drop("p_partkey"), "p", "s").select("batch_id", F.col("source_path").alias("p"), "type", "name", "content_hash", "size_bytes")
+    rows = found.join(sources.withColumnRenamed("batch_id", "b"), (F.col("batch_id") == F.col("b")) & (T.normal_path(F.col("path")) == F.col("p")), "left")
+    return rows.select("p_partkey", *(F.coalesce(c, F.lit("")).alias(c) for c in ("violation", "type", "name", "content_hash")), F.coalesce("size_bytes", F.lit(0)).alias("size_bytes"))
+
+
+def o51_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which of several objects of one name a reference means."""
+    p = _doubled(spark, sf_dir)
+    key = p.objects.select("object_id", F.col("input_source_id").cast("long").alias("key"))
+    e = p.edges.join(key.select(F.col("object_id").alias("source_object_id"), F.col("key").alias("source_key")), "source_object_id").join(key.select(F.col("object_id").alias("target_object_id"), F.col("key").alias("target_key")), "target_object_id")
+    return e.select("source_key", "target_key", "type")
+
+
+def o64_frozen_again(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frozen by an approving review, edited and frozen again; baselines of other projects stay as they were."""
+    p = _project(spark, sf_dir)
+    review_of = lambda decision: p.objects.select("project_id").distinct().where("project_id <> 'p0'").withColumn("decision", F.lit(decision)).withColumn("rejection", F.lit(None).cast("string"))
+    v = versions.freeze_approved(p.versions, review_of("CONDITIONALLY_APPROVED"))
+    edits = v.where(F.col("input_source_id").cast("long") % 3 == 0).select("project_id", F.col("version_id").alias("parent_version_id"), F.lit("select 1;").alias("target_sql"), F.lit(1).alias("edit_order"))
+    v = versions.freeze_approved(versions.with_edits(v, edits), review_of("REJECTED").unionByName(review_of("APPROVED")))
+    return v.select("input_source_id", "version_number", "source", "status")
+
+
+def o69_replaced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """O69, O128: generated versions of some sources give way to fresh ones; edits stay."""
+    p = _project(spark, sf_dir)
+    fresh = p.versions.where(F.col("input_source_id").cast("long") % 4 == 0).withColumn("status", F.lit("GENERATED")).withColumn("source_sql", F.lit("fresh"))
+    v = versions.replace_generated(_edited(p), fresh)
+    return v.select("input_source_id", "version_number", "source", (F.col("source_sql") == "fresh").alias("fresh"))
+
+
+def o74_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both renderings of every report, stale in half of the projects."""
+    p = _project(spark, sf_dir)
+    r = report.precheck(p.objects, p.issues, p.risks, p.conversions, p.versions).withColumn("created_at", F.lit(1))
+    changes = r.where("project_id <> 'p0'").select("project_id", F.lit(2).alias("changed_at"))
+    return report.with_staleness(r, changes).select("project_id", "status", "html_content", F.get_json_object("json_content", "$.status").alias("json_status"))
+
+
+def q1_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Objects by type and name."""
+    return reads.ranked(_project(spark, sf_dir).objects, "type", "object_name").select("project_id", "source_project_id", "input_source_id", "type", "object_name", "status", "source_path", "start_offset", "start_line", "position")
+
+
+def q2_parse_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Q2: parse issues by offset, in files of sixteen statements."""
+    c = corpus(spark, sf_dir)
+    files = c.groupBy("project_id", ((F.col("k") - F.col("template")) / 16).cast("long").cast("string").alias("input_source_id")).agg(F.lit("s").alias("source_project_id"), F.min("source_path").alias("source_path"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "original_text"))), lambda x: x["original_text"]), "\n").alias("original_text"))
+    return reads.ranked(Project(files).issues, "start_offset").select("project_id", "input_source_id", "code", "message", F.col("original_text").alias("text"), "start_offset", "position")
+
+
+def q4_conversions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Q4: conversions by level and object id."""
+    return reads.ranked(_project(spark, sf_dir).conversions, *reads.conversion_order()).select("project_id", "input_source_id", "level", "position")
+
+
+def q5_dependencies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Q5: dependencies by type."""
+    return reads.ranked(_project(spark, sf_dir).edges, "type").groupBy("project_id", "type", "position").agg(F.count("*").alias("n"))
+
+
+def q6_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Q6: SQL versions by object id and number."""
+    return reads.ranked(_edited(_project(spark, sf_dir)), "object_id", "version_number").select("project_id", "input_source_id", "version_number", "source", "position")
+
+
+def q7_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Q7, Q10, O104: reports and their reviews, the newest first, orders standing in for both; ties share a place."""
+    o = _table(spark, sf_dir, "orders")
+    rows = o.select(F.col("o_custkey").alias("project_id"), F.col("o_orderkey").alias("report_id"), F.col("o_orderdate").alias("created_at"))
+    newest = review.latest_first(rows).select(F.col("report_id").alias("newest"))
+    placed = reads.ranked(rows, F.desc("created_at"))
+    return placed.join(newest, placed["report_id"] == newest["newest"], "left").select("project_id", "report_id", "position", F.col("newest").isNotNull().alias("latest"))
+
+
+def q12_package_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The blocks of every project's package, cut out of its text."""
+    p = _project(spark, sf_dir)
+    frozen = versions.freeze(p.versions)
+    text = review.package_text(frozen, review.ordered(frozen, p.edges)).select("project_id", F.regexp_replace("sql", r"^-- SQL package\n-- project: \w+\n\n", "").alias("sql"))
+    return text.select("project_id", F.explode(F.slice(F.split("sql", r"(?m)^(?=-- object: )"), 1, 1 << 30)).alias("block")).where("block <> ''").select("project_id", F.md5("block").alias("block_md5"))
+
+
+def q11_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Previews of the projects whose gate is open: every draft edited, no blocker."""
+    p = Project(corpus(spark, sf_dir).where("template not in (12, 15)").drop("k", "template"))
+    edits = p.versions.select("project_id", F.col("version_id").alias("parent_version_id"), F.lit("select 1;").alias("target_sql"), F.lit(1).alias("edit_order"))
+    frozen = versions.freeze(versions.with_edits(p.versions, edits))
+    projects = p.objects.select("project_id").distinct()
+    reports = projects.select("project_id", F.concat(F.lit("r"), "project_id").alias("report_id"), F.lit("CURRENT").alias("status"), F.lit(1).alias("created_at"))
+    reviews = reports.where("project_id <> 'p0'").select("project_id", "report_id", F.lit("APPROVED").alias("decision"), F.lit(2).alias("created_at"))
+    shown = review.preview(review.gate(projects, reports, reviews, frozen, p.risks), review.ordered(frozen.where("status = 'BASELINE'"), p.edges))
+    return shown.select("project_id", "status", "baseline_count", F.col("approved_review_count").cast("long").alias("approved_review_count"), "blocker_count", F.array_join("files", ",").alias("files"), F.md5(F.array_join(F.array_sort("object_ids"), ",")).alias("objects_md5"))
+
+
+def q13_advice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A suggestion of every kind and its call, the newest first."""
+    p = _project(spark, sf_dir)
+    out = None
+    for n, kind in enumerate(advice.TITLES):
+        a = advice.RuleProvider().suggest(kind, p.objects, p.edges, p.risks, p.conversions).withColumn("created_at", F.lit(n))
+        log = advice.call_log(a, advice.RuleProvider.name)
+        a = a.select("project_id", "type", "title", "status", "uncertainty", "created_at").join(log, ["project_id", "type"])
+        out = a if out is None else out.unionByName(a)
+    return reads.ranked(out, F.desc("created_at")).select("project_id", "type", "title", "status", "uncertainty", "provider", "object_count", "risk_count", "position")
+
+
+def q14_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Projects, their units and input batches in order of their time stamps, customers standing in for users."""
+    c = _table(spark, sf_dir, "customer")
+    at = F.timestamp_seconds(F.col("c_custkey"))
+    asked = c.select(F.col("c_nationkey").cast("string").alias("project_id"), F.when(F.col("c_custkey") % 5 == 0, " ").otherwise(F.concat(F.lit(" "), "c_name")).alias("name"), F.when(F.col("c_custkey") % 2 == 0, "FOLDER_SET").alias("type"), "c_custkey")
+    units = imports.register_units(asked, at)
+    return reads.ranked(units, "created_at").select("project_id", "name", "type", F.unix_seconds("created_at").alias("created"), "position")
+
+
 def minimum_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Corpus to risk counts without any Python function."""
     c = corpus(spark, sf_dir).withColumnRenamed("original_text", "text").withColumn("start_offset", F.lit(0)).withColumn("end_offset", F.lit(0)).withColumn("start_line", F.lit(1)).withColumn("end_line", F.lit(1))
     return risk.assess(model.objects(model.classify(c))).groupBy("level", "code").agg(F.count("*").alias("n"))
 
 
-ALL = [minimum_slice, o04_path_rules, o09_content_hash, o18_blank, o19_blank_comments, o24_identifiers, o29_split, o34_classify, o40_columns, o44_replace, o45_type_map, o47_risks, o50_dependencies, o63_freeze, o65_order, o70_precheck, o80_gate, o76_stale_reports, o88_package, o89_reviews, o96_advice, o100_columns_per_object, o103_graph, o110_convert, q3_risks, d1_batch_diff, d2_report_diff, d3_value_profile, d4_shard_checksums, d5_range_shards, d6_work_items, d7_folded_risks, d8_waves, d9_roll_up, d10_duplicates, d11_residue, d12_plan_stages, d13_sequences, d14_stale_artefacts]
+ALL = [minimum_slice, o04_path_rules, o09_content_hash, o18_blank, o19_blank_comments, o24_identifiers, o29_split, o34_classify, o40_columns, o44_replace, o45_type_map, o47_risks, o50_dependencies, o63_freeze, o65_order, o70_precheck, o80_gate, o76_stale_reports, o88_package, o89_reviews, o96_advice, o100_columns_per_object, o103_graph, o110_convert, q3_risks, d1_batch_diff, d2_report_diff, d3_value_profile, d4_shard_checksums, d5_range_shards, d6_work_items, d7_folded_risks, d8_waves, d9_roll_up, d10_duplicates, d11_residue, d12_plan_stages, d13_sequences, d14_stale_artefacts, o05_import, o51_preferences, o64_frozen_again, o69_replaced, o74_html, q1_objects, q2_parse_issues, q4_conversions, q5_dependencies, q6_versions, q7_reports, q11_preview, q12_package_blocks, q13_advice, q14_batches]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -2,12 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators import convert, risk
 
 
+def risk_order() -> tuple:
+    return risk.level_rank(F.col("level")).desc(), F.col("code")
+
+
+def conversion_order() -> tuple:
+    return convert.level_rank(F.col("level")), F.col("object_id")
+
+
+def ranked(df: DataFrame, *order) -> DataFrame:
+    """The place of every row in its project's order as a column, for readers that can't rely on the order of rows."""
+    return df.withColumn("position", F.rank().over(Window.partitionBy("project_id").orderBy(*order)))
+
+
 def _of(df: DataFrame, project_id: str | None) -> DataFrame:
     return df if project_id is None else df.where(F.col("project_id") == project_id)
 
@@ -23,11 +36,11 @@ def parse_issues(df: DataFrame, project_id: str | None = None) -> DataFrame:
 
 
 def risks(df: DataFrame, project_id: str | None = None) -> DataFrame:
-    return _of(df, project_id).orderBy(risk.level_rank(F.col("level")).desc(), "code")
+    return _of(df, project_id).orderBy(*risk_order())
 
 
 def conversions(df: DataFrame, project_id: str | None = None) -> DataFrame:
-    return _of(df, project_id).orderBy(convert.level_rank(F.col("level")), "object_id")
+    return _of(df, project_id).orderBy(*conversion_order())
 
 
 def dependencies(df: DataFrame, project_id: str | None = None) -> DataFrame:
