@@ -23,7 +23,9 @@ class Project:
         return model.classify(splitter.split_statements(self.sources)).persist(StorageLevel.MEMORY_AND_DISK)
 
     def release(self) -> None:
-        self.classified.unpersist()
+        for name in ("classified", "conversions"):
+            if name in self.__dict__:
+                self.__dict__[name].unpersist()
 
     @functools.cached_property
     def objects(self) -> DataFrame:
@@ -47,7 +49,8 @@ class Project:
 
     @functools.cached_property
     def conversions(self) -> DataFrame:
-        return convert.convert_with_extensions(self.objects, self.parts)
+        """Kept like the parse: versions, reports and advice all read it, and making it takes Python."""
+        return convert.convert_with_extensions(self.objects, self.parts).persist(StorageLevel.MEMORY_AND_DISK)
 
     @functools.cached_property
     def versions(self) -> DataFrame:
