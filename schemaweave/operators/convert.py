@@ -16,6 +16,7 @@ from .model import qualified
 
 LEVELS = {"AUTO": 0, "REVIEW_REQUIRED": 1, "DRAFT": 2, "MANUAL_REQUIRED": 3, "UNSUPPORTED": 4}
 _ID = r'(?:"(?:[^"]|"")+"|[\w$#]+)'
+# The clauses that the conversion rules know.
 SEQUENCE_DEFAULT = re.compile(rf"(?i)\bdefault\s+({_ID}(?:\.{_ID})*)\.nextval\b", re.A)
 NOW = re.compile(r"(?i)\bsysdate\b", re.A)
 USING_INDEX = re.compile(r"(?is)\s+using\s+index\b.*$", re.A)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import textops as T
 
 LEVELS = {"LOW": 0, "MEDIUM": 1, "HIGH": 2, "BLOCKER": 3}
+# What makes a package's global state, and the narrow number types.
 PACKAGE = r"(?i)\bcreate\s+(?:or\s+replace\s+)?(?:editionable\s+|noneditionable\s+)?package\b"
 GLOBAL = r"(?im)^\s*[a-z_][\w$#]*\s+(?:constant\s+)?(?:number|varchar2|date|timestamp|boolean|clob|blob)\b.*;"
 NARROW = r"(?i)number\s*\(\s*(?:10|19)\s*,\s*0\s*\)"
