@@ -2,6 +2,9 @@
 
 Every round is a few joins and aggregates over the edges and is written to the shared folder; nothing but two sums per
 round reaches the driver. Nodes are longs; the result maps each node that has an edge to the smallest node it reaches.
+
+Contract: edges in either direction, repeated or of a node to itself change nothing, and a node with no other edge isn't in
+the result; edges with a null end link nothing; an empty table gives no rows.
 """
 
 from __future__ import annotations

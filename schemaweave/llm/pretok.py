@@ -7,6 +7,9 @@ of texts are computed with numpy from a class per code point: letter, number, wh
 * a run of white space before a character gives up its last character, which leads the next piece if it is a plain space
   and is a piece of its own otherwise;
 * an apostrophe that begins a piece takes the letters of 's 't 're 've 'm 'll 'd along.
+
+Contract: callers turn null into empty text, which has no pieces; an empty batch has none either; a text is cut whole, and the
+work is linear in the characters. Repeated texts are cut again; equal pieces of a block are one distinct piece.
 """
 
 from __future__ import annotations

@@ -513,5 +513,7 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """Per document: doc_id, component_id (the smallest doc_id of its component; null if no row of it has an id)."""
     rows = staged(sets(docs, id_col, text_col, words), "sets")
     roots = components(links(rows, similarity), "set-components")
-    of = staged(rows.select("doc_id", "node").join(roots, "node", "left").select("doc_id", F.coalesce("root", "node").alias("root")), "set-roots")
-    return of.join(of.groupBy("root").agg(F.min("doc_id").alias("component_id")), "root").select("doc_id", "component_id")
+    least = rows.groupBy("node").agg(F.min("doc_id").alias("least")).join(roots, "node", "left")
+    least = staged(least.select("node", F.coalesce("root", "node").alias("root"), "least"), "node-roots")
+    of = staged(least.join(least.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("node", "component_id"), "set-roots")
+    return rows.select("doc_id", "node").join(of, "node").select("doc_id", "component_id")

@@ -75,7 +75,7 @@ def buckets(text: str) -> np.ndarray:
 
 
 def words_of(text: str) -> np.ndarray:
-    """Buckets of all words of a text of any length; one of padding if there are none."""
+    """Buckets of all words of a text of any length; one of padding if there are none. A run of letters longer than half of _CHARS is cut there into words of its own."""
     text = text.lower()
     if len(text) < _CHARS:
         out = buckets(text)
