@@ -9,11 +9,12 @@ Sorting all suffixes of a corpus moves LENGTH bytes per byte of text; here only
    closer look only where one K-byte string has several classes; they go back to their document and fetch their bytes.
 3. Sorting. The bytes from the anchor on, and those before it read backwards, are sorted by deep-shallow sorting: multikey
    quicksort on 8-byte symbols to a shallow depth, then a blind trie for each group that is still equal there. The common
-   prefixes of neighbours in both orders tell, for each of the windows, which of them are equal; the earliest stays.
+   prefixes of neighbours in both orders tell, for each of the windows, which of them are equal; the earliest stays. A window
+   has SIDE bytes or more before its anchor or behind it, so anchors meet twice, by the bytes before and by those behind.
 4. Intervals meet their documents and are merged.
 
 Equal rows meet inside a batch before the shuffle, so a passage that a third of the corpus shares sends one row per batch.
-Step 2 streams sorted rows with constant state; step 3 holds the distinct surroundings of one K-byte string at a time.
+Step 2 streams sorted rows with constant state; step 3 holds the distinct surroundings of one string of K + SIDE bytes at a time.
 
 Contract: null text is empty text; documents are ordered by id (nulls first); rows that repeat an id with the same text are
 one document and get the same result, with different texts they are documents in order of a hash of the text. Texts of
@@ -35,9 +36,10 @@ from pyspark.sql import functions as F
 from .common import CLEAR, claim, id_text, parallelism, slices, staged
 
 LENGTH, K = 100, 32
+SIDE = (LENGTH - K) // 2  # a window has at least so many bytes before its anchor or behind it
 BLOCK = 1 << 19
 SHALLOW, SMALL = 72, 12
-_BASE, _MIX, _POS = 0x9E3779B97F4A7C15, np.uint64(0x94D049BB133111EB), np.uint64((1 << 21) - 1)
+_BASE, _MIX, _POS, _ALL = 0x9E3779B97F4A7C15, np.uint64(0x94D049BB133111EB), np.uint64((1 << 21) - 1), (1 << 64) - 1
 
 
 @functools.cache
@@ -375,16 +377,33 @@ def _bytes(column: pa.Array) -> Iterator[bytes]:
         yield expand(x) if x else b""
 
 
+def _sides(back: int, count: int) -> Iterator[tuple[bool, int, int]]:
+    """An anchor's windows in two parts, those with SIDE bytes or more before the anchor (True) and the others, as first window and number."""
+    left = min(max(back - SIDE + 1, 0), count)
+    if left:
+        yield True, 0, left
+    if left < count:
+        yield False, left, count - left
+
+
 def _fetch_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """h becomes a hash of the K bytes and of the SIDE bytes that all windows of the part have before or behind them."""
+    import xxhash
+
     for batch in batches:
-        at, parts = [], []
+        at, keys, parts = [], [], []
         for i, (text, wanted) in enumerate(zip(_bytes(batch["bytes"]), batch["wanted"].to_pylist(), strict=True)):
             for w in wanted:
                 offset = w["place"] & (1 << 40) - 1
-                at.append(i)
-                parts.append((w["h"], w["place"], w["back"], w["count"], text[offset : offset + w["count"] - 1 + LENGTH]))
-        h, place, back, count, context = zip(*parts, strict=True) if parts else [()] * 5
-        yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), batch["doc_id"].take(pa.array(at, pa.int64())), pa.array(place, pa.int64()), pa.array(back, pa.int16()), pa.array(count, pa.int16()), pa.array(context, pa.binary())], ["h", "doc_id", "place", "back", "count", "context"])
+                anchor = offset + w["back"]
+                for left, first, count in _sides(w["back"], w["count"]):
+                    side = text[anchor - SIDE : anchor] if left else text[anchor + K : anchor + K + SIDE]
+                    at.append(i)
+                    keys.append(xxhash.xxh3_64_intdigest(side, (~w["h"] if left else w["h"]) & _ALL))
+                    parts.append((w["place"] + first, w["back"] - first, count, text[offset + first : offset + first + count - 1 + LENGTH]))
+        place, back, count, context = zip(*parts, strict=True) if parts else [()] * 4
+        h = pa.array(np.array(keys, np.uint64).view(np.int64))
+        yield pa.RecordBatch.from_arrays([h, batch["doc_id"].take(pa.array(at, pa.int64())), pa.array(place, pa.int64()), pa.array(back, pa.int16()), pa.array(count, pa.int16()), pa.array(context, pa.binary())], ["h", "doc_id", "place", "back", "count", "context"])
 
 
 CHUNK = 20_000
@@ -393,11 +412,15 @@ CHUNK = 20_000
 def _sorted_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sorted by h and place: the windows that are equal to an earlier one, as (place, count) runs."""
 
-    def compare(rows: pa.Table) -> pa.RecordBatch:
+    def compare(rows: pa.Table) -> pa.RecordBatch | None:
         rows = rows.combine_chunks()
         twice = [(rows[x].slice(1).combine_chunks(), rows[x].slice(0, len(rows) - 1).combine_chunks()) for x in ("h", "place", "doc_id")]
         twice = np.concatenate([[False], np.logical_and.reduce([_same(a, b) for a, b in twice])])
         rows = rows.filter(pa.array(~twice)) if twice.any() else rows
+        new = np.diff(rows["h"].to_numpy()) != 0
+        rows = rows.filter(pa.array(~(np.append(True, new) & np.append(new, True))))  # a row alone in its group has no equal
+        if not len(rows):
+            return None
         h, place = rows["h"].to_numpy(), rows["place"].to_numpy()
         back, count = rows["back"].to_numpy().astype(np.int64), rows["count"].to_numpy().astype(np.int64)
         group = np.cumsum(np.concatenate([[0], h[1:] != h[:-1]]))
@@ -423,11 +446,11 @@ def _sorted_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             rows = pa.Table.from_batches(held)
             h = rows["h"].to_numpy()
             cut = int(np.searchsorted(h, h[-1]))  # the last group may go on
-            if cut:
-                yield compare(rows.slice(0, cut))
+            if cut and (hits := compare(rows.slice(0, cut))):
+                yield hits
             held, size = rows.slice(cut).to_batches(), len(rows) - cut
-    if size:
-        yield compare(pa.Table.from_batches(held))
+    if size and (hits := compare(pa.Table.from_batches(held))):
+        yield hits
 
 
 def intervals(docs: DataFrame) -> DataFrame:

@@ -149,6 +149,33 @@ def test_passages_match_brute_force(spark):
     assert suffix_dedup.passage_digests(df.where("false")).count() == 0
 
 
+def test_one_line_in_many_surroundings(spark):
+    rng = random.Random(8)
+    some = lambda: "".join(rng.choices("abcdefgh ", k=rng.randint(0, 90)))
+    line, before, behind = "the one line that very many of the documents share", [some() for _ in range(60)], [some() for _ in range(60)]
+    rows = [(i, rng.choice(before) + line[rng.choice([0, 0, 9]) :] + rng.choice(behind)) for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    assert {r.doc_id: tuple(r)[1:] for r in suffix_dedup.passage_digests(df).collect()} == brute_passages(rows)
+
+
+def test_surroundings_of_an_anchor_are_dealt_by_its_sides():
+    import pyarrow as pa
+    import zstandard
+
+    for back in range(69):
+        for count in range(1, back + 2):
+            parts = list(S._sides(back, count))
+            assert sorted(k for _, first, n in parts for k in range(first, first + n)) == list(range(count))
+            assert all((back - k >= S.SIDE) == left for left, first, n in parts for k in (first, first + n - 1))
+    rng = random.Random(9)
+    texts = [bytes(rng.choices(b"abcd", k=68)) + b"k" * 32 + bytes(rng.choices(b"abcd", k=68)) for _ in range(200)]
+    wanted = [[{"h": -5, "place": 0, "back": 68, "count": 69}]] * len(texts)
+    kind = pa.list_(pa.struct([("h", pa.int64()), ("place", pa.int64()), ("back", pa.int16()), ("count", pa.int16())]))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(200)), pa.array([zstandard.compress(t) for t in texts]), pa.array(wanted, kind)], ["doc_id", "bytes", "wanted"])
+    (rows,) = S._fetch_rows(iter([batch]))
+    assert len(rows) == len(set(rows["h"].to_pylist())) == 400
+
+
 def test_repeated_rows_are_one_document(spark):
     text = " ".join(f"w{i}" for i in range(60))
     df = spark.createDataFrame([(1, text), (1, text), (2, text)], "doc_id long, text string")
