@@ -12,7 +12,7 @@ How it is built: texts are dealt to ranges of doc_id and tokenised there once (s
 by id (one row per id reaches the driver: bounded by the vocabulary); package-merge gives code lengths of at most LIMIT
 bits; every range is then coded where it lies, without a further shuffle.
 
-Contract: null text is empty text (just the end id); repeated doc_ids stay separate rows, ordered by id, then by their
+Contract: null text is empty text (just the end id); strings of special tokens in a text give their ids, as the library has it (such texts are encoded whole by it); repeated doc_ids stay separate rows, ordered by id, then by their
 text, and a hot id is dealt to several ranges by how its texts begin; null doc_ids come first; an empty table gives empty files and no rows; extra columns are ignored.
 """
 
@@ -43,7 +43,7 @@ class PieceIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.special = [str(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.old: tuple = {}, None, None
         self.clear()
 
@@ -122,10 +122,12 @@ def encoded(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataFrame:
         p = piece_ids(tokenizer_path)
         end = np.array([end_id], np.uint32)
         for batch in slices(batches):
-            for first, last, words, places, ends in pretok.pieces(batch["text"].to_pylist()):
+            texts = batch["text"].to_pylist()
+            whole = {i: np.array(p.tokenizer.encode(t, add_special_tokens=False).ids, np.uint32) for i, t in enumerate(texts) if any(x in t for x in p.special)}
+            for first, last, words, places, ends in pretok.pieces(["" if i in whole else t for i, t in enumerate(texts)]):
                 ids, sizes = p.ids(words, places)
                 cuts = np.concatenate([[0], np.cumsum(sizes)])[np.concatenate([[0], ends])]
-                out = [np.concatenate([ids[i:j], end]).tobytes() for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+                out = [np.concatenate([whole.get(first + n, ids[i:j]), end]).tobytes() for n, (i, j) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True))]
                 yield pa.RecordBatch.from_arrays([batch["doc_id"].slice(first, last - first), pa.array(out, pa.binary())], ["doc_id", "ids"])
 
     return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, ids binary")

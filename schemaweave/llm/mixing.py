@@ -6,7 +6,7 @@ least squares of the shares, each relative to the domain's share now, plus a sma
 projected gradient in the metric of the documents' tokens. In that metric the step bound is 1 + PULL for any data.
 
 A step needs one pass over (tokens, posterior) and brings one number per domain and task to the driver. A document's rate
-follows from its posterior and the residuals of the steps so far, so a pass replays them and no rates are stored: nothing is
+follows from its posterior and the momentum and residuals of the steps so far, so a pass replays them and no rates are stored: nothing is
 lost with an executor. Copies are the rate rounded up or down by a hash of the id, so that their mean is the rate.
 
 The classifier: naive Bayes on hashed words and their first four letters, the mean log likelihood per word times a
@@ -23,18 +23,17 @@ without any labelled row every rate is 1. An empty table gives no rows.
 from __future__ import annotations
 
 import dataclasses
-import warnings
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import claim, slices, staged
-from .toxicity import PAD, words_of
+from .toxicity import PAD, bounded_texts, words_of
 
-LABELLED, PULL, STEPS, NEAR = 1000, 1e-3, 40, 1e-5
+LABELLED, PULL, STEPS, NEAR = 1000, 1e-3, 400, 1e-5
 
 
 @dataclasses.dataclass
@@ -61,11 +60,9 @@ def fit(docs: DataFrame, labelled: DataFrame, most: int = LABELLED) -> DomainMod
     names = sorted(r["domain"] for r in own.select("domain").distinct().collect())
     if not names:
         return None
-    some = None
-    for name in names:
-        part = own.where(F.col("domain") == name).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-        some = part if some is None else some.unionByName(part)
-    rows = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").select("doc_id", "text", "domain").toArrow().sort_by("doc_id")  # at most ``most`` rows for each of the domains
+    place = F.row_number().over(Window.partitionBy("domain").orderBy(F.xxhash64("doc_id"), "doc_id"))
+    some = own.withColumn("place", place).where(F.col("place") <= most).drop("place")
+    rows = bounded_texts(docs.select("doc_id", "text"), some, "domain").toArrow().sort_by("doc_id")
     texts, y = [t or "" for t in rows["text"].to_pylist()], np.array([names.index(d) for d in rows["domain"].to_pylist()], np.int64)
     held = np.arange(len(y)) % 5 == 4
     counts = np.zeros((PAD, len(names)))
@@ -102,12 +99,13 @@ def memberships(docs: DataFrame, model: DomainModel, id_col: str = "doc_id", tex
     return own.mapInArrow(run, f"doc_id {own.dtypes[0][1]}, n_tokens long, posterior array<double>")
 
 
-def replay(p: np.ndarray, residuals: list[np.ndarray], least: float = 0.0) -> np.ndarray:
-    """Rates after the steps whose scaled residuals are given; none is below ``least``."""
-    r = np.ones(len(p))
-    for g in residuals:
-        r = np.maximum(least, r - (p @ g + PULL * (r - 1)) / (1 + PULL))
-    return r
+def replay(p: np.ndarray, steps: list[tuple[float, np.ndarray]], least: float = 0.0, ahead: float = 0.0) -> np.ndarray:
+    """Rates after the steps, each a momentum and the scaled residuals at the point that the momentum leads to; none is below ``least``. ``ahead`` goes on by that momentum."""
+    r = before = np.ones(len(p))
+    for momentum, g in steps:
+        at = r + momentum * (r - before)
+        before, r = r, np.maximum(least, at - (p @ g + PULL * (at - 1)) / (1 + PULL))
+    return r + ahead * (r - before)
 
 
 def _columns(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
@@ -115,15 +113,15 @@ def _columns(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     return tokens, np.asarray(batch["posterior"].flatten()).reshape(len(tokens), -1)
 
 
-def domain_totals(members: DataFrame, residuals: list[np.ndarray], k: int, least: float = 0.0) -> np.ndarray:
-    """Expected token totals of the domains under the rates so far: one row per task reaches the driver."""
+def domain_totals(members: DataFrame, steps: list[tuple[float, np.ndarray]], k: int, least: float = 0.0, ahead: float = 0.0) -> np.ndarray:
+    """Expected token totals of the domains under the rates so far, or ahead of them: one row per domain reaches the driver."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(k)
         for batch in batches:
             if len(batch):
                 tokens, p = _columns(batch)
-                total += (tokens * replay(p, residuals, least)) @ p
+                total += (tokens * replay(p, steps, least, ahead)) @ p
         yield pa.RecordBatch.from_arrays([pa.array(range(k), pa.int32()), pa.array(total)], ["domain", "total"])
 
     out = np.zeros(k)
@@ -132,10 +130,11 @@ def domain_totals(members: DataFrame, residuals: list[np.ndarray], k: int, least
     return out
 
 
-def fit_rates(members: DataFrame, domains: list[str], targets: dict[str, float], keep_all: bool = False) -> list[np.ndarray]:
-    """Residuals of the steps. The total stays that of the corpus or, with ``keep_all``, is the least at which no domain shrinks.
+def fit_rates(members: DataFrame, domains: list[str], targets: dict[str, float], keep_all: bool = False) -> list[tuple[float, np.ndarray]]:
+    """The steps of the rates. The total stays that of the corpus or, with ``keep_all``, is the least at which no domain shrinks.
 
-    Domains without a target keep their share, and the targets share the rest. Steps end when the residuals no longer change; if they still do after STEPS steps, a warning says by how much."""
+    Domains without a target keep their share, and the targets share the rest. Steps are projected-gradient steps with Nesterov's
+    momentum, which starts anew when the residuals grow. They end when the residuals no longer change; rates that still do after STEPS steps are an error."""
     k = len(domains)
     now = domain_totals(members, [], k)
     if not now.sum():
@@ -149,17 +148,21 @@ def fit_rates(members: DataFrame, domains: list[str], targets: dict[str, float],
     if keep_all:
         want = want * max(s / w for s, w in zip(share.tolist(), want.tolist(), strict=True) if w > 0 and s > 0)
     scale = 1 / np.maximum(share, 1e-9)
-    residuals: list[np.ndarray] = []
-    got = share
-    for _ in range(STEPS):
+    steps: list[tuple[float, np.ndarray]] = []
+    momentum, pace, got, still = 0.0, 1.0, share, 0
+    while True:
         g = (got - want) * scale
-        if len(residuals) > 1 and np.abs(g - residuals[-1]).max() < NEAR:
-            break
-        residuals.append(g)
-        got = domain_totals(members, residuals, k, float(keep_all)) / now.sum()
-    else:
-        warnings.warn(f"rates still change after {STEPS} steps; shares are {np.abs(got / got.sum() - want / want.sum()).max():.4f} off their targets at most", stacklevel=2)
-    return residuals
+        still = still + 1 if steps and np.abs(g - steps[-1][1]).max() < NEAR else 0
+        if still == 3:  # one alone may be a turning point
+            return steps
+        if len(steps) == STEPS:
+            raise RuntimeError(f"rates still change after {STEPS} steps; shares are {np.abs(got / got.sum() - want / want.sum()).max():.4f} off their targets at most")
+        if steps and np.abs(g).max() > np.abs(steps[-1][1]).max():
+            pace = 1.0
+        steps.append((momentum, g))
+        pace, last = (1 + (1 + 4 * pace * pace) ** 0.5) / 2, pace
+        momentum = (last - 1) / pace
+        got = domain_totals(members, steps, k, float(keep_all), momentum) / now.sum()
 
 
 def _copies(rate: np.ndarray, h: np.ndarray) -> np.ndarray:

@@ -44,12 +44,12 @@ def matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 0))
 
 
-def usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
-    """(id, vec) of the rows that take part."""
-    rows = vectors.select(vectors[id_col].alias("id"), vectors[vec_col].cast("array<double>").alias("vec")).where("id is not null and size(vec) > 0")
+def usable(vectors: DataFrame, id_col: str, vec_col: str, is_query: Column | None = None) -> DataFrame:
+    """(id, vec) of the rows that take part, or of the queries among them; the commonest length is that of all vectors."""
+    rows = vectors.select(vectors[id_col].alias("id"), vectors[vec_col].cast("array<double>").alias("vec"), (F.lit(True) if is_query is None else is_query).alias("asked")).where("id is not null and size(vec) > 0")
     rows = rows.where("forall(vec, x -> x is not null and not isnan(x) and abs(x) < double('infinity')) and exists(vec, x -> x <> 0)")
     length = rows.groupBy(F.size("vec").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    return rows.where(F.size("vec") == (length["n"] if length else 0))
+    return rows.where((F.size("vec") == (length["n"] if length else 0)) & F.col("asked")).select("id", "vec")
 
 
 def kmeans(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
@@ -230,7 +230,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec
 
     placed = f"slice int, kind byte, id {kind}, vec array<double>, cells array<int>, h long"
     stored = index.withColumn("h", F.abs(F.xxhash64("id") % 1_000_003)).mapInArrow(place, placed)
-    asked = usable(vectors.where(is_query), id_col, vec_col).where(F.size("vec") == len(sample["vec"][0])).dropDuplicates(["id", "vec"]).withColumn("h", F.xxhash64("vec")).mapInArrow(ask, placed)
+    asked = usable(vectors, id_col, vec_col, is_query).dropDuplicates(["id", "vec"]).withColumn("h", F.xxhash64("vec")).mapInArrow(ask, placed)
     both = stored.unionByName(asked).repartition(max(parallelism(spark), n + 1), "slice").sortWithinPartitions("slice", "kind")
     found = both.mapInArrow(compare, out_schema)
     rank = F.row_number().over(Window.partitionBy("query_id", "asked").orderBy(F.desc("score"), "id"))

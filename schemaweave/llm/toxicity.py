@@ -32,7 +32,7 @@ from .common import CLEAR, claim, slices
 BITS, DIM, FILTERS, WIDTHS = 17, 8, 8, (1, 2, 3)
 POSITIVES, NEGATIVES, EPOCHS, BATCH = 3000, 5000, 4, 32
 #: Bytes of text of each class in the sample.
-SAMPLE_BYTES = 12 << 20
+SAMPLE_BYTES, LONGEST = 12 << 20, 1 << 18
 THRESHOLD, ENOUGH = 0.3, 20
 PAD = 1 << BITS  # its embedding is zero
 _BASE, _CHARS = 0x9E3779B97F4A7C15, 1 << 18
@@ -219,15 +219,26 @@ def best_threshold(values: np.ndarray, labels: np.ndarray) -> float:
     return float(v[k] - gap[k] / 2)
 
 
+def bounded_texts(docs: DataFrame, chosen: DataFrame, by: str) -> DataFrame:
+    """One row per document of ``chosen`` (doc_id, ``by``; small) with its text cut to LONGEST characters, as many per value of ``by`` as SAMPLE_BYTES hold."""
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    cut = docs.join(F.broadcast(chosen), "doc_id").select("doc_id", by, F.struct(F.substring(F.coalesce("text", F.lit("")), 1, LONGEST).alias("text"), *rest).alias("x"))
+    one = cut.groupBy("doc_id", by).agg(F.min("x").alias("x")).select("doc_id", by, "x.*")
+    size = F.sum(F.octet_length("text")).over(Window.partitionBy(by).orderBy(F.xxhash64("doc_id"), "doc_id"))
+    return one.withColumn("size", size).where(F.col("size") <= SAMPLE_BYTES).drop("size")
+
+
 def fit(docs: DataFrame, labels: DataFrame, allowed: Column | None = None, positives: int = POSITIVES, negatives: int = NEGATIVES) -> Model | None:
-    """Fit on the labels for which ``allowed`` holds, a bounded sample of each class (rows, and SAMPLE_BYTES of text); docs has doc_id, text and lang, labels doc_id and toxic."""
+    """Fit on the labels for which ``allowed`` holds, a bounded sample of each class (rows, and SAMPLE_BYTES of text); docs has doc_id, text and lang, labels doc_id and toxic.
+
+    A labelled text counts with its first LONGEST characters here, so that some of every class fit; scores are of whole texts.
+    Of documents that repeat an id the least text and lang count."""
     own = labels.where(allowed) if allowed is not None else labels
     own = own.select("doc_id", F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     some = [own.where(F.col("toxic") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n) for c, n in ((1, positives), (0, negatives))]
     chosen = some[0].unionByName(some[1])  # at most positives + negatives rows: small enough to broadcast at any size of the tables
-    found = docs.select("doc_id", "text", "lang").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "lang", "toxic")
-    size = F.sum(F.coalesce(F.octet_length("text"), F.lit(0))).over(Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id", "text"))
-    rows = found.withColumn("size", size).where(F.col("size") <= SAMPLE_BYTES).drop("size").toArrow().sort_by("doc_id")
+    found = bounded_texts(docs.select("doc_id", "text", "lang"), chosen, "toxic")
+    rows = found.toArrow().sort_by("doc_id")
     texts, y = [t or "" for t in rows["text"].to_pylist()], np.array(rows["toxic"].to_pylist(), np.int64)
     if len(set(y.tolist())) < 2:
         return None

@@ -1,6 +1,8 @@
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 from schemaweave.llm import dom_model, mixing, multi_index, toxicity
 
 
@@ -143,14 +145,34 @@ def test_projected_gradient_reaches_the_least_squares_optimum():
     w = tokens / tokens.sum()
     share = w @ p
     want = np.array([0.5, 0.3, 0.2])
-    residuals = []
+    steps = []
     for _ in range(mixing.STEPS):
-        residuals.append(((w * mixing.replay(p, residuals)) @ p - want) / share)
+        steps.append((0.0, ((w * mixing.replay(p, steps)) @ p - want) / share))
     value = lambda r: (((w * r) @ p - want) ** 2 / share).sum() + mixing.PULL * (w * (r - 1) ** 2).sum()
     r = np.ones(200)
     for _ in range(20_000):
         r = np.maximum(0, r - 0.5 * (p @ (((w * r) @ p - want) / share) + mixing.PULL * (r - 1)))
-    assert value(mixing.replay(p, residuals)) <= value(r) + 1e-4
+    assert value(mixing.replay(p, steps)) <= value(r) + 1e-4
+
+
+@pytest.mark.parametrize("keep_all", [False, True])
+@pytest.mark.parametrize("seed", range(4))
+def test_rates_settle_at_the_optimum(monkeypatch, seed, keep_all):
+    """Few and many documents, sharp and vague posteriors: the accelerated steps end, where plain steps come to after very many."""
+    rng = np.random.default_rng(seed)
+    n = [20, 300, 5000, 60][seed]
+    tokens, p = rng.integers(1, 400, n).astype(float), rng.dirichlet(np.array([3, 1, 0.5, 0.1]) * [1, 0.05, 0.3, 0.01][seed], n)
+    monkeypatch.setattr(mixing, "domain_totals", lambda m, steps, k, least=0.0, ahead=0.0: (tokens * mixing.replay(p, steps, least, ahead)) @ p)
+    steps = mixing.fit_rates(None, list("abcd"), {"a": 0.3, "b": 0.3, "c": 0.2, "d": 0.2}, keep_all)
+    assert len(steps) < mixing.STEPS
+    share, least = (tokens @ p) / tokens.sum(), float(keep_all)
+    want = np.array([0.3, 0.3, 0.2, 0.2]) * (max(share / [0.3, 0.3, 0.2, 0.2]) if keep_all else 1)
+    w = tokens / tokens.sum()
+    value = lambda r: (((w * r) @ p - want) ** 2 / share).sum() + mixing.PULL * (w * (r - 1) ** 2).sum()
+    r = np.ones(n)
+    for _ in range(30_000):
+        r = np.maximum(least, r - (p @ (((w * r) @ p - want) / share) + mixing.PULL * (r - 1)) / (1 + mixing.PULL))
+    assert value(mixing.replay(p, steps, least)) <= value(r) * 1.003 + 1e-7
 
 
 def test_search_recall_order_and_exclusions(spark):
@@ -214,3 +236,30 @@ def test_clusters_take_few_cells():
     plain = rng.normal(size=(4000, 16))
     share = [multi_index.Codebooks(x, float((x * x).sum(1).max()), 16).needed(x, 20, 0.97) for x in (clustered, plain)]
     assert share[0] < 0.35 < share[1]
+
+
+def test_length_of_vectors_is_that_of_the_table(spark):
+    """Half of the queries have another length; the others are answered."""
+    rng = np.random.default_rng(8)
+    rows = [(i, rng.normal(size=2 if i in (60, 80, 100) else 8).tolist()) for i in range(1, 101)]
+    got = multi_index.search(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), F.expr("vec_id % 20 = 0")).collect()
+    assert {r.query_id for r in got} == {20, 40}
+
+
+def test_one_long_label_leaves_the_others(spark, monkeypatch):
+    """Long texts are cut, none behind them goes, and repeated ids count once."""
+    monkeypatch.setattr(toxicity, "LONGEST", 40)
+    monkeypatch.setattr(toxicity, "SAMPLE_BYTES", 400)
+    docs = spark.createDataFrame([(i, "x" * 1000 if i == 3 else f"word{i}", "en") for i in range(12)] + [(5, "again", "en"), (6, None, None)], "doc_id long, text string, lang string")
+    chosen = spark.createDataFrame([(i, i % 2) for i in range(12)], "doc_id long, toxic int")
+    got = {r.doc_id: r for r in toxicity.bounded_texts(docs, chosen, "toxic").collect()}
+    assert set(got) == set(range(12)) and got[3].text == "x" * 40 and got[5].text == "again" and got[6].text == ""
+    monkeypatch.setattr(toxicity, "SAMPLE_BYTES", 60)
+    assert {r.toxic for r in toxicity.bounded_texts(docs, chosen, "toxic").collect()} == {0, 1}
+
+
+def test_domains_with_very_long_texts(spark):
+    docs = spark.createDataFrame([(i, ("rot " if i % 2 else "blue ") * (200_000 if i == 3 else 20)) for i in range(30)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, "a" if i % 2 else "b") for i in range(30)], "doc_id long, domain string")
+    out = mixing.mixed(docs, labels, {"a": 0.5, "b": 0.5}).collect()
+    assert all(r.domain == ("a" if r.doc_id % 2 else "b") for r in out)

@@ -58,7 +58,6 @@ def test_token_files(spark):
     from tokenizers import Tokenizer
 
     tk = Tokenizer.from_file(BYTES)
-    tk.encode_special_tokens = True
     got = huffman_ids.token_id_digests(frame(spark), BYTES).collect()
     rows = sorted(ROWS, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""))
     want, start = [], 0
@@ -115,3 +114,15 @@ def test_unlimited_code_is_huffman():
         heapq.heappush(heap, (a[0] + b[0], 99))
     lengths = huffman_ids.code_lengths(counts)
     assert sum(counts[i] * int(lengths[i]) for i in counts) == cost
+
+
+def test_special_strings_as_the_library_has_them(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    tk = Tokenizer.from_file(path)
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>  y", "<|endoftext", "plain", None, "<|endoftext|> " + "word " * 50]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").fillna("", ["text"])
+    got = {r.doc_id: np.frombuffer(r.ids, "<u4").tolist() for r in huffman_ids.encoded(docs, path, 0).collect()}
+    assert got == {i: [*tk.encode(t or "", add_special_tokens=False).ids, 0] for i, t in enumerate(texts)}
