@@ -21,10 +21,29 @@ LEADING_COMMENTS = r"(?s)^(?:\s++|--[^\n]*+(?:\n|\z)|/\*.*?(?:\*/|\z))++"
 QUOTED = r'"(?:""|[^"])+"'
 IDENTIFIER = rf"(?:{QUOTED}|[\w$#]+)"
 
+# The white space that stripping takes away, and what trimming does (all up to the space).
+WHITE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2008\u2009\u200a\u2028\u2029\u205f\u3000"
+CONTROLS = "".join(map(chr, range(33)))
+
 PY_TOKEN = re.compile(TOKEN.replace(r"\z", r"\Z"))
 PY_MASKED = re.compile(LITERAL_OR_COMMENT)
 
 
+def stripped(text: Column) -> Column:
+    """Without the white space at both ends, of any kind."""
+    return F.btrim(text, F.lit(WHITE))
+
+
+def trimmed(text: Column) -> Column:
+    """Without what isn't above the space at both ends: for type names, names of things and expressions."""
+    return F.btrim(text, F.lit(CONTROLS))
+
+
+def is_blank(text: Column) -> Column:
+    """Null, empty or only white space."""
+    return F.coalesce(stripped(text), F.lit("")) == ""
+
+
 def tokens(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))
 
@@ -58,7 +77,7 @@ def unquote(name: Column) -> Column:
 
 def identifier_parts(name: Column) -> Column:
     """A qualified name at its dots outside quotes, parts trimmed."""
-    return F.transform(F.regexp_extract_all(name, F.lit(r'((?:"(?:""|[^"])*"|[^."])+)'), F.lit(1)), lambda p: F.trim(p))
+    return F.transform(F.regexp_extract_all(name, F.lit(r'((?:"(?:""|[^"])*"|[^."])+)'), F.lit(1)), stripped)
 
 
 def normalise(name: Column) -> Column:
@@ -71,7 +90,7 @@ def quote_identifier(name: Column, quoted: Column) -> Column:
 
 
 def ensure_terminator(text: Column) -> Column:
-    t = F.regexp_replace(text, r"(?s)^\s+|\s+\z", "")
+    t = stripped(text)
     return F.when(t.endswith(";"), t).otherwise(F.concat(t, F.lit(";")))
 
 
@@ -86,7 +105,7 @@ def normal_path(path: Column) -> Column:
 def illegal_path(path: Column) -> Column:
     """Blank, absolute, climbing or with a drive; a trailing ``/..`` is let through."""
     p = normal_path(path)
-    return F.coalesce((F.trim(p) == "") | p.startswith("/") | p.contains("../") | (p == "..") | p.contains(":/"), F.lit(True))
+    return F.coalesce(is_blank(p) | p.startswith("/") | p.contains("../") | (p == "..") | p.contains(":/"), F.lit(True))
 
 
 def allowed_extension(path: Column) -> Column:
@@ -122,11 +141,11 @@ def comma_parts(text: str) -> list[str]:
     for m in re.finditer(r"[(),]", mask(text)):
         if m[0] == ",":
             if not depth:
-                out.append(text[start : m.start()].strip())
+                out.append(text[start : m.start()].strip(WHITE))
                 start = m.end()
         else:
             depth += 1 if m[0] == "(" else -1
-    return [*out, text[start:].strip()]
+    return [*out, text[start:].strip(WHITE)]
 
 
 def replace_outside(text: str, pattern: re.Pattern, put) -> str:

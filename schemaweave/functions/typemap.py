@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .textops import trimmed
+
 PARAMETERS, LENGTH = r"^(\w+)\s*\(([^)]*)\)$", r"(?i)^(\d+)\s*(CHAR|BYTE)?$"
 
 # The notes of the mapping rules.
@@ -24,8 +26,8 @@ def _result(target, review: bool, *notes) -> Column:
 
 def map_type(source: Column) -> Column:
     """struct(target_type, review_required, notes)."""
-    s = F.trim(source)
-    base, inside = F.upper(F.regexp_extract(s, PARAMETERS, 1)), F.trim(F.regexp_extract(s, PARAMETERS, 2))
+    s = trimmed(source)
+    base, inside = F.upper(F.regexp_extract(s, PARAMETERS, 1)), trimmed(F.regexp_extract(s, PARAMETERS, 2))
     length = F.regexp_replace(inside, r"\s+", " ")
     n, unit = F.regexp_extract(length, LENGTH, 1), F.upper(F.regexp_extract(length, LENGTH, 2))
     chars = F.concat(F.lit("varchar("), n, F.lit(")"))
@@ -40,5 +42,5 @@ def map_type(source: Column) -> Column:
 
 def rewrite_expression(expression: Column) -> Column:
     """struct(target, review_required) of an expression that is just the current time; others stay."""
-    now = F.upper(F.trim(expression)).isin("SYSDATE", "SYSTIMESTAMP")
+    now = F.upper(trimmed(expression)).isin("SYSDATE", "SYSTIMESTAMP")
     return F.struct(F.when(now, "clock_timestamp()").otherwise(expression).alias("target"), now.alias("review_required"))

@@ -52,7 +52,7 @@ def rewritten(text: str, column: bool) -> str:
         out = T.replace_outside(out, NOW, lambda m: "clock_timestamp()")
     for pattern in (USING_INDEX, STATES):
         out = T.replace_outside(out, pattern, lambda m: "")
-    return out.strip() if out != text else text
+    return out.strip(T.WHITE) if out != text else text
 
 
 @pandas_udf(StringType())
@@ -79,7 +79,7 @@ def _lines(parts: DataFrame) -> DataFrame:
     changed = F.col("new") != F.when(F.col("is_constraint"), F.col("part")).otherwise(F.col("suffix"))
     type_code = F.concat(F.lit("TYPE_MAPPING_"), F.regexp_replace(F.upper("source_type"), "[^A-Z0-9]+", "_"))
     type_hit = _hit(type_code, F.concat(F.lit("Map Oracle type "), F.col("source_type")), F.col("source_type"), F.concat(F.lit("Mapped to PostgreSQL "), F.col("t.target_type")))
-    tail = F.when(F.trim("new") != "", F.concat(F.lit(" "), F.col("new"))).when(F.col("nullable"), "").otherwise(" not null")
+    tail = F.when(~T.is_blank(F.col("new")), F.concat(F.lit(" "), F.col("new"))).when(F.col("nullable"), "").otherwise(" not null")
     column = F.concat(F.lit("    "), T.quote_identifier(T.unquote(F.col("name")), F.col("quoted")), F.lit(" "), F.col("t.target_type"), tail)
     column_hits = F.when(changed, F.array(type_hit, _hit(COLUMN_HIT[0], COLUMN_HIT[1], F.col("suffix"), COLUMN_HIT[2]))).otherwise(F.array(type_hit))
     constraint_hits = F.when(changed, F.array(_hit(CONSTRAINT_HIT[0], CONSTRAINT_HIT[1], F.col("part"), CONSTRAINT_HIT[2]))).otherwise(F.expr(_NO_HITS))

@@ -25,13 +25,13 @@ def qualified(sql: Column) -> Column:
 
 def classify(statements: DataFrame) -> DataFrame:
     """Adds original_sql, blank_sql, type, schema_name and object_name; statements that are only comments go."""
-    s = statements.withColumn("blank_sql", T.blank(F.col("text"))).where(F.trim(T.blank_comments(F.col("text"))).rlike(r"\S"))
+    s = statements.withColumn("blank_sql", T.blank(F.col("text"))).where(~T.is_blank(T.blank_comments(F.col("text"))))
     s = s.withColumn("head", T.strip_leading_comments(F.col("text"))).withColumn("type", object_type(F.col("head")))
     s = s.withColumn("identifier", qualified(F.col("head")))
     split = r'(?s)^((?:"(?:""|[^"])*"|[^."])*)\.(.*)$'
     dotted = F.col("identifier").rlike(split)
-    s = s.withColumn("schema_name", F.when(dotted, T.unquote(F.trim(F.regexp_extract("identifier", split, 1)))))
-    return s.withColumn("object_name", T.unquote(F.trim(F.when(dotted, F.regexp_extract("identifier", split, 2)).otherwise(F.col("identifier"))))).withColumnRenamed("text", "original_sql")
+    s = s.withColumn("schema_name", F.when(dotted, T.unquote(T.trimmed(F.regexp_extract("identifier", split, 1)))))
+    return s.withColumn("object_name", T.unquote(T.trimmed(F.when(dotted, F.regexp_extract("identifier", split, 2)).otherwise(F.col("identifier"))))).withColumnRenamed("text", "original_sql")
 
 
 def object_id() -> Column:
@@ -40,24 +40,24 @@ def object_id() -> Column:
 
 def objects(classified: DataFrame) -> DataFrame:
     """db_object rows: statements with a known type and a name."""
-    keep = classified.where((F.col("type") != "UNKNOWN") & (F.trim("object_name") != ""))
+    keep = classified.where((F.col("type") != "UNKNOWN") & ~T.is_blank(F.col("object_name")))
     return keep.select(object_id().alias("object_id"), "project_id", "source_project_id", "input_source_id", "type", "schema_name", "object_name", F.lit("PARSED").alias("status"), "source_path", "start_line", "end_line", "start_offset", "end_offset", "original_sql", "blank_sql")
 
 
 def parse_issues(classified: DataFrame) -> DataFrame:
-    lost = classified.where((F.col("type") == "UNKNOWN") | (F.trim("object_name") == ""))
+    lost = classified.where((F.col("type") == "UNKNOWN") | T.is_blank(F.col("object_name")))
     return lost.select(object_id().alias("issue_id"), "project_id", "source_project_id", "input_source_id", F.lit("UNSUPPORTED_STATEMENT").alias("code"), F.lit("Statement is not supported by the object model.").alias("message"), "source_path", "start_line", "end_line", "start_offset", "end_offset", F.col("original_sql").alias("original_text"))
 
 
 def table_parts(objs: DataFrame) -> DataFrame:
     """Parts of every table's parentheses in order, parsed once for the model and the converter."""
     body = T.first_paren(T.blank_comments(T.strip_leading_comments(F.col("original_sql"))))
-    parts = objs.where("type = 'TABLE'").select("object_id", "project_id", "source_project_id", "input_source_id", F.posexplode(T.top_commas(body)).alias("pos", "part")).where(F.trim("part") != "")
+    parts = objs.where("type = 'TABLE'").select("object_id", "project_id", "source_project_id", "input_source_id", F.posexplode(T.top_commas(body)).alias("pos", "part")).where(~T.is_blank(F.col("part")))
     parts = parts.withColumn("is_constraint", F.col("part").rlike(CONSTRAINT))
-    name = F.regexp_extract("part", r'(?s)^("(?:""|[^"])*"|\S+)', 1)
-    rest = F.trim(F.regexp_replace(F.substring(F.col("part"), F.length(name) + 1, F.length("part")), r"^\s+", ""))
-    parts = parts.withColumn("name", name).withColumn("rest", rest).withColumn("source_type", F.trim(F.regexp_extract(F.col("rest"), TYPE_END, 1)))
-    parts = parts.withColumn("suffix", F.trim(F.substring(F.col("rest"), F.length("source_type") + 1, F.length("rest"))))
+    name = F.regexp_extract("part", rf'(?s)^("(?:""|[^"])*"|[^{T.WHITE}]+)', 1)
+    rest = T.stripped(F.substring(F.col("part"), F.length(name) + 1, F.length("part")))
+    parts = parts.withColumn("name", name).withColumn("rest", rest).withColumn("source_type", T.stripped(F.regexp_extract(F.col("rest"), TYPE_END, 1)))
+    parts = parts.withColumn("suffix", T.stripped(F.substring(F.col("rest"), F.length("source_type") + 1, F.length("rest"))))
     return parts.withColumn("quoted", F.col("name").startswith('"')).withColumn("nullable", ~F.lower("part").contains(" not null"))
 
 
@@ -69,6 +69,6 @@ def columns(parts: DataFrame) -> DataFrame:
     return parts.where("not is_constraint").select("object_id", "project_id", "source_project_id", "input_source_id", "pos", T.unquote(F.col("name")).alias("name"), "source_type", "nullable", "suffix", "quoted", F.row_number().over(order).alias("ordinal_position"))
 
 
-def replace_by_source(stored: DataFrame, fresh: DataFrame, key: str = "input_source_id") -> DataFrame:
-    """Rows of the sources in ``fresh`` give way to the fresh ones."""
-    return stored.join(fresh.select(key).distinct(), key, "left_anti").unionByName(fresh)
+def replace_by_source(stored: DataFrame, fresh: DataFrame, sources: DataFrame, key: str = "input_source_id") -> DataFrame:
+    """The stored rows of the ``sources`` that came in give way to the fresh ones; a source that yields no row any more keeps none."""
+    return stored.join(sources.select(key).distinct(), key, "left_anti").unionByName(fresh)

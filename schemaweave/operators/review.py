@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import textops as T
 from .scratch import checkpointed
 from .versions import marked
 
@@ -37,8 +38,9 @@ def submit(requests: DataFrame, reports: DataFrame) -> DataFrame:
         .when(yes & (F.col("report_status") == "STALE"), "Stale report cannot be approved")
         .when(yes & (F.col("report_status") == "BLOCKED"), "Blocked report cannot be approved")
     )
-    name = F.when(F.coalesce(F.trim("reviewer"), F.lit("")) == "", "developer").otherwise(F.trim("reviewer"))
-    return r.select("project_id", "report_id", "decision", name.alias("reviewer"), F.coalesce("comment", F.lit("")).alias("comment"), "created_at", why.alias("rejection"))
+    name = F.when(T.is_blank(F.col("reviewer")), "developer").otherwise(T.trimmed(F.col("reviewer")))
+    ids = ["review_id"] if "review_id" in requests.columns else []
+    return r.select(*ids, "project_id", "report_id", "decision", name.alias("reviewer"), F.coalesce("comment", F.lit("")).alias("comment"), "created_at", why.alias("rejection"))
 
 
 def current_report(reports: DataFrame) -> DataFrame:
@@ -47,12 +49,17 @@ def current_report(reports: DataFrame) -> DataFrame:
 
 
 def gate(projects: DataFrame, reports: DataFrame, reviews: DataFrame, versions: DataFrame, risks: DataFrame) -> DataFrame:
-    """(project_id, status, baseline_count, blocker_count): READY or the first thing in the way."""
+    """(project_id, status, baseline_count, blocker_count): READY or the first thing in the way.
+
+    Of the reviews of a report in its own project that weren't rejected as requests, the last one counts; of one instant that
+    with the greatest review_id or, without one, decision."""
     newest = current_report(reports)
-    last = reviews.groupBy("report_id").agg(F.max_by("decision", "created_at").alias("decision"))
+    accepted = reviews.where("rejection is null") if "rejection" in reviews.columns else reviews
+    tie = "review_id" if "review_id" in reviews.columns else "decision"
+    last = accepted.groupBy("project_id", "report_id").agg(F.max_by("decision", F.struct("created_at", tie, "decision")).alias("decision"))
     base = versions.where("status = 'BASELINE'").groupBy("project_id").agg(F.count("*").alias("baseline_count"), F.count_if(marked("target_sql", "MANUAL_REQUIRED")).alias("manual"), F.count_if(marked("target_sql", "DRAFT")).alias("drafts"))
     blockers = risks.groupBy("project_id").agg(F.count_if(F.col("level") == "BLOCKER").alias("blocker_count"))
-    g = projects.select("project_id").join(newest, "project_id", "left").join(last, "report_id", "left").join(base, "project_id", "left").join(blockers, "project_id", "left").fillna(0, ["baseline_count", "manual", "drafts", "blocker_count"])
+    g = projects.select("project_id").join(newest, "project_id", "left").join(last, ["project_id", "report_id"], "left").join(base, "project_id", "left").join(blockers, "project_id", "left").fillna(0, ["baseline_count", "manual", "drafts", "blocker_count"])
     status = (
         F.when(F.coalesce(F.col("report_status"), F.lit("")) != "CURRENT", "NO_CURRENT_REPORT")
         .when(~F.coalesce(F.col("decision").isin(APPROVED), F.lit(False)), "NO_APPROVED_REVIEW")
@@ -132,7 +139,7 @@ def waves(baselines: DataFrame, edges: DataFrame) -> DataFrame:
 def package_text(versions: DataFrame, order: DataFrame) -> DataFrame:
     """(project_id, sql): a header, then each baseline under a line that names it."""
     rows = versions.where("status = 'BASELINE'").join(order, ["project_id", "object_id"])
-    block = F.concat(F.lit("-- object: "), F.col("object_id"), F.lit(", version: "), F.col("version_number").cast("string"), F.lit("\n"), F.regexp_replace("target_sql", r"(?s)^\s+|\s+\z", ""), F.lit("\n\n"))
+    block = F.concat(F.lit("-- object: "), F.col("object_id"), F.lit(", version: "), F.col("version_number").cast("string"), F.lit("\n"), T.stripped(F.col("target_sql")), F.lit("\n\n"))
     gathered = rows.select("project_id", "seq", block.alias("block")).groupBy("project_id").agg(F.array_sort(F.collect_list(F.struct("seq", "block"))).alias("b"))
     return gathered.select("project_id", F.concat(F.lit("-- SQL package\n-- project: "), F.col("project_id"), F.lit("\n\n"), F.array_join("b.block", "")).alias("sql"))
 

@@ -4,20 +4,28 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, FloatType
 
 
 def value_profile(df: DataFrame, columns: list[str], table: str) -> DataFrame:
     """Per column: rows, nulls, least, greatest, values with a fraction, and the type the values allow. One pass over the table."""
     aggs = []
     for c in columns:
-        x = F.col(c).cast("double")
-        aggs += [F.count(x).alias(f"{c}__n"), F.min(x).alias(f"{c}__min"), F.max(x).alias(f"{c}__max"), F.count_if(x != F.floor(x)).alias(f"{c}__frac")]
+        x, kind = F.col(c), df.schema[c].dataType
+        if isinstance(kind, (FloatType, DoubleType)):
+            split = (x != F.floor(x)) | F.isnan(x)
+            bound = lambda v, bits: (v >= F.lit(-(2.0**bits))) & (v < F.lit(2.0**bits))
+        else:  # integers and decimals keep their type, so no digit is lost
+            split = x % 1 != 0
+            exact = lambda n: F.lit(str(n)).cast("decimal(38,0)")
+            bound = lambda v, bits: (v >= exact(-(2**bits))) & (v <= exact(2**bits - 1))
+        within = lambda bits: bound(F.min(x), bits) & bound(F.max(x), bits)  # noqa: B023, E731
+        fit = F.when((F.count(x) == 0) | (F.count_if(split) > 0), "numeric").when(within(31), "integer").when(within(63), "bigint").otherwise("numeric")
+        aggs += [F.count(x).alias(f"{c}__n"), F.min(x).cast("double").alias(f"{c}__min"), F.max(x).cast("double").alias(f"{c}__max"), F.count_if(split).alias(f"{c}__frac"), fit.alias(f"{c}__fit")]
     one = df.agg(F.count("*").alias("rows"), *aggs)
-    rows = F.explode(F.array(*(F.struct(F.lit(c).alias("column_name"), F.col(f"{c}__n").alias("n"), F.col(f"{c}__min").alias("min_value"), F.col(f"{c}__max").alias("max_value"), F.col(f"{c}__frac").alias("fractions")) for c in columns)))
+    rows = F.explode(F.array(*(F.struct(F.lit(c).alias("column_name"), F.col(f"{c}__n").alias("n"), F.col(f"{c}__min").alias("min_value"), F.col(f"{c}__max").alias("max_value"), F.col(f"{c}__frac").alias("fractions"), F.col(f"{c}__fit").alias("narrowest")) for c in columns)))
     p = one.select("rows", rows.alias("x")).select(F.lit(table).alias("table_name"), "rows", "x.*")
-    within = lambda bits: (F.col("min_value") >= -(2.0**bits)) & (F.col("max_value") < 2.0**bits)
-    verdict = F.when(F.col("n") == 0, "numeric").when(F.col("fractions") > 0, "numeric").when(within(31), "integer").when(within(63), "bigint").otherwise("numeric")
-    return p.withColumn("nulls", F.col("rows") - F.col("n")).withColumn("narrowest", verdict)
+    return p.withColumn("nulls", F.col("rows") - F.col("n"))
 
 
 def shard(key: Column, shards: int) -> Column:

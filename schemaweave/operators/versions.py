@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import textops as T
+
 KEYS = ["project_id", "source_project_id", "input_source_id", "object_id"]
 COLUMNS = ["version_id", *KEYS, "conversion_id", "parent_version_id", "version_number", "source", "status", "source_sql", "target_sql"]
 
@@ -15,7 +17,7 @@ def _id() -> F.Column:
 
 def marked(column: str, level: str) -> F.Column:
     """Whether SQL still begins, white space aside, with the marker of a draft or of manual work."""
-    return F.col(column).rlike(rf"^\s*-- {level}")
+    return F.ltrim(F.col(column), F.lit(T.WHITE)).startswith(f"-- {level}")
 
 
 def generated(conversions: DataFrame) -> DataFrame:
@@ -26,7 +28,7 @@ def generated(conversions: DataFrame) -> DataFrame:
 
 def with_edits(versions: DataFrame, edits: DataFrame) -> DataFrame:
     """Edits (project_id, parent_version_id, target_sql, edit_order) as children of their parents; blank ones and those without a parent in their project don't count."""
-    kept = edits.where(F.coalesce(F.trim("target_sql"), F.lit("")) != "").select("project_id", "parent_version_id", F.col("target_sql").alias("edited"), "edit_order")
+    kept = edits.where(~T.is_blank(F.col("target_sql"))).select("project_id", "parent_version_id", F.col("target_sql").alias("edited"), "edit_order")
     parents = versions.withColumnRenamed("version_id", "parent").drop("parent_version_id", "target_sql")
     found = kept.join(parents, (kept["parent_version_id"] == parents["parent"]) & (kept["project_id"] == parents["project_id"])).drop(kept["project_id"])
     last = versions.groupBy("object_id").agg(F.max("version_number").alias("last"))
@@ -42,9 +44,9 @@ def freeze(versions: DataFrame) -> DataFrame:
     return versions.withColumn("status", F.when(newest, "BASELINE").when(F.col("status") == "BASELINE", "STALE").otherwise(F.col("status")))
 
 
-def replace_generated(stored: DataFrame, fresh: DataFrame) -> DataFrame:
-    """Generated versions of the sources in ``fresh`` give way to the fresh ones; edits stay."""
-    again = fresh.select("input_source_id").distinct().withColumn("again", F.lit(True))
+def replace_generated(stored: DataFrame, fresh: DataFrame, sources: DataFrame) -> DataFrame:
+    """Generated versions of the ``sources`` that came in give way to the fresh ones; edits stay."""
+    again = sources.select("input_source_id").distinct().withColumn("again", F.lit(True))
     kept = stored.join(again, "input_source_id", "left").where("again is null or source <> 'AUTO_CONVERSION'").drop("again")
     return kept.unionByName(fresh)
 

@@ -8,10 +8,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: ``§`` is the key, ``§-5`` a neighbour's; ``~`` an apostrophe and ``^`` a line end in the template.
+#: ``§`` is the key, ``§-5`` a neighbour's; ``~`` an apostrophe, ``^`` a line end and ````` a tab in the template.
 TEMPLATES = [
-    "create table app.t§ (^  id number(10,0) primary key,^  name varchar2(100 char) not null,^  note clob^);",
-    "create table t§ (id number(19,0), made date default sysdate, flag varchar2(1) default ~~, constraint t§_pk primary key (id) using index enable);",
+    "create table app.t§ (^  id number(10,0) primary key,^  name^    varchar2(100 char)^    not null,^`note`clob`^);",
+    "create table t§ (^`id number(19,0),^`made date^`  default sysdate,^`flag`varchar2(1)^ default ~~`,^` constraint t§_pk primary key (id) using index enable);",
     "-- child of another^create table t§ (amount number, raw_id raw(16), ref_id number(10,0) references app.t§-2 (id));",
     "create table t§ (label varchar2(50) default q~[it~s, (ok); number]~, n number(8,2) default s§+4.nextval);",
     'create table "Mixed t§" ("Id" number(10,0), "Big Text" nclob);',
@@ -24,7 +24,7 @@ TEMPLATES = [
     "create or replace package body k§-1 as^  procedure run is begin null; end;^end;^/",
     "create or replace procedure r§ is^  pragma autonomous_transaction;^begin^  insert into log select * from v§-7; /* sysdate */^end;^/",
     "create view v§ as select /*+ full(x) */ decode(id, 1, ~a~, ~b~) d, nvl(name, ~-~) n from app.t§-13 x connect by prior id = id;",
-    "create global temporary table t§ (id number(10,0), d date) on commit preserve rows;",
+    "create global temporary table t§ (^`id`number(10,0) `,`d^``date^) on commit preserve rows;",
     "grant select on app.t§-15 to reader;",
 ]
 
@@ -32,7 +32,7 @@ TEMPLATES = [
 def _expression(template: str) -> str:
     import re
 
-    text = template.replace("~", "'||chr(39)||'").replace("^", "'||chr(10)||'")
+    text = template.replace("~", "'||chr(39)||'").replace("^", "'||chr(10)||'").replace("`", "'||chr(9)||'")
     text = re.sub(r"§([-+]\d+)?", lambda m: f"'||CAST(p_partkey{' ' + m[1][0] + ' ' + m[1][1:] if m[1] else ''} AS VARCHAR(20))||'", text)
     return f"'{text}'"
 
@@ -46,5 +46,4 @@ CORPUS = (
 
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    spark.read.parquet(f"{sf_dir}/part.parquet").createOrReplaceTempView("part")
-    return spark.sql(CORPUS)
+    return spark.sql(CORPUS.replace("FROM part", "FROM {part}"), part=spark.read.parquet(f"{sf_dir}/part.parquet"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 
 from ..functions import typemap
-from ..operators import advice, report
+from ..operators import advice, convert, report
 from ..operators.validate import STAGES
 from .corpus import CORPUS
 
@@ -72,6 +72,27 @@ _N = {k: _q(v) for k, v in (("narrow", typemap.NOTE_NARROW), ("raw", typemap.NOT
 _PATHS = "SELECT page_id, url AS path FROM pages UNION ALL SELECT page_id, 'a\\b' || page_id || '.SQL' FROM pages"
 
 
+def _conversion_rows() -> list[tuple[int, str, str]]:
+    """(template, rule codes, notes): tables by their columns' types, other types by their one rule."""
+    note_of = {"number": typemap.NOTE_NUMBER, "date": typemap.NOTE_DATE, "raw(16)": typemap.NOTE_RAW, "varchar2(100 char)": typemap.NOTE_UNIT[0] + "CHAR" + typemap.NOTE_UNIT[1]}
+    rows = []
+    for t in (0, 1, 2, 3, 4, 14):
+        codes, notes = (["ORACLE_TEMPORARY_TABLE_REVIEW"], [convert.TEMPORARY_NOTE]) if t == 14 else ([], [])
+        for _, name, kind, _ in (r for r in COLUMN_ROWS if r[0] == t):
+            codes.append("TYPE_MAPPING_" + re.sub("[^A-Z0-9]+", "_", kind.upper()))
+            notes += [typemap.NOTE_NARROW] if kind.startswith("number(") else [note_of[kind]] if kind in note_of else []
+            if (t, name) in ((1, "made"), (3, "n")):
+                codes.append("ORACLE_INLINE_COLUMN_CLAUSE_REVIEW")
+                notes.append(convert.COLUMN_NOTE)
+        if t == 1:
+            codes.append("ORACLE_TABLE_CONSTRAINT_REVIEW")
+            notes.append(convert.CONSTRAINT_NOTE)
+        rows.append((t, ",".join(codes), "|".join(dict.fromkeys(notes))))
+    for t, kind in ((5, "VIEW"), (13, "VIEW"), (6, "INDEX"), (7, "SEQUENCE")):
+        rows.append((t, f"CONSERVATIVE_{kind}_DRAFT", convert.DRAFT_NOTES[kind]))
+    return rows + [(t, "MANUAL_REQUIRED_OBJECT", convert.MANUAL_NOTE) for t in (8, 9, 10, 11, 12)]
+
+
 NAME = "CASE template WHEN 11 THEN 'k'||(k - 1) WHEN 4 THEN 'Mixed t'||k ELSE ['t','t','t','t','','v','i','s','g','f','k','','r','v','t'][template + 1]||k END"
 ID = "sha256(project_id || '|' || source_project_id || '|' || input_source_id || '|0')"
 
@@ -98,7 +119,7 @@ def _first() -> dict[str, str]:
         "o34_classify": f"""{C} SELECT input_source_id, CASE template WHEN 15 THEN 'UNKNOWN' WHEN 5 THEN 'VIEW' WHEN 6 THEN 'INDEX' WHEN 7 THEN 'SEQUENCE' WHEN 8 THEN 'TRIGGER' WHEN 9 THEN 'FUNCTION' WHEN 10 THEN 'PACKAGE' WHEN 11 THEN 'PACKAGE_BODY' WHEN 12 THEN 'PROCEDURE' WHEN 13 THEN 'VIEW' ELSE 'TABLE' END AS type,
             CASE WHEN template = 0 THEN 'app' ELSE '' END AS schema_name, CASE template WHEN 15 THEN '' WHEN 11 THEN 'k'||(k - 1) WHEN 4 THEN 'Mixed t'||k ELSE ['t','t','t','t','','v','i','s','g','f','k','','r','v','t'][template + 1]||k END AS object_name FROM c""",
         "o40_columns": f"{C}, cols(template, name, source_type, nullable, ordinal_position) AS (VALUES {', '.join(f'({t}, {_q(n)}, {_q(s)}, {str(u).lower()}, {sum(r[0] == t for r in COLUMN_ROWS[: i + 1])})' for i, (t, n, s, u) in enumerate(COLUMN_ROWS))}) SELECT input_source_id, name, source_type, nullable, ordinal_position FROM c JOIN cols USING (template)",
-        "o44_replace": f"{OBJECTS} SELECT type, CASE WHEN k % 2 = 0 THEN 'FRESH' ELSE 'PARSED' END AS status, count(*) AS n FROM o GROUP BY ALL",
+        "o44_replace": f"{OBJECTS} SELECT type, CASE WHEN k % 2 = 0 THEN 'FRESH' ELSE 'PARSED' END AS status, count(*) AS n FROM o WHERE k % 6 <> 0 GROUP BY ALL",
         "o45_type_map": f"""SELECT p_partkey, CASE m WHEN 0 THEN 'varchar('||n||')' WHEN 1 THEN 'varchar('||n||')' WHEN 2 THEN 'VARCHAR2(*)' WHEN 3 THEN 'numeric('||n||',2)' WHEN 4 THEN 'bytea' WHEN 5 THEN 'TIMESTAMP(6)' WHEN 6 THEN 'numeric' WHEN 7 THEN 'timestamp' WHEN 8 THEN 'timestamp' WHEN 9 THEN 'text' WHEN 10 THEN 'bytea' WHEN 11 THEN 'XMLTYPE' ELSE 'SYSDATE' END AS target_type,
             m IN (1, 2, 5, 6, 7, 11, 12) AS review_required, CASE m WHEN 1 THEN {_N['char']} WHEN 2 THEN {_N['length']} WHEN 3 THEN {_N['narrow']} WHEN 4 THEN {_N['raw']} WHEN 6 THEN {_N['number']} WHEN 7 THEN {_N['date']} WHEN 5 THEN {_N['none']} WHEN 11 THEN {_N['none']} WHEN 12 THEN {_N['none']} ELSE '' END AS notes,
             CASE m WHEN 0 THEN 'VARCHAR2('||n||')' WHEN 1 THEN 'nvarchar2( '||n||' char )' WHEN 2 THEN 'VARCHAR2(*)' WHEN 3 THEN 'number('||n||', 2)' WHEN 4 THEN 'RAW('||n||')' WHEN 5 THEN 'TIMESTAMP(6)' WHEN 6 THEN ' number ' WHEN 7 THEN 'DATE' WHEN 8 THEN 'timestamp' WHEN 9 THEN 'NCLOB' WHEN 10 THEN 'BLOB' WHEN 11 THEN 'XMLTYPE' ELSE 'clock_timestamp()' END AS expression
@@ -121,7 +142,7 @@ def _first() -> dict[str, str]:
         "d12_plan_stages": f"""{OBJECTS}, s(position, stage) AS (VALUES {', '.join(f"({i}, '{x}')" for i, x in enumerate(STAGES, 1))}), t AS (SELECT *, CASE type WHEN 'TABLE' THEN 7 WHEN 'INDEX' THEN 9 WHEN 'VIEW' THEN 11 WHEN 'TRIGGER' THEN 13 WHEN 'SEQUENCE' THEN 14 ELSE 12 END AS position FROM o) SELECT p.project_id, s.position, s.stage, (SELECT count(*) FROM t WHERE t.project_id = p.project_id AND t.position = s.position) AS objects FROM (SELECT DISTINCT project_id FROM o) p, s""",
         "d14_stale_artefacts": f"{C} SELECT input_source_id AS source_id, k % 7 = 0 OR k % 5 = 0 AS stale FROM c",
         "o96_advice": f"""{EDGES}, {RULES}, r AS (SELECT o.*, rules.code, rules.level FROM o JOIN rules USING (template)) SELECT project_id, 'Risk explanation draft' AS title, 'Detected ' || (SELECT count(*) FROM o WHERE o.project_id = r.project_id) || ' objects, ' || (SELECT count(*) FROM edges WHERE edges.project_id = r.project_id) || ' dependencies, ' || count(*) || ' risks and ' || (SELECT count(*) FROM o WHERE o.project_id = r.project_id) || ' conversion results.' AS summary, array_to_string(list_sort(list_distinct(list(code))), ',') AS rule_codes, count(DISTINCT k)::INT AS n_affected FROM r GROUP BY project_id""",
-        "o110_convert": f"""{OBJECTS} SELECT input_source_id, {LEVEL} AS level, CASE template
+        "o110_convert": f"""{OBJECTS}, x(template, rule_codes, notes) AS (VALUES {', '.join(f'({t}, {_q(c)}, {_q(n)})' for t, c, n in _conversion_rows())}) SELECT input_source_id, {LEVEL} AS level, rule_codes, notes, CASE template
             WHEN 0 THEN 'create table "app"."t'||k||'" (' || chr(10) || '    "id" numeric(10,0) primary key,' || chr(10) || '    "name" varchar(100) not null,' || chr(10) || '    "note" text' || chr(10) || ');'
             WHEN 1 THEN 'create table "t'||k||'" (' || chr(10) || '    "id" numeric(19,0),' || chr(10) || '    "made" timestamp default clock_timestamp(),' || chr(10) || '    "flag" varchar(1) default '''',' || chr(10) || '    constraint t'||k||'_pk primary key (id)' || chr(10) || ');'
             WHEN 2 THEN 'create table "t'||k||'" (' || chr(10) || '    "amount" numeric,' || chr(10) || '    "raw_id" bytea,' || chr(10) || '    "ref_id" numeric(10,0) references app.t'||(k - 2)||' (id)' || chr(10) || ');'
@@ -132,7 +153,7 @@ def _first() -> dict[str, str]:
             WHEN 13 THEN '-- DRAFT: Simple view SQL is carried forward as a draft; Oracle functions and outer joins still need precheck.' || chr(10) || original_text
             WHEN 6 THEN '-- DRAFT: Review index method, expression syntax, and tablespace/storage clauses before execution.' || chr(10) || original_text
             WHEN 7 THEN '-- DRAFT: Review sequence min/max/cache/cycle semantics and reset position after data load.' || chr(10) || original_text
-            ELSE '-- MANUAL_REQUIRED: Only conservative DDL conversion is available in the P0 automatic path.' || chr(10) || original_text END AS target_sql FROM o""",
+            ELSE '-- MANUAL_REQUIRED: Only conservative DDL conversion is available in the P0 automatic path.' || chr(10) || original_text END AS target_sql FROM o JOIN x USING (template)""",
         "q3_risks": f"{RISKS} SELECT input_source_id, level, code FROM r WHERE project_id = 'p16'",
         "d1_batch_diff": f"{C} SELECT source_path AS relative_path, CASE WHEN k % 11 = 0 THEN 'ADDED' WHEN k % 7 = 0 THEN 'REMOVED' WHEN k % 5 = 0 THEN 'CHANGED' ELSE 'SAME' END AS change FROM c WHERE NOT (k % 11 = 0 AND k % 7 = 0)",
         "d3_value_profile": " UNION ALL ".join(profile(t, c) for t, c in (("lineitem", "l_orderkey"), ("lineitem", "l_quantity"), ("lineitem", "l_extendedprice"), ("lineitem", "l_linenumber"), ("orders", "o_orderkey"), ("orders", "o_totalprice"))),
@@ -163,7 +184,7 @@ def _lifecycle(convert_sql: str) -> dict[str, str]:
             SELECT source_key::BIGINT AS source_key, target_key::BIGINT AS target_key, CASE WHEN same THEN type ELSE 'CROSS_SOURCE_DEPENDENCY' END AS type FROM found
             WHERE CASE WHEN template IN (5, 9, 12, 13) THEN same OR any_same = 0 WHEN template = 11 THEN same ELSE place = 1 END""",
         "o64_frozen_again": f"""{OBJECTS} SELECT input_source_id, 1 AS version_number, 'AUTO_CONVERSION' AS source, CASE WHEN project_id = 'p0' THEN 'GENERATED' WHEN k % 3 = 0 THEN 'STALE' ELSE 'BASELINE' END AS status FROM o UNION ALL SELECT input_source_id, 2, 'USER_EDIT', CASE WHEN project_id = 'p0' THEN 'EDITED' ELSE 'BASELINE' END FROM o WHERE k % 3 = 0""",
-        "o69_replaced": f"""{OBJECTS} SELECT input_source_id, 1 AS version_number, 'AUTO_CONVERSION' AS source, k % 4 = 0 AS fresh FROM o UNION ALL SELECT input_source_id, 2, 'USER_EDIT', false FROM o WHERE k % 5 = 0""",
+        "o69_replaced": f"""{OBJECTS} SELECT input_source_id, 1 AS version_number, 'AUTO_CONVERSION' AS source, k % 8 = 0 AS fresh FROM o WHERE k % 8 <> 4 UNION ALL SELECT input_source_id, 2, 'USER_EDIT', false FROM o WHERE k % 5 = 0""",
         "o74_html": f"""{RISKS}, n AS ({counted}), i AS (SELECT project_id, count(*) AS issues FROM c WHERE template = 15 GROUP BY project_id),
             y AS (SELECT n.*, coalesce(issues, 0) AS issues, CASE WHEN project_id <> 'p0' THEN 'STALE' ELSE 'BLOCKED' END AS status FROM n LEFT JOIN i USING (project_id))
             SELECT project_id, status, status AS json_status, {_q(report.HTML[0])} || '<dt>Project</dt><dd>' || project_id || '</dd><dt>Status</dt><dd>' || status || '</dd><dt>Objects</dt><dd>' || object_count || '</dd><dt>Parse Issues</dt><dd>' || issues || '</dd><dt>Risks</dt><dd>' || risk_count::BIGINT || '</dd><dt>Blockers</dt><dd>' || blocker_count::BIGINT || '</dd><dt>High Risks</dt><dd>' || high_risk_count::BIGINT || '</dd><dt>Conversions</dt><dd>' || object_count || '</dd><dt>SQL Versions</dt><dd>' || object_count || '</dd>' || {_q(report.HTML[1])} AS html_content FROM y""",

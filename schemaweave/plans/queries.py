@@ -84,10 +84,11 @@ def o40_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def o44_replace(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The assets of even sources replaced by fresh ones."""
+    """The assets of even sources replaced by fresh ones; those of every sixth yield none any more."""
     o = _project(spark, sf_dir).objects.select("input_source_id", "type", "status")
-    fresh = o.where(F.col("input_source_id").cast("long") % 2 == 0).withColumn("status", F.lit("FRESH"))
-    return model.replace_by_source(o, fresh).groupBy("type", "status").agg(F.count("*").alias("n"))
+    came = o.where(F.col("input_source_id").cast("long") % 2 == 0)
+    fresh = came.where(F.col("input_source_id").cast("long") % 6 != 0).withColumn("status", F.lit("FRESH"))
+    return model.replace_by_source(o, fresh, came).groupBy("type", "status").agg(F.count("*").alias("n"))
 
 
 def o45_type_map(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -133,12 +134,15 @@ def o70_precheck(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def o80_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """First thing in the way of each project's export."""
+    """First thing in the way of each project's export. Another project's approval doesn't count; of two reviews of one instant the greater id does."""
     p = _project(spark, sf_dir)
     projects = p.objects.select("project_id").distinct()
     day = lambda n: F.to_timestamp(F.lit(f"2024-01-0{n}"))
     reports = projects.select("project_id", F.concat(F.lit("r"), F.col("project_id")).alias("report_id"), F.when(F.col("project_id") == "p0", "STALE").otherwise("CURRENT").alias("status"), day(1).alias("created_at"))
-    reviews = reports.select("project_id", "report_id", F.when(F.col("project_id") == "p16", "REJECTED").otherwise("APPROVED").alias("decision"), day(2).alias("created_at"))
+    asked = lambda project, decision, when, name: reports.select(F.lit(name).alias("review_id"), project.alias("project_id"), "report_id", F.lit(decision).alias("decision"), F.lit(None).cast("string").alias("reviewer"), F.lit(None).cast("string").alias("comment"), day(when).alias("created_at"))
+    own = F.col("project_id")
+    requests = asked(own, "REJECTED", 2, "a").unionByName(asked(own, "APPROVED", 2, "b").where("project_id <> 'p16'")).unionByName(asked(F.lit("p0"), "APPROVED", 3, "c")).unionByName(asked(F.lit("p32"), "REJECTED", 3, "d").where("report_id <> 'rp32'"))
+    reviews = review.submit(requests, reports)
     return review.gate(projects, reports, reviews, versions.freeze(p.versions), p.risks)
 
 
@@ -188,7 +192,7 @@ def o96_advice(spark: SparkSession, sf_dir: str) -> DataFrame:
 def o110_convert(spark: SparkSession, sf_dir: str) -> DataFrame:
     """O110 to O128: target SQL and level of every object."""
     c = _project(spark, sf_dir).conversions
-    return c.select("input_source_id", "level", "target_sql")
+    return c.select("input_source_id", "level", "target_sql", F.array_join("rule_hits.rule_code", ",").alias("rule_codes"), F.array_join("notes", "|").alias("notes"))
 
 
 def q3_risks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -321,10 +325,11 @@ def o64_frozen_again(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def o69_replaced(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """O69, O128: generated versions of some sources give way to fresh ones; edits stay."""
+    """O69, O128: generated versions of some sources give way to fresh ones, where they yield any; edits stay."""
     p = _project(spark, sf_dir)
-    fresh = p.versions.where(F.col("input_source_id").cast("long") % 4 == 0).withColumn("status", F.lit("GENERATED")).withColumn("source_sql", F.lit("fresh"))
-    v = versions.replace_generated(_edited(p), fresh)
+    came = p.versions.where(F.col("input_source_id").cast("long") % 4 == 0)
+    fresh = came.where(F.col("input_source_id").cast("long") % 8 == 0).withColumn("status", F.lit("GENERATED")).withColumn("source_sql", F.lit("fresh"))
+    v = versions.replace_generated(_edited(p), fresh, came)
     return v.select("input_source_id", "version_number", "source", (F.col("source_sql") == "fresh").alias("fresh"))
 
 

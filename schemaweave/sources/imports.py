@@ -22,9 +22,9 @@ FILE = "batch_id string, relative_path string, content binary, type string"
 
 def inline_source(spark: SparkSession, batch_id: str, sql: str, name: str | None = None) -> DataFrame:
     """One file row of inline SQL; the name is trimmed and defaults to manual.sql."""
-    if not (sql or "").strip():
+    if not (sql or "").strip(T.WHITE):
         raise ValueError("SQL must not be blank")
-    return spark.createDataFrame([(batch_id, (name or "").strip() or "manual.sql", bytearray(sql.encode()), "MANUAL_SQL")], FILE)
+    return spark.createDataFrame([(batch_id, (name or "").strip(T.CONTROLS) if (name or "").strip(T.WHITE) else "manual.sql", bytearray(sql.encode()), "MANUAL_SQL")], FILE)
 
 
 def relative_to(root: str, path: Column) -> Column:
@@ -57,7 +57,7 @@ def unzipped(content: bytes) -> tuple[list[tuple[str, bytes]], str | None]:
                 if i >= MAX_ZIP_ENTRIES:
                     return [], ZIP_ENTRIES
                 name = e.filename.replace("\\", "/")
-                if not name.strip() or name.startswith("/") or "../" in name or name == ".." or ":/" in name:
+                if not name.strip(T.WHITE) or name.startswith("/") or "../" in name or name == ".." or ":/" in name:
                     return [], ZIP_PATH + e.filename
                 with archive.open(e) as f:
                     data = f.read(MAX_FILE_BYTES + 1)
@@ -140,7 +140,7 @@ def out_of_scope(sources: DataFrame, source_projects: DataFrame) -> DataFrame:
 def register_projects(projects: DataFrame, at: Column | None = None) -> tuple[DataFrame, DataFrame]:
     """(project, source_project) rows: names trimmed, blank ones dropped, a default unit for inline SQL each."""
     at = F.current_timestamp() if at is None else at
-    p = projects.withColumn("name", F.trim("name")).where("name <> ''").withColumn("status", F.lit("DRAFT")).withColumn("created_at", at)
+    p = projects.where(~T.is_blank(F.col("name"))).withColumn("name", T.trimmed(F.col("name"))).withColumn("status", F.lit("DRAFT")).withColumn("created_at", at)
     unit = p.select("project_id", F.sha2(F.concat(F.col("project_id"), F.lit("|manual")), 256).alias("source_project_id"), F.lit("Manual SQL").alias("name"), F.lit("MANUAL_BATCH").alias("type"), "created_at")
     return p, unit
 
@@ -148,5 +148,5 @@ def register_projects(projects: DataFrame, at: Column | None = None) -> tuple[Da
 def register_units(units: DataFrame, at: Column | None = None) -> DataFrame:
     """source_project rows of (project_id, name, type): names trimmed, blank ones dropped, DATABASE_EXPORT where no type is given."""
     at = F.current_timestamp() if at is None else at
-    u = units.withColumn("name", F.trim("name")).where("name <> ''")
+    u = units.where(~T.is_blank(F.col("name"))).withColumn("name", T.trimmed(F.col("name")))
     return u.select("project_id", F.sha2(F.concat_ws("|", "project_id", "name"), 256).alias("source_project_id"), "name", F.coalesce("type", F.lit("DATABASE_EXPORT")).alias("type"), at.alias("created_at"))

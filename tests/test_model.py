@@ -97,7 +97,8 @@ def test_replace_generated_and_freeze_approved(spark):
     v = versions.generated(p.conversions)
     edited = versions.with_edits(v, v.selectExpr("project_id", "version_id as parent_version_id", "'x' as target_sql", "1 as edit_order"))
     fresh = v.where("input_source_id = '0'").selectExpr(*[f"'new' as {c}" if c == "version_id" else c for c in v.columns])
-    got = versions.replace_generated(edited, fresh)
+    got = versions.replace_generated(edited, fresh, v.where("input_source_id = '0'"))
+    assert versions.replace_generated(edited, fresh.where("false"), v.where("input_source_id = '0'")).where("source = 'AUTO_CONVERSION'").count() == 1
     assert got.count() == 4 and got.where("version_id = 'new'").count() == 1
     reviews = spark.sql("select 'p' project_id, 'APPROVED' decision, cast(null as string) rejection")
     assert {r.status for r in versions.freeze_approved(edited, reviews).where("version_number = 2").collect()} == {"BASELINE"}
@@ -149,3 +150,38 @@ def test_cycles_come_last(spark):
     b = spark.sql("select 'p' project_id, id object_id from values ('a'),('b'),('c') t(id)")
     e = spark.sql("select 'p' project_id, s source_object_id, t target_object_id from values ('a','b'),('b','a'),('c','zz') x(s,t)")
     assert [r.object_id for r in review.ordered(b, e).orderBy("seq").collect()] == ["c", "a", "b"]
+
+
+def test_white_space_of_any_kind(spark):
+    """Columns over several lines, tabs and wide spaces; edits, reviewers and names of nothing but white space."""
+    p = project(spark, ("s", "create table w (\n\ta\n date\n  default sysdate,\n\tb varchar2(5 char)\n   not null ,\n c\t\tnumber( 8 , 2 )\t,\n　d clob );"))
+    assert [(c.name, c.source_type, c.nullable) for c in p.columns.orderBy("ordinal_position").collect()] == [("a", "date", True), ("b", "varchar2(5 char)", False), ("c", "number( 8 , 2 )", True), ("d", "clob", True)]
+    c = p.conversions.first()
+    assert c.target_sql == 'create table "w" (\n    "a" timestamp default clock_timestamp(),\n    "b" varchar(5) not null,\n    "c" numeric(8,2),\n    "d" text\n);'
+    assert [h.rule_code for h in c.rule_hits] == ["TYPE_MAPPING_DATE", "ORACLE_INLINE_COLUMN_CLAUSE_REVIEW", "TYPE_MAPPING_VARCHAR2_5_CHAR_", "TYPE_MAPPING_NUMBER_8_2_", "TYPE_MAPPING_CLOB"]
+    v = p.versions
+    blank = v.selectExpr("project_id", "version_id as parent_version_id", "'\n\t ' as target_sql", "1 as edit_order")
+    assert versions.with_edits(v, blank).count() == 1
+    reports = spark.sql("select 'p' project_id, 'r' report_id, 'CURRENT' status")
+    asked = spark.sql("select 'p' project_id, 'r' report_id, 'APPROVED' decision, r reviewer, cast(null as string) comment, 1 created_at from values ('\n\t'), ('\tann\n') t(r)")
+    assert sorted(r.reviewer for r in review.submit(asked, reports).collect()) == ["ann", "developer"]
+
+
+def test_gate_takes_only_own_and_accepted_reviews(spark):
+    reports = spark.sql("select p project_id, concat('r', p) report_id, 'CURRENT' status, 1 created_at from values ('a'), ('b') t(p)")
+    versions_ = spark.sql("select p project_id, p object_id, 'BASELINE' status, 'select 1' target_sql from values ('a'), ('b') t(p)")
+    risks = spark.sql("select 'z' project_id, 'LOW' level")
+    asked = lambda *rows: spark.createDataFrame([(*r, None, None) for r in rows], "review_id string, project_id string, report_id string, decision string, created_at int, reviewer string, comment string")
+    gate = lambda *rows: {r.project_id: r.status for r in review.gate(reports, reports, review.submit(asked(*rows), reports), versions_, risks).collect()}
+    assert gate(("1", "a", "rb", "APPROVED", 1)) == {"a": "NO_APPROVED_REVIEW", "b": "NO_APPROVED_REVIEW"}
+    assert gate(("1", "b", "rb", "APPROVED", 1), ("2", "a", "rb", "REJECTED", 2))["b"] == "READY"
+    assert gate(("1", "b", "rb", "APPROVED", 1), ("2", "b", "rb", "REJECTED", 1))["b"] == "NO_APPROVED_REVIEW"
+    assert gate(("2", "b", "rb", "APPROVED", 1), ("1", "b", "rb", "REJECTED", 1))["b"] == "READY"
+
+
+def test_value_profile_is_exact(spark):
+    from schemaweave.operators import validate
+
+    df = spark.sql("select * from values (9223372036854775807, cast('9007199254740993.5' as decimal(20,1)), cast('9223372036854775808' as decimal(38,0)), 1.0D, cast(5 as int)), (0, 1, 1, cast('nan' as double), null) t(big, half, over, f, i)")
+    got = {r.column_name: (r.narrowest, r.fractions, r.nulls) for r in validate.value_profile(df, df.columns, "t").collect()}
+    assert got == {"big": ("bigint", 0, 0), "half": ("numeric", 1, 0), "over": ("numeric", 0, 0), "f": ("numeric", 1, 0), "i": ("integer", 0, 1)}
