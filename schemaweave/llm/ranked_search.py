@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from . import words as W
 from .common import claim, id_text, parallelism, slices, staged
 
-BLOCK, SHARD, QUERIES, CACHE, K = 128, 32 << 20, 1 << 20, 4 << 20, 10
+BLOCK, SHARD, QUERIES, CACHE, K = 128, 8 << 20, 1 << 20, 2 << 20, 10
 INDEX = "shard bigint, term string, df bigint, blocks binary, postings binary"
 SCHEMA = pa.schema([("shard", pa.int64()), ("term", pa.string()), ("df", pa.int64()), ("blocks", pa.binary()), ("postings", pa.binary())])
 
