@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import graph
+
 
 def batch_diff(before: DataFrame, after: DataFrame, key: str = "relative_path", value: str = "content_hash") -> DataFrame:
     """(key, change): ADDED, REMOVED, CHANGED or SAME."""
@@ -57,6 +59,29 @@ def stale_artefacts(artefacts: DataFrame, sources: DataFrame) -> DataFrame:
     return artefacts.join(s, "source_id", "left").withColumn("stale", ~F.coalesce(F.col("now_hash") == F.col("source_hash"), F.lit(False)))
 
 
+def artefact_edges(objects: DataFrame, dependencies: DataFrame, versions: DataFrame, reports: DataFrame) -> DataFrame:
+    """(project_id, node, next): from sources to their objects, from objects to those that depend on them and to their versions, from versions to their project's reports and from these to its package. A node is its kind, a bar and its id."""
+    named = lambda kind, c: F.concat(F.lit(f"{kind}|"), F.col(c))
+    step = lambda df, a, b: df.select("project_id", a.alias("node"), b.alias("next"))
+    own = reports.select("project_id", "report_id")
+    return (
+        step(objects, named("source", "input_source_id"), named("object", "object_id"))
+        .unionByName(step(dependencies, named("object", "target_object_id"), named("object", "source_object_id")))
+        .unionByName(step(versions, named("object", "object_id"), named("version", "version_id")))
+        .unionByName(step(versions.join(own, "project_id"), named("version", "version_id"), named("report", "report_id")))
+        .unionByName(step(own, named("report", "report_id"), named("package", "project_id")))
+    )
+
+
+def stale_along(artefacts: DataFrame, changed_sources: DataFrame) -> DataFrame:
+    """(project_id, kind, id, stale, distance) of every artefact that ``artefact_edges`` names: stale are the changed sources (project_id,
+    source_id) and all that comes of them, ``distance`` steps away at least."""
+    seeds = changed_sources.select("project_id", F.concat(F.lit("source|"), F.col("source_id")).alias("node"))
+    every = artefacts.select("project_id", "node").unionByName(artefacts.select("project_id", F.col("next").alias("node"))).unionByName(seeds).distinct()
+    found = every.join(graph.reached(artefacts, seeds), ["project_id", "node"], "left")
+    return found.select("project_id", F.substring_index("node", "|", 1).alias("kind"), F.regexp_extract("node", r"(?s)^[^|]*\|(.*)$", 1).alias("id"), F.col("distance").isNotNull().alias("stale"), "distance")
+
+
 def graph_view(objects: DataFrame, risks: DataFrame, dependencies: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges) of the graph view: objects and risks, with edges from the input, between objects and to risks."""
     risk_id = F.concat_ws("|", F.col("object_id"), F.col("code"))

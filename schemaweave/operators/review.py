@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import textops as T
-from .scratch import checkpointed
+from . import graph
 from .versions import marked
 
 APPROVED = ["APPROVED", "CONDITIONALLY_APPROVED"]
@@ -113,27 +113,8 @@ def ordered(baselines: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def waves(baselines: DataFrame, edges: DataFrame) -> DataFrame:
-    """(project_id, object_id, wave): the length of the longest way to an object without prerequisites.
-
-    Objects whose prerequisites all have a wave get the next one, until none is left or all that are left stand in or behind a
-    cycle; these have no wave (null). Each round is two joins and is checkpointed, so neither depth nor the number of ways
-    matters; what a round reads is the edges that are still open."""
-    keep = lambda df: checkpointed(df.repartition("project_id", "object_id"))
-    waiting = keep(pruned_edges(edges, baselines).select("project_id", F.col("source_object_id").alias("object_id"), F.col("target_object_id").alias("needs")))
-    nodes = keep(baselines.select("project_id", "object_id").distinct())
-    done, number = [], 0
-    while True:
-        ready = keep(nodes.join(waiting, ["project_id", "object_id"], "left_anti"))
-        if ready.isEmpty():
-            break
-        done.append(ready.withColumn("wave", F.lit(number)))
-        nodes = keep(nodes.join(ready, ["project_id", "object_id"], "left_anti"))
-        waiting = keep(waiting.join(ready.select("project_id", F.col("object_id").alias("needs")), ["project_id", "needs"], "left_anti").select("project_id", "object_id", "needs"))
-        number += 1
-    out = nodes.withColumn("wave", F.lit(None).cast("int"))
-    for d in done:
-        out = out.unionByName(d)
-    return out
+    """(project_id, object_id, component_id, cyclic, wave): the length of the longest way to an object without prerequisites, the objects of a cycle being one."""
+    return graph.components(baselines, edges)
 
 
 def package_text(versions: DataFrame, order: DataFrame) -> DataFrame:

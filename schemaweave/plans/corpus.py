@@ -47,3 +47,21 @@ CORPUS = (
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(CORPUS.replace("FROM part", "FROM {part}"), part=spark.read.parquet(f"{sf_dir}/part.parquet"))
+
+
+#: Tables that refer to others by key arithmetic, 128 to a group: a chain of 67, a ring of eight on it, two behind the ring, a pair on
+#: the ring, one on both, one that refers to itself, two pairs one of which needs the other, and lone tables; every even key needs its project's hub.
+LINKS = """SELECT p_partkey AS k, p_partkey % 128 AS m, 'p'||CAST(CAST((p_partkey - p_partkey % 128) / 128 AS BIGINT) % 3 AS VARCHAR(20)) AS project_id, 's'||CAST(p_partkey % 2 AS VARCHAR(20)) AS source_project_id,
+    CASE WHEN p_partkey % 128 BETWEEN 1 AND 66 OR p_partkey % 128 BETWEEN 81 AND 87 OR p_partkey % 128 IN (89, 91, 95, 97) THEN p_partkey - 1 WHEN p_partkey % 128 IN (90, 94, 96) THEN p_partkey + 1
+        WHEN p_partkey % 128 = 80 THEN p_partkey + 7 WHEN p_partkey % 128 = 88 THEN p_partkey - 4 WHEN p_partkey % 128 = 92 THEN p_partkey - 2 WHEN p_partkey % 128 = 93 THEN p_partkey END AS first_ref,
+    CASE p_partkey % 128 WHEN 83 THEN p_partkey - 43 WHEN 91 THEN p_partkey - 4 WHEN 92 THEN p_partkey - 87 WHEN 95 THEN p_partkey + 1 END AS second_ref,
+    CASE WHEN p_partkey % 2 = 0 THEN 127 + 128 * (CAST((p_partkey - p_partkey % 128) / 128 AS BIGINT) % 3) END AS hub_ref FROM part"""
+LINKED = (
+    "SELECT k, project_id, source_project_id, CAST(k AS VARCHAR(20)) AS input_source_id, 'f'||CAST(k AS VARCHAR(20))||'.sql' AS source_path, 'create table n'||CAST(k AS VARCHAR(20))||' (id number(10,0)'"
+    + "".join(f"||coalesce(', r{i} number references n'||CAST({r} AS VARCHAR(20))||' (id)', '')" for i, r in enumerate(("first_ref", "second_ref", "hub_ref")))
+    + f"||');' AS original_text FROM ({LINKS}) l"
+)
+
+
+def linked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.sql(LINKED.replace("FROM part", "FROM {part}"), part=spark.read.parquet(f"{sf_dir}/part.parquet"))

@@ -7,7 +7,7 @@ import re
 from ..functions import typemap
 from ..operators import advice, convert, report
 from ..operators.validate import STAGES
-from .corpus import CORPUS
+from .corpus import CORPUS, LINKS
 
 TOKEN = r"""(?s)[qQ]'(?:\[.*?(?:\]'|\z)|\(.*?(?:\)'|\z)|\{.*?(?:\}'|\z)|<.*?(?:>'|\z)|!.*?(?:!'|\z))|'[^']*(?:''[^']*)*(?:'|\z)|--[^\n]*(?:\n|\z)|/\*.*?(?:\*/|\z)|[^qQ'/\-]+|."""
 
@@ -97,9 +97,35 @@ NAME = "CASE template WHEN 11 THEN 'k'||(k - 1) WHEN 4 THEN 'Mixed t'||k ELSE ['
 ID = "sha256(project_id || '|' || source_project_id || '|' || input_source_id || '|0')"
 
 
+#: Objects of the linked corpus with their ids, and its references to tables that are there, none to itself.
+LINK_EDGES = f"""WITH RECURSIVE o AS (SELECT *, sha256(project_id || '|' || source_project_id || '|' || k || '|0') AS object_id FROM ({LINKS})),
+    e AS (SELECT DISTINCT a.project_id, a.object_id, b.object_id AS needs FROM (SELECT *, unnest([first_ref, second_ref, hub_ref]) AS r FROM o) a JOIN o b ON b.k = a.r AND b.k <> a.k AND b.project_id = a.project_id)"""
+
+
 def oracle_sql() -> dict[str, str]:
     first = _first()
-    return first | _lifecycle(first["o110_convert"])
+    return first | _lifecycle(first["o110_convert"]) | _graphs()
+
+
+def _graphs() -> dict[str, str]:
+    return {
+        "d8_clusters": f"""{LINK_EDGES}, u AS (SELECT object_id AS a, needs AS b FROM e UNION SELECT needs, object_id FROM e UNION SELECT object_id, object_id FROM o),
+            l AS (SELECT object_id, object_id AS label, 0 AS n FROM o UNION ALL SELECT u.a, min(label), any_value(n) + 1 FROM l JOIN u ON u.b = l.object_id WHERE n < 130 GROUP BY u.a)
+            SELECT project_id, object_id, min(label) AS cluster_id FROM l JOIN o USING (object_id) GROUP BY ALL""",
+        "d8_cycles": f"""{LINK_EDGES}, r AS (SELECT object_id AS a, needs AS b FROM e UNION SELECT r.a, e.needs FROM r JOIN e ON e.object_id = r.b),
+            m AS (SELECT x.a, x.b FROM r x JOIN r y ON x.a = y.b AND x.b = y.a),
+            c AS (SELECT project_id, object_id, least(object_id, coalesce(min(m.b), object_id)) AS component_id, count(m.b) FILTER (WHERE m.b <> object_id) > 0 AS cyclic FROM o LEFT JOIN m ON m.a = object_id GROUP BY project_id, object_id),
+            d AS (SELECT DISTINCT x.component_id AS a, y.component_id AS b FROM e JOIN c x ON x.object_id = e.object_id JOIN c y ON y.object_id = e.needs WHERE x.component_id <> y.component_id),
+            w AS (SELECT DISTINCT component_id, 0 AS wave FROM c UNION SELECT d.a, wave + 1 FROM w JOIN d ON d.b = w.component_id)
+            SELECT project_id, object_id, component_id, cyclic, (SELECT max(wave) FROM w WHERE w.component_id = c.component_id) AS wave FROM c""",
+        "d14_stale_along": f"""{LINK_EDGES}, v AS (SELECT *, sha256('version|' || object_id || '|1') AS version_id FROM o),
+            s AS (SELECT project_id, 'source|' || k AS node FROM o WHERE project_id <> 'p2' AND (k % 37 = 0 OR k % 41 = 0)),
+            g AS (SELECT project_id, 'source|' || k AS node, 'object|' || object_id AS next FROM o UNION SELECT project_id, 'object|' || needs, 'object|' || object_id FROM e UNION SELECT project_id, 'object|' || object_id, 'version|' || version_id FROM v
+                UNION SELECT project_id, 'version|' || version_id, 'report|r' || project_id FROM v UNION SELECT project_id, 'report|r' || project_id, 'package|' || project_id FROM o),
+            f AS (SELECT project_id, node, 0 AS n FROM s UNION SELECT g.project_id, g.next, n + 1 FROM f JOIN g USING (project_id, node) WHERE n < 130),
+            x AS (SELECT project_id, node FROM g UNION SELECT project_id, next FROM g)
+            SELECT project_id, split_part(node, '|', 1) AS kind, substr(node, instr(node, '|') + 1) AS id, count(n) > 0 AS stale, coalesce(min(n), -1) AS distance FROM x LEFT JOIN f USING (project_id, node) GROUP BY ALL""",
+    }
 
 
 def _first() -> dict[str, str]:

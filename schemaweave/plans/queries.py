@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 
 from ..functions import textops as T
 from ..functions import typemap
-from ..operators import advice, depgraph, diffs, model, report, review, risk, splitter, validate, versions
+from ..operators import advice, depgraph, diffs, graph, model, report, review, risk, splitter, validate, versions
 from ..sources import imports
 from . import reads
-from .corpus import corpus
+from .corpus import corpus, linked
 from .lifecycle import Project
 
 
@@ -252,6 +252,32 @@ def d8_waves(spark: SparkSession, sf_dir: str) -> DataFrame:
     return review.waves(frozen, p.edges).groupBy("project_id", "wave").agg(F.count("*").alias("n"))
 
 
+def _linked(spark: SparkSession, sf_dir: str) -> Project:
+    return Project(linked(spark, sf_dir).drop("k"))
+
+
+def d8_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cluster of every object of a corpus with hubs, chains and rings."""
+    p = _linked(spark, sf_dir)
+    return graph.clusters(p.objects, p.edges).select("project_id", "object_id", "cluster_id")
+
+
+def d8_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Component, cycle flag and wave of every object, chains of 67 and cycles of several sizes among them."""
+    p = _linked(spark, sf_dir)
+    return review.waves(p.objects, p.edges)
+
+
+def d14_stale_along(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What changed and gone sources make stale: objects, those that depend on them, versions, reports, packages."""
+    p = _linked(spark, sf_dir)
+    then = linked(spark, sf_dir).select("k", "project_id", F.col("input_source_id").alias("source_id"), F.sha2("original_text", 256).alias("content_hash"))
+    now = then.where("k % 41 <> 0 or project_id = 'p2'").withColumn("content_hash", F.when((F.col("k") % 37 == 0) & (F.col("project_id") != "p2"), "new").otherwise(F.col("content_hash")))
+    changed = diffs.stale_artefacts(then.select("project_id", "source_id", F.col("content_hash").alias("source_hash")), now).where("stale")
+    reports = p.objects.select("project_id").distinct().select("project_id", F.concat(F.lit("r"), "project_id").alias("report_id"))
+    return diffs.stale_along(diffs.artefact_edges(p.objects, p.edges, p.versions, reports), changed).withColumn("distance", F.coalesce("distance", F.lit(-1)))
+
+
 def d9_roll_up(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and score per source project and project."""
     p = _project(spark, sf_dir)
@@ -424,7 +450,7 @@ def minimum_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return risk.assess(model.objects(model.classify(c))).groupBy("level", "code").agg(F.count("*").alias("n"))
 
 
-ALL = [minimum_slice, o04_path_rules, o09_content_hash, o18_blank, o19_blank_comments, o24_identifiers, o29_split, o34_classify, o40_columns, o44_replace, o45_type_map, o47_risks, o50_dependencies, o63_freeze, o65_order, o70_precheck, o80_gate, o76_stale_reports, o88_package, o89_reviews, o96_advice, o100_columns_per_object, o103_graph, o110_convert, q3_risks, d1_batch_diff, d2_report_diff, d3_value_profile, d4_shard_checksums, d5_range_shards, d6_work_items, d7_folded_risks, d8_waves, d9_roll_up, d10_duplicates, d11_residue, d12_plan_stages, d13_sequences, d14_stale_artefacts, o05_import, o51_preferences, o64_frozen_again, o69_replaced, o74_html, q1_objects, q2_parse_issues, q4_conversions, q5_dependencies, q6_versions, q7_reports, q11_preview, q12_package_blocks, q13_advice, q14_batches]
+ALL = [minimum_slice, o04_path_rules, o09_content_hash, o18_blank, o19_blank_comments, o24_identifiers, o29_split, o34_classify, o40_columns, o44_replace, o45_type_map, o47_risks, o50_dependencies, o63_freeze, o65_order, o70_precheck, o80_gate, o76_stale_reports, o88_package, o89_reviews, o96_advice, o100_columns_per_object, o103_graph, o110_convert, q3_risks, d1_batch_diff, d2_report_diff, d3_value_profile, d4_shard_checksums, d5_range_shards, d6_work_items, d7_folded_risks, d8_waves, d8_clusters, d8_cycles, d9_roll_up, d10_duplicates, d11_residue, d12_plan_stages, d13_sequences, d14_stale_artefacts, d14_stale_along, o05_import, o51_preferences, o64_frozen_again, o69_replaced, o74_html, q1_objects, q2_parse_issues, q4_conversions, q5_dependencies, q6_versions, q7_reports, q11_preview, q12_package_blocks, q13_advice, q14_batches]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -72,7 +72,7 @@ def test_waves(spark):
     pairs = chain + ladder + circle
     e = spark.createDataFrame([("p", a, b) for a, b in pairs], "project_id string, source_object_id string, target_object_id string")
     nodes = spark.createDataFrame([("p", n) for n in sorted({n for pair in pairs for n in pair})] + [("q", "x")], "project_id string, object_id string")
-    want = {("p", f"c{i:03d}"): i for i in range(71)} | {("p", f"{x}{i}"): i for i in range(12) for x in "lr"} | {("p", n): None for n in "xyz"} | {("p", "s"): 0, ("q", "x"): 0}
+    want = {("p", f"c{i:03d}"): i for i in range(71)} | {("p", f"{x}{i}"): i for i in range(12) for x in "lr"} | {("p", "x"): 1, ("p", "y"): 1, ("p", "z"): 2} | {("p", "s"): 0, ("q", "x"): 0}
     assert {(r.project_id, r.object_id): r.wave for r in review.waves(nodes, e).collect()} == want
 
 
