@@ -54,10 +54,12 @@ def packed(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def unpacked(data: np.ndarray) -> np.ndarray:
+    if not len(data):
+        return np.zeros(0, np.int64)
     end = np.flatnonzero(data < 128)
     begin = np.concatenate([[0], end[:-1] + 1])
     shift = 7 * (np.arange(len(data)) - np.repeat(begin, end - begin + 1))
-    return np.add.reduceat((data & 127).astype(np.int64) << shift, begin) if len(begin) and len(data) else np.zeros(0, np.int64)
+    return np.add.reduceat((data & 127).astype(np.int64) << shift, begin)
 
 
 def impacts(tf: np.ndarray, n: np.ndarray, documents: int, terms: int) -> np.ndarray:
@@ -208,7 +210,7 @@ def block_max_wand(lists: Lists, weights: dict[str, int], top: Top) -> None:
     np.add.at(change, np.searchsorted(border, start), best)
     np.subtract.at(change, np.searchsorted(border, stop), best)
     bound = np.cumsum(change)[:-1]  # of the documents from one border to the next
-    k = 0
+    k, reach = 0, BLOCK
     while k < len(bound):
         ahead = bound[k:] >= top.threshold
         pivot = k + int(ahead.argmax())
@@ -216,7 +218,8 @@ def block_max_wand(lists: Lists, weights: dict[str, int], top: Top) -> None:
             return  # nothing behind can get in
         below = np.flatnonzero(~ahead[pivot - k :])
         k = pivot + int(below[0]) if len(below) else len(bound)
-        k = max(pivot + 1, min(k, int(np.searchsorted(border, border[pivot] + 8 * BLOCK))))  # not too far: the threshold may rise
+        k = max(pivot + 1, min(k, int(np.searchsorted(border, border[pivot] + reach))))  # not too far: the threshold may rise
+        reach = min(2 * reach, 8 * BLOCK)
         a, b = border[pivot], border[min(k, len(border) - 1)]
         score = np.zeros(b - a, np.int64)
         for x in np.flatnonzero((start < b) & (stop > a)):
