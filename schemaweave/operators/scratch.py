@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -20,13 +21,6 @@ def shared_folder(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    spark = df.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(shared_folder(spark))
-    return df.checkpoint()
-
-
 class Rounds:
     """Tables that an iterative operator writes round by round below one folder of the shared file system.
 
@@ -53,7 +47,7 @@ class Rounds:
         fs, p = self._path(f"{self.root}/{number}/__table={name}")
         return fs.exists(p)
 
-    def read(self, name: str, schema: str, *numbers: int) -> DataFrame:
+    def read(self, name: str, schema: str | StructType, *numbers: int) -> DataFrame:
         """One table of some rounds."""
         found = [f"{self.root}/{n}/__table={name}" for n in numbers if self.has(n, name)]
         return self.spark.read.schema(schema).parquet(*found) if found else self.spark.createDataFrame([], schema)

@@ -146,6 +146,7 @@ def _first() -> dict[str, str]:
             CASE WHEN template = 0 THEN 'app' ELSE '' END AS schema_name, CASE template WHEN 15 THEN '' WHEN 11 THEN 'k'||(k - 1) WHEN 4 THEN 'Mixed t'||k ELSE ['t','t','t','t','','v','i','s','g','f','k','','r','v','t'][template + 1]||k END AS object_name FROM c""",
         "o40_columns": f"{C}, cols(template, name, source_type, nullable, ordinal_position) AS (VALUES {', '.join(f'({t}, {_q(n)}, {_q(s)}, {str(u).lower()}, {sum(r[0] == t for r in COLUMN_ROWS[: i + 1])})' for i, (t, n, s, u) in enumerate(COLUMN_ROWS))}) SELECT input_source_id, name, source_type, nullable, ordinal_position FROM c JOIN cols USING (template)",
         "o44_replace": f"{OBJECTS} SELECT type, CASE WHEN k % 2 = 0 THEN 'FRESH' ELSE 'PARSED' END AS status, count(*) AS n FROM o WHERE k % 6 <> 0 GROUP BY ALL",
+        "o44_snapshot": f"{RISKS} SELECT type, CASE WHEN k % 4 = 0 THEN 'FRESH' ELSE 'PARSED' END AS status, count(*) AS n FROM o WHERE k % 12 <> 0 GROUP BY ALL UNION ALL SELECT code, '', count(*) FROM r WHERE k % 12 <> 0 GROUP BY code",
         "o45_type_map": f"""SELECT p_partkey, CASE m WHEN 0 THEN 'varchar('||n||')' WHEN 1 THEN 'varchar('||n||')' WHEN 2 THEN 'VARCHAR2(*)' WHEN 3 THEN 'numeric('||n||',2)' WHEN 4 THEN 'bytea' WHEN 5 THEN 'TIMESTAMP(6)' WHEN 6 THEN 'numeric' WHEN 7 THEN 'timestamp' WHEN 8 THEN 'timestamp' WHEN 9 THEN 'text' WHEN 10 THEN 'bytea' WHEN 11 THEN 'XMLTYPE' ELSE 'SYSDATE' END AS target_type,
             m IN (1, 2, 5, 6, 7, 11, 12) AS review_required, CASE m WHEN 1 THEN {_N['char']} WHEN 2 THEN {_N['length']} WHEN 3 THEN {_N['narrow']} WHEN 4 THEN {_N['raw']} WHEN 6 THEN {_N['number']} WHEN 7 THEN {_N['date']} WHEN 5 THEN {_N['none']} WHEN 11 THEN {_N['none']} WHEN 12 THEN {_N['none']} ELSE '' END AS notes,
             CASE m WHEN 0 THEN 'VARCHAR2('||n||')' WHEN 1 THEN 'nvarchar2( '||n||' char )' WHEN 2 THEN 'VARCHAR2(*)' WHEN 3 THEN 'number('||n||', 2)' WHEN 4 THEN 'RAW('||n||')' WHEN 5 THEN 'TIMESTAMP(6)' WHEN 6 THEN ' number ' WHEN 7 THEN 'DATE' WHEN 8 THEN 'timestamp' WHEN 9 THEN 'NCLOB' WHEN 10 THEN 'BLOB' WHEN 11 THEN 'XMLTYPE' ELSE 'clock_timestamp()' END AS expression
@@ -214,17 +215,17 @@ def _lifecycle(convert_sql: str) -> dict[str, str]:
         "o74_html": f"""{RISKS}, n AS ({counted}), i AS (SELECT project_id, count(*) AS issues FROM c WHERE template = 15 GROUP BY project_id),
             y AS (SELECT n.*, coalesce(issues, 0) AS issues, CASE WHEN project_id <> 'p0' THEN 'STALE' ELSE 'BLOCKED' END AS status FROM n LEFT JOIN i USING (project_id))
             SELECT project_id, status, status AS json_status, {_q(report.HTML[0])} || '<dt>Project</dt><dd>' || project_id || '</dd><dt>Status</dt><dd>' || status || '</dd><dt>Objects</dt><dd>' || object_count || '</dd><dt>Parse Issues</dt><dd>' || issues || '</dd><dt>Risks</dt><dd>' || risk_count::BIGINT || '</dd><dt>Blockers</dt><dd>' || blocker_count::BIGINT || '</dd><dt>High Risks</dt><dd>' || high_risk_count::BIGINT || '</dd><dt>Conversions</dt><dd>' || object_count || '</dd><dt>SQL Versions</dt><dd>' || object_count || '</dd>' || {_q(report.HTML[1])} AS html_content FROM y""",
-        "q1_objects": f"{OBJECTS}, x AS (SELECT *, {NAME} AS object_name FROM o) SELECT project_id, source_project_id, input_source_id, type, object_name, 'PARSED' AS status, source_path, 0 AS start_offset, 1 AS start_line, rank() OVER (PARTITION BY project_id ORDER BY type, object_name)::INT AS position FROM x",
+        "q1_objects": f"{OBJECTS}, x AS (SELECT *, {NAME} AS object_name FROM o) SELECT project_id, source_project_id, input_source_id, type, object_name, 'PARSED' AS status, source_path, 0 AS start_offset, 1 AS start_line, rank() OVER (PARTITION BY project_id ORDER BY type, object_name)::BIGINT AS position FROM x",
         "q2_parse_issues": f"""{C}, x AS (SELECT *, ((k - template) // 16)::BIGINT::VARCHAR AS file FROM c), y AS (SELECT *, coalesce(sum(length(original_text) + 1) OVER (PARTITION BY project_id, file ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::INT AS start_offset FROM x)
-            SELECT project_id, file AS input_source_id, 'UNSUPPORTED_STATEMENT' AS code, 'Statement is not supported by the object model.' AS message, original_text AS text, start_offset, rank() OVER (PARTITION BY project_id ORDER BY start_offset)::INT AS position FROM y WHERE template = 15""",
-        "q4_conversions": f"{OBJECTS}, x AS (SELECT *, {LEVEL} AS level, {ID} AS object_id FROM o) SELECT project_id, input_source_id, level, rank() OVER (PARTITION BY project_id ORDER BY list_position(['AUTO', 'REVIEW_REQUIRED', 'DRAFT', 'MANUAL_REQUIRED'], level), object_id)::INT AS position FROM x",
-        "q5_dependencies": f"{EDGES}, r AS (SELECT project_id, type, rank() OVER (PARTITION BY project_id ORDER BY type)::INT AS position FROM edges) SELECT project_id, type, position, count(*) AS n FROM r GROUP BY ALL",
-        "q6_versions": f"{OBJECTS}, v AS (SELECT *, 1 AS version_number, 'AUTO_CONVERSION' AS source, {ID} AS object_id FROM o UNION ALL SELECT *, 2, 'USER_EDIT', {ID} FROM o WHERE k % 5 = 0) SELECT project_id, input_source_id, version_number, source, rank() OVER (PARTITION BY project_id ORDER BY object_id, version_number)::INT AS position FROM v",
-        "q7_reports": "SELECT o_custkey AS project_id, o_orderkey AS report_id, rank() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC)::INT AS position, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey) = 1 AS latest FROM orders",
+            SELECT project_id, file AS input_source_id, 'UNSUPPORTED_STATEMENT' AS code, 'Statement is not supported by the object model.' AS message, original_text AS text, start_offset, rank() OVER (PARTITION BY project_id ORDER BY start_offset)::BIGINT AS position FROM y WHERE template = 15""",
+        "q4_conversions": f"{OBJECTS}, x AS (SELECT *, {LEVEL} AS level, {ID} AS object_id FROM o) SELECT project_id, input_source_id, level, rank() OVER (PARTITION BY project_id ORDER BY list_position(['AUTO', 'REVIEW_REQUIRED', 'DRAFT', 'MANUAL_REQUIRED'], level), object_id)::BIGINT AS position FROM x",
+        "q5_dependencies": f"{EDGES}, r AS (SELECT project_id, type, rank() OVER (PARTITION BY project_id ORDER BY type)::BIGINT AS position FROM edges) SELECT project_id, type, position, count(*) AS n FROM r GROUP BY ALL",
+        "q6_versions": f"{OBJECTS}, v AS (SELECT *, 1 AS version_number, 'AUTO_CONVERSION' AS source, {ID} AS object_id FROM o UNION ALL SELECT *, 2, 'USER_EDIT', {ID} FROM o WHERE k % 5 = 0) SELECT project_id, input_source_id, version_number, source, rank() OVER (PARTITION BY project_id ORDER BY object_id, version_number)::BIGINT AS position FROM v",
+        "q7_reports": "SELECT o_custkey AS project_id, o_orderkey AS report_id, rank() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC)::BIGINT AS position, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey) = 1 AS latest FROM orders",
         "q11_preview": f"{OBJECTS}, x AS (SELECT *, {ID} AS object_id FROM o WHERE template <> 12 AND project_id <> 'p0') SELECT project_id, 'READY' AS status, count(*) AS baseline_count, 1::BIGINT AS approved_review_count, 0::BIGINT AS blocker_count, '001_schema_baseline.sql' AS files, md5(string_agg(object_id, ',' ORDER BY object_id)) AS objects_md5 FROM x GROUP BY project_id",
         "q12_package_blocks": f"{OBJECTS}, x AS (SELECT project_id, {ID} AS object_id, CASE template\n{target} AS target_sql FROM o) SELECT project_id, md5('-- object: ' || object_id || ', version: 1' || chr(10) || regexp_replace(target_sql, '\\s+$', '') || chr(10) || chr(10)) AS block_md5 FROM x",
         "o88_package": f"{OBJECTS}, x AS (SELECT project_id, {ID} AS object_id, CASE template\n{target} AS target_sql FROM o) SELECT project_id, (length('-- SQL package' || chr(10) || '-- project: ' || project_id) + 2 + sum(length('-- object: ' || object_id || ', version: 1' || regexp_replace(target_sql, '\\s+$', '')) + 3))::INT AS n_chars, count(*)::INT AS n_objects FROM x GROUP BY project_id",
         "q13_advice": f"""{OBJECTS}, {RULES}, t(n, type, title) AS (VALUES {', '.join(f'({n}, {_q(k)}, {_q(v)})' for n, (k, v) in enumerate(advice.TITLES.items()))}), r AS (SELECT project_id, count(*) AS n_risks FROM o JOIN rules USING (template) GROUP BY project_id)
-            SELECT project_id, t.type, title, 'DRAFT' AS status, {_q(advice.HUMAN)} AS uncertainty, 'rules' AS provider, count(*) AS object_count, any_value(n_risks) AS risk_count, (4 - n)::INT AS position FROM o JOIN r USING (project_id), t GROUP BY project_id, t.type, title, n""",
-        "q14_batches": "SELECT c_nationkey::VARCHAR AS project_id, trim(c_name) AS name, CASE WHEN c_custkey % 2 = 0 THEN 'FOLDER_SET' ELSE 'DATABASE_EXPORT' END AS type, c_custkey::BIGINT AS created, rank() OVER (PARTITION BY c_nationkey ORDER BY c_custkey)::INT AS position FROM customer WHERE c_custkey % 5 <> 0",
+            SELECT project_id, t.type, title, 'DRAFT' AS status, {_q(advice.HUMAN)} AS uncertainty, 'rules' AS provider, count(*) AS object_count, any_value(n_risks) AS risk_count, (4 - n)::BIGINT AS position FROM o JOIN r USING (project_id), t GROUP BY project_id, t.type, title, n""",
+        "q14_batches": "SELECT c_nationkey::VARCHAR AS project_id, trim(c_name) AS name, CASE WHEN c_custkey % 2 = 0 THEN 'FOLDER_SET' ELSE 'DATABASE_EXPORT' END AS type, c_custkey::BIGINT AS created, rank() OVER (PARTITION BY c_nationkey ORDER BY c_custkey)::BIGINT AS position FROM customer WHERE c_custkey % 5 <> 0",
     }

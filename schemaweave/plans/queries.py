@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,8 +11,10 @@ from pyspark.sql import functions as F
 from ..functions import textops as T
 from ..functions import typemap
 from ..operators import advice, depgraph, diffs, graph, model, report, review, risk, splitter, validate, versions
+from ..operators.scratch import shared_folder
 from ..sources import imports
 from . import reads
+from .catalog import Snapshots
 from .corpus import corpus, linked
 from .lifecycle import Project
 
@@ -91,6 +94,20 @@ def o44_replace(spark: SparkSession, sf_dir: str) -> DataFrame:
     return model.replace_by_source(o, fresh, came).groupBy("type", "status").agg(F.count("*").alias("n"))
 
 
+def o44_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three commits to one snapshot: all sources; every fourth again, every twelfth without an object; the same batch once more."""
+    p = _project(spark, sf_dir)
+    k = F.col("input_source_id").cast("long")
+    rows = p.objects.select("project_id", "input_source_id", "type", "status")
+    risks = p.risks.select("project_id", "input_source_id", "code")
+    state = Snapshots(spark, f"{shared_folder(spark)}/schemaweave/{spark.sparkContext.applicationId}/state-{uuid.uuid4().hex}", 16)
+    state.commit({"db_object": rows, "risk_issue": risks}, rows, "files", 0)
+    fresh = rows.where((k % 4 == 0) & (k % 12 != 0)).withColumn("status", F.lit("FRESH"))
+    for status in ("FRESH", "TWICE"):
+        state.commit({"db_object": fresh.withColumn("status", F.lit(status)), "risk_issue": risks.where((k % 4 == 0) & (k % 12 != 0))}, rows.where(k % 4 == 0), "files", 1)
+    return state.read("db_object").groupBy("type", "status").agg(F.count("*").alias("n")).unionByName(state.read("risk_issue").groupBy(F.col("code").alias("type")).agg(F.count("*").alias("n")).withColumn("status", F.lit("")))
+
+
 def o45_type_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     """O45, O46 on types made from parts."""
     n = "CAST(p_size AS VARCHAR(20))"
@@ -399,7 +416,7 @@ def q7_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = _table(spark, sf_dir, "orders")
     rows = o.select(F.col("o_custkey").alias("project_id"), F.col("o_orderkey").alias("report_id"), F.col("o_orderdate").alias("created_at"))
     newest = review.latest_first(rows).select(F.col("report_id").alias("newest"))
-    placed = reads.ranked(rows, F.desc("created_at"))
+    placed = reads.ranked(rows, reads.Falling("created_at"))
     return placed.join(newest, placed["report_id"] == newest["newest"], "left").select("project_id", "report_id", "position", F.col("newest").isNotNull().alias("latest"))
 
 
@@ -432,7 +449,7 @@ def q13_advice(spark: SparkSession, sf_dir: str) -> DataFrame:
         log = advice.call_log(a, advice.RuleProvider.name)
         a = a.select("project_id", "type", "title", "status", "uncertainty", "created_at").join(log, ["project_id", "type"])
         out = a if out is None else out.unionByName(a)
-    return reads.ranked(out, F.desc("created_at")).select("project_id", "type", "title", "status", "uncertainty", "provider", "object_count", "risk_count", "position")
+    return reads.ranked(out, reads.Falling("created_at")).select("project_id", "type", "title", "status", "uncertainty", "provider", "object_count", "risk_count", "position")
 
 
 def q14_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -450,7 +467,7 @@ def minimum_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return risk.assess(model.objects(model.classify(c))).groupBy("level", "code").agg(F.count("*").alias("n"))
 
 
-ALL = [minimum_slice, o04_path_rules, o09_content_hash, o18_blank, o19_blank_comments, o24_identifiers, o29_split, o34_classify, o40_columns, o44_replace, o45_type_map, o47_risks, o50_dependencies, o63_freeze, o65_order, o70_precheck, o80_gate, o76_stale_reports, o88_package, o89_reviews, o96_advice, o100_columns_per_object, o103_graph, o110_convert, q3_risks, d1_batch_diff, d2_report_diff, d3_value_profile, d4_shard_checksums, d5_range_shards, d6_work_items, d7_folded_risks, d8_waves, d8_clusters, d8_cycles, d9_roll_up, d10_duplicates, d11_residue, d12_plan_stages, d13_sequences, d14_stale_artefacts, d14_stale_along, o05_import, o51_preferences, o64_frozen_again, o69_replaced, o74_html, q1_objects, q2_parse_issues, q4_conversions, q5_dependencies, q6_versions, q7_reports, q11_preview, q12_package_blocks, q13_advice, q14_batches]
+ALL = [minimum_slice, o04_path_rules, o09_content_hash, o18_blank, o19_blank_comments, o24_identifiers, o29_split, o34_classify, o40_columns, o44_replace, o44_snapshot, o45_type_map, o47_risks, o50_dependencies, o63_freeze, o65_order, o70_precheck, o80_gate, o76_stale_reports, o88_package, o89_reviews, o96_advice, o100_columns_per_object, o103_graph, o110_convert, q3_risks, d1_batch_diff, d2_report_diff, d3_value_profile, d4_shard_checksums, d5_range_shards, d6_work_items, d7_folded_risks, d8_waves, d8_clusters, d8_cycles, d9_roll_up, d10_duplicates, d11_residue, d12_plan_stages, d13_sequences, d14_stale_artefacts, d14_stale_along, o05_import, o51_preferences, o64_frozen_again, o69_replaced, o74_html, q1_objects, q2_parse_issues, q4_conversions, q5_dependencies, q6_versions, q7_reports, q11_preview, q12_package_blocks, q13_advice, q14_batches]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

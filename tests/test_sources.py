@@ -3,7 +3,7 @@ import zipfile
 
 import pytest
 
-from schemaweave.plans.catalog import Catalog, dimension
+from schemaweave.plans.catalog import Catalog, Snapshots, dimension
 from schemaweave.sources import imports
 from schemaweave.streaming.ingest import follow
 
@@ -123,5 +123,46 @@ def test_stream(spark, tmp_path):
         (tmp_path / "in" / folder / "same.sql").write_text("create view v as select 1 from dual;")
     q = follow(spark, f"file://{tmp_path}/in", f"file://{tmp_path}/out", f"file://{tmp_path}/cp", "p", "s")
     q.awaitTermination()
-    c = Catalog(spark, f"file://{tmp_path}/out")
-    assert (c.read("db_object").count(), c.read("parse_issue").count(), c.read("risk_issue").count()) == (3, 1, 2)
+    c = Snapshots(spark, f"file://{tmp_path}/out")
+    assert [c.read(t).count() for t in ("db_object", "db_column", "parse_issue", "risk_issue")] == [3, 1, 1, 2]
+
+
+STATE = "project_id string, input_source_id string, x int"
+
+
+def test_snapshots(spark, tmp_path):
+    """An emptied source loses its rows; a failed write shows the old state whole; a repeated batch changes nothing."""
+    c = Snapshots(spark, f"file://{tmp_path}/state", buckets=4)
+    table = lambda *rows: spark.createDataFrame([("p", *r) for r in rows], STATE)
+    state = lambda: [sorted((r.input_source_id, r.x) for r in c.read(t).collect()) for t in ("a", "b")]
+    every = table(*((f"s{i}", 0) for i in range(20)))
+    assert c.commit({"a": table(*((f"s{i}", i) for i in range(20))), "b": table(("s1", 1), ("s1", 2))}, every, "st", 0)
+    first = state()
+    assert first == [sorted((f"s{i}", i) for i in range(20)), [("s1", 1), ("s1", 2)]]
+    came = table(("s1", 0), ("s2", 0))
+    assert not c.commit({"a": table(("s1", 9)), "b": table()}, came, "st", 0) and state() == first
+    bad = table(("s2", 5)).selectExpr("project_id", "input_source_id", "cast(raise_error('lost') as int) x")
+    with pytest.raises(Exception, match="lost"):
+        c.commit({"a": table(("s2", 5)), "b": bad}, came, "st", 1)
+    assert state() == first
+    assert c.commit({"a": table(("s2", 5), ("s7", 99)), "b": table()}, came, "st", 1)
+    second = [sorted([("s2", 5)] + [(f"s{i}", i) for i in range(20) if i not in (1, 2)]), []]
+    assert state() == second  # s7 didn't come in
+    assert not c.commit({"a": table(("s2", 6)), "b": table()}, came, "st", 1) and state() == second
+    assert c.commit({"a": table(("s2", 6)), "b": table()}, came, "other", 0) and c.manifest(2)["tables"] != c.manifest()["tables"]
+    assert sorted(r.x for r in c.read("a", c.manifest(2)).where("input_source_id = 's2'").collect()) == [5]
+    with pytest.raises(Exception, match="exists"):
+        c._publish(c.manifest())  # another writer was first
+    c.vacuum(1)
+    assert sorted(r.x for r in c.read("a").where("input_source_id = 's2'").collect()) == [6] and c._numbers() == [3]
+
+
+def test_snapshots_keep_edits(spark, tmp_path):
+    from schemaweave.operators import versions
+
+    schema = "project_id string, input_source_id string, source string, x int"
+    c = Snapshots(spark, f"file://{tmp_path}/v")
+    rows = lambda *r: spark.createDataFrame([("p", *x) for x in r], schema)
+    c.commit({"v": rows(("1", "AUTO_CONVERSION", 1), ("1", "USER_EDIT", 2), ("2", "AUTO_CONVERSION", 3))}, rows(("1", "", 0), ("2", "", 0)))
+    c.commit({"v": rows(("1", "AUTO_CONVERSION", 4))}, rows(("1", "", 0), ("2", "", 0)), merge={"v": versions.replace_generated})
+    assert sorted((r.input_source_id, r.source, r.x) for r in c.read("v").collect()) == [("1", "AUTO_CONVERSION", 4), ("1", "USER_EDIT", 2)]

@@ -115,3 +115,27 @@ def test_paths(spark):
     got = spark.createDataFrame(rows, "p string").select("p", T.illegal_path(F.col("p")).alias("bad"), T.allowed_extension(F.col("p")).alias("ok")).collect()
     assert [r.bad for r in got] == [False, True, True, True, False, True, True, True]
     assert [r.ok for r in got][0] and [r.ok for r in got][-1]
+
+
+@pytest.mark.parametrize("partitions", ["1", "3", "9"])
+def test_places_are_those_of_one_window(spark, partitions):
+    """Ties, nulls and falling keys, whatever the number of ranges."""
+    import random
+
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+
+    from schemaweave.plans import reads
+
+    r = random.Random(4)
+    df = spark.createDataFrame([(r.choice(["p", "q", None]), r.choice([None, 1, 2, 3]), r.choice(["x", "x", "x", "y", None, "z"]), i) for i in range(200)], "project_id string, a int, b string, i int")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    try:
+        for given, wanted in ((("a", "b"), (F.asc("a"), F.asc("b"))), ((reads.Falling("b"), F.col("a") * 2), (F.desc("b"), F.asc("a"))), (("b",), (F.asc("b"),))):
+            want = df.withColumn("position", F.rank().over(Window.partitionBy("project_id").orderBy(*wanted)))
+            got = reads.ranked(df, *given)
+            assert got.columns == want.columns and sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
+        assert reads.ranked(df.limit(0), "a").count() == 0
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
