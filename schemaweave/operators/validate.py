@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, FloatType
+from pyspark.sql.types import ArrayType, BinaryType, DoubleType, FloatType, MapType, StructType, TimestampNTZType, TimestampType
 
 
 def value_profile(df: DataFrame, columns: list[str], table: str) -> DataFrame:
@@ -33,15 +33,78 @@ def shard(key: Column, shards: int) -> Column:
     return (F.conv(F.substring(F.md5(key.cast("string")), 1, 7), 16, 10).cast("long") % shards).cast("int")
 
 
-def row_digest(*columns: Column) -> Column:
-    """The first 8 hex digits of the MD5 of the columns' texts, as a number; nulls are empty."""
-    text = F.concat_ws("|", *(F.coalesce(c.cast("string"), F.lit("")) for c in columns))
-    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long")
+def shared_text(df: DataFrame, column: str) -> Column:
+    """A value in a form that any engine can write: its length, a colon and its text, or N for null.
 
+    Integers, strings and booleans as they are; decimals with their scale; floating-point numbers to six decimals; dates as
+    yyyy-mm-dd; timestamps as microseconds since 1970 in the session's zone; binary in hexadecimal digits; anything else as JSON."""
+    x, kind = F.col(column), df.schema[column].dataType
+    if isinstance(kind, (FloatType, DoubleType)):
+        name = F.when(F.isnan(x), "NaN").when(x == float("inf"), "Infinity").when(x == float("-inf"), "-Infinity")
+        text = F.coalesce(name, x.try_cast("decimal(38,6)").cast("string"), x.cast("string"))
+    elif isinstance(kind, TimestampNTZType):
+        text = F.expr(f"timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', `{column}`)").cast("string")
+    elif isinstance(kind, TimestampType):
+        text = F.unix_micros(x).cast("string")
+    elif isinstance(kind, BinaryType):
+        text = F.lower(F.hex(x))
+    elif isinstance(kind, (ArrayType, MapType, StructType)):
+        text = F.to_json(F.struct(x.alias("x")))
+    else:
+        text = x.cast("string")
+    return F.when(x.isNull(), "N").otherwise(F.concat(F.length(text).cast("string"), F.lit(":"), text))
 
-def shard_checksums(df: DataFrame, key: str, columns: list[str], shards: int = 16) -> DataFrame:
+
+def row_digest(df: DataFrame, columns: list[str] | None = None) -> Column:
+    """The first 15 hexadecimal digits of the MD5 of a row's values, as a number; of all columns unless some are named."""
+    text = F.concat(*(shared_text(df, c) for c in columns or df.columns))
+    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
+
+
+def _summed(digest: Column) -> Column:
+    return F.sum(digest.cast("decimal(38,0)"))
+
+
+def shard_checksums(df: DataFrame, key: str, columns: list[str] | None = None, shards: int = 16) -> DataFrame:
     """(shard, rows, checksum): sums, so that order and partitioning don't matter and partial aggregates do the work."""
-    return df.select(shard(F.col(key), shards).alias("shard"), row_digest(*(F.col(c) for c in columns)).alias("d")).groupBy("shard").agg(F.count("*").alias("rows"), F.sum("d").alias("checksum"))
+    return df.select(shard(F.col(key), shards).alias("shard"), row_digest(df, columns).alias("d")).groupBy("shard").agg(F.count("*").alias("rows"), _summed(F.col("d")).cast("string").alias("checksum"))
+
+
+def _leaf(df: DataFrame, keys: list[str], depth: int) -> Column:
+    """Where a row hangs in the tree of shards: the first ``depth`` hexadecimal digits of the MD5 of its key."""
+    return F.substring(F.md5(F.concat(*(shared_text(df, k) for k in keys))), 1, depth)
+
+
+def checksum_tree(df: DataFrame, keys: list[str], depth: int = 3) -> DataFrame:
+    """(level, shard, rows, checksum): 16 ** depth leaves in one pass over the table, and the levels above them from the leaves; '' is the whole table."""
+    leaves = df.select(_leaf(df, keys, depth).alias("leaf"), row_digest(df).alias("d")).groupBy("leaf").agg(F.count("*").alias("rows"), _summed(F.col("d")).alias("checksum"))
+    every = leaves.select("rows", "checksum", F.explode(F.transform(F.sequence(F.lit(0), F.lit(depth)), lambda n: F.struct(n.alias("level"), F.substring("leaf", F.lit(1), n).alias("shard")))).alias("x"))
+    return every.groupBy("x.level", "x.shard").agg(F.sum("rows").alias("rows"), F.sum("checksum").alias("checksum"))
+
+
+def unequal_shards(before: DataFrame, after: DataFrame, keys: list[str], depth: int = 3) -> DataFrame:
+    """(level, shard, rows_before, rows_after) of the shards whose rows or checksums differ, from the whole table down to the leaves."""
+    b = checksum_tree(before, keys, depth).toDF("level", "shard", "rows_before", "b")
+    a = checksum_tree(after, keys, depth).toDF("level", "shard", "rows_after", "a")
+    j = b.join(a, ["level", "shard"], "full_outer")
+    return j.where(~(F.col("rows_before").eqNullSafe(F.col("rows_after")) & F.col("b").eqNullSafe(F.col("a")))).select("level", "shard", F.coalesce("rows_before", F.lit(0)).alias("rows_before"), F.coalesce("rows_after", F.lit(0)).alias("rows_after"))
+
+
+def differences(before: DataFrame, after: DataFrame, keys: list[str], depth: int = 3) -> DataFrame:
+    """The keys whose rows aren't the same: ADDED, REMOVED or CHANGED, with how many rows each side has of them.
+
+    Both tables are read once for the tree; only rows of leaves that differ are read again, with their keys and digests, and
+    meet by key. Rows may share a key: what counts is which rows there are and how often. Two different sets of rows are taken
+    for equal with a chance of about 2^-60."""
+    bad = unequal_shards(before, after, keys, depth).where(F.col("level") == depth).select(F.col("shard").alias("leaf"))
+
+    both = before.select(*keys, _leaf(before, keys, depth).alias("leaf"), row_digest(before).alias("d"), F.lit(1).alias("old")).unionByName(after.select(*keys, _leaf(after, keys, depth).alias("leaf"), row_digest(after).alias("d"), F.lit(0).alias("old")))
+    # 16 ** depth leaves at most
+    near = both.join(F.broadcast(bad), "leaf", "left_semi")
+    of = lambda old, name: (F.count_if(F.col("old") == old).alias(f"rows_{name}"), F.coalesce(_summed(F.when(F.col("old") == old, F.col("d"))), F.lit(0)).alias(f"sum_{name}"))
+    j = near.groupBy(*keys).agg(*of(1, "before"), *of(0, "after"))
+    kind = F.when(F.col("rows_before") == 0, "ADDED").when(F.col("rows_after") == 0, "REMOVED").when((F.col("rows_before") != F.col("rows_after")) | (F.col("sum_before") != F.col("sum_after")), "CHANGED")
+    return j.withColumn("difference", kind).where("difference is not null").select(*keys, "difference", "rows_before", "rows_after")
 
 
 def sampled(df: DataFrame, key: str, one_in: int = 100) -> DataFrame:
@@ -57,6 +120,30 @@ def range_shards(df: DataFrame, key: str, shards: int) -> DataFrame:
     return s.groupBy("shard").agg(F.count("*").alias("rows"), F.min(key).alias("low"), F.max(key).alias("high"))
 
 
+def depth_shards(df: DataFrame, key: str | None, shards: int, accuracy: int = 10_000) -> DataFrame:
+    """Adds ``shard``: ranges of the key, nulls first, with about as many rows each, or without a key a hash of the whole row.
+
+    The cuts come from a mergeable quantile sketch in one pass; each is off by one in ``accuracy`` of all rows at most. A key that
+    fills several shards is one that several cuts share; these keys are counted exactly, and their rows dealt over the places
+    that they take by a hash of the row, so such a shard is also off by what the hash deals unevenly; rows equal in all columns stay together."""
+    draw = F.pmod(F.xxhash64(*df.columns), F.lit(1 << 30)) / float(1 << 30)
+    if key is None:
+        return df.withColumn("shard", F.floor(draw * shards).cast("int"))
+    x, kind = F.col(key), df.schema[key].dataType
+    nulls, total = df.agg(F.count_if(x.isNull()), F.count("*")).first()
+    wanted = [(i * total / shards - nulls) / (total - nulls) for i in range(1, shards) if i * total / shards > nulls] if total > nulls else []
+    cuts = df.agg(F.percentile_approx(x, F.array(*map(F.lit, wanted)), F.lit(accuracy))).first()[0] if wanted else []
+    place = F.size(F.filter(F.array(*(F.lit(c).cast(kind) for c in cuts)), lambda c: c < x)) + (shards - 1 - len(cuts)) if cuts else F.lit(shards - 1)
+    heavy = [c for c in dict.fromkeys(cuts) if cuts.count(c) > 1]
+    spot = lambda before, rows: F.floor((F.lit(float(before)) + draw * rows) * shards / total)
+    out = F.when(x.isNull(), spot(0, nulls))
+    if heavy:
+        counted = df.agg(*(f for c in heavy for f in (F.count_if(x < F.lit(c).cast(kind)), F.count_if(x == F.lit(c).cast(kind))))).first()
+        for n, c in enumerate(heavy):
+            out = out.when(x == F.lit(c).cast(kind), spot(nulls + counted[2 * n], counted[2 * n + 1]))
+    return df.withColumn("shard", out.otherwise(place).cast("int"))
+
+
 def sequence_positions(tables: dict[str, tuple[DataFrame, str]]) -> DataFrame:
     """(table_name, next_value): where each table's sequence must go on."""
     out = None

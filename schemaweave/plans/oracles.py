@@ -97,6 +97,19 @@ NAME = "CASE template WHEN 11 THEN 'k'||(k - 1) WHEN 4 THEN 'Mixed t'||k ELSE ['
 ID = "sha256(project_id || '|' || source_project_id || '|' || input_source_id || '|0')"
 
 
+def _shared(column: str, text: str = "{}::VARCHAR") -> str:
+    value = text.format(column)
+    return f"CASE WHEN {column} IS NULL THEN 'N' ELSE length({value}) || ':' || {value} END"
+
+
+LINE_KEY = " || ".join(_shared(c) for c in ("l_orderkey", "l_linenumber"))
+_MONEY = "{}::DECIMAL(38,6)::VARCHAR"
+_LINE = [(c, "{}::VARCHAR") for c in ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")] + [(c, _MONEY) for c in ("l_quantity", "l_extendedprice", "l_discount", "l_tax")] + [(c, "{}") for c in ("l_returnflag", "l_linestatus")] + [("l_shipdate", "epoch_us({})::VARCHAR")]
+ROW_DIGEST = f"('0x' || md5({' || '.join(_shared(c, t) for c, t in _LINE)})[1:15])::BIGINT"
+LOADED = """WITH x AS (SELECT *, 0 AS side FROM lineitem UNION ALL SELECT * REPLACE (CASE WHEN l_orderkey % 997 = 0 AND l_linenumber = 1 THEN l_tax + 0.01::DOUBLE ELSE l_tax END AS l_tax, CASE WHEN l_orderkey % 991 <> 0 THEN l_shipdate END AS l_shipdate), 1 FROM lineitem WHERE l_orderkey % 1009 <> 0
+    UNION ALL SELECT *, 1 FROM lineitem WHERE l_orderkey % 983 = 0 AND l_linenumber = 1 UNION ALL SELECT * REPLACE (-l_orderkey AS l_orderkey), 1 FROM lineitem WHERE l_orderkey % 977 = 0 AND l_linenumber = 1)"""
+
+
 #: Objects of the linked corpus with their ids, and its references to tables that are there, none to itself.
 LINK_EDGES = f"""WITH RECURSIVE o AS (SELECT *, sha256(project_id || '|' || source_project_id || '|' || k || '|0') AS object_id FROM ({LINKS})),
     e AS (SELECT DISTINCT a.project_id, a.object_id, b.object_id AS needs FROM (SELECT *, unnest([first_ref, second_ref, hub_ref]) AS r FROM o) a JOIN o b ON b.k = a.r AND b.k <> a.k AND b.project_id = a.project_id)"""
@@ -184,7 +197,15 @@ def _first() -> dict[str, str]:
         "q3_risks": f"{RISKS} SELECT input_source_id, level, code FROM r WHERE project_id = 'p16'",
         "d1_batch_diff": f"{C} SELECT source_path AS relative_path, CASE WHEN k % 11 = 0 THEN 'ADDED' WHEN k % 7 = 0 THEN 'REMOVED' WHEN k % 5 = 0 THEN 'CHANGED' ELSE 'SAME' END AS change FROM c WHERE NOT (k % 11 = 0 AND k % 7 = 0)",
         "d3_value_profile": " UNION ALL ".join(profile(t, c) for t, c in (("lineitem", "l_orderkey"), ("lineitem", "l_quantity"), ("lineitem", "l_extendedprice"), ("lineitem", "l_linenumber"), ("orders", "o_orderkey"), ("orders", "o_totalprice"))),
-        "d4_shard_checksums": "SELECT (('0x' || md5(l_orderkey::VARCHAR)[1:7])::BIGINT % 16)::INT AS shard, count(*) AS rows, sum(('0x' || md5(concat_ws('|', l_orderkey::VARCHAR, l_linenumber::VARCHAR, l_partkey::VARCHAR, l_suppkey::VARCHAR, l_returnflag))[1:8])::BIGINT)::BIGINT AS checksum FROM lineitem GROUP BY 1",
+        "d4_shard_checksums": f"SELECT (('0x' || md5(l_orderkey::VARCHAR)[1:7])::BIGINT % 16)::INT AS shard, count(*) AS rows, sum({ROW_DIGEST})::VARCHAR AS checksum FROM lineitem GROUP BY 1",
+        "d4_unequal_shards": f"""{LOADED}, t AS (SELECT side, level, md5({LINE_KEY})[1:level] AS shard, {ROW_DIGEST} AS d FROM x, (SELECT unnest(range(0, 4))::INT AS level)),
+            s AS (SELECT level, shard, count(*) FILTER (WHERE side = 0) AS rows_before, count(*) FILTER (WHERE side = 1) AS rows_after, sum(CASE WHEN side = 0 THEN d ELSE -d END) AS d FROM t GROUP BY ALL)
+            SELECT level, shard, rows_before, rows_after FROM s WHERE rows_before <> rows_after OR d <> 0""",
+        "d4_differences": f"""{LOADED}, c AS (SELECT l_orderkey, l_linenumber, {ROW_DIGEST} AS d, count(*) FILTER (WHERE side = 0) AS b, count(*) FILTER (WHERE side = 1) AS a FROM x GROUP BY ALL),
+            s AS (SELECT l_orderkey, l_linenumber, sum(b)::BIGINT AS rows_before, sum(a)::BIGINT AS rows_after, bool_or(a <> b) AS differs FROM c GROUP BY ALL)
+            SELECT l_orderkey, l_linenumber, CASE WHEN rows_before = 0 THEN 'ADDED' WHEN rows_after = 0 THEN 'REMOVED' ELSE 'CHANGED' END AS difference, rows_before, rows_after FROM s WHERE differs""",
+        "d4_sample": f"""{LOADED} SELECT l_orderkey, l_linenumber, {ROW_DIGEST} AS digest, count(*) FILTER (WHERE side = 0) AS rows_before, count(*) FILTER (WHERE side = 1) AS rows_after FROM x WHERE ('0x' || md5(l_orderkey::VARCHAR)[1:7])::BIGINT % 50 = 0 GROUP BY ALL""",
+        "d5_depth_shards": "SELECT unnest(['event_id', 'skewed', 'sparse', '']) AS key, shard, true AS near, (SELECT count(*) FROM events) AS total FROM (SELECT unnest(range(0, 8))::INT AS shard)",
         "d5_range_shards": "SELECT floor((o_orderkey - lo) / ((hi - lo + 1)::DOUBLE / 8))::INT AS shard, count(*) AS rows, min(o_orderkey) AS low, max(o_orderkey) AS high FROM orders, (SELECT min(o_orderkey) AS lo, max(o_orderkey) AS hi FROM orders) GROUP BY 1",
         "d7_folded_risks": f"{RISKS} SELECT project_id, code, level, count(*) AS n, CASE level WHEN 'BLOCKER' THEN 0 WHEN 'HIGH' THEN 1 WHEN 'MEDIUM' THEN 2 ELSE 3 END AS severity FROM r GROUP BY project_id, code, level",
         "d8_waves": f"""{EDGES.replace('WITH', 'WITH RECURSIVE', 1)}, w(project_id, k, depth) AS (SELECT project_id, k, 0 FROM o UNION ALL SELECT edges.project_id, edges.source_key, w.depth + 1 FROM w JOIN edges ON edges.target_key = w.k), m AS (SELECT project_id, k, max(depth) AS wave FROM w GROUP BY project_id, k) SELECT project_id, wave, count(*) AS n FROM m GROUP BY project_id, wave""",

@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import textops as T
@@ -240,8 +240,32 @@ def d3_value_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def d4_shard_checksums(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows and checksum of each shard of lineitem."""
-    return validate.shard_checksums(_table(spark, sf_dir, "lineitem"), "l_orderkey", ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag"])
+    """Rows and checksum over all columns of each shard of lineitem."""
+    return validate.shard_checksums(_table(spark, sf_dir, "lineitem"), "l_orderkey")
+
+
+def _loaded(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Lineitem, and a copy in which some rows are gone, new, changed in one column or there twice."""
+    li = _table(spark, sf_dir, "lineitem")
+    k, one = F.col("l_orderkey"), F.col("l_linenumber") == 1
+    copy = li.where(k % 1009 != 0).withColumn("l_tax", F.when((k % 997 == 0) & one, F.col("l_tax") + 0.01).otherwise(F.col("l_tax"))).withColumn("l_shipdate", F.when(k % 991 == 0, F.lit(None)).otherwise(F.col("l_shipdate")))
+    return li, copy.unionByName(li.where((k % 983 == 0) & one)).unionByName(li.where((k % 977 == 0) & one).withColumn("l_orderkey", -k))
+
+
+def d4_unequal_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """D4, level 4: the parts of the checksum tree in which a loaded copy differs."""
+    return validate.unequal_shards(*_loaded(spark, sf_dir), ["l_orderkey", "l_linenumber"])
+
+
+def d4_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """D4, levels 2 and 4: the keys whose rows differ in a loaded copy, found through the tree."""
+    return validate.differences(*_loaded(spark, sf_dir), ["l_orderkey", "l_linenumber"])
+
+
+def d4_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """D4, level 3: the same sampled rows on both sides, and whether both have them."""
+    before, after = (validate.sampled(df, "l_orderkey", 50).select("l_orderkey", "l_linenumber", validate.row_digest(df).alias("digest")).groupBy("l_orderkey", "l_linenumber", "digest").agg(F.count("*").alias(n)) for df, n in zip(_loaded(spark, sf_dir), ("rows_before", "rows_after"), strict=True))
+    return before.join(after, ["l_orderkey", "l_linenumber", "digest"], "full_outer").fillna(0, ["rows_before", "rows_after"])
 
 
 def d5_range_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -249,6 +273,18 @@ def d5_range_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return validate.range_shards(_table(spark, sf_dir, "orders"), "o_orderkey", 8)
 
 
+def d5_depth_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shards of events by the depth of a skewed key, by one with nulls and without a key; the rows of each are within the error."""
+    e = _table(spark, sf_dir, "events").withColumn("skewed", F.when(F.col("event_id") % 2 == 0, 1).otherwise(F.col("user_id"))).withColumn("sparse", F.when(F.col("event_id") % 3 != 0, F.col("value")))
+    out = None
+    for key in ("event_id", "skewed", "sparse", None):
+        sized = validate.depth_shards(e, key, 8).groupBy("shard").agg(F.count("*").alias("rows"))
+        total = F.sum("rows").over(Window.partitionBy(F.lit(0)))  # eight rows
+        near = sized.select(F.lit(key or "").alias("key"), "shard", (F.abs(F.col("rows") - total / 8) <= total / 8 * 0.1 + 1).alias("near"), total.alias("total"))
+        out = near if out is None else out.unionByName(near)
+    return out
+
+
 def d6_work_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Open points of all stages, counted."""
     p = _project(spark, sf_dir)
@@ -467,7 +503,7 @@ def minimum_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return risk.assess(model.objects(model.classify(c))).groupBy("level", "code").agg(F.count("*").alias("n"))
 
 
-ALL = [minimum_slice, o04_path_rules, o09_content_hash, o18_blank, o19_blank_comments, o24_identifiers, o29_split, o34_classify, o40_columns, o44_replace, o44_snapshot, o45_type_map, o47_risks, o50_dependencies, o63_freeze, o65_order, o70_precheck, o80_gate, o76_stale_reports, o88_package, o89_reviews, o96_advice, o100_columns_per_object, o103_graph, o110_convert, q3_risks, d1_batch_diff, d2_report_diff, d3_value_profile, d4_shard_checksums, d5_range_shards, d6_work_items, d7_folded_risks, d8_waves, d8_clusters, d8_cycles, d9_roll_up, d10_duplicates, d11_residue, d12_plan_stages, d13_sequences, d14_stale_artefacts, d14_stale_along, o05_import, o51_preferences, o64_frozen_again, o69_replaced, o74_html, q1_objects, q2_parse_issues, q4_conversions, q5_dependencies, q6_versions, q7_reports, q11_preview, q12_package_blocks, q13_advice, q14_batches]
+ALL = [minimum_slice, o04_path_rules, o09_content_hash, o18_blank, o19_blank_comments, o24_identifiers, o29_split, o34_classify, o40_columns, o44_replace, o44_snapshot, o45_type_map, o47_risks, o50_dependencies, o63_freeze, o65_order, o70_precheck, o80_gate, o76_stale_reports, o88_package, o89_reviews, o96_advice, o100_columns_per_object, o103_graph, o110_convert, q3_risks, d1_batch_diff, d2_report_diff, d3_value_profile, d4_shard_checksums, d4_unequal_shards, d4_differences, d4_sample, d5_range_shards, d5_depth_shards, d6_work_items, d7_folded_risks, d8_waves, d8_clusters, d8_cycles, d9_roll_up, d10_duplicates, d11_residue, d12_plan_stages, d13_sequences, d14_stale_artefacts, d14_stale_along, o05_import, o51_preferences, o64_frozen_again, o69_replaced, o74_html, q1_objects, q2_parse_issues, q4_conversions, q5_dependencies, q6_versions, q7_reports, q11_preview, q12_package_blocks, q13_advice, q14_batches]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

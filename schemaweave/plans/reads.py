@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import dataclasses
-
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import convert, risk
-from ..operators.scratch import Rounds
+from ..operators.places import Falling, placed
 
 
 def risk_order() -> tuple:
@@ -19,38 +17,9 @@ def conversion_order() -> tuple:
     return convert.level_rank(F.col("level")), F.col("object_id")
 
 
-@dataclasses.dataclass(frozen=True)
-class Falling:
-    """A key of ``ranked`` with the greatest first."""
-
-    key: Column | str
-
-
 def ranked(df: DataFrame, *order: Column | str | Falling) -> DataFrame:
-    """The place of every row in its project's order as a column, for readers that can't rely on the order of rows; ties share a place, nulls are the least.
-
-    Rows of equal keys are counted where they lie, so however many tie, one row of them moves. The distinct keys are dealt by ranges; a
-    row's place is the number of rows in the ranges before its own, plus those before it in its range. No task holds a project."""
-    keys = [f"__key{i}" for i in range(len(order))]
-    named = [(k.key if isinstance(k, Falling) else k) for k in order]
-    d = df.select("*", *((F.col(k) if isinstance(k, str) else k).alias(n) for k, n in zip(named, keys, strict=True)))
-    along = [F.desc(n) if isinstance(k, Falling) else F.asc(n) for k, n in zip(order, keys, strict=True)]
-    counts = d.groupBy("project_id", *keys).agg(F.count("*").alias("__n"))
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = counts.repartitionByRange(parts, F.asc("project_id"), *along).withColumn("__range", F.spark_partition_id())
-    rounds = Rounds(df.sparkSession, "ranked")  # written, as both sums must see the same ranges
-    rounds.write(0, keys=dealt)
-    dealt = rounds.read("keys", dealt.schema, 0)
-    earlier = lambda w: F.coalesce(F.sum("__n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    totals = dealt.groupBy("project_id", "__range").agg(F.sum("__n").alias("__n"))  # a row per range and project in it
-    before = totals.select(F.col("project_id").alias("__p"), F.col("__range").alias("__r"), earlier(Window.partitionBy("project_id").orderBy("__range")).alias("__before"))
-    inside = dealt.withColumn("__inside", earlier(Window.partitionBy("project_id", "__range").orderBy(*along)))
-    placed = inside.join(before, F.col("project_id").eqNullSafe(F.col("__p")) & (F.col("__range") == F.col("__r")))
-    placed = placed.select(F.col("project_id").alias("__p"), *(F.col(k).alias(f"{k}_") for k in keys), (F.col("__before") + F.col("__inside") + 1).alias("position"))
-    same = F.col("project_id").eqNullSafe(F.col("__p"))
-    for k in keys:
-        same = same & F.col(k).eqNullSafe(F.col(f"{k}_"))
-    return d.join(placed, same).select(*(d[c] for c in df.columns), "position")
+    """The place of every row in its project's order as a column, for readers that can't rely on the order of rows; ties share a place."""
+    return placed(df, ["project_id"], *order)
 
 
 def _of(df: DataFrame, project_id: str | None) -> DataFrame:
