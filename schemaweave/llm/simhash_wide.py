@@ -51,7 +51,7 @@ MINIMUM = 5
 CAP = 256
 PARTNERS = 8
 #: Bytes of one bucket's postings, on average at most, and those that a task holds before it lets go of keys beyond CAP.
-BUCKET, HELD = 8 << 20, 48 << 20
+BUCKET, HELD = 4 << 20, 16 << 20
 #: Nodes whose pairs are tallied together, and the kinds of what has been found.
 RANGE, ALONE, COMPANY, WAITS = 20_000, 0, 1, 2
 #: Nodes up to which the ids of candidates are broadcast (8 bytes each); beyond, the join is shuffled.
