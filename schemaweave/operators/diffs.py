@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import graph
+from .places import placed
+from .scratch import Rounds
 
 
 def batch_diff(before: DataFrame, after: DataFrame, key: str = "relative_path", value: str = "content_hash") -> DataFrame:
@@ -15,6 +19,50 @@ def batch_diff(before: DataFrame, after: DataFrame, key: str = "relative_path",
     return j.select(key, F.when(F.col("b").isNull(), "ADDED").when(F.col("a").isNull(), "REMOVED").when(F.col("a") != F.col("b"), "CHANGED").otherwise("SAME").alias("change"))
 
 
+#: Columns of what is compared between batches, and in which order rows find their counterpart: what they then are, and what they must agree in.
+FILES = ["project_id", "relative_path", "content_hash"], [("CHANGED", ["project_id", "relative_path"]), ("MOVED", ["project_id", "content_hash"])]
+OBJECTS = ["project_id", "type", "schema_name", "object_name", "source_path", "sql_hash"], [("MOVED", ["project_id", "type", "schema_name", "object_name", "sql_hash"]), ("CHANGED", ["project_id", "type", "schema_name", "object_name"]), ("RETYPED", ["project_id", "schema_name", "object_name"])]
+RISKS = ["project_id", "source_path", "type", "schema_name", "object_name", "code", "level"], [("MOVED", ["project_id", "type", "schema_name", "object_name", "code", "level"]), ("CHANGED", ["project_id", "type", "schema_name", "object_name", "code"])]
+
+
+def object_rows(objects: DataFrame) -> DataFrame:
+    return objects.select("project_id", "type", "schema_name", "object_name", "source_path", F.sha2("original_sql", 256).alias("sql_hash"))
+
+
+def risk_rows(risks: DataFrame, objects: DataFrame) -> DataFrame:
+    named = objects.select("object_id", "source_path", "type", "schema_name", "object_name")
+    return risks.select("project_id", "object_id", "code", "level").join(named, "object_id").drop("object_id")
+
+
+def matched(before: DataFrame, after: DataFrame, columns: list[str], steps: list[tuple[str, list[str]]]) -> DataFrame:
+    """(change, before, after): a row per row of either side, as a struct of ``columns``; null where a side has none.
+
+    A multiset difference: rows equal in all columns are SAME, as often as both sides have them. The others find a counterpart step by
+    step among those that agree in the step's columns, the first with the first in the order of the rest and so on; what is left is
+    REMOVED or ADDED. Occurrences are numbered by ranges (``places``), so a value that a third of all rows share is no one task's work."""
+
+    def single(df: DataFrame) -> DataFrame:
+        return df.select(columns).groupBy(*columns).agg(F.count("*").cast("int").alias("n")).select(*columns, F.explode(F.sequence(F.lit(1), F.col("n"))).alias("copy"))
+
+    rounds, schema = Rounds(before.sparkSession, "matched"), None
+    of = lambda side: F.struct(*(F.col(f"{side}.{c}").alias(c) for c in columns))
+    out, left = [], {"b": single(before).withColumn("position", F.lit(1).cast("long")), "a": single(after).withColumn("position", F.lit(1).cast("long"))}
+    for n, (label, keys) in enumerate([("SAME", [*columns, "copy"]), *steps]):
+        rest = [c for c in (*columns, "copy") if c not in keys]
+        b, a = ((df if not rest else placed(df.drop("position"), keys, *rest)).alias(side) for side, df in left.items())
+        on = F.col("b.position") == F.col("a.position")
+        for k in keys:
+            on = on & F.col(f"b.{k}").eqNullSafe(F.col(f"a.{k}"))
+        j = b.join(a, on, "full_outer").select(F.lit(label).alias("change"), F.when(F.col("b.copy").isNotNull(), of("b")).alias("before"), F.when(F.col("a.copy").isNotNull(), of("a")).alias("after"), F.col("b.copy").alias("b_copy"), F.col("a.copy").alias("a_copy"))
+        rounds.write(n, pairs=j.where("before is not null and after is not null"), b=j.where("after is null"), a=j.where("before is null"))
+        schema = j.schema
+        left = {side: rounds.read(side, schema, n).select(f"{name}.*", F.col(f"{side}_copy").alias("copy"), F.lit(1).cast("long").alias("position")) for side, name in (("b", "before"), ("a", "after"))}
+        out.append(rounds.read("pairs", schema, n))
+    last = len(steps)
+    out += [rounds.read("b", schema, last).withColumn("change", F.lit("REMOVED")), rounds.read("a", schema, last).withColumn("change", F.lit("ADDED"))]
+    return functools.reduce(DataFrame.unionByName, out).select("change", "before", "after")
+
+
 def report_diff(before: DataFrame, after: DataFrame, counts: list[str], key: str = "project_id") -> DataFrame:
     """Per project and count: value before, value after, difference."""
     pack = lambda df, name: df.select(key, F.explode(F.map_from_arrays(F.array(*map(F.lit, counts)), F.array(*(F.col(c).cast("long") for c in counts)))).alias("count_name", name))

@@ -115,9 +115,29 @@ LINK_EDGES = f"""WITH RECURSIVE o AS (SELECT *, sha256(project_id || '|' || sour
     e AS (SELECT DISTINCT a.project_id, a.object_id, b.object_id AS needs FROM (SELECT *, unnest([first_ref, second_ref, hub_ref]) AS r FROM o) a JOIN o b ON b.k = a.r AND b.k <> a.k AND b.project_id = a.project_id)"""
 
 
+FATE = "CASE WHEN k % 11 = 0 THEN 'ADDED' WHEN k % 7 = 0 THEN 'REMOVED' WHEN k % 5 = 0 THEN 'CHANGED' WHEN k % 9 = 0 THEN 'MOVED' WHEN k % 13 = 0 THEN 'TWICE' ELSE 'SAME' END"
+PATHS = "CASE WHEN fate = 'ADDED' THEN '' ELSE source_path END AS {0}before, CASE fate WHEN 'REMOVED' THEN '' WHEN 'MOVED' THEN 'moved/' || source_path ELSE source_path END AS {0}after"
+
+
+def _batch_differences() -> dict[str, str]:
+    """What became of each source; one that came twice is the same and once more new."""
+    change = "CASE WHEN fate = 'TWICE' THEN 'SAME' ELSE fate END AS change"
+    return {
+        "d1_files": f"{C}, f AS (SELECT *, {FATE} AS fate FROM c) SELECT {change}, {PATHS.format('path_')} FROM f UNION ALL SELECT 'ADDED', '', 'again/' || source_path FROM f WHERE fate = 'TWICE'",
+        "d1_objects": f"""{OBJECTS}, f AS (SELECT *, {FATE} AS fate, {NAME} AS name FROM o),
+            b AS (SELECT *, row_number() OVER (PARTITION BY project_id, name ORDER BY type) AS n FROM f WHERE fate = 'REMOVED'),
+            a AS (SELECT *, row_number() OVER (PARTITION BY project_id, name ORDER BY type) AS n FROM (SELECT * REPLACE (CASE WHEN fate = 'TWICE' THEN 'again/' ELSE '' END || source_path AS source_path) FROM f WHERE fate IN ('ADDED', 'TWICE')))
+            SELECT {change}, type AS type_before, name AS object_name_before, type AS type_after, name AS object_name_after, {PATHS.format('source_path_')} FROM f WHERE fate NOT IN ('ADDED', 'REMOVED')
+            UNION ALL SELECT CASE WHEN b.k IS NULL THEN 'ADDED' WHEN a.k IS NULL THEN 'REMOVED' ELSE 'RETYPED' END, coalesce(b.type, ''), coalesce(b.name, ''), coalesce(a.type, ''), coalesce(a.name, ''), coalesce(b.source_path, ''), coalesce(a.source_path, '') FROM b FULL JOIN a ON a.project_id = b.project_id AND a.name = b.name AND a.n = b.n""",
+        "d1_risks": f"""{RISKS}, f AS (SELECT *, {FATE} AS fate, {NAME} AS name FROM r), g AS (SELECT *, CASE WHEN code = 'NUMBER_INTEGER_NARROWING_REVIEW' AND k % 5 = 0 AND fate <> 'MOVED' THEN 'LOW' ELSE level END AS later FROM f)
+            SELECT CASE WHEN fate IN ('ADDED', 'REMOVED', 'MOVED') THEN fate WHEN later <> level THEN 'CHANGED' ELSE 'SAME' END AS change, name AS object_name, code, CASE WHEN fate = 'ADDED' THEN '' ELSE level END AS level_before, CASE WHEN fate = 'REMOVED' THEN '' ELSE later END AS level_after FROM g
+            UNION ALL SELECT 'ADDED', name, code, '', level FROM g WHERE fate = 'TWICE'""",
+    }
+
+
 def oracle_sql() -> dict[str, str]:
     first = _first()
-    return first | _lifecycle(first["o110_convert"]) | _graphs()
+    return first | _lifecycle(first["o110_convert"]) | _graphs() | _batch_differences()
 
 
 def _graphs() -> dict[str, str]:

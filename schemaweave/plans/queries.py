@@ -224,6 +224,36 @@ def d1_batch_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return diffs.batch_diff(c.where("k % 11 <> 0"), after)
 
 
+def _batches(spark: SparkSession, sf_dir: str) -> tuple[Project, Project]:
+    """The corpus and what came later: sources gone, new, changed, moved to another path, and there twice."""
+    c = corpus(spark, sf_dir).withColumn("fate", F.expr("CASE WHEN k % 11 = 0 THEN 'ADDED' WHEN k % 7 = 0 THEN 'REMOVED' WHEN k % 5 = 0 THEN 'CHANGED' WHEN k % 9 = 0 THEN 'MOVED' WHEN k % 13 = 0 THEN 'TWICE' ELSE 'SAME' END"))
+    fate = F.col("fate")
+    now = c.where(fate != "REMOVED").withColumn("original_text", F.when(fate == "CHANGED", F.concat(F.lit("-- v2\n"), "original_text")).otherwise(F.col("original_text"))).withColumn("source_path", F.when(fate == "MOVED", F.concat(F.lit("moved/"), "source_path")).otherwise(F.col("source_path")))
+    again = now.where(fate == "TWICE").withColumn("source_path", F.concat(F.lit("again/"), "source_path")).withColumn("input_source_id", F.concat(F.lit("again"), "input_source_id"))
+    return tuple(Project(df.drop("k", "template", "fate")) for df in (c.where(fate != "ADDED"), now.unionByName(again)))
+
+
+def d1_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of a later batch against those of an earlier one."""
+    before, after = (p.sources.select("project_id", F.col("source_path").alias("relative_path"), F.sha2("original_text", 256).alias("content_hash")) for p in _batches(spark, sf_dir))
+    return diffs.matched(before, after, *diffs.FILES).select("change", F.coalesce("before.relative_path", F.lit("")).alias("path_before"), F.coalesce("after.relative_path", F.lit("")).alias("path_after"))
+
+
+def d1_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Objects of a later batch against those of an earlier one."""
+    before, after = (diffs.object_rows(p.objects) for p in _batches(spark, sf_dir))
+    return diffs.matched(before, after, *diffs.OBJECTS).select("change", *(F.coalesce(f"{side}.{c}", F.lit("")).alias(f"{c}_{side}") for side in ("before", "after") for c in ("type", "object_name", "source_path")))
+
+
+def d1_risks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Risks of a later batch, in which one rule weighs less for changed sources, against those of an earlier one."""
+    earlier, later = _batches(spark, sf_dir)
+    before, after = (diffs.risk_rows(p.risks, p.objects) for p in (earlier, later))
+    lower = F.col("source_path").rlike("^f[0-9]*[05]\\.sql$") & (F.col("code") == "NUMBER_INTEGER_NARROWING_REVIEW")
+    after = after.withColumn("level", F.when(lower, "LOW").otherwise(F.col("level")))
+    return diffs.matched(before, after, *diffs.RISKS).select("change", F.coalesce("before.object_name", "after.object_name").alias("object_name"), F.coalesce("before.code", "after.code").alias("code"), F.coalesce("before.level", F.lit("")).alias("level_before"), F.coalesce("after.level", F.lit("")).alias("level_after"))
+
+
 def d2_report_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reports of the corpus before and after its first half came in."""
     p = _project(spark, sf_dir)
@@ -503,7 +533,7 @@ def minimum_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return risk.assess(model.objects(model.classify(c))).groupBy("level", "code").agg(F.count("*").alias("n"))
 
 
-ALL = [minimum_slice, o04_path_rules, o09_content_hash, o18_blank, o19_blank_comments, o24_identifiers, o29_split, o34_classify, o40_columns, o44_replace, o44_snapshot, o45_type_map, o47_risks, o50_dependencies, o63_freeze, o65_order, o70_precheck, o80_gate, o76_stale_reports, o88_package, o89_reviews, o96_advice, o100_columns_per_object, o103_graph, o110_convert, q3_risks, d1_batch_diff, d2_report_diff, d3_value_profile, d4_shard_checksums, d4_unequal_shards, d4_differences, d4_sample, d5_range_shards, d5_depth_shards, d6_work_items, d7_folded_risks, d8_waves, d8_clusters, d8_cycles, d9_roll_up, d10_duplicates, d11_residue, d12_plan_stages, d13_sequences, d14_stale_artefacts, d14_stale_along, o05_import, o51_preferences, o64_frozen_again, o69_replaced, o74_html, q1_objects, q2_parse_issues, q4_conversions, q5_dependencies, q6_versions, q7_reports, q11_preview, q12_package_blocks, q13_advice, q14_batches]
+ALL = [minimum_slice, o04_path_rules, o09_content_hash, o18_blank, o19_blank_comments, o24_identifiers, o29_split, o34_classify, o40_columns, o44_replace, o44_snapshot, o45_type_map, o47_risks, o50_dependencies, o63_freeze, o65_order, o70_precheck, o80_gate, o76_stale_reports, o88_package, o89_reviews, o96_advice, o100_columns_per_object, o103_graph, o110_convert, q3_risks, d1_batch_diff, d1_files, d1_objects, d1_risks, d2_report_diff, d3_value_profile, d4_shard_checksums, d4_unequal_shards, d4_differences, d4_sample, d5_range_shards, d5_depth_shards, d6_work_items, d7_folded_risks, d8_waves, d8_clusters, d8_cycles, d9_roll_up, d10_duplicates, d11_residue, d12_plan_stages, d13_sequences, d14_stale_artefacts, d14_stale_along, o05_import, o51_preferences, o64_frozen_again, o69_replaced, o74_html, q1_objects, q2_parse_issues, q4_conversions, q5_dependencies, q6_versions, q7_reports, q11_preview, q12_package_blocks, q13_advice, q14_batches]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

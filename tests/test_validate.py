@@ -61,3 +61,24 @@ def test_depth_shards(spark, key):
         ends = out.where(F.col(key).isNotNull()).groupBy("shard").agg(F.min(key).alias("low"), F.max(key).alias("high")).orderBy("shard").collect()
         assert all(a.high <= b.low for a, b in zip(ends[:-1], ends[1:], strict=True))
     assert V.depth_shards(df.limit(0), key, 10).count() == 0
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_matched(spark, seed):
+    """Repeated rows, nulls, and values that many share: each row once, and pairs as many as counts allow, step by step."""
+    from schemaweave.operators import diffs
+
+    r = random.Random(seed)
+    rows = lambda n: [(r.choice(["p", None]), f"path{r.randrange(12)}", r.choice(["hot", "hot", "h1", "h2", None])) for _ in range(n)]
+    b, a = rows(40), rows(45)
+    df = lambda x: spark.createDataFrame(x, "project_id string, relative_path string, content_hash string")
+    got = [(x.change, x.before and tuple(x.before), x.after and tuple(x.after)) for x in diffs.matched(df(b), df(a), *diffs.FILES).collect()]
+    assert Counter(x for _, x, _ in got if x) == Counter(b) and Counter(x for *_, x in got if x) == Counter(a)
+    left = Counter(b), Counter(a)
+    for label, key in (("SAME", lambda x: x), ("CHANGED", lambda x: x[:2]), ("MOVED", lambda x: (x[0], x[2]))):
+        pairs = [(x, y) for c, x, y in got if c == label]
+        assert all(key(x) == key(y) for x, y in pairs)
+        groups = [Counter(key(x) for x in side.elements()) for side in left]
+        assert len(pairs) == (groups[0] & groups[1]).total()
+        left = left[0] - Counter(x for x, _ in pairs), left[1] - Counter(y for _, y in pairs)
+    assert Counter(c for c, *_ in got)["REMOVED"] == left[0].total() and Counter(c for c, *_ in got)["ADDED"] == left[1].total()
