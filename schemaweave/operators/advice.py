@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from typing import Protocol
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # The texts of the deterministic provider.
@@ -38,5 +38,12 @@ class RuleProvider:
         return a.select("project_id", F.lit(kind).alias("type"), F.lit("DRAFT").alias("status"), F.lit(TITLES[kind]).alias("title"), summary.alias("summary"), "rule_hits", "rule_codes", "affected_objects", listed(CHANGE_PLAN).alias("change_plan"), listed(VALIDATION_PLAN).alias("validation_plan"), unsure.alias("uncertainty"), "n_objects", "n_risks")
 
 
+def stamped(suggestions: DataFrame, at: Column | None = None) -> DataFrame:
+    """Suggestions with created_at from a clock (now)."""
+    return suggestions.withColumn("created_at", F.current_timestamp() if at is None else at)
+
+
 def call_log(suggestions: DataFrame, provider: str) -> DataFrame:
-    return suggestions.select("project_id", F.lit(provider).alias("provider"), "type", F.col("n_objects").alias("object_count"), F.col("n_risks").alias("risk_count"))
+    """A call per suggestion, at the time of the suggestion if it has one."""
+    at = ["created_at"] if "created_at" in suggestions.columns else []
+    return suggestions.select("project_id", F.lit(provider).alias("provider"), "type", F.col("n_objects").alias("object_count"), F.col("n_risks").alias("risk_count"), *at)

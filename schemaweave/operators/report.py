@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .versions import latest_usable, marked
@@ -32,8 +32,8 @@ def unedited(conversions: DataFrame, versions: DataFrame) -> DataFrame:
     return left.where(F.col("usable_sql").isNull() | marked("usable_sql", "MANUAL_REQUIRED") | marked("usable_sql", "DRAFT"))
 
 
-def precheck(objects: DataFrame, issues: DataFrame, risks: DataFrame, conversions: DataFrame, versions: DataFrame) -> DataFrame:
-    """Per project: the seven counts, status, json_content and html_content."""
+def precheck(objects: DataFrame, issues: DataFrame, risks: DataFrame, conversions: DataFrame, versions: DataFrame, at: Column | None = None) -> DataFrame:
+    """Per project: the seven counts, status, json_content and html_content; with a clock ``at`` also created_at."""
     counts = _counts(objects, issues, risks, conversions, versions, ["project_id"])
     open_work = unedited(conversions, versions).groupBy("project_id").agg(F.count("*").alias("open_conversions"))
     r = counts.join(open_work, "project_id", "left").withColumn("open_conversions", F.coalesce("open_conversions", F.lit(0)))
@@ -42,7 +42,8 @@ def precheck(objects: DataFrame, issues: DataFrame, risks: DataFrame, conversion
     r = r.withColumn("json_content", F.to_json(F.struct(F.col("project_id").alias("projectId"), F.lit("PRECHECK").alias("type"), "status", *named)))
     entries = [("Project", "project_id"), ("Status", "status"), *zip(LABELS, COUNTS, strict=True)]
     lines = F.concat(*[F.concat(F.lit(f"<dt>{label}</dt><dd>"), F.col(c).cast("string"), F.lit("</dd>")) for label, c in entries])
-    return r.withColumn("html_content", F.concat(F.lit(HTML[0]), lines, F.lit(HTML[1])))
+    r = r.withColumn("html_content", F.concat(F.lit(HTML[0]), lines, F.lit(HTML[1])))
+    return r if at is None else r.withColumn("created_at", at)
 
 
 def rolled_up(objects: DataFrame, issues: DataFrame, risks: DataFrame, conversions: DataFrame, versions: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import textops as T
 
 KEYS = ["project_id", "source_project_id", "input_source_id", "object_id"]
-COLUMNS = ["version_id", *KEYS, "conversion_id", "parent_version_id", "version_number", "source", "status", "source_sql", "target_sql"]
+COLUMNS = ["version_id", *KEYS, "conversion_id", "parent_version_id", "version_number", "source", "status", "source_sql", "target_sql", "created_at"]
 
 
 def _id() -> F.Column:
@@ -20,16 +20,18 @@ def marked(column: str, level: str) -> F.Column:
     return F.ltrim(F.col(column), F.lit(T.WHITE)).startswith(f"-- {level}")
 
 
-def generated(conversions: DataFrame) -> DataFrame:
-    """Version 1 of every conversion."""
+def generated(conversions: DataFrame, at: F.Column | None = None) -> DataFrame:
+    """Version 1 of every conversion, made at ``at`` (now)."""
+    at = F.current_timestamp() if at is None else at
     v = conversions.withColumn("version_number", F.lit(1)).withColumn("parent_version_id", F.lit(None).cast("string"))
-    return v.select(_id().alias("version_id"), *KEYS, "conversion_id", "parent_version_id", "version_number", F.lit("AUTO_CONVERSION").alias("source"), F.lit("GENERATED").alias("status"), F.col("original_sql").alias("source_sql"), "target_sql")
+    return v.select(_id().alias("version_id"), *KEYS, "conversion_id", "parent_version_id", "version_number", F.lit("AUTO_CONVERSION").alias("source"), F.lit("GENERATED").alias("status"), F.col("original_sql").alias("source_sql"), "target_sql", at.alias("created_at"))
 
 
 def with_edits(versions: DataFrame, edits: DataFrame) -> DataFrame:
-    """Edits (project_id, parent_version_id, target_sql, edit_order) as children of their parents; blank ones and those without a parent in their project don't count."""
-    kept = edits.where(~T.is_blank(F.col("target_sql"))).select("project_id", "parent_version_id", F.col("target_sql").alias("edited"), "edit_order")
-    parents = versions.withColumnRenamed("version_id", "parent").drop("parent_version_id", "target_sql")
+    """Edits (project_id, parent_version_id, target_sql, edit_order and, where it isn't now, created_at) as children of their parents; blank ones and those without a parent in their project don't count."""
+    at = F.col("created_at") if "created_at" in edits.columns else F.current_timestamp()
+    kept = edits.where(~T.is_blank(F.col("target_sql"))).select("project_id", "parent_version_id", F.col("target_sql").alias("edited"), "edit_order", at.alias("created_at"))
+    parents = versions.withColumnRenamed("version_id", "parent").drop("parent_version_id", "target_sql", "created_at")
     found = kept.join(parents, (kept["parent_version_id"] == parents["parent"]) & (kept["project_id"] == parents["project_id"])).drop(kept["project_id"])
     last = versions.groupBy("object_id").agg(F.max("version_number").alias("last"))
     order = Window.partitionBy("object_id").orderBy("edit_order", "parent_version_id")

@@ -6,7 +6,13 @@ others of their group of sixteen, so what an operator must find follows from key
 
 from __future__ import annotations
 
+import io
+import zipfile
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import BinaryType
 
 #: ``§`` is the key, ``§-5`` a neighbour's; ``~`` an apostrophe, ``^`` a line end and ````` a tab in the template.
 TEMPLATES = [
@@ -65,3 +71,25 @@ LINKED = (
 
 def linked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(LINKED.replace("FROM part", "FROM {part}"), part=spark.read.parquet(f"{sf_dir}/part.parquet"))
+
+
+def archive(text: str, key: int) -> bytes:
+    """Two entries; by the key's remainder of seven the archive is 1 cut, 2 marked as encrypted, 3 one that expands too far, 4 one with an illegal path, 5 none."""
+    kind, out = key % 7, io.BytesIO()
+    if kind == 5:
+        return text.encode()
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr(zipfile.ZipInfo(f"../d{key}.sql" if kind == 4 else f"d{key}.sql"), text.encode())
+        z.writestr(zipfile.ZipInfo(f"sub\\e{key}.txt"), f"entry {key}")
+        if kind == 3:
+            z.writestr(zipfile.ZipInfo("wide.sql"), "a" * max(1 << 20, 200 * len(text.encode())), zipfile.ZIP_DEFLATED)
+    data = bytearray(out.getvalue())
+    if kind == 2:  # the flag in the first entry of the directory and of the data
+        data[6] |= 1
+        data[data.index(b"PK\x01\x02") + 8] |= 1
+    return bytes(data[: len(data) // 2] if kind == 1 else data)
+
+
+@pandas_udf(BinaryType())
+def archived(text: pd.Series, key: pd.Series) -> pd.Series:
+    return pd.Series([archive(t, int(k)) for t, k in zip(text, key, strict=True)])

@@ -7,6 +7,7 @@ import re
 from ..functions import typemap
 from ..operators import advice, convert, report
 from ..operators.validate import STAGES
+from ..sources import imports
 from .corpus import CORPUS, LINKS
 
 TOKEN = r"""(?s)[qQ]'(?:\[.*?(?:\]'|\z)|\(.*?(?:\)'|\z)|\{.*?(?:\}'|\z)|<.*?(?:>'|\z)|!.*?(?:!'|\z))|'[^']*(?:''[^']*)*(?:'|\z)|--[^\n]*(?:\n|\z)|/\*.*?(?:\*/|\z)|[^qQ'/\-]+|."""
@@ -119,6 +120,22 @@ FATE = "CASE WHEN k % 11 = 0 THEN 'ADDED' WHEN k % 7 = 0 THEN 'REMOVED' WHEN k %
 PATHS = "CASE WHEN fate = 'ADDED' THEN '' ELSE source_path END AS {0}before, CASE fate WHEN 'REMOVED' THEN '' WHEN 'MOVED' THEN 'moved/' || source_path ELSE source_path END AS {0}after"
 
 
+def _imports_and_times() -> dict[str, str]:
+    said = {1: imports.ZIP_BAD, 2: imports.ZIP_BAD, 3: imports.ZIP_RATIO, 5: imports.ZIP_NONE}
+    told = " ".join(f"WHEN {k} THEN {_q(v)}" for k, v in said.items())
+    return {
+        "o03_zip": f"""WITH d AS (SELECT doc_id, doc_id % 7 AS m, coalesce(text, '') AS t FROM documents)
+            SELECT doc_id::VARCHAR AS batch_id, '' AS relative_path, CASE m {told} ELSE {_q(imports.ZIP_PATH)} || '../d' || doc_id || '.sql' END AS problem, 'ZIP' AS violation, '' AS content_sha256 FROM d WHERE m BETWEEN 1 AND 5
+            UNION ALL SELECT doc_id::VARCHAR, 'd' || doc_id || '.sql', '', CASE WHEN t = '' THEN 'EMPTY' ELSE '' END, sha256(t) FROM d WHERE m IN (0, 6)
+            UNION ALL SELECT doc_id::VARCHAR, 'sub/e' || doc_id || '.txt', '', 'EXTENSION', sha256('entry ' || doc_id) FROM d WHERE m IN (0, 6)""",
+        "o99_history": f"""{OBJECTS}, d AS (SELECT unnest([0, 2, 11, 19, 20])::INT AS day), x AS (SELECT day, 1 AS version_number, CASE WHEN day < k % 5 THEN '' WHEN day >= 20 AND k % 5 <> 0 THEN 'BASELINE' ELSE 'GENERATED' END AS status FROM o, d
+            UNION ALL SELECT day, 2, CASE WHEN day < 10 + k % 3 THEN '' WHEN day >= 20 THEN 'BASELINE' ELSE 'EDITED' END FROM o, d WHERE k % 5 = 0) SELECT day, version_number, status, count(*) AS n FROM x GROUP BY ALL""",
+        "o76_as_of": """WITH o AS (SELECT *, c_nationkey AS project_id FROM orders JOIN customer ON c_custkey = o_custkey), c AS (SELECT DISTINCT project_id, o_orderdate AS changed_at FROM o WHERE o_orderstatus = 'F'),
+            x AS (SELECT q.project_id, coalesce(c.changed_at > q.o_orderdate, false) AS stale FROM (SELECT *, o_orderdate + INTERVAL 3 DAYS AS at FROM o) q ASOF LEFT JOIN c ON c.project_id = q.project_id AND c.changed_at <= q.at)
+            SELECT project_id, stale, count(*) AS n FROM x GROUP BY ALL""",
+    }
+
+
 def _batch_differences() -> dict[str, str]:
     """What became of each source; one that came twice is the same and once more new."""
     change = "CASE WHEN fate = 'TWICE' THEN 'SAME' ELSE fate END AS change"
@@ -137,7 +154,7 @@ def _batch_differences() -> dict[str, str]:
 
 def oracle_sql() -> dict[str, str]:
     first = _first()
-    return first | _lifecycle(first["o110_convert"]) | _graphs() | _batch_differences()
+    return first | _lifecycle(first["o110_convert"]) | _graphs() | _batch_differences() | _imports_and_times()
 
 
 def _graphs() -> dict[str, str]:

@@ -10,12 +10,12 @@ from pyspark.sql import functions as F
 
 from ..functions import textops as T
 from ..functions import typemap
-from ..operators import advice, depgraph, diffs, graph, model, report, review, risk, splitter, validate, versions
+from ..operators import advice, depgraph, diffs, graph, history, model, report, review, risk, splitter, validate, versions
 from ..operators.scratch import shared_folder
 from ..sources import imports
 from . import reads
 from .catalog import Snapshots
-from .corpus import corpus, linked
+from .corpus import archived, corpus, linked
 from .lifecycle import Project
 
 
@@ -304,13 +304,13 @@ def d5_range_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def d5_depth_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Shards of events by the depth of a skewed key, by one with nulls and without a key; the rows of each are within the error."""
+    """Shards of events by the depth of a skewed key, by one with nulls and without a key; the rows of each are within the sketch's error and five deviations of the hash."""
     e = _table(spark, sf_dir, "events").withColumn("skewed", F.when(F.col("event_id") % 2 == 0, 1).otherwise(F.col("user_id"))).withColumn("sparse", F.when(F.col("event_id") % 3 != 0, F.col("value")))
     out = None
     for key in ("event_id", "skewed", "sparse", None):
         sized = validate.depth_shards(e, key, 8).groupBy("shard").agg(F.count("*").alias("rows"))
         total = F.sum("rows").over(Window.partitionBy(F.lit(0)))  # eight rows
-        near = sized.select(F.lit(key or "").alias("key"), "shard", (F.abs(F.col("rows") - total / 8) <= total / 8 * 0.1 + 1).alias("near"), total.alias("total"))
+        near = sized.select(F.lit(key or "").alias("key"), "shard", (F.abs(F.col("rows") - total / 8) <= total / 10_000 + 5 * F.sqrt(total / 8) + 1).alias("near"), total.alias("total"))
         out = near if out is None else out.unionByName(near)
     return out
 
@@ -415,6 +415,35 @@ def o05_import(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("p_partkey", *(F.coalesce(c, F.lit("")).alias(c) for c in ("violation", "type", "name", "content_hash")), F.coalesce("size_bytes", F.lit(0)).alias("size_bytes"))
 
 
+def o03_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An archive per document, some cut, encrypted, over-expanding, with an illegal path or none at all; its entries or what is wrong with it."""
+    archives = _table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("batch_id"), archived(F.coalesce("text", F.lit("")), F.col("doc_id")).alias("content"))
+    v = imports.violations(imports.zip_source(archives))
+    return v.select("batch_id", *(F.coalesce(c, F.lit("")).alias(c) for c in ("relative_path", "problem", "violation")), F.when(F.col("content").isNull(), "").otherwise(F.sha2("content", 256)).alias("content_sha256"))
+
+
+def o99_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Versions with their times from a clock of the corpus, the log of what freezing changed, and every version's status as of five days."""
+    p = _project(spark, sf_dir)
+    k, day = F.col("input_source_id").cast("long"), lambda n: F.timestamp_seconds(86400 * n)
+    made = versions.generated(p.conversions, day(k % 5))
+    edits = made.where(k % 5 == 0).select("project_id", F.col("version_id").alias("parent_version_id"), F.lit("select 1;").alias("target_sql"), F.lit(1).alias("edit_order"), day(10 + k % 3).alias("created_at"))
+    v = versions.with_edits(made, edits)
+    log = history.created(v, ["version_id"], ["status"]).unionByName(history.changed(v, versions.freeze(v), ["version_id"], ["status"], day(F.lit(20))))
+    asked = v.select("version_id", "version_number", F.explode(F.array(*(day(F.lit(n)) for n in (0, 2, 11, 19, 20)))).alias("at"))
+    seen = history.as_of(asked, log, ["version_id"], ["status"])
+    return seen.groupBy((F.unix_seconds("at") / 86400).cast("int").alias("day"), "version_number", F.coalesce("status", F.lit("")).alias("status")).agg(F.count("*").alias("n"))
+
+
+def o76_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether each report was stale when the next order of any customer of its nation came in; reports and changes from orders."""
+    o = _table(spark, sf_dir, "orders").join(_table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").alias("project_id")), "o_custkey")
+    changes = o.where("o_orderstatus = 'F'").select("project_id", F.col("o_orderdate").alias("at"), F.col("o_orderdate").alias("changed_at"))
+    asked = o.select("project_id", F.col("o_orderkey").alias("report_id"), F.col("o_orderdate").alias("created_at"), F.expr("o_orderdate + INTERVAL 3 DAYS").alias("at"))
+    seen = history.as_of(asked, changes, ["project_id"], ["changed_at"])
+    return seen.groupBy("project_id", F.coalesce(F.col("changed_at") > F.col("created_at"), F.lit(False)).alias("stale")).agg(F.count("*").alias("n"))
+
+
 def o51_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which of several objects of one name a reference means."""
     p = _doubled(spark, sf_dir)
@@ -511,8 +540,9 @@ def q13_advice(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = _project(spark, sf_dir)
     out = None
     for n, kind in enumerate(advice.TITLES):
-        a = advice.RuleProvider().suggest(kind, p.objects, p.edges, p.risks, p.conversions).withColumn("created_at", F.lit(n))
-        log = advice.call_log(a, advice.RuleProvider.name)
+        a = advice.RuleProvider().suggest(kind, p.objects, p.edges, p.risks, p.conversions)
+        a = advice.stamped(a, F.lit(n))
+        log = advice.call_log(a, advice.RuleProvider.name).drop("created_at")
         a = a.select("project_id", "type", "title", "status", "uncertainty", "created_at").join(log, ["project_id", "type"])
         out = a if out is None else out.unionByName(a)
     return reads.ranked(out, reads.Falling("created_at")).select("project_id", "type", "title", "status", "uncertainty", "provider", "object_count", "risk_count", "position")
@@ -533,7 +563,7 @@ def minimum_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return risk.assess(model.objects(model.classify(c))).groupBy("level", "code").agg(F.count("*").alias("n"))
 
 
-ALL = [minimum_slice, o04_path_rules, o09_content_hash, o18_blank, o19_blank_comments, o24_identifiers, o29_split, o34_classify, o40_columns, o44_replace, o44_snapshot, o45_type_map, o47_risks, o50_dependencies, o63_freeze, o65_order, o70_precheck, o80_gate, o76_stale_reports, o88_package, o89_reviews, o96_advice, o100_columns_per_object, o103_graph, o110_convert, q3_risks, d1_batch_diff, d1_files, d1_objects, d1_risks, d2_report_diff, d3_value_profile, d4_shard_checksums, d4_unequal_shards, d4_differences, d4_sample, d5_range_shards, d5_depth_shards, d6_work_items, d7_folded_risks, d8_waves, d8_clusters, d8_cycles, d9_roll_up, d10_duplicates, d11_residue, d12_plan_stages, d13_sequences, d14_stale_artefacts, d14_stale_along, o05_import, o51_preferences, o64_frozen_again, o69_replaced, o74_html, q1_objects, q2_parse_issues, q4_conversions, q5_dependencies, q6_versions, q7_reports, q11_preview, q12_package_blocks, q13_advice, q14_batches]
+ALL = [minimum_slice, o04_path_rules, o09_content_hash, o18_blank, o19_blank_comments, o24_identifiers, o29_split, o34_classify, o40_columns, o44_replace, o44_snapshot, o45_type_map, o47_risks, o50_dependencies, o63_freeze, o65_order, o70_precheck, o80_gate, o76_stale_reports, o88_package, o89_reviews, o96_advice, o100_columns_per_object, o103_graph, o110_convert, q3_risks, d1_batch_diff, d1_files, d1_objects, d1_risks, d2_report_diff, d3_value_profile, d4_shard_checksums, d4_unequal_shards, d4_differences, d4_sample, d5_range_shards, d5_depth_shards, d6_work_items, d7_folded_risks, d8_waves, d8_clusters, d8_cycles, d9_roll_up, d10_duplicates, d11_residue, d12_plan_stages, d13_sequences, d14_stale_artefacts, d14_stale_along, o03_zip, o05_import, o99_history, o76_as_of, o51_preferences, o64_frozen_again, o69_replaced, o74_html, q1_objects, q2_parse_issues, q4_conversions, q5_dependencies, q6_versions, q7_reports, q11_preview, q12_package_blocks, q13_advice, q14_batches]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

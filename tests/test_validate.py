@@ -82,3 +82,24 @@ def test_matched(spark, seed):
         assert len(pairs) == (groups[0] & groups[1]).total()
         left = left[0] - Counter(x for x, _ in pairs), left[1] - Counter(y for _, y in pairs)
     assert Counter(c for c, *_ in got)["REMOVED"] == left[0].total() and Counter(c for c, *_ in got)["ADDED"] == left[1].total()
+
+
+@pytest.mark.parametrize("partitions", ["1", "4", "13"])
+def test_as_of(spark, partitions):
+    """The last entry that isn't later, wherever the ranges end; nulls, ties and keys without entries."""
+    from schemaweave.operators import history
+
+    r = random.Random(7)
+    log = [(r.choice(["a", "a", "b", None]), r.randrange(40), r.choice(["x", "y", None])) for _ in range(120)] + [("a", None, "never")]
+    asked = [(r.choice(["a", "a", "b", None, "none"]), r.randrange(-2, 45), i) for i in range(150)]
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    try:
+        df = history.as_of(spark.createDataFrame(asked, "k string, at int, i int"), spark.createDataFrame(log, "k string, at int, v string"), ["k"], ["v"])
+        got = {x.i: x.v for x in df.collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    want = {i: max(((t, v is not None, v or "") for k2, t, v in log if k2 == k and t is not None and t <= at), default=(0, False, ""))[1:] for k, at, i in asked}
+    assert got == {i: v if some else None for i, (some, v) in want.items()}
+    rows = spark.sql("select * from values ('p', 1, 'x'), ('p', 5, 'y') t(k, at, v)")
+    assert [(x.at, x.until) for x in history.effective(rows, ["k"]).orderBy("at").collect()] == [(1, 5), (5, None)]
