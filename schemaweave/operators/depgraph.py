@@ -8,6 +8,7 @@ texts that hold one of its runs, and these are searched for it.
 
 from __future__ import annotations
 
+import functools
 import re
 
 import pandas as pd
@@ -108,19 +109,18 @@ def names(objs: DataFrame) -> DataFrame:
     return objs.select("project_id", F.explode(both).alias("key"), F.col("object_id").alias("target_object_id"), F.col("type").alias("target_type"), F.col("source_project_id").alias("target_source"), F.col("object_name").alias("target_name"), F.col("source_path").alias("target_path"), F.col("start_offset").alias("target_offset"))
 
 
-def _effective(edge: str) -> Column:
-    return F.when(F.col("source_project_id") != F.col("target_source"), "CROSS_SOURCE_DEPENDENCY").otherwise(edge)
+def _resolved(refs: DataFrame, known: DataFrame) -> DataFrame:
+    """refs: project_id, source_project_id, object_id, pos, ref, evidence, and per kind of reference ``edge``; ``wanted`` limits its candidates, ``after`` the one chosen; ``own``: an object may need itself. All kinds meet the names in one join."""
+    hits = refs.withColumn("key", T.normalise(F.col("ref"))).join(known, ["project_id", "key"]).where("wanted is null or target_type = wanted")
+    first = Window.partitionBy("object_id", "edge", "pos").orderBy(F.desc(F.col("source_project_id") == F.col("target_source")), "target_type", "target_name", "target_path", "target_offset")
+    hits = hits.withColumn("rn", F.row_number().over(first)).where("rn = 1 and (after is null or target_type = after) and (own or object_id <> target_object_id)")
+    best = hits.groupBy("project_id", "source_project_id", "object_id", "edge", "target_object_id", "target_source").agg(F.min_by("evidence", "pos").alias("evidence"))
+    kind = F.when(F.col("source_project_id") != F.col("target_source"), "CROSS_SOURCE_DEPENDENCY").otherwise(F.col("edge"))
+    return best.select("project_id", "source_project_id", F.col("object_id").alias("source_object_id"), "target_object_id", kind.alias("type"), "evidence")
 
 
-def _resolved(refs: DataFrame, known: DataFrame, edge: str, wanted: str | None = None, after: str | None = None, own: bool = False) -> DataFrame:
-    """refs: project_id, source_project_id, object_id, pos, ref, evidence. ``wanted`` limits the candidates, ``after`` the one chosen; ``own``: an object may need itself."""
-    hits = refs.withColumn("key", T.normalise(F.col("ref"))).join(known.where(F.col("target_type") == wanted) if wanted else known, ["project_id", "key"])
-    first = Window.partitionBy("object_id", "pos").orderBy(F.desc(F.col("source_project_id") == F.col("target_source")), "target_type", "target_name", "target_path", "target_offset")
-    hits = hits.withColumn("rn", F.row_number().over(first)).where("rn = 1")
-    hits = hits.where(F.col("target_type") == after) if after else hits
-    hits = hits if own else hits.where("object_id <> target_object_id")
-    best = hits.groupBy("project_id", "source_project_id", "object_id", "target_object_id", "target_source").agg(F.min_by("evidence", "pos").alias("evidence"))
-    return best.select("project_id", "source_project_id", F.col("object_id").alias("source_object_id"), "target_object_id", _effective(edge).alias("type"), "evidence")
+def _kind(refs: DataFrame, edge: str, wanted: str | None = None, after: str | None = None, own: bool = False) -> DataFrame:
+    return refs.select("*", F.lit(edge).alias("edge"), F.lit(wanted).cast("string").alias("wanted"), F.lit(after).cast("string").alias("after"), F.lit(own).alias("own"))
 
 
 def _all(objs: DataFrame, pattern: str) -> DataFrame:
@@ -165,15 +165,11 @@ def dependencies(objs: DataFrame) -> DataFrame:
     own = of("PACKAGE_BODY")
     spelled = F.when(F.col("schema_name").isNotNull(), F.concat_ws(".", *(F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"')) for c in ("schema_name", "object_name")))).otherwise(F.concat(F.lit('"'), F.replace("object_name", F.lit('"'), F.lit('""')), F.lit('"')))
     bodies = own.select("project_id", "source_project_id", "object_id", F.lit(0).alias("pos"), spelled.alias("ref"), F.col("object_name").alias("evidence"))
-    parts = [
-        _resolved(_all(of("TABLE"), FOREIGN_KEY), known, "TABLE_REFERENCES_TABLE", "TABLE"),
-        _resolved(_all(of("TABLE"), NEXTVAL), known, "TABLE_USES_SEQUENCE", "SEQUENCE"),
-        _resolved(_first(of("INDEX"), INDEX_ON), known, "INDEX_ON_TABLE", "TABLE"),
-        _resolved(_first(of("TRIGGER"), TRIGGER_ON), known, "TRIGGER_ON_TABLE", own=True),
-        _resolved(bodies, known, "PACKAGE_BODY_FOR_SPEC", after="PACKAGE"),  # of all candidates, the first must be the package
-        mentions(objs),
+    refs = [
+        _kind(_all(of("TABLE"), FOREIGN_KEY), "TABLE_REFERENCES_TABLE", "TABLE"),
+        _kind(_all(of("TABLE"), NEXTVAL), "TABLE_USES_SEQUENCE", "SEQUENCE"),
+        _kind(_first(of("INDEX"), INDEX_ON), "INDEX_ON_TABLE", "TABLE"),
+        _kind(_first(of("TRIGGER"), TRIGGER_ON), "TRIGGER_ON_TABLE", own=True),
+        _kind(bodies, "PACKAGE_BODY_FOR_SPEC", after="PACKAGE"),  # of all candidates, the first must be the package
     ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    return _resolved(functools.reduce(DataFrame.unionByName, refs), known).unionByName(mentions(objs))

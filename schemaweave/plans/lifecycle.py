@@ -16,6 +16,8 @@ class Project:
     """Tables derived from source rows (project_id, source_project_id, input_source_id, source_path, original_text)."""
 
     sources: DataFrame
+    #: Whether conversions are stored with their SQL text; who reads only ids, levels or states once is faster without.
+    keep_conversions: bool = True
 
     @functools.cached_property
     def classified(self) -> DataFrame:
@@ -49,8 +51,9 @@ class Project:
 
     @functools.cached_property
     def conversions(self) -> DataFrame:
-        """Kept like the parse: versions, reports and advice all read it, and making it takes Python."""
-        return convert.convert_with_extensions(self.objects, self.parts).persist(StorageLevel.MEMORY_AND_DISK)
+        """Kept like the parse, unless told otherwise: versions, reports and advice all read it, and making it takes Python."""
+        made = convert.convert_with_extensions(self.objects, self.parts)
+        return made.persist(StorageLevel.MEMORY_AND_DISK) if self.keep_conversions else made
 
     @functools.cached_property
     def versions(self) -> DataFrame:

@@ -23,8 +23,8 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _project(spark: SparkSession, sf_dir: str) -> Project:
-    return Project(corpus(spark, sf_dir).drop("k", "template"))
+def _project(spark: SparkSession, sf_dir: str, keep_conversions: bool = True) -> Project:
+    return Project(corpus(spark, sf_dir).drop("k", "template"), keep_conversions)
 
 
 def _edited(p: Project) -> DataFrame:
@@ -133,7 +133,7 @@ def o50_dependencies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def o63_freeze(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Versions after edits, frozen."""
-    v = versions.freeze(_edited(_project(spark, sf_dir)))
+    v = versions.freeze(_edited(_project(spark, sf_dir, keep_conversions=False)))
     return v.select("input_source_id", "version_number", "source", "status")
 
 
