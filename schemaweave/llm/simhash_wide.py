@@ -37,7 +37,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import claim, id_text, parallelism, slices, staged
+from .common import claim, id_text, parallelism, slices, small_batches, staged
 from .components import components
 
 WORDS = 5
@@ -511,9 +511,10 @@ def links(rows: DataFrame, similarity: float = 0.8) -> DataFrame:
 
 def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, similarity: float = 0.8) -> DataFrame:
     """Per document: doc_id, component_id (the smallest doc_id of its component; null if no row of it has an id)."""
-    rows = staged(sets(docs, id_col, text_col, words), "sets")
-    roots = components(links(rows, similarity), "set-components")
-    least = rows.groupBy("node").agg(F.min("doc_id").alias("least")).join(roots, "node", "left")
-    least = staged(least.select("node", F.coalesce("root", "node").alias("root"), "least"), "node-roots")
-    of = staged(least.join(least.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("node", "component_id"), "set-roots")
+    with small_batches(docs.sparkSession):  # all that is staged runs here
+        rows = staged(sets(docs, id_col, text_col, words), "sets")
+        roots = components(links(rows, similarity), "set-components")
+        least = rows.groupBy("node").agg(F.min("doc_id").alias("least")).join(roots, "node", "left")
+        least = staged(least.select("node", F.coalesce("root", "node").alias("root"), "least"), "node-roots")
+        of = staged(least.join(least.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("node", "component_id"), "set-roots")
     return rows.select("doc_id", "node").join(of, "node").select("doc_id", "component_id")
