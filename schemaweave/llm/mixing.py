@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from .common import claim, slices, staged
 from .toxicity import PAD, bounded_texts, words_of
 
-LABELLED, PULL, STEPS, NEAR = 1000, 1e-3, 400, 1e-5
+LABELLED, PULL, STEPS, NEAR = 1000, 1e-3, 1000, 1e-5
 
 
 @dataclasses.dataclass
@@ -134,7 +134,7 @@ def fit_rates(members: DataFrame, domains: list[str], targets: dict[str, float],
     """The steps of the rates. The total stays that of the corpus or, with ``keep_all``, is the least at which no domain shrinks.
 
     Domains without a target keep their share, and the targets share the rest. Steps are projected-gradient steps with Nesterov's
-    momentum, which starts anew when the residuals grow. They end when the residuals no longer change; rates that still do after STEPS steps are an error."""
+    momentum, up to where every step shortens the way to the optimum by a fixed share, whatever the data. They end when the residuals no longer change; rates that still do after STEPS steps are an error."""
     k = len(domains)
     now = domain_totals(members, [], k)
     if not now.sum():
@@ -150,6 +150,8 @@ def fit_rates(members: DataFrame, domains: list[str], targets: dict[str, float],
     scale = 1 / np.maximum(share, 1e-9)
     steps: list[tuple[float, np.ndarray]] = []
     momentum, pace, got, still = 0.0, 1.0, share, 0
+    flat = (PULL / (1 + PULL)) ** 0.5  # of the objective in the metric of the tokens: what it bends at least over what it bends at most
+    most = (1 - flat) / (1 + flat)
     while True:
         g = (got - want) * scale
         still = still + 1 if steps and np.abs(g - steps[-1][1]).max() < NEAR else 0
@@ -157,11 +159,9 @@ def fit_rates(members: DataFrame, domains: list[str], targets: dict[str, float],
             return steps
         if len(steps) == STEPS:
             raise RuntimeError(f"rates still change after {STEPS} steps; shares are {np.abs(got / got.sum() - want / want.sum()).max():.4f} off their targets at most")
-        if steps and np.abs(g).max() > np.abs(steps[-1][1]).max():
-            pace = 1.0
         steps.append((momentum, g))
         pace, last = (1 + (1 + 4 * pace * pace) ** 0.5) / 2, pace
-        momentum = (last - 1) / pace
+        momentum = min((last - 1) / pace, most)
         got = domain_totals(members, steps, k, float(keep_all), momentum) / now.sum()
 
 

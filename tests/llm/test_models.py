@@ -146,7 +146,7 @@ def test_projected_gradient_reaches_the_least_squares_optimum():
     share = w @ p
     want = np.array([0.5, 0.3, 0.2])
     steps = []
-    for _ in range(mixing.STEPS):
+    for _ in range(200):
         steps.append((0.0, ((w * mixing.replay(p, steps)) @ p - want) / share))
     value = lambda r: (((w * r) @ p - want) ** 2 / share).sum() + mixing.PULL * (w * (r - 1) ** 2).sum()
     r = np.ones(200)
