@@ -52,8 +52,10 @@ CAP = 256
 PARTNERS = 8
 #: Bytes of one bucket's postings, on average at most, and those that a task holds before it lets go of keys beyond CAP.
 BUCKET, HELD = 4 << 20, 16 << 20
+#: Bytes of postings that a task packs at once (it holds some copies of them), and pairs under a key that are weighed at once.
+FLUSH, WEIGHED = 8 << 20, 1 << 16
 #: Nodes whose pairs are tallied together, and the kinds of what has been found.
-RANGE, ALONE, COMPANY, WAITS = 20_000, 0, 1, 2
+RANGE, ALONE, COMPANY, WAITS = 8_000, 0, 1, 2
 #: Nodes up to which the ids of candidates are broadcast (8 bytes each); beyond, the join is shuffled.
 BROADCAST = 1 << 20
 #: Bits of a parity map.
@@ -181,7 +183,7 @@ def _postings(prints: DataFrame, shape: tuple[int, int, int], buckets: int) -> D
                         mixed = (keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)
                 held.append(rows.ravel())
                 dealt.append((mixed % np.uint64(buckets)).astype(np.int32).ravel())
-                if sum(map(len, held)) * _POSTING.itemsize > 32 << 20:
+                if sum(map(len, held)) * _POSTING.itemsize > FLUSH:
                     yield flush()
         if held:
             yield flush()
@@ -212,34 +214,37 @@ def _compare(postings: DataFrame, shape: tuple[int, int, int], ranges: int) -> D
         order = np.lexsort((rows["node"], rows["sketch"], key))
         return rows[order], own[order], key[order]
 
+    def joined(label: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Labels (the first row of what belongs together) after ``left`` and ``right`` have met."""
+        while True:
+            low, high = np.minimum(label[left], label[right]), np.maximum(label[left], label[right])
+            apart = low < high
+            if not apart.any():
+                return label
+            parent = np.arange(len(label))
+            np.minimum.at(parent, high[apart], low[apart])
+            while (parent != parent[parent]).any():
+                parent = parent[parent]
+            label = parent[label]
+
     def links(rows: np.ndarray, own: np.ndarray, key: np.ndarray, open_all: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
         node = np.ascontiguousarray(rows["node"])
         run = np.cumsum(np.concatenate([[True], key[1:] != key[:-1]])) - 1
-        here, lefts, rights = np.arange(len(rows)), [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for k in range(1, CAP):
+        here, label = np.arange(len(rows)), np.arange(len(rows))
+        met, least = np.zeros(len(rows), bool), np.full(len(rows), np.iinfo(np.int64).max)
+        for k in range(1, CAP):  # pairs go as soon as they are noted: a hot key has up to CAP for each of its rows
             here = here[here + k < len(rows)]
             here = here[run[here] == run[here + k]]
             if not len(here):
                 break
             bits = np.bitwise_count(own[here] ^ own[here + k]).sum(1, dtype=np.int64) + np.bitwise_count(rows["sketch"][here] ^ rows["sketch"][here + k])
-            at = here[(bits <= most) & (np.abs(rows["size"][here].astype(np.int32) - rows["size"][here + k]) <= 225)]
-            lefts.append(at)
-            rights.append(at + k)
-        left, right = np.concatenate(lefts), np.concatenate(rights)
-        met = np.bincount(np.concatenate([left, right]), minlength=len(rows))
-        least = np.full(len(rows), np.iinfo(np.int64).max)
-        np.minimum.at(least, left, node[right])
-        np.minimum.at(least, right, node[left])
+            left = here[(bits <= most) & (np.abs(rows["size"][here].astype(np.int32) - rows["size"][here + k]) <= 225)]
+            right = left + k  # neither side holds a row twice
+            met[left] = met[right] = True
+            least[left] = np.minimum(least[left], node[right])
+            least[right] = np.minimum(least[right], node[left])
+            label = joined(label, left, right)
         some = np.flatnonzero(met)
-        label = np.arange(len(rows))
-        while True:  # what belongs together
-            before = label.copy()
-            low = np.minimum(label[left], label[right])
-            np.minimum.at(label, left, low)
-            np.minimum.at(label, right, low)
-            label = label[label]
-            if (label == before).all():
-                break
         several = (np.bincount(label, minlength=len(rows)) > 2)[label]
         two, more = some[~several[some]], some[several[some]]
         yield ALONE, np.unique(np.stack([np.minimum(node[two], least[two]), np.maximum(node[two], least[two])], 1), axis=0)
@@ -447,7 +452,7 @@ def _across(nodes: DataFrame, edges: DataFrame, prints: DataFrame, shape: tuple[
         total = np.concatenate([[0], np.cumsum(high - low)])
         start = 0
         while start < len(a):
-            stop = max(start + 1, int(np.searchsorted(total, total[start] + (1 << 18), "right")) - 1)
+            stop = max(start + 1, int(np.searchsorted(total, total[start] + WEIGHED, "right")) - 1)
             count = (high - low)[start:stop]
             i = np.repeat(np.arange(start, stop), count)
             j = np.arange(len(i)) - np.repeat(total[start:stop] - total[start], count) + np.repeat(low[start:stop], count)
