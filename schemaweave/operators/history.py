@@ -22,7 +22,7 @@ def changed(before: DataFrame, after: DataFrame, keys: list[str], values: list[s
     now, was = after.select(*keys, *values).alias("now"), before.select(*keys, *values).alias("was")
     on = functools.reduce(lambda x, k: x & F.col(f"now.{k}").eqNullSafe(F.col(f"was.{k}")), keys, F.lit(True))
     same = functools.reduce(lambda x, v: x & F.col(f"now.{v}").eqNullSafe(F.col(f"was.{v}")), values, on)
-    return now.join(was, same, "left_anti").select(*keys, at.alias("at"), *values)
+    return now.join(was.hint("merge"), same, "left_anti").select(*keys, at.alias("at"), *values)
 
 
 def effective(log: DataFrame, keys: list[str]) -> DataFrame:
