@@ -121,8 +121,10 @@ PATHS = "CASE WHEN fate = 'ADDED' THEN '' ELSE source_path END AS {0}before, CAS
 
 
 def _imports_and_times() -> dict[str, str]:
-    said = {1: imports.ZIP_BAD, 2: imports.ZIP_BAD, 3: imports.ZIP_RATIO, 5: imports.ZIP_NONE}
-    told = " ".join(f"WHEN {k} THEN {_q(v)}" for k, v in said.items())
+    said = {k: _q(v) for k, v in {1: imports.ZIP_BAD, 2: imports.ZIP_BAD, 5: imports.ZIP_NONE}.items()}
+    # the wide entry holds 200 times the text's bytes, a MiB at least; an entry's size counts before its archive's ratio
+    said[3] = f"CASE WHEN 200 * strlen(t) > {imports.MAX_FILE_BYTES} THEN {_q(imports.ZIP_ENTRY + 'wide.sql')} ELSE {_q(imports.ZIP_RATIO)} END"
+    told = " ".join(f"WHEN {k} THEN {v}" for k, v in said.items())
     return {
         "o03_zip": f"""WITH d AS (SELECT doc_id, doc_id % 7 AS m, coalesce(text, '') AS t FROM documents)
             SELECT doc_id::VARCHAR AS batch_id, '' AS relative_path, CASE m {told} ELSE {_q(imports.ZIP_PATH)} || '../d' || doc_id || '.sql' END AS problem, 'ZIP' AS violation, '' AS content_sha256 FROM d WHERE m BETWEEN 1 AND 5

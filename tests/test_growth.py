@@ -6,7 +6,9 @@ import pandas as pd
 import pytest
 
 from schemaweave.operators import review
-from schemaweave.plans import corpus, queries
+from schemaweave.plans import corpus, oracles, queries
+
+from .parity import assert_same, duck
 
 NODE, EDGE = "project_id string, object_id string", "project_id string, source_object_id string, target_object_id string"
 
@@ -48,3 +50,10 @@ def test_order_without_a_project_in_a_task(spark, monkeypatch, seed):
     got = sorted((r.project_id, r.seq, r.object_id) for r in order.collect())
     want = [(p, n, i) for p in "pq" for n, i in enumerate(kahn([i for q, i in nodes if q == p], [e[1:] for e in edges if e[0] == p and e[1] != e[2]]), 1)]
     assert got == want
+
+
+def test_archive_of_a_long_text(spark, tmp_path):
+    pd.DataFrame({"doc_id": [3, 10, 17], "text": ["a" * 52_428, "a" * 52_429, "short"]}).to_parquet(tmp_path / "documents.parquet")
+    got = queries.o03_zip(spark, str(tmp_path)).toPandas()
+    assert [p.startswith("Zip entry is too large") for p in got.sort_values("batch_id")["problem"]] == [True, False, False]
+    assert_same(got, duck(str(tmp_path), oracles.oracle_sql()["o03_zip"]))
