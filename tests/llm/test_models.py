@@ -263,3 +263,32 @@ def test_domains_with_very_long_texts(spark):
     labels = spark.createDataFrame([(i, "a" if i % 2 else "b") for i in range(30)], "doc_id long, domain string")
     out = mixing.mixed(docs, labels, {"a": 0.5, "b": 0.5}).collect()
     assert all(r.domain == ("a" if r.doc_id % 2 else "b") for r in out)
+
+
+def test_toxicity_learns_from_every_labelled_text(spark):
+    """Words that only late labelled rows or the ends of long texts hold; rows far beyond one task."""
+    assert not {"POSITIVES", "NEGATIVES"} & set(vars(toxicity))
+    end = "plain " * 60_000
+    docs = spark.createDataFrame([(i, (end + "zorgle") if i < 6 else (end + "calm") if i < 12 else f"calm words {i % 7}", "en") for i in range(60)], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, int(i < 6)) for i in range(60)], "doc_id long, toxic int")
+    found = toxicity.labelled(docs, labels).collect()
+    assert len(found) == 60 and max(len(r.text) for r in found) == len(end) + 6
+    got = {r.doc_id: r.score for r in toxicity.scores(docs, toxicity.fit(docs, labels)).collect()}
+    assert min(got[i] for i in range(6)) > max(got[i] for i in range(6, 60))
+
+
+def test_toxicity_learned_in_several_tasks(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "TASK", 40)
+    docs, labels = labelled(spark)
+    model = toxicity.fit(docs.repartition(4), labels, labels["doc_id"] % 3 != 0)
+    got = {r.doc_id: r.score for r in toxicity.scores(docs, model).collect() if r.doc_id is not None}
+    assert np.mean([(got[i] >= 0.3) == (i % 4 == 0) for i in range(0, 240, 3)]) >= 0.95
+
+
+def test_thresholds_of_counted_values_equal_those_of_rows():
+    rng = np.random.default_rng(2)
+    v = np.round(rng.normal(size=400) * 8) / 8
+    y = (rng.random(400) < 1 / (1 + np.exp(-3 * v))).astype(int)
+    values, which = np.unique(v, return_inverse=True)
+    got = toxicity.best_threshold(values, np.bincount(which, y).astype(int), np.bincount(which))
+    assert got == toxicity.best_threshold(v, y)
