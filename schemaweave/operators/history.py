@@ -51,5 +51,5 @@ def as_of(questions: DataFrame, log: DataFrame, keys: list[str], values: list[st
     earlier = Window.partitionBy(*keys).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
     carried = latest.select(*(F.col(k).alias(f"__by_{k}") for k in keys), F.col("__range").alias("__r"), F.last("m.__value", True).over(earlier).alias("__carried"))
     on = functools.reduce(lambda x, k: x & F.col(k).eqNullSafe(F.col(f"__by_{k}")), keys, F.col("__range") == F.col("__r"))
-    found = inside.where("__asked = 1").join(carried, on).withColumn("__found", F.coalesce("__inside", "__carried"))
+    found = inside.where("__asked = 1").join(carried.hint("merge"), on).withColumn("__found", F.coalesce("__inside", "__carried"))
     return found.select("__question.*", *(F.col(f"__found.{v}").alias(v) for v in values))
