@@ -5,7 +5,7 @@ import random
 import pandas as pd
 import pytest
 
-from schemaweave.operators import review
+from schemaweave.operators import graph, history, places, review
 from schemaweave.plans import corpus, oracles, queries
 
 from .parity import assert_same, duck
@@ -57,3 +57,13 @@ def test_archive_of_a_long_text(spark, tmp_path):
     got = queries.o03_zip(spark, str(tmp_path)).toPandas()
     assert [p.startswith("Zip entry is too large") for p in got.sort_values("batch_id")["problem"]] == [True, False, False]
     assert_same(got, duck(str(tmp_path), oracles.oracle_sql()["o03_zip"]))
+
+
+def test_merges_of_what_was_written(spark):
+    """A round's files are compressed, so their size says little of what a broadcast of them takes."""
+    rows = spark.range(200).selectExpr("'p' AS project_id", "cast(id AS string) AS object_id", "id % 7 AS n")
+    assert "BroadcastHashJoin" not in plan(places.placed(rows, ["project_id"], "n"))
+    edges = rows.selectExpr("project_id", "object_id AS source_object_id", "cast(n AS string) AS target_object_id")
+    assert "BroadcastHashJoin" not in plan(graph.clusters(rows, edges))
+    log = rows.selectExpr("object_id AS k", "n AS at", "project_id AS v")
+    assert "BroadcastHashJoin" not in plan(history.as_of(log.select("k", "at"), log, ["k"], ["v"]))
