@@ -61,8 +61,14 @@ def row_digest(df: DataFrame, columns: list[str] | None = None) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
 
 
+def _halves(digest: Column) -> tuple[Column, Column]:
+    """Sums of the upper and the lower 30 bits of digests: sums of longs, exact up to 2^33 rows, cost a fraction of those of decimals."""
+    return F.sum(F.shiftright(digest, 30)), F.sum(digest.bitwiseAND(F.lit((1 << 30) - 1)))
+
+
 def _summed(digest: Column) -> Column:
-    return F.sum(digest.cast("decimal(38,0)"))
+    upper, lower = _halves(digest)
+    return (upper.cast("decimal(27,0)") * F.lit(1 << 30).cast("decimal(10,0)") + lower.cast("decimal(20,0)")).cast("decimal(38,0)")
 
 
 def shard_checksums(df: DataFrame, key: str, columns: list[str] | None = None, shards: int = 16) -> DataFrame:
@@ -98,12 +104,13 @@ def differences(before: DataFrame, after: DataFrame, keys: list[str], depth: int
     for equal with a chance of about 2^-60."""
     bad = unequal_shards(before, after, keys, depth).where(F.col("level") == depth).select(F.col("shard").alias("leaf"))
 
-    both = before.select(*keys, _leaf(before, keys, depth).alias("leaf"), row_digest(before).alias("d"), F.lit(1).alias("old")).unionByName(after.select(*keys, _leaf(after, keys, depth).alias("leaf"), row_digest(after).alias("d"), F.lit(0).alias("old")))
+    both = before.select(*keys, _leaf(before, keys, depth).alias("leaf"), row_digest(before).alias("d"), F.lit(1).alias("sign")).unionByName(after.select(*keys, _leaf(after, keys, depth).alias("leaf"), row_digest(after).alias("d"), F.lit(-1).alias("sign")))
     # 16 ** depth leaves at most
     near = both.join(F.broadcast(bad), "leaf", "left_semi")
-    of = lambda old, name: (F.count_if(F.col("old") == old).alias(f"rows_{name}"), F.coalesce(_summed(F.when(F.col("old") == old, F.col("d"))), F.lit(0)).alias(f"sum_{name}"))
-    j = near.groupBy(*keys).agg(*of(1, "before"), *of(0, "after"))
-    kind = F.when(F.col("rows_before") == 0, "ADDED").when(F.col("rows_after") == 0, "REMOVED").when((F.col("rows_before") != F.col("rows_after")) | (F.col("sum_before") != F.col("sum_after")), "CHANGED")
+    # how far the two sides' sums are apart; each half counts with the sign of its side
+    apart = F.sum(F.col("sign") * F.shiftright("d", 30)) * F.lit(1 << 30).cast("decimal(10,0)") + F.sum(F.col("sign") * F.col("d").bitwiseAND(F.lit((1 << 30) - 1)))
+    j = near.groupBy(*keys).agg(F.count_if(F.col("sign") > 0).alias("rows_before"), F.count_if(F.col("sign") < 0).alias("rows_after"), apart.alias("apart"))
+    kind = F.when(F.col("rows_before") == 0, "ADDED").when(F.col("rows_after") == 0, "REMOVED").when((F.col("rows_before") != F.col("rows_after")) | (F.col("apart") != 0), "CHANGED")
     return j.withColumn("difference", kind).where("difference is not null").select(*keys, "difference", "rows_before", "rows_after")
 
 
