@@ -8,7 +8,7 @@ codes follow from the lengths). Nothing else is needed to read it. A block holds
   reader can begin at any checkpoint and decode all intervals side by side with one table look-up per id;
 * ``part``, ``segment``, ``block``: place in the file order.
 
-How it is built: texts are dealt to ranges of doc_id and tokenised there once (scratch table); counts of all ids are summed
+How it is built: texts are dealt to ranges of doc_id and tokenised there once (scratch table); the tasks' counts of ids are summed
 by id (one row per id reaches the driver: bounded by the vocabulary); package-merge gives code lengths of at most LIMIT
 bits; every range is then coded where it lies, without a further shuffle.
 
@@ -19,6 +19,7 @@ text, and a hot id is dealt to several ranges by how its texts begin; null doc_i
 from __future__ import annotations
 
 import functools
+import itertools
 import os
 import zlib
 from collections.abc import Iterator
@@ -32,7 +33,22 @@ from . import pretok
 from .common import CLEAR, claim, id_text, new_path, parallelism, slices, staged
 
 LIMIT, EVERY, BLOCK = 16, 128, 1 << 16
-CACHE = 600_000
+CACHE, BLOCK_CHARS = 1_200_000, 1 << 20
+
+
+def _byte_level() -> dict[int, str]:
+    """The character that spells each byte in a byte-level vocabulary: printable ones spell themselves, the rest follow from U+0100."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in own]
+    return {b: chr(b) for b in own} | {b: chr(256 + k) for k, b in enumerate(rest)}
+
+
+BYTE_LEVEL = _byte_level()
+
+
+def _found(index: dict[bytes, int], words: list[bytes]) -> np.ndarray:
+    """The numbers of ``words``, -1 for those that ``index`` lacks."""
+    return np.fromiter(map(index.get, words, itertools.repeat(-1)), np.int64, len(words))
 
 
 class PieceIds:
@@ -54,13 +70,13 @@ class PieceIds:
     def remember(self, words: list[bytes]) -> list[bytes]:
         """Take over what the older half of the cache knows; the rest comes back."""
         index, flat, ends = self.old
-        known = [w for w in words if w in index]
-        if known:
-            own = np.array([index[w] for w in known], np.int64)
+        at = _found(index, words)
+        own = at[at >= 0]
+        if len(own):
             begin = np.where(own > 0, ends[own - 1], 0)
             size = ends[own] - begin
-            self.append(known, size, flat[np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))])
-        return [w for w in words if w not in index]
+            self.append([words[i] for i in np.flatnonzero(at >= 0).tolist()], size, flat[np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))])
+        return [words[i] for i in np.flatnonzero(at < 0).tolist()]
 
     def append(self, words: list[bytes], sizes: np.ndarray, added: np.ndarray) -> None:
         n = len(self.index)
@@ -74,32 +90,26 @@ class PieceIds:
         self.index.update(zip(words, range(n, n + len(words)), strict=True))
 
     def learn(self, new: list[bytes]) -> None:
-        """Take in pieces that the index lacks."""
-        texts = [w.decode() for w in new]
-        space = pretok.classes()
-        led = [t[0] == " " and len(t) > 1 and space[ord(t[1])] != pretok.SPACE for t in texts]  # side by side they split as they were
-        sizes, ids = [], []
-        for chosen, whole in (([t for t, x in zip(texts, led, strict=True) if x], True), ([t for t, x in zip(texts, led, strict=True) if not x], False)):
-            groups = [chosen[k : k + 256] for k in range(0, len(chosen), 256)]
-            found = self.tokenizer.encode_batch(["".join(g) for g in groups] if whole else groups, is_pretokenized=not whole, add_special_tokens=False)
-            for group, f in zip(groups, found, strict=True):
-                ids.append(np.array(f.ids, np.uint32))
-                sizes.append(np.bincount(np.array(f.word_ids, np.int64), minlength=len(group)))
-        order = [w for w, x in zip(new, led, strict=True) if x] + [w for w, x in zip(new, led, strict=True) if not x]
-        self.append(order, np.concatenate(sizes), np.concatenate(ids))
+        """Take in pieces that the index lacks. They are split already, so the library's model gets each as the byte level spells it, without the work on offsets that its encodings need."""
+        tokens = self.tokenizer.model.tokenize
+        found = [[t.id for t in tokens(w.decode("latin-1").translate(BYTE_LEVEL))] for w in new]
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        self.append(new, sizes, np.fromiter(itertools.chain.from_iterable(found), np.uint32, int(sizes.sum())))
 
     def ids(self, words: list[bytes], places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of the distinct ``words`` at ``places`` in turn, and how many each place has."""
         if not len(places):
             return np.zeros(0, np.uint32), np.zeros(0, np.int64)
-        new = [w for w in words if w not in self.index]
-        if len(self.index) + len(new) > CACHE // 2 and self.index:
+        own = _found(self.index, words)
+        gaps = np.flatnonzero(own < 0)
+        if len(self.index) + len(gaps) > CACHE // 2 and self.index:
             self.old = self.index, self.flat, self.ends
             self.clear()
-            new = words
-        if new and (new := self.remember(new)):
-            self.learn(new)
-        own = np.array([self.index[w] for w in words], np.int64)
+            gaps = np.arange(len(words))
+        if len(gaps):
+            new = [words[i] for i in gaps.tolist()]
+            self.learn(self.remember(new))
+            own[gaps] = _found(self.index, new)
         end = self.ends[own]
         begin = np.where(own > 0, self.ends[own - 1], 0)
         size = (end - begin)[places]
@@ -114,41 +124,57 @@ def piece_ids(path: str) -> PieceIds:
 CLEAR["token-ids"] = piece_ids.cache_clear
 
 
-def encoded(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataFrame:
-    """doc_id, ids (little-endian unsigned 32-bit integers, the end id last), narrow over ``docs`` (doc_id, text)."""
+def encoded(docs: DataFrame, tokenizer_path: str, end_id: int, counted: bool = False) -> DataFrame:
+    """doc_id, ids (little-endian unsigned 32-bit integers, the end id last), narrow over ``docs`` (doc_id, text).
+
+    ``counted``: with ``seen`` and ``times``, null in these rows; each task adds one row that has only them, how often it met each id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim("token-ids")
         p = piece_ids(tokenizer_path)
-        end = np.array([end_id], np.uint32)
+        end, total, kind = np.array([end_id], np.uint32), np.zeros(1, np.int64), None
         for batch in slices(batches):
-            texts = batch["text"].to_pylist()
+            texts, kind = batch["text"].to_pylist(), batch["doc_id"].type
             whole = {i: np.array(p.tokenizer.encode(t, add_special_tokens=False).ids, np.uint32) for i, t in enumerate(texts) if any(x in t for x in p.special)}
-            for first, last, words, places, ends in pretok.pieces(["" if i in whole else t for i, t in enumerate(texts)]):
+            for first, last, words, places, ends in pretok.pieces(["" if i in whole else t for i, t in enumerate(texts)], BLOCK_CHARS):
                 ids, sizes = p.ids(words, places)
                 cuts = np.concatenate([[0], np.cumsum(sizes)])[np.concatenate([[0], ends])]
                 out = [np.concatenate([whole.get(first + n, ids[i:j]), end]).tobytes() for n, (i, j) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True))]
-                yield pa.RecordBatch.from_arrays([batch["doc_id"].slice(first, last - first), pa.array(out, pa.binary())], ["doc_id", "ids"])
+                rows = [batch["doc_id"].slice(first, last - first), pa.array(out, pa.binary())]
+                if counted:
+                    total = _added(total, np.concatenate([ids, *(whole[i] for i in range(first, last) if i in whole), np.repeat(end, last - first)]))
+                    rows += [pa.nulls(len(out), pa.list_(pa.int64()))] * 2
+                yield pa.RecordBatch.from_arrays(rows, names)
+        if counted and kind is not None:
+            met = np.flatnonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, kind), pa.nulls(1, pa.binary()), pa.array([met], pa.list_(pa.int64())), pa.array([total[met]], pa.list_(pa.int64()))], names)
+
+    names = ["doc_id", "ids", "seen", "times"][: 4 if counted else 2]
+    return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, ids binary" + ", seen array<long>, times array<long>" * counted)
 
-    return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, ids binary")
 
+def _added(total: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    got = np.bincount(ids, minlength=len(total))
+    got[: len(total)] += total
+    return got
 
-def id_counts(encoded_docs: DataFrame) -> dict[int, int]:
-    """How often each id occurs in all documents: summed per task, then by id."""
+
+def id_counts(tokens: DataFrame) -> dict[int, int]:
+    """How often each id occurs in all documents, from the tasks' counts in ``encoded``: the ids themselves aren't read again."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim("token-counts")
         total = np.zeros(1, np.int64)
-        for batch in slices(batches, column="ids"):
-            got = np.bincount(np.frombuffer(b"".join(batch["ids"].to_pylist()), np.uint32))
-            if len(got) < len(total):
-                got = np.pad(got, (0, len(total) - len(got)))
-            got[: len(total)] += total
-            total = got
+        for batch in batches:
+            for ids, times in zip(batch["seen"], batch["times"], strict=True):
+                ids = np.asarray(ids.values)
+                total = np.pad(total, (0, max(0, int(ids[-1]) + 1 - len(total))))
+                total[ids] += np.asarray(times.values)
         ids = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(total[ids], pa.int64())], ["id", "n"])
 
-    rows = encoded_docs.select("ids").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
+    met = tokens.where("seen is not null").select("seen", "times").mapInArrow(run, "id long, n long")
+    rows = met.groupBy("id").agg(F.sum("n").alias("n")).collect()
     return {r["id"]: r["n"] for r in rows}
 
 
@@ -246,8 +272,9 @@ def write_ids(docs: DataFrame, tokenizer_path: str, end_id: int = 0, id_col: str
     docs = id_text(docs, id_col, text_col)
     kind = docs.schema["doc_id"].dataType.simpleString()
     ranged = docs.repartitionByRange(parallelism(spark), "doc_id", F.substring("text", 1, 64)).sortWithinPartitions("doc_id", "text")
-    tokens = staged(encoded(ranged, tokenizer_path, end_id).withColumn("part", F.spark_partition_id()), "ids")
+    tokens = staged(encoded(ranged, tokenizer_path, end_id, counted=True).withColumn("part", F.spark_partition_id()), "ids")
     lengths = code_lengths(id_counts(tokens), limit)
+    tokens = tokens.where("seen is null").drop("seen", "times")
     codes = canonical_codes(lengths)
     arrow_id = tokens.schema["doc_id"].dataType
 

@@ -65,12 +65,12 @@ def boundaries(chars: np.ndarray) -> np.ndarray:
     return np.flatnonzero(start)
 
 
-def pieces(texts: list[str]) -> Iterator[tuple[int, int, list[bytes], np.ndarray, np.ndarray]]:
-    """For blocks of texts, about CHARS code points each: first text, text after the last, the distinct UTF-8 pieces, which of them comes at each place, and where each text's places end."""
+def pieces(texts: list[str], most: int = CHARS) -> Iterator[tuple[int, int, list[bytes], np.ndarray, np.ndarray]]:
+    """For blocks of texts, about ``most`` code points each: first text, text after the last, the distinct UTF-8 pieces, which of them comes at each place, and where each text's places end."""
     first, total = 0, 0
     for i, t in enumerate(texts):
         total += len(t) + 1
-        if total >= CHARS or i == len(texts) - 1:
+        if total >= most or i == len(texts) - 1:
             yield (first, i + 1, *_split(texts[first : i + 1]))
             first, total = i + 1, 0
 
@@ -105,7 +105,12 @@ def _distinct(data: bytes, start: np.ndarray, end: np.ndarray) -> tuple[list[byt
     kind = np.where(size > 16, 17, size).astype(np.uint64)
     h = head * _A ^ tail * _B ^ kind * _C
     h = (h ^ (h >> np.uint64(32))) * _A
-    _, first, which = np.unique(h ^ (h >> np.uint64(29)), return_index=True, return_inverse=True)
+    h ^= h >> np.uint64(29)
+    order = np.argsort(h)  # any of the equal ones may lead, so the sort needn't be stable
+    new = np.ones(len(h), bool)
+    new[1:] = h[order[1:]] != h[order[:-1]]
+    first, which = order[new], np.empty(len(h), np.int64)
+    which[order] = np.cumsum(new) - 1
     leader = first[which]
     if not ((head[leader] == head) & (tail[leader] == tail) & (kind[leader] == kind)).all():  # two hashes met
         _, first, which = np.unique(np.stack([head, tail, kind], 1), axis=0, return_index=True, return_inverse=True)

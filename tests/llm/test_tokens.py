@@ -126,3 +126,28 @@ def test_special_strings_as_the_library_has_them(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").fillna("", ["text"])
     got = {r.doc_id: np.frombuffer(r.ids, "<u4").tolist() for r in huffman_ids.encoded(docs, path, 0).collect()}
     assert got == {i: [*tk.encode(t or "", add_special_tokens=False).ids, 0] for i, t in enumerate(texts)}
+
+
+def test_new_pieces_go_to_the_model_at_once():
+    """op10: a piece is split already, so neither the pattern nor offsets are worked out again for it."""
+    from types import SimpleNamespace
+
+    from tokenizers import Tokenizer
+
+    p, tk = huffman_ids.PieceIds(BYTES), Tokenizer.from_file(BYTES)
+    p.tokenizer = SimpleNamespace(model=p.tokenizer.model)  # no encoding of texts
+    words = [" caf\u00e9", "'re", " ", "\n\n", "\u6f22\u5b57", "\U0001f600", "\x00\x7f\u00ad", "x" * 300, " don", " 12345678"]
+    ids, sizes = p.ids([w.encode() for w in words], np.array([*range(len(words)), 2, 0]))
+    want = [tk.encode(w, add_special_tokens=False).ids for w in [*words, words[2], words[0]]]
+    assert sizes.tolist() == list(map(len, want)) and ids.tolist() == sum(want, [])
+    again, _ = p.ids([words[5].encode()], np.array([0]))
+    assert again.tolist() == want[5]
+
+
+def test_ids_are_counted_where_they_are_made(spark):
+    """op10: the counts come from the tasks that encode; documents' ids aren't read again for them."""
+    docs = frame(spark).select("doc_id", "text").fillna("", ["text"]).repartition(3)
+    rows = huffman_ids.encoded(docs, BYTES, 0, counted=True)
+    made = [r.ids for r in rows.where("seen is null").collect()]
+    want = np.unique(np.frombuffer(b"".join(made), "<u4"), return_counts=True)
+    assert len(made) == len(ROWS) and huffman_ids.id_counts(rows) == dict(zip(*(x.tolist() for x in want), strict=True))
